@@ -104,25 +104,62 @@ JSON_ALIASES = {
     "hash": ("hash", "sha256", "md5", "file.hash.sha256", "file_hash", "checksum"),
 }
 
-_V, _T = F.col("_v"), F.col("_t")
+def _v() -> Column:
+    return F.col("_v")
+
+
+def _t() -> Column:
+    return F.col("_t")
+
+
+# Payload access is written as SQL text: one call per field instead of one per operator.
+def _key_sql(name: str, kind: str = "string") -> str:
+    return f"try_variant_get(_v, \"$['{name}']\", '{kind}')"
+
+
+def _at_sql(dotted: str, kind: str = "string") -> str:
+    steps = "".join(f"['{p}']" for p in dotted.split("."))
+    return f"try_variant_get(_v, \"${steps}\", '{kind}')"
+
+
+def _filled_sql(value: str) -> str:
+    return f"CASE WHEN {value} NOT IN ('', '[]', '{{}}') THEN {value} END"
+
+
+def _key(name: str, kind: str = "string") -> Column:
+    return F.expr(_key_sql(name, kind))
+
+
+def _at(dotted: str, kind: str = "string") -> Column:
+    return F.expr(_at_sql(dotted, kind))
+
+
+def _filled_at(dotted: str) -> Column:
+    return F.expr(_filled_sql(_at_sql(dotted)))
 
 
 def _j(name: str) -> Column:
     """Value of a top-level key, blank counted as absent."""
-    return X.not_blank(X.literal_key(_V, name))
+    return F.expr(_filled_sql(_key_sql(name)))
 
 
 def _any(*names: str) -> Column:
-    return F.coalesce(*[_j(n) for n in names])
+    return F.expr(f"coalesce({', '.join(_filled_sql(_key_sql(n)) for n in names)})")
 
 
-def _alias(field: str, kind: str = "string") -> Column:
+def _alias(field: str, kind: str = "string", filled: bool = False) -> Column:
+    """First non-null value among the names of a field: the whole key first, then the nested path."""
     tries = []
     for name in JSON_ALIASES[field]:
-        tries.append(X.literal_key(_V, name, kind))
+        tries.append(_key_sql(name, kind))
         if "." in name:
-            tries.append(X.path(_V, name, kind))
-    return F.coalesce(*tries)
+            tries.append(_at_sql(name, kind))
+    value = f"coalesce({', '.join(tries)})"
+    return X.not_blank(F.expr(value)) if filled else F.expr(value)
+
+
+def _has(name: str) -> Column:
+    return F.expr(f"coalesce({_key_sql(name, 'variant')} IS NOT NULL, false)")
 
 
 def _int_if_number(value: Column) -> Column:
@@ -137,18 +174,19 @@ def _double_if_number(value: Column) -> Column:
 
 
 def _tags_mention(word: str) -> Column:
-    return F.coalesce(F.lower(X.literal_key(_V, "tags")).contains(word), F.lit(False))
+    return F.expr(f"coalesce(contains(lower({_key_sql('tags')}), '{word}'), false)")
 
 
 def _is(name: str, *values: str) -> Column:
-    return F.coalesce(X.literal_key(_V, name).isin(*values), F.lit(False))
+    listed = ", ".join(f"'{v}'" for v in values)
+    return F.expr(f"coalesce({_key_sql(name)} IN ({listed}), false)")
 
 
 def accepts() -> dict[str, Column]:
     """Acceptance test of every built-in format over ``_v`` / ``_t`` / ``_object``."""
     obj = F.col("_object")
-    has = lambda n: X.has_key(_V, n)
-    has_json = _V.isNotNull()
+    has = _has
+    has_json = _v().isNotNull()
     suricata = has_json & (
         (has("event_type") & (has("src_ip") | has("dest_ip") | has("flow_id") | has("alert")))
         | _is("source", "suricata") | _is("app", "suricata") | _tags_mention("suricata")
@@ -158,33 +196,33 @@ def accepts() -> dict[str, Column]:
         _is("source_type", "email") | _is("source", *EMAIL_SOURCES) | has("spf_result") | has("dmarc_result")
         | (has("sender") & has("recipient")) | (has("from_address") & has("to_address")),
     ).otherwise(
-        _T.contains("dmarc=") | _T.contains("spf=") | _T.contains("dkim=") | F.lower(_T).contains("phishing")
+        _t().contains("dmarc=") | _t().contains("spf=") | _t().contains("dkim=") | F.lower(_t()).contains("phishing")
     )
     syslog = F.when(
         obj,
         _is("source_type", "syslog") | _is("source", "syslog") | _tags_mention("syslog")
         | (has("message") & has("hostname")),
     ).otherwise(
-        _T.startswith("<") | _T.contains("sshd[") | _T.contains("sudo:") | _T.contains("[UFW ")
-        | _T.rlike(RFC3164)
+        _t().startswith("<") | _t().contains("sshd[") | _t().contains("sudo:") | _t().contains("[UFW ")
+        | _t().rlike(RFC3164)
     )
     application = F.when(
         obj,
         _is("source_type", "application") | _is("source", *APP_SOURCES)
         | (has("status_code") & has("uri")) | (has("http_method") & has("url")),
     ).otherwise(
-        _T.contains("HTTP/1.") | _T.contains("HTTP/2.") | _T.rlike(APP_LOG) | _T.rlike(COMBINED_LOG)
+        _t().contains("HTTP/1.") | _t().contains("HTTP/2.") | _t().rlike(APP_LOG) | _t().rlike(COMBINED_LOG)
     )
-    digits = F.coalesce(X.literal_key(_V, "event_id").rlike(r"^\d+$"), F.lit(False))
+    digits = F.coalesce(_key("event_id").rlike(r"^\d+$"), F.lit(False))
     authentication = F.when(
         obj,
         _is("source_type", "authentication") | _is("source", *AUTH_SOURCES) | has("EventID") | digits
-        | has("TargetUserName") | _T.contains("ConsoleLogin"),
+        | has("TargetUserName") | _t().contains("ConsoleLogin"),
     ).otherwise(
-        ~_T.startswith("<")
+        ~_t().startswith("<")
         & (
-            _T.contains("EventID") | _T.contains("pam_unix") | _T.contains("Failed password")
-            | _T.contains("Accepted password") | _T.contains("ConsoleLogin")
+            _t().contains("EventID") | _t().contains("pam_unix") | _t().contains("Failed password")
+            | _t().contains("Accepted password") | _t().contains("ConsoleLogin")
         )
     )
     return {
@@ -215,13 +253,13 @@ def open_payload(raw: DataFrame) -> DataFrame:
         *keep, known.alias("_hint"), kind.alias("_kind"), F.trim(F.col("raw")).alias("_t"),
         X.json_object("raw").alias("_v"),
     )
-    is_object = F.coalesce(F.col("_kind") == "object", _V.isNotNull()) & _V.isNotNull()
+    is_object = F.coalesce(F.col("_kind") == "object", _v().isNotNull()) & _v().isNotNull()
     return opened.withColumn("_object", is_object)
 
 
 def _syslog_line() -> dict[str, Column]:
     """Header parts of a syslog line; RFC 5424 is tried first."""
-    line = F.when(F.col("_object"), F.coalesce(_j("message"), _T)).otherwise(_T)
+    line = F.when(F.col("_object"), F.coalesce(_j("message"), _t())).otherwise(_t())
     new, old = line.rlike(RFC5424), line.rlike(RFC3164)
     part = lambda i5, i3: F.when(new, X.group(line, RFC5424, i5)).when(old, X.group(line, RFC3164, i3))
     return {
@@ -243,6 +281,11 @@ def _windows(i: int) -> Column:
     return lookup(F.col("_win"), {eid: row[i] for eid, row in WINDOWS_EVENTS.items()})
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """Fence: a later filter is applied to these values instead of being rewritten into their definitions."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def parse_payloads(raw: DataFrame, as_of: Column | None = None, formats: dict[str, Column] | None = None) -> DataFrame:
     """Parse every payload; ``parse_error`` is set where the format's parser refuses it.
 
@@ -268,38 +311,38 @@ def parse_payloads(raw: DataFrame, as_of: Column | None = None, formats: dict[st
         .when(msg.rlike(PAM_AUTH_FAIL), "pam")
     )
     app_shape = (
-        F.when(_V.isNotNull(), "json").when(_T.rlike(COMBINED_LOG), "combined").when(_T.rlike(APP_LOG), "line").otherwise("plain")
+        F.when(_v().isNotNull(), "json").when(_t().rlike(COMBINED_LOG), "combined").when(_t().rlike(APP_LOG), "line").otherwise("plain")
     )
     auth_shape = (
-        F.when(_V.isNotNull(), "json").when(_T.rlike(TEXT_AUTH_FAILED), "failed").when(_T.rlike(TEXT_AUTH_OK), "ok").otherwise("plain")
+        F.when(_v().isNotNull(), "json").when(_t().rlike(TEXT_AUTH_FAILED), "failed").when(_t().rlike(TEXT_AUTH_OK), "ok").otherwise("plain")
     )
     opened = opened.withColumns({
         "_br": when_sys(branch),
         "_shape": F.when(F.col("format") == "application", app_shape).when(F.col("format") == "authentication", auth_shape)
-        .when(F.col("format") == "email", F.when(_V.isNotNull(), "json").otherwise("plain")),
+        .when(F.col("format") == "email", F.when(_v().isNotNull(), "json").otherwise("plain")),
         "_win": F.when(F.col("format") == "authentication", F.trim(_any("EventID", "event_id", "EventId")).try_cast("int")),
-        "_uri": F.when((F.col("format") == "application") & _V.isNull(), X.group(_T, COMBINED_LOG, 6)),
-        "_code": F.when((F.col("format") == "application") & _V.isNull(), X.group(_T, COMBINED_LOG, 8).try_cast("int")),
+        "_uri": F.when((F.col("format") == "application") & _v().isNull(), X.group(_t(), COMBINED_LOG, 6)),
+        "_code": F.when((F.col("format") == "application") & _v().isNull(), X.group(_t(), COMBINED_LOG, 8).try_cast("int")),
     })
 
     br, shape = F.col("_br"), F.col("_shape")
     ssh = lambda i: (
         F.when(br == "ssh_failed", X.group(msg, SSHD_FAILED, i)).when(br == "ssh_ok", X.group(msg, SSHD_ACCEPTED, i))
     )
-    web = lambda i: F.when(shape == "combined", X.group(_T, COMBINED_LOG, i))
-    line = lambda i: F.when(shape == "line", X.group(_T, APP_LOG, i))
+    web = lambda i: F.when(shape == "combined", X.group(_t(), COMBINED_LOG, i))
+    line = lambda i: F.when(shape == "line", X.group(_t(), APP_LOG, i))
 
     # --- suricata -------------------------------------------------------------
-    alert = lambda k: X.not_blank(X.path(_V, f"alert.{k}"))
-    eve = F.lower(F.coalesce(X.literal_key(_V, "event_type"), F.lit("alert")))
+    alert = lambda k: _filled_at(f"alert.{k}")
+    eve = F.lower(F.coalesce(_key("event_type"), F.lit("alert")))
     eve_action = F.coalesce(alert("action"), _j("action"), F.lit("alert"))
-    http_host, http_url = X.path(_V, "http.hostname"), X.path(_V, "http.url")
-    http_object = F.coalesce(X.json_type(_V, "http").startswith("OBJECT"), F.lit(False))
+    http_host, http_url = _at("http.hostname"), _at("http.url")
+    http_object = F.coalesce(X.json_type(_v(), "http").startswith("OBJECT"), F.lit(False))
     eve_url = F.when(
         http_object,
         F.when(F.coalesce(http_host, F.lit("")) != "", F.concat(F.lit("http://"), http_host, F.coalesce(http_url, F.lit(""))))
         .when(F.coalesce(http_url, F.lit("")) != "", http_url),
-    ).otherwise(X.literal_key(_V, "url"))
+    ).otherwise(_key("url"))
 
     # --- e-mail ---------------------------------------------------------------
     sender = _any("sender", "from", "from_address", "envelope_from")
@@ -307,13 +350,13 @@ def parse_payloads(raw: DataFrame, as_of: Column | None = None, formats: dict[st
     dkim = F.lower(F.coalesce(_any("dkim_result", "dkim"), F.lit("none")))
     dmarc = F.lower(F.coalesce(_any("dmarc_result", "dmarc"), F.lit("none")))
     verdict = F.lower(F.coalesce(_any("threat_verdict", "verdict", "action"), F.lit("clean")))
-    score_text = F.when(X.has_key(_V, "phishing_score"), X.literal_key(_V, "phishing_score")).otherwise(X.literal_key(_V, "spam_score"))
+    score_text = F.when(_has("phishing_score"), _key("phishing_score")).otherwise(_key("spam_score"))
     mail_score = F.coalesce(score_text.try_cast("double"), F.lit(0.0))
     phishing = verdict.isin("phishing", "malicious", "spam", "quarantined") | (mail_score >= 0.7)
     mail_auth_bad = spf.isin("fail", "softfail") | (dkim == "fail") | dmarc.isin("fail", "reject", "quarantine")
     mail_class = F.when(phishing, "phishing").when(mail_auth_bad, "auth").otherwise("clean")
     first_item = lambda *names: F.coalesce(*[
-        X.not_blank(F.try_variant_get(_V, f"$['{n}'][0]", "string")) for n in names
+        F.expr(_filled_sql(f"try_variant_get(_v, \"$['{n}'][0]\", 'string')")) for n in names
     ])
 
     # --- authentication -------------------------------------------------------
@@ -335,21 +378,21 @@ def parse_payloads(raw: DataFrame, as_of: Column | None = None, formats: dict[st
     line_high = line_sev.isin("high", "critical")
     method = _any("method", "http_method")
     app_level = F.coalesce(
-        F.when(_j("level").isNotNull(), F.try_variant_get(_V, "$['level']", "variant")),
-        F.when(_j("severity").isNotNull(), F.try_variant_get(_V, "$['severity']", "variant")),
+        F.when(_j("level").isNotNull(), _key("level", "variant")),
+        F.when(_j("severity").isNotNull(), _key("severity", "variant")),
     )
 
     # raw value of the level, kept as variant so that a JSON number stays one
     level_value = (
         F.when(F.col("format") == "suricata", F.coalesce(
-            F.when(alert("severity").isNotNull(), F.try_variant_get(_V, "$.alert.severity", "variant")),
-            F.when(_j("severity").isNotNull(), F.try_variant_get(_V, "$['severity']", "variant"))))
+            F.when(alert("severity").isNotNull(), _at("alert.severity", "variant")),
+            F.when(_j("severity").isNotNull(), _key("severity", "variant"))))
         .when((F.col("format") == "application") & (shape == "json"), app_level)
         .when(F.col("format") == "json", _alias("severity", "variant"))
     )
     # the value under the first time name in use
     time_names = lambda *names: F.coalesce(*[
-        F.when(_j(n).isNotNull(), F.try_variant_get(_V, f"$['{n}']", "variant")) for n in names
+        F.expr(f"CASE WHEN {_filled_sql(_key_sql(n))} IS NOT NULL THEN {_key_sql(n, 'variant')} END") for n in names
     ])
     time_value = (
         F.when(F.col("format") == "suricata", time_names("timestamp", "@timestamp"))
@@ -375,7 +418,7 @@ def parse_payloads(raw: DataFrame, as_of: Column | None = None, formats: dict[st
             "authentication": F.coalesce(auth(0, F.lit("auth_failed"), F.lit("auth_success")), auth_text(F.lit("auth_failed"), F.lit("auth_success"), F.lit("auth_event"))),
             "email": F.when(shape == "plain", "email_auth_log").when(mail_class == "phishing", "email_phishing_detected")
             .when(mail_class == "auth", "email_auth_failure").otherwise("email_delivered"),
-            "json": F.lower(F.coalesce(X.not_blank(_alias("event_type")), F.lit("json_security_event"))),
+            "json": F.lower(F.coalesce(_alias("event_type", filled=True), F.lit("json_security_event"))),
         }).alias("event_type"),
         # severities that do not come from a level word
         _case({
@@ -385,57 +428,57 @@ def parse_payloads(raw: DataFrame, as_of: Column | None = None, formats: dict[st
             .otherwise(F.coalesce(lookup(F.col("_pri").try_cast("int").bitwiseAND(7), {0: "critical", 1: "critical", 2: "high", 3: "medium"}), F.lit("low"))),
             "application": F.when(shape == "combined", web_sev).when(shape == "line", line_sev).when(shape == "plain", "low"),
             "authentication": F.coalesce(auth(1, F.lit("high"), F.lit("low")), auth_text(F.lit("high"), F.lit("low"), F.lit("low"))),
-            "email": F.when(shape == "plain", F.when(F.lower(_T).contains("fail"), "medium").otherwise("low"))
+            "email": F.when(shape == "plain", F.when(F.lower(_t()).contains("fail"), "medium").otherwise("low"))
             .when(mail_class == "phishing", "high").when(mail_class == "auth", "medium").otherwise("low"),
         }).alias("_fixed_sev"),
         _case({
-            "suricata": X.literal_key(_V, "src_ip"),
+            "suricata": _key("src_ip"),
             "syslog": F.when(br.isin("ssh_failed", "ssh_ok"), ssh(2)).when(br == "ssh_invalid", X.group(msg, SSHD_INVALID_USER, 2))
             .when(br == "ufw", X.group(msg, UFW, 4)).when(br == "sudo_fail", X.group(msg, SUDO_AUTH_FAIL, 1)).when(br == "pam", X.group(msg, PAM_AUTH_FAIL, 2)),
             "application": F.when(shape == "json", _any("client_ip", "ip", "source_ip")).otherwise(web(1)),
             "authentication": F.when(shape == "json", _any("IpAddress", "src_ip", "source_ip", "sourceIPAddress", "client_ip"))
-            .when(shape == "failed", X.group(_T, TEXT_AUTH_FAILED, 2)).when(shape == "ok", X.group(_T, TEXT_AUTH_OK, 2)),
+            .when(shape == "failed", X.group(_t(), TEXT_AUTH_FAILED, 2)).when(shape == "ok", X.group(_t(), TEXT_AUTH_OK, 2)),
             "email": _any("client_ip", "src_ip", "sender_ip", "connecting_ip"),
             "json": _alias("source_ip"),
         }).alias("_src_ip"),
-        _case({"suricata": X.literal_key(_V, "dest_ip"), "syslog": F.when(br == "ufw", X.group(msg, UFW, 5)),
+        _case({"suricata": _key("dest_ip"), "syslog": F.when(br == "ufw", X.group(msg, UFW, 5)),
                "json": _alias("destination_ip")}).alias("_dst_ip"),
-        _case({"suricata": X.literal_key(_V, "src_port"), "syslog": F.when(br == "ufw", X.group(msg, UFW, 7)).otherwise(ssh(3)),
+        _case({"suricata": _key("src_port"), "syslog": F.when(br == "ufw", X.group(msg, UFW, 7)).otherwise(ssh(3)),
                "authentication": _any("IpPort", "src_port"), "json": _alias("source_port")}).alias("_src_port"),
-        _case({"suricata": X.literal_key(_V, "dest_port"), "syslog": F.when(br == "ufw", X.group(msg, UFW, 8)),
+        _case({"suricata": _key("dest_port"), "syslog": F.when(br == "ufw", X.group(msg, UFW, 8)),
                "json": _alias("destination_port")}).alias("_dst_port"),
         _case({"suricata": F.upper(F.coalesce(_j("proto"), F.lit("TCP"))), "syslog": F.when(br == "ufw", F.upper(X.group(msg, UFW, 6))),
-               "json": F.upper(X.not_blank(_alias("protocol")))}).alias("protocol"),
+               "json": F.upper(_alias("protocol", filled=True))}).alias("protocol"),
         _case({
             "syslog": F.when(br.isin("ssh_failed", "ssh_ok"), ssh(1)).when(br == "ssh_invalid", X.group(msg, SSHD_INVALID_USER, 1))
             .when(br == "sudo_fail", X.group(msg, SUDO_AUTH_FAIL, 2)).when(br == "sudo", X.group(msg, SUDO, 1)).when(br == "pam", X.group(msg, PAM_AUTH_FAIL, 3)),
             "application": F.when(shape == "json", _any("user", "username")).otherwise(F.nullif(web(3), F.lit("-"))),
             "authentication": F.when(shape == "json", F.coalesce(
-                _any("TargetUserName", "username", "user", "SubjectUserName", "userName"), X.not_blank(X.path(_V, "userIdentity.userName"))))
-            .when(shape == "failed", X.group(_T, TEXT_AUTH_FAILED, 1)).when(shape == "ok", X.group(_T, TEXT_AUTH_OK, 1)),
+                _any("TargetUserName", "username", "user", "SubjectUserName", "userName"), _filled_at("userIdentity.userName")))
+            .when(shape == "failed", X.group(_t(), TEXT_AUTH_FAILED, 1)).when(shape == "ok", X.group(_t(), TEXT_AUTH_OK, 1)),
             "email": sender,
-            "json": X.not_blank(_alias("username")),
+            "json": _alias("username", filled=True),
         }).alias("username"),
-        _case({"suricata": F.coalesce(_j("hostname"), X.not_blank(http_host), X.not_blank(X.path(_V, "tls.sni"))),
+        _case({"suricata": F.coalesce(_j("hostname"), X.not_blank(http_host), _filled_at("tls.sni")),
                "syslog": F.col("_sys_host"), "authentication": _any("WorkstationName", "Computer", "hostname"),
-               "json": X.not_blank(_alias("hostname"))}).alias("hostname"),
+               "json": _alias("hostname", filled=True)}).alias("hostname"),
         _case({"authentication": _any("TargetDomainName", "domain", "SubjectDomainName"),
                "email": F.when(sender.contains("@"), F.trim(F.element_at(F.split(sender, "@"), -1))),
-               "json": X.not_blank(_alias("domain"))}).alias("domain"),
+               "json": _alias("domain", filled=True)}).alias("domain"),
         _case({"suricata": eve_url, "application": F.when(shape == "json", _any("url", "uri", "path")).otherwise(F.col("_uri")),
-               "email": first_item("urls", "extracted_urls"), "json": X.not_blank(_alias("url"))}).alias("url"),
+               "email": first_item("urls", "extracted_urls"), "json": _alias("url", filled=True)}).alias("url"),
         _case({"email": F.coalesce(first_item("attachment_hashes", "file_hashes"), _j("attachment_hash")),
-               "json": X.not_blank(_alias("hash"))}).alias("hash"),
+               "json": _alias("hash", filled=True)}).alias("hash"),
         _case({
             "suricata": F.lower(eve_action),
             "syslog": F.when(br.isin("ssh_failed", "ssh_invalid", "sudo_fail", "pam"), "denied").when(br == "ssh_ok", "allowed")
             .when(br == "ufw", F.when(F.upper(X.group(msg, UFW, 1)) == "BLOCK", "blocked").otherwise("allowed")).when(br == "sudo", "executed").otherwise("logged"),
-            "application": F.when(shape == "json", F.coalesce(X.literal_key(_V, "action"), F.lit("allowed")))
+            "application": F.when(shape == "json", F.coalesce(_key("action"), F.lit("allowed")))
             .when(shape == "combined", F.when(code == 401, "denied").when(code == 403, "blocked").otherwise("allowed")),
             "authentication": F.coalesce(auth(2, F.lit("denied"), F.lit("allowed")), auth_text(F.lit("denied"), F.lit("allowed"), F.lit("logged"))),
             "email": F.when(shape == "plain", "logged").when(mail_class == "phishing", F.when(verdict.contains("quarantin"), "quarantined").otherwise("blocked"))
             .when(mail_class == "auth", "flagged").otherwise("delivered"),
-            "json": F.lower(X.not_blank(_alias("action"))),
+            "json": F.lower(_alias("action", filled=True)),
         }).alias("action"),
         _case({
             "suricata": F.when(eve == "alert", "triggered").otherwise("success"),
@@ -446,7 +489,7 @@ def parse_payloads(raw: DataFrame, as_of: Column | None = None, formats: dict[st
             .when(shape == "combined", F.when(code < 400, "success").otherwise("failure")).when(shape == "line", F.when(line_high, "error").otherwise("info")),
             "authentication": F.coalesce(auth(3, F.lit("failure"), F.lit("success")), auth_text(F.lit("failure"), F.lit("success"), F.lit("success"))),
             "email": F.when(shape == "plain", "info").when(mail_class == "phishing", "detected").when(mail_class == "auth", "warning").otherwise("success"),
-            "json": F.lower(X.not_blank(_alias("status"))),
+            "json": F.lower(_alias("status", filled=True)),
         }).alias("status"),
         # what the naming step needs
         _case({"syslog": F.concat(F.lit("syslog."), F.col("_app")),
@@ -454,7 +497,7 @@ def parse_payloads(raw: DataFrame, as_of: Column | None = None, formats: dict[st
                "application": F.concat(F.lit("application."), F.coalesce(
                    F.when(shape == "json", _any("logger", "source")), F.when(shape == "line", F.coalesce(line(3), F.lit("root"))), F.lit("webapp"))),
                "authentication": F.when((shape == "json") & (F.col("_win") != 0), F.concat(F.lit("windows_security_event_"), F.col("_win").cast("string")))
-               .otherwise(F.coalesce(F.when(shape == "json", X.literal_key(_V, "source")), F.lit("authentication_service"))),
+               .otherwise(F.coalesce(F.when(shape == "json", _key("source")), F.lit("authentication_service"))),
                "email": F.coalesce(F.when(shape == "json", _j("source")), F.lit("email_gateway")),
                "json": F.coalesce(_any("source", "vendor"), F.lit("json_stream"))}).alias("source"),
         _case({"suricata": F.lit("network_ids"), "syslog": F.lit("syslog"), "application": F.lit("application_log"),
@@ -463,6 +506,7 @@ def parse_payloads(raw: DataFrame, as_of: Column | None = None, formats: dict[st
         _metadata(eve, eve_action, alert, sender, spf, dkim, dmarc, mail_score, verdict, web, line, sqli, xss, br, shape).alias("metadata"),
     )
 
+    picked = _once(picked)
     level_word = F.try_variant_get("_level", "$", "string")
     default = F.when(F.col("format") == "suricata", "medium").otherwise("low")
     severity = F.coalesce(F.col("_fixed_sev"), map_severity(level_word, default, _int_if_number(F.col("_level"))), default)
@@ -491,14 +535,14 @@ def _metadata(eve, eve_action, alert, sender, spf, dkim, dmarc, mail_score, verd
     def over(extra: dict[str, Column]) -> Column:
         return F.map_concat(F.map_filter(own, lambda k, v: ~k.isin(*extra)), pairs(extra))
 
-    blocks = {b: X.literal_key(_V, b) for b in ("http", "dns", "tls", "smtp", "flow", "payload")}
+    blocks = {b: _key(b) for b in ("http", "dns", "tls", "smtp", "flow", "payload")}
     fmt = F.col("format")
     return (
         F.when(fmt == "suricata", pairs({
             "suricata_event_type": eve, "signature": F.coalesce(alert("signature"), alert("signature_id"), _j("signature")),
             "category": F.coalesce(alert("category"), _j("category"), F.lit("Network Security Event")), "action": eve_action,
-            "flow_id": X.literal_key(_V, "flow_id"), "in_iface": X.literal_key(_V, "in_iface"), "app_proto": X.literal_key(_V, "app_proto"),
-            "pcap_cnt": X.literal_key(_V, "pcap_cnt"), "community_id": X.literal_key(_V, "community_id"), **blocks}))
+            "flow_id": _key("flow_id"), "in_iface": _key("in_iface"), "app_proto": _key("app_proto"),
+            "pcap_cnt": _key("pcap_cnt"), "community_id": _key("community_id"), **blocks}))
         .when(fmt == "syslog", pairs({
             "hostname": F.col("_sys_host"), "app_name": F.col("_app"), "pid": F.col("_pid"), "pri": F.col("_pri"), "message": F.col("_msg"),
             "target_user": F.when(br == "sudo", X.group("_msg", SUDO, 2)), "command": F.when(br == "sudo", X.group("_msg", SUDO, 3))}))
@@ -508,16 +552,16 @@ def _metadata(eve, eve_action, alert, sender, spf, dkim, dmarc, mail_score, verd
                   "referrer": F.nullif(web(10), F.lit("-")), "user_agent": F.nullif(web(11), F.lit("-")),
                   "is_sqli_pattern": sqli, "is_xss_pattern": xss}))
               .when(shape == "line", pairs({"logger": F.coalesce(line(3), F.lit("root")), "level": line(2), "message": line(4)}))
-              .otherwise(pairs({"message": _T})))
+              .otherwise(pairs({"message": _t()})))
         .when(fmt == "authentication", F.when(shape == "json", over({
             "windows_event_id": F.when(F.col("_win") != 0, F.col("_win")),
             "logon_type_desc": lookup(F.coalesce(_any("LogonType", "logon_type"), F.lit("")), LOGON_TYPES)}))
-            .otherwise(pairs({"raw_message": _T})))
+            .otherwise(pairs({"raw_message": _t()})))
         .when(fmt == "email", F.when(shape == "json", over({
             "sender": sender, "recipient": _any("recipient", "to", "to_address", "envelope_to"),
             "subject": F.coalesce(_any("subject", "email_subject"), F.lit("")), "spf_result": spf, "dkim_result": dkim,
             "dmarc_result": dmarc, "phishing_score": mail_score, "threat_verdict": verdict}))
-            .otherwise(pairs({"message": _T})))
+            .otherwise(pairs({"message": _t()})))
         .when(fmt == "json", over({"parsed_as": F.lit("generic_json")}))
         .otherwise(F.create_map().cast("map<string,string>"))
     )

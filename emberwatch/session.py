@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # no call-site capture per Column: plans here are built from many small expressions
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
