@@ -18,6 +18,11 @@ def micros(ts: Column | str) -> Column:
     return F.unix_micros(ts)
 
 
+def block_number(ts: str, block: int) -> Column:
+    """Exact floor of the instant over the block length, in whole numbers."""
+    return F.expr(f"(unix_micros({ts}) - pmod(unix_micros({ts}), {block}L)) div {block}L")
+
+
 def sliding(
     df: DataFrame,
     keys: Sequence[str],
@@ -36,7 +41,7 @@ def sliding(
     if block < seconds * 1_000_000:
         raise ValueError("a block must be at least as long as the window")
     at = micros(ts)
-    number = F.expr(f"cast(floor(unix_micros({ts}) / {block}) as bigint)")
+    number = block_number(ts, block)
     home = df.select("*", number.alias("_home"), at.alias("_us"))
     reaches_next = F.col("_us") + seconds * 1_000_000 >= (F.col("_home") + 1) * block
     spread = home.withColumn(
@@ -68,7 +73,7 @@ def running(
     before its first row.
     """
     sums, maxes, previous = sums or {}, maxes or {}, previous or {}
-    block = F.expr(f"cast(floor(unix_micros({ts}) / {block_seconds * 1_000_000}) as bigint)")
+    block = block_number(ts, block_seconds * 1_000_000)
     rows = df.select(
         "*", block.alias("_block"),
         *[c.alias(f"_s_{n}") for n, c in sums.items()], *[c.alias(f"_m_{n}") for n, c in maxes.items()],
