@@ -30,8 +30,9 @@ def sliding(
     seconds: int,
     aggs: dict[str, Column],
     block_seconds: int | None = None,
+    open_start: bool = False,
 ) -> DataFrame:
-    """Aggregates over ``[ts - seconds, ts]`` per key, both ends included.
+    """Aggregates over ``[ts - seconds, ts]`` per key, both ends included (the start not, if ``open_start``).
 
     Each row is also sent to the next block when it lies within one window width of that block's
     start, so a block holds everything its frames reach. With the default block of ten widths one
@@ -50,7 +51,7 @@ def sliding(
     )
     frame = (
         Window.partitionBy(*keys, "_block").orderBy("_us")
-        .rangeBetween(-seconds * 1_000_000, Window.currentRow)
+        .rangeBetween(-seconds * 1_000_000 + (1 if open_start else 0), Window.currentRow)
     )
     out = spread.select("*", *[agg.over(frame).alias(name) for name, agg in aggs.items()])
     return out.filter(F.col("_block") == F.col("_home")).drop("_block", "_home", "_us")
