@@ -109,11 +109,14 @@ def parse_ts(c: Column | str, as_of: Column, numeric: Column | None = None) -> C
 def entropy(c: Column | str) -> Column:
     """Shannon entropy in bits of the lower-cased text."""
     text = F.lower(as_col(c))
-    chars = F.filter(F.split(text, ""), lambda x: x != "")
-    n = F.size(chars).cast("double")
-    share = lambda x: F.size(F.filter(chars, lambda y: y == x)) / n
-    terms = F.transform(F.array_distinct(chars), lambda x: -share(x) * F.log2(share(x)))
-    return F.when(F.length(text) > 0, F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)).otherwise(0.0)
+    n = F.length(text)
+
+    def term(ch: Column) -> Column:
+        share = (n - F.length(F.replace(text, ch, F.lit("")))) / n.cast("double")
+        return -share * F.log2(share)
+
+    chars = F.filter(F.array_distinct(F.split(text, "")), lambda x: x != "")
+    return F.when(n > 0, F.aggregate(F.transform(chars, term), F.lit(0.0), lambda a, b: a + b)).otherwise(0.0)
 
 
 def text_of(v: Column) -> Column:
