@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.fence import once
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -72,15 +74,18 @@ def rank(c: str = "severity") -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Whole table. A file with fewer splits than cores is spread over them; large inputs are left as they are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def canon(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Canonical security events of the whole events table; unused columns are pruned at the scan."""
+    """Canonical security events of the whole events table, each column computed once."""
     e = table(spark, sf_dir, "events").selectExpr("event_id", "cast(ts as timestamp) as timestamp", "user_id", "event_type as kind", "value", f"{K} as k")
     e = e.selectExpr("*", *[f"{x} as {n}" for n, x in FIRST.items() if n != "event_type"], f"{FIRST['event_type']} as event_type")
     e = e.selectExpr("*", *[f"{x} as {n}" for n, x in SECOND.items()], "map('category', category) as metadata")
-    return e.select(*columns) if columns else e
+    return once(e.select(*columns) if columns else e)
 
 
 def flat(df: DataFrame) -> DataFrame:

@@ -21,14 +21,15 @@ FEED_SQL = """fd0(value, kind, category) AS (
 
 
 def feed_of(events: DataFrame) -> DataFrame:
-    """Indicators drawn from the events themselves (distinct, so the feed stays as small as its values)."""
-    pick = lambda test, value, kind, cat: events.filter(test).select(value.alias("value"), F.lit(kind).alias("kind"), F.lit(cat).alias("category"), F.lit("t").alias("source")).distinct()
+    """Indicators drawn from the events themselves in one pass (distinct, so the feed stays as small as its values)."""
     dst, dom, h = F.col("destination_ip"), F.col("domain"), F.lower("hash")
-    return (
-        pick(dst.isin("203.0.113.100", "203.0.113.200"), dst, "ip", "seen").unionByName(pick(dst.startswith("192.168."), F.lit("192.168.0.0/16"), "ip", "lab"))
-        .unionByName(pick(dst.startswith("198.51.100."), F.lit("198.51.100.32/28"), "ip", "range")).unionByName(pick(dom == "c2-beacon.example.net", dom, "domain", "name"))
-        .unionByName(pick(dom.endswith(".fake-bank-login.xyz"), F.lit("fake-bank-login.xyz"), "domain", "parent"))
-        .unionByName(pick(h.isin("44d88612fea8a8f36de82e1278abb02f", "d41d8cd98f00b204e9800998ecf8427e"), h, "hash", "file")))
+    row = lambda test, value, kind, cat: F.when(test, F.struct(value.alias("value"), F.lit(kind).alias("kind"), F.lit(cat).alias("category"), F.lit("t").alias("source")))
+    rows = F.array(
+        row(dst.isin("203.0.113.100", "203.0.113.200"), dst, "ip", "seen"), row(dst.startswith("192.168."), F.lit("192.168.0.0/16"), "ip", "lab"),
+        row(dst.startswith("198.51.100."), F.lit("198.51.100.32/28"), "ip", "range"), row(dom == "c2-beacon.example.net", dom, "domain", "name"),
+        row(dom.endswith(".fake-bank-login.xyz"), F.lit("fake-bank-login.xyz"), "domain", "parent"),
+        row(h.isin("44d88612fea8a8f36de82e1278abb02f", "d41d8cd98f00b204e9800998ecf8427e"), h, "hash", "file"))
+    return events.select("destination_ip", "domain", "hash").select(F.explode(rows).alias("r")).filter(F.col("r").isNotNull()).select("r.*").distinct()
 
 
 def quoted(p: str) -> str:

@@ -10,6 +10,7 @@ from ..operators import logs as L
 from ..operators import metrics as M
 from ..operators import network as N
 from ..plans.blocked import running
+from ..plans.fence import once
 from .base import EV, canon, query, rank
 
 FAIL = (
@@ -118,7 +119,7 @@ def _(spark, sf):
   SELECT event_id, 'dns_tunneling', 0.25 FROM en WHERE entropy > 3.5 UNION ALL SELECT event_id, 'lateral_movement', 0.2 FROM ev WHERE {LAT})
  SELECT event_id, count(*) AS indicators, round(least(sum(cast(c AS double)), 1.0), 6) AS risk_score, string_agg(t, ',' ORDER BY t) AS kinds FROM i GROUP BY event_id""")
 def _(spark, sf):
-    rows = canon(spark, sf).withColumn("i", N.flow_indicators()).filter(F.size("i") > 0)
+    rows = once(canon(spark, sf).withColumn("i", N.flow_indicators())).filter(F.size("i") > 0)
     return rows.select("event_id", F.size("i").alias("indicators"), N.risk_score("i").alias("risk_score"), F.array_sort(F.transform("i", lambda x: x["indicator_type"])).alias("kinds"))
 
 

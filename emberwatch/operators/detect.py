@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.severity import severity_name, severity_rank
+from ..plans.fence import once
 from . import indicators as I
 from .rules import Rule, condition_hit, default_rules, field_column, logsource_test
 
@@ -39,12 +40,12 @@ def _match(ord_: int, field: Column, value: Column, start: Column | None = None,
 
 
 def text_matches(events: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Events with ``_m``: the Sigma and regex matches as an array, in rule order. One scan, no shuffle.
+    """Events that match, with ``_m``: their Sigma and regex matches in rule order. One scan, no shuffle.
 
     A first step finds only which field hit; matched texts are cut out afterwards, for rows that hit.
     """
     cols = events.columns
-    if "raw_data" in cols:
+    if any(f.startswith("raw_") and f != "raw_string" for r in rules for f in (*r.fields, *[c.field for c in r.conditions])) and "raw_data" in cols:
         events = events.withColumn("_raw", X.json_object("raw_data"))
     hits, build = {}, []
     for order, rule in enumerate(rules):
@@ -72,10 +73,10 @@ def text_matches(events: DataFrame, rules: list[Rule]) -> DataFrame:
             build.append(F.when(at.isNotNull(), _match(order, name, F.substring(found, 1, 256), start, start + F.length(found))))
     if not build:
         return events.withColumn("_m", F.array().cast(f"array<{MATCH}>"))
-    marked = events.withColumns(hits)
+    marked = once(once(events).withColumns(hits))
     any_hit = F.coalesce(*[F.when(F.col(h).isNotNull(), 1) for h in hits])
     listed = F.filter(F.array(*build), lambda m: m.isNotNull())
-    return marked.withColumn("_m", F.when(any_hit.isNotNull(), listed)).drop(*hits)
+    return marked.filter(any_hit.isNotNull()).withColumn("_m", listed).drop(*hits)
 
 
 def detect(events: DataFrame, feed: DataFrame | None = None, rules: list[Rule] | None = None, engines: tuple | None = None) -> DataFrame:
@@ -91,7 +92,7 @@ def detect(events: DataFrame, feed: DataFrame | None = None, rules: list[Rule] |
     none = F.lit(None).cast("string")
     parts = []
     if any(r.rule_type != "ioc" and r.enabled for r in rules):
-        text = text_matches(events, rules).select("event_id", *context, F.explode("_m").alias("m"))
+        text = text_matches(events, rules).select("event_id", *context, F.explode_outer("_m").alias("m")).filter(F.col("m").isNotNull())
         parts.append(text.select("event_id", *context, "m.*", none.alias("ioc_type"), none.alias("ioc_category"), none.alias("ioc_source")))
     if feed is not None and any(r.rule_type == "ioc" and r.enabled for r in rules):
         order = {r.rule_id: i for i, r in enumerate(rules)}

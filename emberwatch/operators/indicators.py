@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.network import canonical_ipv6, domain_suffixes, host_of, ipv4_number, ipv6_hextets, let, norm_ip
+from ..plans.fence import once
 from .rules import Rule, field_column
 
 
@@ -95,10 +96,12 @@ def match_indicators(events: DataFrame, feed: DataFrame, rules: list[Rule], carr
     cols = events.columns
     if "raw_data" in cols:
         events = events.withColumn("_raw", X.json_object("raw_data"))
+    needed = {f.split(".")[0] for r in rules for f in r.fields} | {"_raw", "_w"}
     # scalar subquery of at most 162 short texts
     widths = network_lengths(feed).agg(F.collect_set("w").alias("w")).scalar() if any(r.ioc_type == "ip" for r in rules) else None
     if widths is not None:
         events = events.withColumn("_w", widths)
+    events = once(events.select("event_id", *carry, *[c for c in (*cols, "_raw", "_w") if c in events.columns and c not in carry and c != "event_id" and c in needed]))
     tries = []
     for order, rule in enumerate(rules):
         for position, name in enumerate(rule.fields):

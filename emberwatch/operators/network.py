@@ -9,6 +9,7 @@ from ..functions.network import is_external, is_private
 from ..functions.severity import lookup, severity_name, severity_rank
 from ..functions.text import entropy
 from ..plans.blocked import running, running_distinct
+from ..plans.fence import once
 
 # Ports, agents and endings tied to command-and-control traffic.
 C2_PORTS = (443, 8443, 4443, 8080, 8888, 1337, 31337, 6667, 6697)
@@ -168,7 +169,7 @@ def network_indicators(flows: DataFrame, port_threshold: int = PORT_SCAN_PORTS,
     )
     # at most three rows per event
     history = history.groupBy("event_id").agg(F.collect_list("i").alias("_history"))
-    with_own = flows.withColumn("_own", flow_indicators())
+    with_own = once(flows.withColumn("_own", flow_indicators()))
     none = F.array().cast(history.schema["_history"].dataType)
     position = F.array(*[F.lit(k) for k in CHECK_ORDER])
     merged = F.concat("_own", F.coalesce("_history", none))

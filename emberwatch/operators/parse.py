@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.network import norm_ip, norm_port
 from ..functions.severity import lookup, map_severity
+from ..plans.fence import once
 
 # Order in which formats are tried when none is given.
 DETECTION_ORDER = ("suricata", "email", "syslog", "application", "authentication", "json")
@@ -281,11 +282,6 @@ def _windows(i: int) -> Column:
     return lookup(F.col("_win"), {eid: row[i] for eid, row in WINDOWS_EVENTS.items()})
 
 
-def _once(df: DataFrame) -> DataFrame:
-    """Fence: a later filter is applied to these values instead of being rewritten into their definitions."""
-    return df.select(F.inline(F.array(F.struct(*df.columns))))
-
-
 def parse_payloads(raw: DataFrame, as_of: Column | None = None, formats: dict[str, Column] | None = None) -> DataFrame:
     """Parse every payload; ``parse_error`` is set where the format's parser refuses it.
 
@@ -506,7 +502,7 @@ def parse_payloads(raw: DataFrame, as_of: Column | None = None, formats: dict[st
         _metadata(eve, eve_action, alert, sender, spf, dkim, dmarc, mail_score, verdict, web, line, sqli, xss, br, shape).alias("metadata"),
     )
 
-    picked = _once(picked)
+    picked = once(picked)
     level_word = F.try_variant_get("_level", "$", "string")
     default = F.when(F.col("format") == "suricata", "medium").otherwise("low")
     severity = F.coalesce(F.col("_fixed_sev"), map_severity(level_word, default, _int_if_number(F.col("_level"))), default)
