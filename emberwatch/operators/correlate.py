@@ -38,18 +38,40 @@ CHAIN_WORDS = {
 LONG_CHAIN = 200_000
 
 
-def _walk(frame, window_us: int):
-    """Anchors of one chain (sorted instants): each group reaches ``window_us`` past its first member."""
-    import numpy as np
-    import pandas as pd
+def _walker(keys: list[str], window_us: int):
+    """Reads instants sorted by key and time as a stream and yields the anchors.
 
-    at = np.sort(frame["_us"].to_numpy())
-    anchors, i = [], 0
-    while i < len(at):
-        anchors.append(at[i])
-        i = int(np.searchsorted(at, at[i] + window_us, side="right"))
-    keys = {c: frame[c].iloc[0] for c in frame.columns if c != "_us"}
-    return pd.DataFrame({**{c: [v] * len(anchors) for c, v in keys.items()}, "_anchor": anchors})
+    Each group reaches ``window_us`` past its first member. Only the last key and anchor are kept
+    between batches, so memory does not grow with a chain.
+    """
+
+    def walk(frames):
+        import numpy as np
+        import pandas as pd
+
+        last, anchor = None, 0
+        for frame in frames:
+            if not len(frame):
+                continue
+            at = frame["_us"].to_numpy()
+            # a key begins where any key column differs from the row before (two nulls are equal)
+            cols = [pd.factorize(frame[k], use_na_sentinel=False)[0] for k in keys]
+            starts = np.flatnonzero(np.any([np.r_[True, c[1:] != c[:-1]] for c in cols], axis=0))
+            ends = np.r_[starts[1:], len(at)]
+            picked = []
+            for lo, hi in zip(starts, ends):
+                key = tuple(None if pd.isna(frame[k].iat[lo]) else frame[k].iat[lo] for k in keys)
+                i = lo
+                if key == last:
+                    i = lo + int(np.searchsorted(at[lo:hi], anchor + window_us, side="right"))
+                while i < hi:
+                    anchor = int(at[i])
+                    picked.append(i)
+                    i = lo + int(np.searchsorted(at[lo:hi], anchor + window_us, side="right"))
+                last = key
+            yield frame.iloc[picked].rename(columns={"_us": "_anchor"})
+
+    return walk
 
 
 def _jump(instants: DataFrame, keys: list[str], window_us: int) -> DataFrame:
@@ -103,8 +125,9 @@ def time_groups(findings: DataFrame, window_minutes: int = 60, key_cols: Sequenc
     sizes = chains.groupBy(*keys, "_chain").agg(F.count(F.lit(1)).alias("_n"))
     sized = chains.join(sizes, [*keys, "_chain"])
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chains.schema if f.name != "_us")
-    short = sized.filter(F.col("_n") <= long_chain).drop("_n").groupBy(*keys, "_chain").applyInPandas(
-        lambda frame: _walk(frame, window_us), schema=f"{types}, _anchor bigint")
+    by = [*keys, "_chain"]
+    ordered = sized.filter(F.col("_n") <= long_chain).select(*by, "_us").repartition(*by).sortWithinPartitions(*by, "_us")
+    short = ordered.mapInPandas(_walker(by, window_us), schema=f"{types}, _anchor bigint")
     anchors = short
     if not sizes.filter(F.col("_n") > long_chain).isEmpty():
         anchors = short.unionByName(_jump(sized.filter(F.col("_n") > long_chain).drop("_n"), [*keys, "_chain"], window_us))
