@@ -182,4 +182,4 @@ def severity_distribution(df: DataFrame, column: str = "severity") -> DataFrame:
     """Count and share in percent per level. The share is over the few grouped rows."""
     grouped = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     total = grouped.agg(F.sum("n").alias("t")).scalar()
-    return grouped.select(column, "n", F.concat(F.format_number(F.bround(F.col("n") / F.greatest(total, F.lit(1)) * 100, 1), "0.0"), F.lit("%")).alias("percentage"))
+    return grouped.select(column, "n", F.format_string("%.1f%%", F.bround(F.col("n") / F.greatest(total, F.lit(1)) * 100, 1)).alias("percentage"))
