@@ -88,6 +88,13 @@ def canon(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return once(e.select(*columns) if columns else e)
 
 
+#: columns the analyses read
+FLOW = ("event_id", "timestamp", "source_ip", "destination_ip", "destination_port", "protocol", "user_agent", "domain", "dns_query", "bytes_out")
+PAIRS = ("event_id", "timestamp", "source_ip", "destination_ip", "destination_port", "bytes_out")
+LOGS = ("event_id", "timestamp", "source_ip", "username", "event_type", "status", "action", "message", "windows_id")
+RULES = ("event_id", "timestamp", "source", "source_type", "event_type", "status", "action", "protocol", "source_ip", "destination_ip", "username", "hostname", "domain", "url", "hash", "raw_data", "metadata")
+
+
 def flat(df: DataFrame) -> DataFrame:
     """Plain comparable columns: whole numbers as bigint, instants as microseconds, fractions rounded, text lists joined."""
     out = []

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import detect as D
 from ..operators import rules as R
 from ..sources import feeds
-from .base import EV, canon, flat, query, rank, table
+from .base import EV, RULES, canon, flat, query, rank, table
 
 # a feed taken from the data itself: listed addresses, networks, names and hashes
 FEED_SQL = """fd0(value, kind, category) AS (
@@ -21,7 +21,7 @@ FEED_SQL = """fd0(value, kind, category) AS (
 
 
 def feed_of(events: DataFrame) -> DataFrame:
-    """Indicators drawn from the events themselves in one pass (distinct, so the feed stays as small as its values)."""
+    """Indicators drawn from the events themselves in one pass, kept for the several look-ups (a handful of distinct values)."""
     dst, dom, h = F.col("destination_ip"), F.col("domain"), F.lower("hash")
     row = lambda test, value, kind, cat: F.when(test, F.struct(value.alias("value"), F.lit(kind).alias("kind"), F.lit(cat).alias("category"), F.lit("t").alias("source")))
     rows = F.array(
@@ -29,7 +29,7 @@ def feed_of(events: DataFrame) -> DataFrame:
         row(dst.startswith("198.51.100."), F.lit("198.51.100.32/28"), "ip", "range"), row(dom == "c2-beacon.example.net", dom, "domain", "name"),
         row(dom.endswith(".fake-bank-login.xyz"), F.lit("fake-bank-login.xyz"), "domain", "parent"),
         row(h.isin("44d88612fea8a8f36de82e1278abb02f", "d41d8cd98f00b204e9800998ecf8427e"), h, "hash", "file"))
-    return events.select("destination_ip", "domain", "hash").select(F.explode(rows).alias("r")).filter(F.col("r").isNotNull()).select("r.*").distinct()
+    return events.select("destination_ip", "domain", "hash").select(F.explode(rows).alias("r")).filter(F.col("r").isNotNull()).select("r.*").distinct().persist()
 
 
 def quoted(p: str) -> str:
@@ -78,35 +78,35 @@ IOC_SQL = f"""{FEED_SQL}, ips AS (SELECT value, category, CASE WHEN contains(val
 
 @query("detect_regex", f"WITH {EV}, {regex_sql()} SELECT event_id, rule_id, severity, matched_field, matched_value FROM rx")
 def _(spark, sf):
-    return D.detect(canon(spark, sf), None, engines=("regex",)).select("event_id", "rule_id", "severity", "matched_field", "matched_value")
+    return D.detect(canon(spark, sf, *RULES), None, engines=("regex",)).select("event_id", "rule_id", "severity", "matched_field", "matched_value")
 
 
 @query("detect_regex_offsets", f"""WITH {EV} SELECT event_id, instr(lower(url), 'union select ') - 1 AS match_start, instr(lower(url), 'union select ') - 1 + 13 AS match_end FROM ev WHERE contains(lower(url), 'union select ')""")
 def _(spark, sf):
     rules = [r for r in R.BUILTIN_REGEX if r.rule_id == "regex_sqli_union"]
-    return D.detect(canon(spark, sf), None, rules).select("event_id", "match_start", "match_end")
+    return D.detect(canon(spark, sf, *RULES), None, rules).select("event_id", "match_start", "match_end")
 
 
 @query("detect_sigma", f"WITH {EV}, {SIGMA_SQL} SELECT event_id, rule_id, severity, matched_field, matched_value FROM sg WHERE matched_field IS NOT NULL")
 def _(spark, sf):
-    return D.detect(canon(spark, sf), None, engines=("sigma",)).select("event_id", "rule_id", "severity", "matched_field", "matched_value")
+    return D.detect(canon(spark, sf, *RULES), None, engines=("sigma",)).select("event_id", "rule_id", "severity", "matched_field", "matched_value")
 
 
 @query("detect_custom_sigma", f"""WITH {EV} SELECT event_id, 'custom' AS rule_id, 'high' AS severity FROM ev WHERE starts_with(lower(username), 'user_1') AND suffix(lower(hostname), '7') AND regexp_matches(url, '(?i)admin|login')""")
 def _(spark, sf):
     rule = R.compile_sigma({"id": "custom", "title": "c", "level": "high", "detection": {"a": {"username|startswith": "USER_1", "hostname|endswith": ["7"]}, "b": {"url|re": "admin|login"}, "condition": "a and b"}})
-    return D.detect(canon(spark, sf), None, [rule]).select("event_id", "rule_id", "severity")
+    return D.detect(canon(spark, sf, *RULES), None, [rule]).select("event_id", "rule_id", "severity")
 
 
 @query("detect_indicators", f"WITH {EV}, {IOC_SQL} SELECT event_id, rule_id, severity, matched_field, matched_value, ioc_type, (SELECT max(category) FROM fd0 WHERE fd0.value = CASE WHEN ioc_type = 'ip' THEN matched_value ELSE lower(matched_value) END) AS ioc_category FROM ic")
 def _(spark, sf):
-    ev = canon(spark, sf)
+    ev = canon(spark, sf, *RULES)
     return D.detect(ev, feed_of(ev), engines=("ioc",)).select("event_id", "rule_id", "severity", "matched_field", "matched_value", "ioc_type", "ioc_category")
 
 
 @query("detect_custom_indicator_rule", f"WITH {EV}, {FEED_SQL} SELECT event_id, 'mine' AS rule_id, 'low' AS severity FROM ev WHERE lower(hash) IN (SELECT value FROM fd0 WHERE kind = 'hash')")
 def _(spark, sf):
-    ev = canon(spark, sf)
+    ev = canon(spark, sf, *RULES)
     return D.detect(ev, feed_of(ev), [R.ioc_rule("hash", ("hash",), severity="low", rule_id="mine")]).select("event_id", "rule_id", "severity")
 
 
@@ -128,7 +128,7 @@ ALL_SQL = f"{EV}, {regex_sql()}, {SIGMA_SQL}, {IOC_SQL}, al AS (SELECT event_id,
 @query("detect_findings", f"""WITH {ALL_SQL}, g AS (SELECT event_id, {KIND_SQL} AS finding_type, max({rank()}) AS rk, count(*) AS match_count, string_agg(rule_id, ',' ORDER BY rule_id) AS rules FROM al GROUP BY event_id)
  SELECT g.event_id, finding_type, CASE rk WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'informational' END AS severity, match_count, rules, source_ip, username FROM g JOIN ev ON ev.event_id = g.event_id""")
 def _(spark, sf):
-    ev = canon(spark, sf)
+    ev = canon(spark, sf, *RULES)
     found = D.findings(D.detect(ev, feed_of(ev)))
     return found.select("event_id", "finding_type", "severity", "match_count", F.array_sort("rule_ids").alias("rules"), "source_ip", "username")
 
@@ -136,19 +136,19 @@ def _(spark, sf):
 @query("detect_finding_techniques", f"""WITH {ALL_SQL}, t(rule_id, tech) AS (VALUES {', '.join(f"('{r.rule_id}', '{t}')" for r in R.default_rules() for t in r.mitre_techniques)})
  SELECT event_id, string_agg(DISTINCT tech, ',' ORDER BY tech) AS techniques FROM al JOIN t USING (rule_id) GROUP BY event_id""")
 def _(spark, sf):
-    ev = canon(spark, sf)
+    ev = canon(spark, sf, *RULES)
     return D.findings(D.detect(ev, feed_of(ev))).select("event_id", F.array_sort("mitre_techniques").alias("techniques")).filter(F.col("techniques") != F.array().cast("array<string>"))
 
 
 @query("detect_rule_hits", f"WITH {ALL_SQL} SELECT rule_id, count(*) AS hits, count(DISTINCT event_id) AS events FROM al GROUP BY rule_id")
 def _(spark, sf):
-    ev = canon(spark, sf)
+    ev = canon(spark, sf, *RULES)
     return D.detect(ev, feed_of(ev)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("event_id").alias("events"))
 
 
 @query("detect_stats", f"WITH {ALL_SQL} SELECT (SELECT count(*) FROM ev) AS events_processed, count(*) AS matches_found, count(DISTINCT event_id) AS findings_generated FROM al")
 def _(spark, sf):
-    ev = canon(spark, sf)
+    ev = canon(spark, sf, *RULES)
     return D.detection_stats(ev, D.detect(ev, feed_of(ev)))
 
 

@@ -146,6 +146,8 @@ def _(spark, sf):
     return T.threat_findings(ev, _listed(spark)).select(F.col("finding_id").alias("event_id"), "total_iocs", "known_malicious", "threat_score", "severity", F.array_sort("mitre_techniques").alias("techniques"))
 
 
+CHAIN_COLUMNS = ("event_id", "timestamp", "event_type", "severity", "source_ip", "destination_ip", "username")
+
 # ---- chains and entity correlation ---------------------------------------------------------------------------
 STAGE = "CASE " + " ".join(f"WHEN contains(event_type, '{w}') THEN '{s}'" for w, s in C.STAGE_WORDS) + " END"
 ORDER = "CASE stage " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(C.STAGES)) + " END"
@@ -161,13 +163,13 @@ def _(spark, sf):
 
 @query("kill_chains", f"WITH {EV}, {CHAIN} SELECT username, stage_count, stages, event_ids, round(stage_count / 13.0, 6) AS completeness, epoch_us(t0) AS start_time, round((epoch_us(t1) - epoch_us(t0)) / 1e6, 6) AS duration_sec FROM ch")
 def _(spark, sf):
-    done = C.kill_chains(canon(spark, sf), ["username"])
+    done = C.kill_chains(canon(spark, sf, *CHAIN_COLUMNS), ["username"])
     return done.select("username", "stage_count", "stages", "event_ids", "completeness", "start_time", "duration_sec")
 
 
 @query("chain_findings", f"WITH {EV}, {CHAIN} SELECT concat('chain_', username) AS entity, CASE WHEN stage_count / 13.0 > 0.5 THEN 'critical' ELSE 'high' END AS severity, replace(stages, '_', '-') AS mitre_tactics FROM ch")
 def _(spark, sf):
-    return C.chain_findings(C.kill_chains(canon(spark, sf), ["username"])).select("entity", "severity", "mitre_tactics")
+    return C.chain_findings(C.kill_chains(canon(spark, sf, *CHAIN_COLUMNS), ["username"])).select("entity", "severity", "mitre_tactics")
 
 
 NOW_SQL, WIN = "timestamp '2024-01-31 00:00:00'", 20 * 86400
@@ -187,13 +189,13 @@ for _kind, _key, _partner in (("source", "source_ip", "destination_ip"), ("targe
 
     @query(f"correlate_same_{_kind}", f"WITH {EV} {_entity_sql(_kind, _key, _partner)}")
     def _(spark, sf, kind=_kind):
-        return C.entity_correlation(canon(spark, sf), kind, _now(), 5, WIN).select("correlation_type", "entity", "severity", "event_count", "unique_partners", "time_span_sec")
+        return C.entity_correlation(canon(spark, sf, *CHAIN_COLUMNS), kind, _now(), 5, WIN).select("correlation_type", "entity", "severity", "event_count", "unique_partners", "time_span_sec")
 
 
 @query("primary_correlation", f"""WITH {EV}, {CHAIN}, u AS (SELECT 0 AS p, 0 AS r, 0 AS n, concat('corr_chain_', username) AS finding_id, 'attack_chain' AS correlation_type FROM ch
  UNION ALL SELECT 1, 0, 0, 'zzz', 'none' WHERE false) SELECT finding_id, correlation_type FROM u ORDER BY p, finding_id LIMIT 1""")
 def _(spark, sf):
-    return C.primary_correlation(C.all_correlations(canon(spark, sf), _now(), ["username"], 5, WIN)).select("finding_id", "correlation_type")
+    return C.primary_correlation(C.all_correlations(canon(spark, sf, *CHAIN_COLUMNS), _now(), ["username"], 5, WIN)).select("finding_id", "correlation_type")
 
 
 @query("findings_as_events", f"WITH {EV} SELECT event_id, event_type, CASE WHEN k % 10 = 9 THEN 'medium' ELSE severity END AS severity FROM ev")
@@ -210,7 +212,8 @@ GROUP_SQL = f"""{EV}, rk AS (SELECT *, row_number() OVER (PARTITION BY username
 
 
 def _findings(spark, sf):
-    return canon(spark, sf).select("event_id", F.col("event_id").cast("string").alias("finding_id"), F.col("event_type").alias("finding_type"), "source", "timestamp", "severity", "username", "source_ip", "domain",
+    rows = canon(spark, sf, "event_id", "event_type", "source", "timestamp", "severity", "username", "source_ip", "domain", "destination_ip")
+    return rows.select("event_id", F.col("event_id").cast("string").alias("finding_id"), F.col("event_type").alias("finding_type"), "source", "timestamp", "severity", "username", "source_ip", "domain",
                                    F.col("destination_ip").alias("dest_ip"))
 
 

@@ -11,7 +11,7 @@ from ..operators import metrics as M
 from ..operators import network as N
 from ..plans.blocked import running
 from ..plans.fence import once
-from .base import EV, canon, query, rank
+from .base import EV, FLOW, LOGS, PAIRS, canon, query, rank
 
 FAIL = (
     "(event_type IN ('auth_failed','login_failed','authentication_failure') OR status IN ('failure','failed','denied') OR action IN ('denied','blocked') "
@@ -33,7 +33,7 @@ def _brief(df, *cols):
 
 @query("log_auth_failures", f"WITH {EV} SELECT event_id, source_ip FROM ev WHERE {FAIL}")
 def _(spark, sf):
-    return canon(spark, sf).filter(L.is_auth_failure()).select("event_id", "source_ip")
+    return canon(spark, sf, *LOGS).filter(L.is_auth_failure()).select("event_id", "source_ip")
 
 
 @query("log_brute_force", f"""WITH {EV}, f AS (SELECT event_id, timestamp, source_ip FROM ev WHERE {FAIL}),
@@ -41,25 +41,25 @@ def _(spark, sf):
  SELECT cast(event_id AS string) AS event_id, 'brute_force' AS detection_type, 'high' AS severity, source_ip AS source, cast(n AS double) AS actual, epoch_us(t0) AS time_range_start,
  concat('Detected ', n, ' auth failures from ', source_ip, ' in 21600s') AS explanation FROM w WHERE n >= 2""")
 def _(spark, sf):
-    return _brief(L.brute_force(canon(spark, sf), 2, 21600), "actual", "time_range_start", "explanation")
+    return _brief(L.brute_force(canon(spark, sf, *LOGS), 2, 21600), "actual", "time_range_start", "explanation")
 
 
 @query("log_privilege_escalation", f"WITH {EV} SELECT cast(event_id AS string) AS event_id, 'privilege_escalation' AS detection_type, 'medium' AS severity, source_ip AS source FROM ev WHERE {PRIV}")
 def _(spark, sf):
-    return _brief(L.privilege_escalation(canon(spark, sf)))
+    return _brief(L.privilege_escalation(canon(spark, sf, *LOGS)))
 
 
 @query("log_request_rate", f"""WITH {EV}, w AS (SELECT event_id, timestamp, source_ip, count(*) {W6H.format(key='source_ip')} AS n, min(timestamp) {W6H.format(key='source_ip')} AS t0 FROM ev)
  SELECT cast(event_id AS string) AS event_id, 'suspicious_rate' AS detection_type, 'medium' AS severity, source_ip AS source, cast(n AS double) AS actual, epoch_us(t0) AS time_range_start FROM w WHERE n >= 3""")
 def _(spark, sf):
-    return _brief(L.request_rate(canon(spark, sf), 3, 21600), "actual", "time_range_start")
+    return _brief(L.request_rate(canon(spark, sf, *LOGS), 3, 21600), "actual", "time_range_start")
 
 
 @query("log_off_hours", f"""WITH {EV} SELECT cast(event_id AS string) AS event_id, 'off_hours_activity' AS detection_type, 'low' AS severity, source_ip AS source, cast(hour(timestamp) AS double) AS actual,
  concat('Auth activity at ', lpad(cast(hour(timestamp) AS string), 2, '0'), ':00 (outside business hours 8:00-18:00)') AS explanation
  FROM ev WHERE (contains(event_type, 'auth') OR contains(event_type, 'login') OR contains(event_type, 'session')) AND NOT (hour(timestamp) >= 8 AND hour(timestamp) < 18)""")
 def _(spark, sf):
-    return _brief(L.off_hours(canon(spark, sf)), "actual", "explanation")
+    return _brief(L.off_hours(canon(spark, sf, *LOGS)), "actual", "explanation")
 
 
 ANOM = f"""{EV}, g AS (SELECT event_id, timestamp, source_ip, cast({FAIL} AS int) AS bad FROM ev),
@@ -70,7 +70,7 @@ ANOM = f"""{EV}, g AS (SELECT event_id, timestamp, source_ip, cast({FAIL} AS int
 
 @query("log_anomaly_scores", f"WITH {ANOM} SELECT event_id, source_ip, requests, failures, round(anomaly_score, 6) AS anomaly_score, anomaly_score >= 1.0 / 3.0 AS is_anomaly FROM z")
 def _(spark, sf):
-    return L.anomaly_scores(canon(spark, sf), 21600).select("event_id", "source_ip", "requests", "failures", "anomaly_score", "is_anomaly")
+    return L.anomaly_scores(canon(spark, sf, *LOGS), 21600).select("event_id", "source_ip", "requests", "failures", "anomaly_score", "is_anomaly")
 
 
 @query("log_primary_findings", f"""WITH {EV}, f AS (SELECT event_id, timestamp, source_ip FROM ev WHERE {FAIL}),
@@ -87,7 +87,7 @@ def _(spark, sf):
  SELECT batch_id, max(CASE WHEN rn = 1 THEN cast(event_id AS string) END) AS event_id, max(CASE WHEN rn = 1 THEN d END) AS detection_type, string_agg(DISTINCT d, ',' ORDER BY d) AS detection_types, count(*) AS finding_count
  FROM x GROUP BY batch_id""")
 def _(spark, sf):
-    found = L.log_findings(canon(spark, sf)).withColumn("batch_id", F.date_format("timestamp", "yyyy-MM-dd"))
+    found = L.log_findings(canon(spark, sf, *LOGS)).withColumn("batch_id", F.date_format("timestamp", "yyyy-MM-dd"))
     return L.primary_findings(found).select("batch_id", "event_id", "detection_type", "detection_types", "finding_count")
 
 
@@ -119,7 +119,7 @@ def _(spark, sf):
   SELECT event_id, 'dns_tunneling', 0.25 FROM en WHERE entropy > 3.5 UNION ALL SELECT event_id, 'lateral_movement', 0.2 FROM ev WHERE {LAT})
  SELECT event_id, count(*) AS indicators, round(least(sum(cast(c AS double)), 1.0), 6) AS risk_score, string_agg(t, ',' ORDER BY t) AS kinds FROM i GROUP BY event_id""")
 def _(spark, sf):
-    rows = once(canon(spark, sf).withColumn("i", N.flow_indicators())).filter(F.size("i") > 0)
+    rows = once(canon(spark, sf, *FLOW).withColumn("i", N.flow_indicators())).filter(F.size("i") > 0)
     return rows.select("event_id", F.size("i").alias("indicators"), N.risk_score("i").alias("risk_score"), F.array_sort(F.transform("i", lambda x: x["indicator_type"])).alias("kinds"))
 
 
@@ -136,12 +136,12 @@ EXF = f"""xf AS (SELECT event_id, sum(bytes_out) {PAIRW} AS total FROM ev WHERE
 
 @query("net_port_scan", f"WITH {EV}, {SCAN} SELECT event_id, cast(ports AS bigint) AS unique_ports FROM ps WHERE ports >= 4")
 def _(spark, sf):
-    return N.port_scans(canon(spark, sf), 4, 86400).select("event_id", "unique_ports")
+    return N.port_scans(canon(spark, sf, *PAIRS), 4, 86400).select("event_id", "unique_ports")
 
 
 @query("net_exfiltration", f"WITH {EV}, {EXF} SELECT event_id, cast(total AS bigint) AS bytes_transferred FROM xf WHERE total >= 200000")
 def _(spark, sf):
-    return N.exfiltration(canon(spark, sf), 200_000, 86400).select("event_id", "bytes_transferred")
+    return N.exfiltration(canon(spark, sf, *PAIRS), 200_000, 86400).select("event_id", "bytes_transferred")
 
 
 GAPS = """ga AS (SELECT event_id, timestamp, source_ip, destination_ip, (epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER (PARTITION BY source_ip, destination_ip ORDER BY timestamp, event_id)) / 1e6 AS gap0 FROM ev),
@@ -151,13 +151,13 @@ GAPS = """ga AS (SELECT event_id, timestamp, source_ip, destination_ip, (epoch_u
 @query("net_beacon_pairs", f"""WITH {EV}, {GAPS} SELECT source_ip, destination_ip, count(*) AS connection_count, count(gap) AS gap_count, round(avg(gap), 3) AS avg_interval_sec,
  round(stddev_pop(gap) / avg(gap), 6) AS variation FROM gp GROUP BY ALL HAVING count(*) >= 5 AND count(gap) >= 3 AND stddev_pop(gap) / avg(gap) < 0.7""")
 def _(spark, sf):
-    return N.beacon_pairs(canon(spark, sf), 0.7, block_seconds=86400).withColumn("avg_interval_sec", F.round("avg_interval_sec", 3))
+    return N.beacon_pairs(canon(spark, sf, *PAIRS), 0.7, block_seconds=86400).withColumn("avg_interval_sec", F.round("avg_interval_sec", 3))
 
 
 @query("net_beacons_running", f"""WITH {EV}, {GAPS}, r AS (SELECT event_id, count(*) {PAIRW} AS n, count(gap) {PAIRW} AS g, avg(gap) {PAIRW} AS m, stddev_pop(gap) {PAIRW} AS s FROM gp)
  SELECT event_id, n AS connection_count, g AS gap_count, round(s / m, 5) AS variation FROM r WHERE n >= 5 AND g >= 3 AND s / m < 0.6""")
 def _(spark, sf):
-    return N.beacons(canon(spark, sf), 0.6, block_seconds=86400).select("event_id", "connection_count", "gap_count", F.round("variation", 5).alias("variation"))
+    return N.beacons(canon(spark, sf, *PAIRS), 0.6, block_seconds=86400).select("event_id", "connection_count", "gap_count", F.round("variation", 5).alias("variation"))
 
 
 @query("net_findings", f"""WITH {EV}, {ENT}, {SCAN}, {EXF}, {GAPS}, r AS (SELECT event_id, count(*) {PAIRW} AS n, count(gap) {PAIRW} AS g, avg(gap) {PAIRW} AS m, stddev_pop(gap) {PAIRW} AS s FROM gp),
@@ -170,7 +170,7 @@ def _(spark, sf):
  SELECT event_id, max(CASE WHEN rn = 1 THEN t END) AS threat_type, CASE max(rk) WHEN 3 THEN 'high' ELSE 'medium' END AS severity, CASE WHEN count(*) > 2 THEN 'high' ELSE 'medium' END AS confidence,
   count(*) AS indicator_count, round(least(sum(cast(c AS double)), 1.0), 6) AS risk_score FROM b GROUP BY event_id""")
 def _(spark, sf):
-    flows = canon(spark, sf).withColumn("bytes_in", F.lit(0))
+    flows = canon(spark, sf, *FLOW).withColumn("bytes_in", F.lit(0))
     return N.network_findings(N.network_indicators(flows, 4, 200_000)).select("event_id", "threat_type", "severity", "confidence", "indicator_count", "risk_score")
 
 

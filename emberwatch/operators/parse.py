@@ -526,7 +526,7 @@ def parse_payloads(raw: DataFrame, as_of: Column | None = None, formats: dict[st
 def _metadata(eve, eve_action, alert, sender, spf, dkim, dmarc, mail_score, verdict, web, line, sqli, xss, br, shape) -> Column:
     """Context per format as a string map; JSON payloads keep their own keys under the added ones."""
     pairs = lambda d: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), v.cast("string"))])
-    own = F.coalesce(F.from_json("_t", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    own = F.coalesce(F.try_variant_get(_v(), "$", "map<string,string>"), F.create_map().cast("map<string,string>"))
 
     def over(extra: dict[str, Column]) -> Column:
         return F.map_concat(F.map_filter(own, lambda k, v: ~k.isin(*extra)), pairs(extra))

@@ -84,18 +84,25 @@ def token_slots(text: Column | str) -> Column:
 
 
 def embed(text: Column | str) -> Column:
-    """Bag-of-words vector of unit length (all zero for a text without tokens)."""
-    from ..functions.network import let
+    """Bag-of-words vector of unit length (all zero for a text without tokens).
 
-    def vector(slots: Column) -> Column:
-        counts = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: (F.size(slots) - F.size(F.array_remove(slots, i.cast("bigint")))).cast("double"))
-        return let(counts, unit)
+    Tokens are hashed by built-in functions; counting slots into a dense vector is done per Arrow
+    batch, where it is one call per row.
+    """
+    return _unit_counts()(token_slots(text))
+
+
+def _unit_counts():
+    @F.pandas_udf("array<double>")
+    def unit_counts(slots: pd.Series) -> pd.Series:
+        def one(row):
+            counts = np.bincount(np.asarray(row, dtype=np.int64), minlength=DIM).astype(np.float64)
+            norm = np.sqrt((counts * counts).sum())
+            return counts / norm if norm > 0 else counts
 
-    def unit(counts: Column) -> Column:
-        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-        return let(norm, lambda n: F.when(n > 0, F.transform(counts, lambda x: x / n)).otherwise(counts))
+        return slots.map(one)
 
-    return let(token_slots(text), vector)
+    return unit_counts
 
 
 def make_chunks(docs: DataFrame, text: str, source: Column, source_type: Column, keep: tuple = (), size: int = CHUNK_CHARS, vectors: bool = True) -> DataFrame:
