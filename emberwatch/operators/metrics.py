@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.blocked import sliding
+from ..plans.blocked import sliding_sums
 from .changelog import counts_by
 
 # Upper bounds of the latency histogram, seconds.
@@ -127,7 +127,7 @@ def counters(df: DataFrame, *labels: str) -> DataFrame:
 
 def quota_checks(log: DataFrame, identifier: str, limit: int, ts: str = "timestamp", window_sec: int = 60) -> DataFrame:
     """Requests in the sliding window per identifier at each request; an entry exactly one window old has left it."""
-    rows = sliding(log, [identifier], ts, window_sec, {"current_count": F.count(F.lit(1))}, open_start=True)
+    rows = sliding_sums(log, [identifier], ts, window_sec, {"current_count": F.lit(1)}, open_start=True)
     return rows.withColumns({"is_allowed": F.col("current_count") <= limit, "remaining": F.greatest(F.lit(limit) - F.col("current_count"), F.lit(0))})
 
 

@@ -38,25 +38,59 @@ def sliding(
     start, so a block holds everything its frames reach. With the default block of ten widths one
     row in ten is sent twice. One shuffle.
     """
+    spread = _spread(df, ts, seconds, block_seconds)
+    frame = (
+        Window.partitionBy(*keys, "_block").orderBy("_us")
+        .rangeBetween(-seconds * 1_000_000 + (1 if open_start else 0), Window.currentRow)
+    )
+    out = spread.select("*", *[agg.over(frame).alias(name) for name, agg in aggs.items()])
+    return out.filter(F.col("_block") == F.col("_home")).drop("_block", "_home", "_us")
+
+
+def _spread(df: DataFrame, ts: str, seconds: int, block_seconds: int | None) -> DataFrame:
     block = (block_seconds or 10 * seconds) * 1_000_000
     if block < seconds * 1_000_000:
         raise ValueError("a block must be at least as long as the window")
-    at = micros(ts)
-    number = block_number(ts, block)
-    home = df.select("*", number.alias("_home"), at.alias("_us"))
+    home = df.select("*", block_number(ts, block).alias("_home"), micros(ts).alias("_us"))
     reaches_next = F.col("_us") + seconds * 1_000_000 >= (F.col("_home") + 1) * block
-    spread = home.withColumn(
+    return home.withColumn(
         "_block",
         F.explode(F.when(reaches_next, F.array(F.col("_home"), F.col("_home") + 1)).otherwise(F.array("_home"))),
     )
-    frame = (
-        Window.partitionBy(*keys, "_block").orderBy("_us")
-        .rangeBetween(-seconds * 1_000_000 + (1 if open_start else 0), Window.currentRow)
-    )
-    out = spread.select("*", *[agg.over(frame).alias(name) for name, agg in aggs.items()])
+
+
+def sliding_sums(
+    df: DataFrame, keys: Sequence[str], ts: str, seconds: int, sums: dict[str, Column], block_seconds: int | None = None, open_start: bool = False
+) -> DataFrame:
+    """Whole-number sums over ``[ts - seconds, ts]`` per key, in time linear in the rows.
+
+    A frame that moves at both ends is summed anew for every row, which is quadratic where a key is
+    dense. Two frames that start at the block's first row grow step by step; their difference is the
+    window.
+    """
+    spread = _spread(df, ts, seconds, block_seconds)
+    w = Window.partitionBy(*keys, "_block").orderBy("_us")
+    now = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    gone = w.rangeBetween(Window.unboundedPreceding, -seconds * 1_000_000 - (0 if open_start else 1))
+    part = lambda c, frame: F.coalesce(F.sum(c).over(frame), F.lit(0))
+    out = spread.select("*", *[(part(c, now) - part(c, gone)).cast("bigint").alias(name) for name, c in sums.items()])
     return out.filter(F.col("_block") == F.col("_home")).drop("_block", "_home", "_us")
 
 
+def first_in_window(rows: DataFrame, hits: DataFrame, keys: Sequence[str], ts: str, seconds: int, name: str) -> DataFrame:
+    """``hits`` with the earliest instant of their key's ``rows`` within ``[ts - seconds, ts]``.
+
+    Each hit is a probe at the start of its window. In mirrored time the wanted instant is the last
+    one seen before the probe, a running maximum; the hit's own columns ride on the probe.
+    """
+    at = F.unix_micros(ts)
+    points = rows.select(*keys, F.timestamp_micros(-at).alias("_neg"), F.lit(0).alias("_probe"), (-at).alias("_v"))
+    probes = hits.select(*keys, F.timestamp_micros(-(at - seconds * 1_000_000)).alias("_neg"), F.lit(1).alias("_probe"), F.struct(*hits.columns).alias("_h"))
+    merged = points.unionByName(probes, allowMissingColumns=True)
+    seen = running(merged, keys, ["_neg", "_probe"], "_neg", maxes={"_last": F.col("_v")}, block_seconds=10 * seconds)
+    return seen.filter(F.col("_probe") == 1).select("_h.*", F.timestamp_micros(-F.col("_last")).alias(name))
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],

@@ -16,13 +16,13 @@ def write_events(events: DataFrame, path: str, known: DataFrame | None = None, b
     """Insert events once per id, by date.
 
     Duplicates inside the input are dropped; ids in ``known`` are left out by an anti join limited
-    to the dates at hand. A streaming batch overwrites only its own partitions, so a replay is harmless.
+    to the dates at hand. Files are levelled by size, so a heavy day becomes many. A streaming batch overwrites only its own partitions, so a replay is harmless.
     """
     rows = stored_form(events).dropDuplicates(["event_id"])
     if known is not None:
         rows = rows.join(known.select("event_id", "event_date"), ["event_date", "event_id"], "left_anti")
     if batch_id is None:
-        rows.repartition("event_date", F.pmod(F.xxhash64("event_id"), F.lit(16))).sortWithinPartitions("event_date", "severity", "event_type").write.mode("append").partitionBy("event_date").parquet(path)
+        rows.hint("rebalance", "event_date").sortWithinPartitions("event_date", "severity", "event_type").write.mode("append").partitionBy("event_date").parquet(path)
     else:
         rows.withColumn("ingest_batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ingest_batch", "event_date").parquet(path)
 

@@ -33,6 +33,15 @@ def test_sliding_equals_brute_force(frame, data):
         assert got[i] == (len(near), min(near))
 
 
+def test_sums_and_first_equal_brute_force(frame, data):
+    rows = B.sliding_sums(frame, ["k"], "ts", 60, {"n": F.lit(1), "b_sum": F.col("b")}, 90)
+    got = {r.id: (r.n, r.b_sum, r.first) for r in B.first_in_window(frame, rows, ["k"], "ts", 60, "first").collect()}
+    assert len(got) == len(data)
+    for i, k, ts, *_ in data:
+        near = [r for r in data if r[1] == k and ts - timedelta(seconds=60) <= r[2] <= ts]
+        assert got[i] == (len(near), sum(r[4] for r in near), min(r[2] for r in near))
+
+
 def test_sliding_rejects_short_block(frame):
     with pytest.raises(ValueError):
         B.sliding(frame, ["k"], "ts", 60, {"n": F.count(F.lit(1))}, 30)
