@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import detect as D
 from ..operators import rules as R
 from ..sources import feeds
-from .base import EV, RULES, canon, flat, query, rank, table
+from .base import EV, RULES, canon, query, rank, table
 
 # a feed taken from the data itself: listed addresses, networks, names and hashes
 FEED_SQL = """fd0(value, kind, category) AS (
@@ -182,6 +182,3 @@ def _(spark, sf):
 def _(spark, sf):
     lines = table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("value"), F.lit("x/domain_lines.txt").alias("file"))
     return feeds.parse_feed(lines).groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.count("category").alias("with_category"))
-
-
-_ = flat

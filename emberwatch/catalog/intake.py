@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 from ..operators import normalize as N
 from ..operators import validate as V
-from .base import EV, K, canon, query, table
+from .base import EV, canon, query
 
 AS_OF = "2024-02-01 00:00:00"
 
@@ -178,6 +178,3 @@ def _(spark, sf):
 
     text = """case k % 6 when 0 then '-' when 1 then concat(source_ip, ':8080') when 2 then concat('2001:0DB8:0000:0:0:0:0:', lower(hex(k + 1))) when 3 then '300.1.1.1' when 4 then concat(' ', source_ip, ' ') else source_ip end as t"""
     return canon(spark, sf).selectExpr("event_id", text).select("event_id", norm_ip("t").alias("ip"))
-
-
-_ = (K, table)

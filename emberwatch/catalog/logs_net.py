@@ -11,7 +11,7 @@ from ..operators import metrics as M
 from ..operators import network as N
 from ..plans.blocked import running
 from ..plans.fence import once
-from .base import EV, FLOW, LOGS, PAIRS, canon, query, rank
+from .base import EV, FLOW, LOGS, PAIRS, canon, query
 
 FAIL = (
     "(event_type IN ('auth_failed','login_failed','authentication_failure') OR status IN ('failure','failed','denied') OR action IN ('denied','blocked') "
@@ -187,6 +187,3 @@ def _(spark, sf):
     from .base import table
 
     return table(spark, sf, "pages").select("page_id", host_of("url").alias("host"), domain_suffixes(host_of("url")).alias("suffixes"))
-
-
-_ = rank

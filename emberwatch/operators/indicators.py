@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.network import canonical_ipv6, domain_suffixes, host_of, ipv4_number, ipv6_hextets, let, norm_ip
+from ..functions.network import domain_suffixes, host_of, ipv4_number, ipv6_hextets, let, norm_ip
 from ..plans.fence import once
 from .rules import Rule, field_column
 
