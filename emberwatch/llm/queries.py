@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, packing, sharding, topk, urlfilter, vptree
+from . import bpe, html, packing, sharding, topk, toxicity, urlfilter, vptree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -109,3 +109,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_html_text")
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.train_model(docs, table(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
