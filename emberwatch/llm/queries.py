@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, packing, sharding, topk, toxicity, urlfilter, vptree
+from . import bpe, html, minhash, packing, sharding, topk, toxicity, urlfilter, vptree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -115,3 +115,9 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.train_model(docs, table(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
+
+
+@query("op4_minhash_near_dedup")
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
