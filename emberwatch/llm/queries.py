@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, minhash, packing, sharding, topk, toxicity, urlfilter, vptree
+from . import bpe, html, lines, minhash, packing, sharding, topk, toxicity, urlfilter, vptree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -121,3 +121,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = minhash.near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
+@query("op8_line_dedup")
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.deduplicated(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "text", "n_lines", "n_removed")
