@@ -41,6 +41,8 @@ MIN_TEXTS, MIN_SHARE = 4, 0.002
 MIN_RATIO = 20
 #: chance of taking in any term that means nothing
 ERROR = 0.01
+#: how often a voter calls a clean text toxic, before anything is seen
+FALSE_ALARMS = 0.002
 
 #: fixed values: insults, as a voter of their own
 INSULTS = frozenset("idiot idiots moron morons stupid scum loser losers pathetic worthless disgusting trash clown clowns imbecile dumb jerk bastard bitch asshole crap shit fuck fucking".split())
@@ -58,8 +60,11 @@ def terms(text: Column) -> Column:
     """Distinct words in lower case and their beginnings, marked by kind."""
     words = F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
     words = F.filter(words, lambda w: w != "")
-    starts = [F.transform(F.filter(words, lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.lit(f"p{k}:"), F.substring(w, 1, k))) for k in PREFIXES]
-    return F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit("word:"), w)), *starts))
+
+    def beginnings(k: int) -> Column:
+        return F.transform(F.filter(words, lambda w: F.length(w) >= k), lambda w: F.concat(F.lit(f"p{k}:"), F.substring(w, 1, k)))
+
+    return F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit("word:"), w)), *map(beginnings, PREFIXES)))
 
 
 def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], int, int]:
@@ -101,7 +106,7 @@ class Voters:
             votes[whole[w]] = 1
             counts[0] += 1
         for kind, (k, table) in enumerate(starts, 1):
-            for s in table.keys() & {w[:k] for w in words if len(w) > k}:
+            for s in table.keys() & {w[:k] for w in words if len(w) >= k}:
                 votes[kind * BUCKETS + table[s]] = 1
                 counts[kind] += 1
         base = len(KINDS) * BUCKETS
@@ -117,8 +122,8 @@ class Voters:
 class LabelModel:
     """Class-conditional vote rates by expectation maximisation, with votes of dependent voters counted for less."""
 
-    def __init__(self, prior: float, rounds: int = 25):
-        self.prior, self.rounds = min(max(prior, 1e-3), 1 - 1e-3), rounds
+    def __init__(self, prior: float, rounds: int = 25, false_alarms: float | None = None):
+        self.prior, self.rounds, self.false_alarms = min(max(prior, 1e-3), 1 - 1e-3), rounds, false_alarms
 
     def fit(self, votes: np.ndarray) -> np.ndarray:
         """Posterior of class 1 for each row."""
@@ -128,26 +133,36 @@ class LabelModel:
         rate[0, :, 0], rate[0, :, 2] = 0.5, 1 / 6
         rate[1, :, 2], rate[1, :, 0] = 0.5, 1 / 6
         spoken = (votes != 0).astype(float)
-        weight = np.ones(votes.shape[1])
+        weight = self._weights(votes.astype(float), 0.9)  # voters that say the same are one
         for step in range(self.rounds):
             odds = np.einsum("ijk,jk->ij", said, np.log(rate[1]) - np.log(rate[0]))
             if step == 0:
                 odds *= spoken
             logit = np.log(self.prior / (1 - self.prior)) + odds @ weight
             post = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
-            # voters that are dependent given the class share their weight
-            left = votes - (np.outer(post, self._mean(votes, post)) + np.outer(1 - post, self._mean(votes, 1 - post)))
-            spread = np.sqrt((left**2).mean(axis=0))
-            same = np.abs((left / np.maximum(spread, 1e-9)).T @ (left / np.maximum(spread, 1e-9)) / len(votes))
-            same[spread < 1e-6] = 0
-            np.fill_diagonal(same, 1)
-            self.correlation = same
-            weight = 1 / np.where(same > 0.25, same, 0).sum(axis=1).clip(min=1)
+            if step >= self.rounds // 4:  # voters that are dependent given the class share their weight
+                weight = self._weights(votes - (np.outer(post, self._mean(votes, post)) + np.outer(1 - post, self._mean(votes, 1 - post))), 0.25)
             for c, p in ((0, 1 - post), (1, post)):
                 rate[c] = (np.einsum("i,ijk->jk", p, said) + 0.05) / (p.sum() + 0.15)
+            if self.false_alarms is not None:
+                # terms were taken in for standing in few clean texts: that is held as a prior
+                clean, held = (1 - post).sum(), 5 * len(votes)
+                false = (rate[0, :, 2] * clean + self.false_alarms * held) / (clean + held)
+                rate[0, :, :2] *= ((1 - false) / (1 - rate[0, :, 2]).clip(min=1e-9))[:, None]
+                rate[0, :, 2] = false
         self.rate, self.weight = rate, weight
         return post
 
+    def _weights(self, left: np.ndarray, bound: float) -> np.ndarray:
+        """Weights from the correlations of what is left of the votes; those above the bound count."""
+        left = left - left.mean(axis=0)
+        spread = np.sqrt((left**2).mean(axis=0))
+        same = np.abs((left / np.maximum(spread, 1e-9)).T @ (left / np.maximum(spread, 1e-9)) / len(left))
+        same[spread < 1e-6] = 0
+        np.fill_diagonal(same, 1)
+        self.correlation = same
+        return 1 / np.where(same > bound, same, 0).sum(axis=1).clip(min=1)
+
     @staticmethod
     def _mean(votes: np.ndarray, p: np.ndarray) -> np.ndarray:
         return p @ votes / max(p.sum(), 1e-9)
@@ -211,7 +226,7 @@ def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     got = rows.join(chosen, "id").select("text").mapInArrow(vote, "votes array<int>, counts array<int>").limit(2 * SAMPLE).collect()
     votes, counts = np.array([r["votes"] for r in got]), np.array([r["counts"] for r in got])
-    post = LabelModel(share).fit(votes)
+    post = LabelModel(share, false_alarms=FALSE_ALARMS).fit(votes)
     return Model(lexicon, fit_linear(features(votes, counts), post), share)
 
 
