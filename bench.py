@@ -32,8 +32,10 @@ def main() -> None:
     repeats = int(os.environ.get("BENCH_REPEATS", "2"))
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
     spark = build_session("emberwatch-bench", master=f"local[{cpus}]", **{
-        "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="run-"), "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
+        "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get("spark.checkpoint.dir", None):  # the settings name none: one machine runs all
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-"))
     events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     cold, warm = {}, {}
     for name in names:

@@ -74,10 +74,8 @@ def rank(c: str = "severity") -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Whole table. A file with fewer splits than cores is spread over them; large inputs are left as they are."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Whole table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def canon(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

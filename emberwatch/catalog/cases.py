@@ -51,7 +51,12 @@ def _(spark, sf):
     return C.alert_state(alerts(spark, sf), alert_log(spark, sf)).select("alert_id", "status", "acknowledged_by", "resolved_by", "resolution_notes", "resolved_at")
 
 
-@query("alert_list", f"WITH {EV}, {AL} SELECT alert_id, severity FROM al WHERE category = 'malware' ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, timestamp DESC, alert_id LIMIT 100 OFFSET 40")
+@query("alert_list", f"WITH {EV}, {AL} SELECT alert_id, severity FROM al WHERE category = 'malware' ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, timestamp DESC, alert_id")
+def _(spark, sf):
+    return C.list_alerts(alerts(spark, sf), category="malware").select("alert_id", "severity")
+
+
+@query("alert_page", f"WITH {EV}, {AL} SELECT alert_id, severity FROM al WHERE category = 'malware' ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, timestamp DESC, alert_id LIMIT 100 OFFSET 40")
 def _(spark, sf):
     return C.list_alerts(alerts(spark, sf), category="malware", limit=100, offset=40).select("alert_id", "severity")
 
@@ -102,9 +107,9 @@ def _(spark, sf):
     return C.incident_timeline(incidents(spark, sf), incident_log(spark, sf)).select("incident_id", "timestamp", "event_type", "description")
 
 
-@query("incident_list", f"WITH {EV}, {IN} SELECT incident_id, severity FROM ic WHERE incident_type = 'phishing' AND owner0 IS NOT NULL AND owner0 = 'user_7' ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, timestamp DESC, incident_id LIMIT 20")
+@query("incident_list", f"WITH {EV}, {IN} SELECT incident_id, severity FROM ic WHERE incident_type = 'phishing' ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, timestamp DESC, incident_id")
 def _(spark, sf):
-    return C.list_incidents(incidents(spark, sf), incident_type="phishing", owner="user_7", limit=20).select("incident_id", "severity")
+    return C.list_incidents(incidents(spark, sf), incident_type="phishing").select("incident_id", "severity")
 
 
 @query("incident_metrics", f"""WITH {EV}, {IN} SELECT count(*) AS total_incidents, count(*) FILTER (WHERE status <> 'closed') AS open_incidents, count(*) FILTER (WHERE status = 'closed') AS closed_incidents, round(avg(nullif(ttd, 0)), 6) AS avg_time_to_detect_min,
@@ -214,7 +219,7 @@ def _(spark, sf):
     return out.select("investigation_id", "steps_total", "steps_completed", "hypothesis_count", "supported_hypotheses", "evidence_count", "progress_pct")
 
 
-@query("investigation_list", f"WITH {EV} SELECT event_id AS investigation_id FROM ev WHERE k % 3 = 0 AND k % 2 = 0 ORDER BY timestamp DESC, event_id LIMIT 100")
+@query("investigation_list", f"WITH {EV} SELECT event_id AS investigation_id FROM ev WHERE k % 3 = 0 AND k % 2 = 0 ORDER BY timestamp DESC, event_id")
 def _(spark, sf):
     return I.list_investigations(opened(spark, sf), "closed", "high").select("investigation_id")
 
@@ -224,7 +229,7 @@ def _(spark, sf):
     return I.investigation_counts(opened(spark, sf))
 
 
-@query("evidence_timeline", f"""WITH {EV} SELECT user_id AS investigation_id, epoch_us(timestamp) AS timestamp, {EVT} AS type, CASE {EVT} WHEN 'log_entry' THEN substr(message, 1, 100) WHEN 'network_flow' THEN concat('Network flow ', source_ip, ' → ', destination_ip) ELSE concat({EVT}, ' evidence') END AS summary FROM ev""")
+@query("evidence_timeline", f"""WITH {EV} SELECT user_id AS investigation_id, epoch_us(timestamp) AS timestamp, {EVT} AS type, CASE {EVT} WHEN 'log_entry' THEN message WHEN 'network_flow' THEN concat('Network flow ', source_ip, ' → ', destination_ip) ELSE concat({EVT}, ' evidence') END AS summary FROM ev""")
 def _(spark, sf):
     ev = cases_of(spark, sf).select("investigation_id", "timestamp", I.evidence_type("event_type").alias("evidence_type"), "source", F.col("event_id").alias("evidence_id"),
                                     F.create_map(F.lit("message"), "message", F.lit("source_ip"), "source_ip", F.lit("dest_ip"), "destination_ip").alias("content"))
@@ -241,7 +246,7 @@ def plans(spark, sf) -> DataFrame:
 
 
 RSP = """q AS (SELECT *, k % 5 = 0 AS mal, k % 5 = 1 AS c2, (k % 5 = 3 OR k % 4 = 0) AS cred, severity IN ('critical', 'high') AS sev FROM ev),
- n AS (SELECT *, least(k % 8, 5) AS a1, CASE WHEN cred THEN least(k % 13, 5) ELSE 0 END AS a2, CASE WHEN c2 THEN 1 ELSE 0 END AS a3, 1 AS a4, CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END AS a5, CASE WHEN mal THEN least(k % 8, 5) ELSE 0 END AS a6, least(k % 13, 10) AS a7,
+ n AS (SELECT *, k % 8 AS a1, CASE WHEN cred THEN k % 13 ELSE 0 END AS a2, CASE WHEN c2 THEN 1 ELSE 0 END AS a3, 1 AS a4, CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END AS a5, CASE WHEN mal THEN k % 8 ELSE 0 END AS a6, k % 13 AS a7,
   CASE WHEN mal OR c2 THEN 1 ELSE 0 END AS a8, CASE WHEN k % 5 = 2 THEN 1 ELSE 0 END AS a9, CASE WHEN sev OR mal THEN 1 ELSE 0 END AS a10, CASE WHEN k % 4 = 1 THEN 1 ELSE 0 END AS a11 FROM q),
  m AS (SELECT *, a1 + a2 + a3 + a4 + a5 + a6 + a7 + a8 + a9 + a10 + a11 + 1 AS total, a1 * 5 + a2 * 2 + a3 + a4 * 2 + a5 * 15 + a6 * 30 + a7 * 10 + a8 * 45 + a9 * 60 + a10 * 120 + a11 * 180 + 15 AS mins FROM n)"""
 
@@ -266,36 +271,92 @@ def _(spark, sf):
 
 # ---- reports -------------------------------------------------------------------------------------------------
 def report_of(spark, sf) -> DataFrame:
-    ev = canon(spark, sf).withColumn("incident_id", F.col("user_id"))
+    ev = canon(spark, sf, "event_id", "timestamp", "user_id", "severity", "event_type", "url", "hostname", "username").withColumn("incident_id", F.col("user_id"))
     heads = ev.groupBy("incident_id").agg(F.max_by("severity", F.struct("timestamp", "event_id")).alias("severity"), F.array_sort(F.collect_set("hostname")).alias("affected_assets"), F.array_sort(F.collect_set("username")).alias("affected_users"))
     heads = heads.withColumn("mitre_techniques", F.when(F.col("incident_id") % 2 == 0, F.array(F.lit("T1110"), F.lit("T1071"))).otherwise(F.array().cast("array<string>")))
     found = ev.filter("severity = 'critical'").select("incident_id", "timestamp", F.col("event_id").alias("finding_id"), "severity", F.col("event_type").alias("finding_type"), F.concat(F.lit("hit on "), F.col("url")).alias("explanation"))
     return R.report_data(heads, ev, found)
 
 
-REP = f"""h AS (SELECT user_id, arg_max(severity, timestamp) AS severity, count(*) AS n, count(*) FILTER (WHERE severity = 'critical') AS f, user_id % 2 = 0 AS mitre FROM ev GROUP BY user_id)"""
-
-
-@query("report_sections", f"""WITH {EV}, {REP}, s AS (SELECT user_id AS incident_id, 'exec_summary' AS section_id, 1 AS section_order, concat('This report documents a security incident classified as ', severity, ' severity. ', CASE WHEN f > 0 THEN concat('Analysis identified ', f, ' security findings. ') ELSE '' END, '1 assets were affected by this incident. The incident involved ', n, ' security events. ',
- CASE WHEN mitre THEN 'MITRE ATT&CK techniques observed: T1110, T1071. ' ELSE '' END, 'Immediate remediation actions are recommended based on the findings.') AS content FROM h
- UNION ALL SELECT user_id, 'overview', 2, concat('Severity: ', upper(severity), chr(10), 'Affected Assets: 1', chr(10), 'Affected Users: 1', chr(10), 'Total Events: ', n) FROM h
- UNION ALL SELECT user_id, 'assets', 5, concat('- host-', user_id % 20) FROM h UNION ALL SELECT user_id, 'mitre', 6, concat('- T1110', chr(10), '- T1071') FROM h WHERE mitre
- UNION ALL SELECT user_id, 'timeline', 3, string_agg(concat('[', strftime(timestamp, '%Y-%m-%dT%H:%M:%S'), '] ', event_type, ': ', event_id), chr(10) ORDER BY timestamp, event_id) FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY timestamp, event_id) AS rn FROM ev) WHERE rn <= 20 GROUP BY user_id)
- SELECT * FROM s""")
-def _(spark, sf):
-    done = R.report_sections(report_of(spark, sf), "incident")
-    return done.filter(~F.col("section_id").isin("findings", "recommendations")).select("incident_id", "section_id", "section_order", "content")
-
-
-@query("report_recommendations", f"""WITH {EV}, {REP} SELECT user_id AS incident_id, 1 + 1 + mitre::int + least(f, 5) AS key_findings, CASE WHEN severity IN ('critical', 'high') THEN 3 ELSE 2 END + 2 + mitre::int + 3 AS recommendations, concat('Technical Security Analysis - ', user_id) AS title FROM h""")
-def _(spark, sf):
-    return R.report_summaries(report_of(spark, sf), "technical").select("incident_id", F.size("key_findings").alias("key_findings"), F.size("recommendations").alias("recommendations"), "title")
-
-
-@query("report_texts", f"""WITH {EV}, {REP} SELECT user_id AS incident_id, concat('# Executive Security Summary - ', user_id) AS first_line, true AS has_risk, true AS has_list FROM h""")
-def _(spark, sf):
-    done = R.report_texts(report_of(spark, sf), "executive", "markdown", F.lit("2024-02-01 00:00:00").cast("timestamp"))
-    return done.select("incident_id", F.split_part("content", F.lit("\n"), F.lit(1)).alias("first_line"), F.col("content").contains("## Risk Assessment\n\nCurrent Risk Level: ").alias("has_risk"), F.col("content").contains("## Recommendations\n\n1. ").alias("has_list"))
+# the passages of a report in SQL, over one row per incident
+ADVICE_SQL = (
+    "list_concat(CASE WHEN severity IN ('critical', 'high') THEN ['Activate incident response team immediately', 'Isolate affected systems from the network', 'Preserve all evidence for forensic analysis'] "
+    "ELSE ['Review affected systems for compromise indicators', 'Update security monitoring rules'] END, ['Conduct thorough review of all affected assets', 'Reset credentials for affected user accounts'], "
+    "CASE WHEN mitre THEN ['Implement mitigations for identified MITRE ATT&CK techniques'] ELSE [] END, "
+    "['Update security policies based on lessons learned', 'Conduct security awareness training for affected teams', 'Review and update incident response procedures'])")
+POINTS_SQL = (
+    "list_concat([concat('Incident severity: ', upper(severity)), '1 assets identified as affected'], CASE WHEN mitre THEN ['Attack techniques mapped to MITRE ATT&CK framework'] ELSE [] END, coalesce(noted, []))")
+REP = f"""g AS (SELECT user_id, arg_max(severity, timestamp) AS severity, count(*) AS n, count(*) FILTER (WHERE severity = 'critical') AS f, user_id % 2 = 0 AS mitre,
+ string_agg(concat('[', strftime(timestamp, '%Y-%m-%dT%H:%M:%S'), '] ', event_type, ': ', event_id), chr(10) ORDER BY timestamp, event_id) AS timeline,
+ list(concat('hit on ', url) ORDER BY timestamp, event_id) FILTER (WHERE severity = 'critical') AS noted, list(event_type ORDER BY timestamp, event_id) FILTER (WHERE severity = 'critical') AS kinds FROM ev GROUP BY user_id),
+ h AS (SELECT *, {ADVICE_SQL} AS advice, {POINTS_SQL} AS points, array_to_string(list_transform(noted, lambda x, i: concat(i, '. [CRITICAL] ', kinds[i], chr(10), '   ', x, chr(10))), chr(10)) AS found FROM g)"""
+NUMBERED = "array_to_string(list_transform(advice, lambda x, i: concat(i, '. ', x)), chr(10))"
+PASSAGES = {
+    "summary": "concat('This report documents a security incident classified as ', severity, ' severity. ', CASE WHEN f > 0 THEN concat('Analysis identified ', f, ' security findings. ') ELSE '' END, '1 assets were affected by this incident. The incident involved ', n, ' security events. ', "
+               "CASE WHEN mitre THEN 'MITRE ATT&CK techniques observed: T1110, T1071. ' ELSE '' END, 'Immediate remediation actions are recommended based on the findings.')",
+    "overview": "concat('Severity: ', upper(severity), chr(10), 'Affected Assets: 1', chr(10), 'Affected Users: 1', chr(10), 'Total Events: ', n)",
+    "timeline": "timeline", "findings": "found", "assets": "concat('- host-', user_id % 20)", "mitre": "concat('- T1110', chr(10), '- T1071')", "advice": NUMBERED,
+    "key_points": "array_to_string(list_transform(points, lambda x: concat('• ', x)), chr(10))",
+    "impact": "concat('Assets Affected: 1', chr(10), 'Users Affected: 1', chr(10), 'Business continuity assessment: Under evaluation')",
+    "risk": "concat('Current Risk Level: ', upper(severity), chr(10), 'Risk factors considered: Asset criticality, data sensitivity, threat actor capability')",
+    "iocs": "concat('Indicators of Compromise identified during analysis:', chr(10), '- See technical findings for detailed IoC list')",
+    "chain": "CASE WHEN mitre THEN 'Attack chain involved the following techniques: T1110, T1071' ELSE 'Attack chain analysis in progress.' END",
+    "methodology": "'" + R.METHODOLOGY + "'", "evidence": "concat('Evidence analyzed: ', n, ' events, ', f, ' findings')", "conclusions": "'" + R.CONCLUSIONS + "'",
+}
+NEEDS = {None: "true", "events": "true", "findings": "f > 0", "affected_assets": "true", "mitre_techniques": "mitre"}
+
+
+def sections_sql(kind: str) -> str:
+    """One row per section of every incident."""
+    return " UNION ALL ".join(
+        f"SELECT user_id, '{sid}' AS section_id, '{title}' AS title, {PASSAGES[passage]} AS content, {order} AS section_order FROM h WHERE {NEEDS[needs]}"
+        for order, (sid, title, passage, needs) in enumerate(R.SECTIONS[kind], 1))
+
+
+def _sections(kind):
+    return lambda spark, sf: R.report_sections(report_of(spark, sf), kind).select("incident_id", "section_id", "title", "section_order", "content")
+
+
+for _kind in R.SECTIONS:
+    query("report_sections" if _kind == "incident" else f"report_sections_{_kind}", f"WITH {EV}, {REP}, s AS ({sections_sql(_kind)}) SELECT user_id AS incident_id, section_id, title, section_order, content FROM s")(_sections(_kind))
+
+
+@query("report_recommendations", f"WITH {EV}, {REP} SELECT user_id AS incident_id, array_to_string(points, '|') AS key_findings, array_to_string(advice, '|') AS recommendations, concat('Technical Security Analysis - ', user_id) AS title, {PASSAGES['summary']} AS summary FROM h")
+def _(spark, sf):
+    return R.report_summaries(report_of(spark, sf), "technical").select("incident_id", F.array_join("key_findings", "|").alias("key_findings"), F.array_join("recommendations", "|").alias("recommendations"), "title", "summary")
+
+
+STAMP = "2024-02-01T00:00:00"
+RPT_ID = "concat('rpt_', substr(sha256(concat('{kind}|', user_id)), 1, 12))"
+
+
+def text_sql(kind: str, form: str) -> str:
+    """The whole text of every report, as markdown, plain text or JSON."""
+    rid, title = RPT_ID.format(kind=kind), f"concat('{R.TITLES[kind]} - ', user_id)"
+    nl, rule, line = "chr(10)", "repeat('-', 40)", "repeat('=', 60)"
+    if form == "json":
+        body = (f"to_json({{'metadata': {{'report_id': {rid}, 'report_type': '{kind}', 'title': {title}, 'generated_at': '{STAMP}', 'classification': 'CONFIDENTIAL', 'incident_id': cast(user_id AS varchar)}}, "
+                "'key_findings': points, 'sections': sections, 'recommendations': advice})")
+    else:
+        md = form == "markdown"
+        head = (lambda t: f"concat('## ', {t}, {nl}, {nl})") if md else (lambda t: f"concat({rule}, {nl}, upper({t}), {nl}, {rule}, {nl})")
+        top = (f"concat('# ', {title}, {nl}, {nl}, '---', {nl}, '**Report ID:** ', {rid}, {nl}, '**Generated:** {STAMP}', {nl}, '**Classification:** CONFIDENTIAL', {nl}, '**Incident ID:** ', user_id, {nl}, '---', {nl})" if md else
+               f"concat({line}, {nl}, upper({title}), {nl}, {line}, {nl}, {nl}, 'Report ID: ', {rid}, {nl}, 'Generated: {STAMP}', {nl}, 'Classification: CONFIDENTIAL', {nl}, 'Incident ID: ', user_id, {nl})")
+        mark = "- " if md else "* "
+        keys = f"concat({head(chr(39) + 'Key Findings' + chr(39))}, array_to_string(list_transform(points, lambda x: concat('{mark}', x)), {nl}), {nl})"
+        body_rows = f"array_to_string(list_transform(sections, lambda s: concat({head('s.title')}, s.content, {nl})), {nl})"
+        tail = f"concat({head(chr(39) + 'Recommendations' + chr(39))}, {NUMBERED}, {nl})"
+        body = f"concat_ws({nl}, {top}, {keys}, {body_rows}, {tail})"
+    return (f"WITH {EV}, {REP}, s AS ({sections_sql(kind)}), l AS (SELECT user_id, list({{'id': section_id, 'title': title, 'content': content, 'order': section_order}} ORDER BY section_order) AS sections FROM s GROUP BY user_id) "
+            f"SELECT h.user_id AS incident_id, {rid.replace('user_id', 'h.user_id')} AS report_id, content FROM h JOIN (SELECT user_id, cast({body} AS varchar) AS content FROM h JOIN l USING (user_id)) t ON h.user_id = t.user_id")
+
+
+def _texts(kind, form):
+    return lambda spark, sf: R.report_texts(report_of(spark, sf), kind, form, F.lit("2024-02-01 00:00:00").cast("timestamp")).select("incident_id", "report_id", "content")
+
+
+for _name, _kind, _form in (("report_texts", "executive", "markdown"), ("report_texts_json", "technical", "json"), ("report_texts_plain", "investigation", "text"), ("report_texts_incident", "incident", "markdown")):
+    query(_name, text_sql(_kind, _form))(_texts(_kind, _form))
 
 
 @query("severity_distribution", f"WITH {EV} SELECT severity, count(*) AS n, concat(printf('%.1f', round_even(count(*) / (SELECT count(*) FROM ev) * 100, 1)), '%') AS percentage FROM ev GROUP BY severity")

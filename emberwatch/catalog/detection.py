@@ -50,7 +50,7 @@ def regex_sql() -> str:
         fields = [(f, FIELD_SQL[f]) for f in r.fields if FIELD_SQL[f] != "NULL"]
         p = quoted(r.pattern)
         which = "CASE " + " ".join(f"WHEN regexp_matches({c}, {p}) THEN '{f}'" for f, c in fields) + " END"
-        text = "CASE " + " ".join(f"WHEN regexp_matches({c}, {p}) THEN substr(regexp_extract({c}, {p}, 0), 1, 256)" for f, c in fields) + " END"
+        text = "CASE " + " ".join(f"WHEN regexp_matches({c}, {p}) THEN regexp_extract({c}, {p}, 0)" for f, c in fields) + " END"
         parts.append(f"SELECT event_id, '{r.rule_id}' AS rule_id, '{r.severity}' AS severity, {which} AS matched_field, {text} AS matched_value FROM ev")
     return "rx AS (SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE matched_field IS NOT NULL)"
 

@@ -64,7 +64,7 @@ def alert_state(alerts: DataFrame, changes: DataFrame) -> DataFrame:
     return current_state(alerts, changes, "alert_id", ALERT_STATE)
 
 
-def list_alerts(alerts: DataFrame, status=None, severity=None, category=None, limit: int = 100, offset: int = 0) -> DataFrame:
+def list_alerts(alerts: DataFrame, status=None, severity=None, category=None, limit: int | None = None, offset: int = 0) -> DataFrame:
     order = [lookup("severity", ALERT_ORDER, 5), F.col("created_at").desc(), F.col("alert_id")]
     return page(alerts, order, limit, offset, status=status, severity=severity, category=category)
 
@@ -139,7 +139,7 @@ def incident_state(incidents: DataFrame, changes: DataFrame) -> DataFrame:
         "time_to_contain_minutes": minutes("contained_at"), "time_to_resolve_minutes": minutes("closed_at")})
 
 
-def list_incidents(incidents: DataFrame, status=None, severity=None, incident_type=None, owner=None, limit: int = 100, offset: int = 0) -> DataFrame:
+def list_incidents(incidents: DataFrame, status=None, severity=None, incident_type=None, owner=None, limit: int | None = None, offset: int = 0) -> DataFrame:
     order = [lookup("severity", INCIDENT_ORDER, 4), F.col("created_at").desc(), F.col("incident_id")]
     return page(incidents, order, limit, offset, status=status, severity=severity, incident_type=incident_type, owner=owner)
 

@@ -25,23 +25,23 @@ def current_state(initial: DataFrame, changes: DataFrame, key: str, columns: lis
     return out.drop("_at", *[f"_n_{c}" for c in columns])
 
 
-def page(df: DataFrame, order: list[Column], limit: int = 100, offset: int = 0, **equal) -> DataFrame:
-    """Filter by equality (None is no filter), order, skip, take."""
+def page(df: DataFrame, order: list[Column], limit: int | None = None, offset: int = 0, **equal) -> DataFrame:
+    """Filter by equality (None is no filter), order, skip, take. Without a limit all rows come."""
     for name, value in equal.items():
         if value is not None:
             df = df.filter(F.col(name) == value)
     df = df.orderBy(*order)
-    return (df.offset(offset) if offset else df).limit(limit)
+    df = df.offset(offset) if offset else df
+    return df if limit is None else df.limit(limit)
 
 
 def counts_by(df: DataFrame, *columns: str) -> DataFrame:
-    """(dimension, value, n): the total and one count per value of each column, in one pass."""
-    sets = [[c] for c in columns] + [[]]
-    grouped = df.groupingSets(sets, *columns).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_g"))
-    dims = {2 ** len(columns) - 1: "total"}
-    for i, c in enumerate(columns):
-        dims[(2 ** len(columns) - 1) & ~(1 << (len(columns) - 1 - i))] = c
-    dim = F.when(F.lit(False), F.lit(None).cast("string"))
-    for g, name in dims.items():
-        dim = dim.when(F.col("_g") == g, name)
-    return grouped.select(dim.alias("dimension"), F.coalesce(*[F.col(c).cast("string") for c in columns]).alias("value"), "n")
+    """(dimension, value, n): the total and one count per value of each column. The total is there for no rows too.
+
+    Rows are counted by all columns together, in one pass, and the few counts summed up per column.
+    """
+    each = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in columns])
+    by_value = each.select(F.explode(pairs).alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n")).select("p.dimension", "p.value", "n")
+    total = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit("total").alias("dimension"), F.lit(None).cast("string").alias("value"), "n")
+    return by_value.unionByName(total)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.severity import severity_rank
 from ..plans.blocked import running
 from ..session import cut_lineage
+from .changelog import page
 
 # Weights of the signals.
 WEIGHTS = {"shared_ip": 0.15, "shared_domain": 0.12, "shared_user": 0.15, "temporal_proximity": 0.08, "compatible_threat": 0.05}
@@ -234,5 +235,6 @@ def correlation_by_id(correlations: DataFrame, correlation_id: str) -> DataFrame
     return correlations.filter(F.col("correlation_id") == correlation_id)
 
 
-def recent_correlations(correlations: DataFrame, limit: int = 100) -> DataFrame:
-    return correlations.orderBy(F.col("time_window_end").desc(), "correlation_id").limit(limit)
+def recent_correlations(correlations: DataFrame, limit: int | None = None) -> DataFrame:
+    """Newest first."""
+    return page(correlations, [F.col("time_window_end").desc(), F.col("correlation_id")], limit)

@@ -70,7 +70,7 @@ def text_matches(events: DataFrame, rules: list[Rule]) -> DataFrame:
                 name, value = name.when(at == i, n), value.when(at == i, v)
             found = F.regexp_extract(value, rule.pattern, 0)
             start = F.regexp_instr(value, F.lit(rule.pattern)) - 1
-            build.append(F.when(at.isNotNull(), _match(order, name, F.substring(found, 1, 256), start, start + F.length(found))))
+            build.append(F.when(at.isNotNull(), _match(order, name, found, start, start + F.length(found))))
     if not build:
         return events.withColumn("_m", F.array().cast(f"array<{MATCH}>"))
     marked = once(once(events).withColumns(hits))

@@ -150,11 +150,11 @@ def auth_verdict(headers: Column | str, name: str) -> Column:
 
 
 def first_pattern(text: Column | str, patterns) -> Column:
-    """Text matched by the first pattern that hits, cut to 80 characters; null when none does."""
+    """Text matched by the first pattern that hits; null when none does."""
     text = as_col(text)
     out = F.when(F.lit(False), F.lit(None).cast("string"))
     for p in patterns:
-        out = out.when(text.rlike(p), F.substring(F.regexp_extract(text, p, 0), 1, 80))
+        out = out.when(text.rlike(p), F.regexp_extract(text, p, 0))
     return out
 
 
@@ -187,7 +187,7 @@ def indicators() -> Column:
     """All indicators of an analysed message, in check order."""
     single = lambda test, ind: F.filter(F.array(F.when(test, ind)), lambda x: x.isNotNull())
     per_url = F.flatten(F.transform("urls", lambda u: F.filter(F.array(
-        F.when(u["is_ip_based"], _ind("ip_based_url", "URL uses IP address instead of domain", "medium", "high", F.substring(u["url"], 1, 100), 0.15)),
+        F.when(u["is_ip_based"], _ind("ip_based_url", "URL uses IP address instead of domain", "medium", "high", u["url"], 0.15)),
         F.when(u["has_suspicious_tld"], _ind("suspicious_tld", "URL uses suspicious top-level domain", "low", "medium", u["domain"], 0.1)),
         F.when(u["subdomain_count"] > 3, _ind("excessive_subdomains", "URL has excessive subdomains", "low", "medium", u["domain"], 0.1)),
     ), lambda x: x.isNotNull())))
@@ -233,7 +233,7 @@ def email_findings(mails: DataFrame) -> DataFrame:
     total = F.aggregate("indicators", F.lit(0.0), lambda a, x: a + x["risk_contribution"])
     done = done.withColumn("risk_score", F.least(F.round(total, 10), F.lit(1.0))).withColumn("classification", classification())
     benign = F.col("classification") == "benign"
-    kinds = F.array_join(F.transform(F.slice("indicators", 1, 3), lambda x: F.replace(x["indicator_type"], F.lit("_"), F.lit(" "))), ", ")
+    kinds = F.array_join(F.transform("indicators", lambda x: F.replace(x["indicator_type"], F.lit("_"), F.lit(" "))), ", ")
     advice = F.when(benign, F.array().cast("array<string>"))
     for name, lines in CLASS_ADVICE.items():
         advice = advice.when(F.col("classification") == name, F.array(F.lit(FIRST_ADVICE), *[F.lit(x) for x in lines]))

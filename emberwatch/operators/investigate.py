@@ -179,11 +179,11 @@ def hypothesis_state(hypotheses: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def evidence_timeline(evidence: DataFrame) -> DataFrame:
-    """Evidence in time order with a one-line summary (``content`` is a string map)."""
+    """Evidence in time order with a summary (``content`` is a string map)."""
     get = lambda k, d: F.coalesce(F.try_element_at("content", F.lit(k)), F.lit(d))
     kind = F.col("evidence_type")
     summary = (
-        F.when(kind == "log_entry", F.substring(get("message", "Log entry"), 1, 100)).when(kind == "alert", get("alert_name", "Security alert"))
+        F.when(kind == "log_entry", get("message", "Log entry")).when(kind == "alert", get("alert_name", "Security alert"))
         .when(kind == "network_flow", F.concat(F.lit("Network flow "), get("source_ip", "?"), F.lit(" → "), get("dest_ip", "?")))
         .when(kind == "threat_intel", get("indicator", "Threat intel match")).otherwise(F.concat(kind, F.lit(" evidence"))))
     return evidence.select(KEY, "timestamp", kind.alias("type"), "source", summary.alias("summary"), "evidence_id").orderBy(KEY, "timestamp", "evidence_id")
@@ -206,8 +206,8 @@ def evidence_by_type(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy(KEY, "evidence_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def list_investigations(investigations: DataFrame, status=None, priority=None, limit: int = 100) -> DataFrame:
-    return page(investigations, [F.col("created_at").desc(), F.col(KEY)], limit, 0, status=status, priority=priority)
+def list_investigations(investigations: DataFrame, status=None, priority=None, limit: int | None = None, offset: int = 0) -> DataFrame:
+    return page(investigations, [F.col("created_at").desc(), F.col(KEY)], limit, offset, status=status, priority=priority)
 
 
 def investigation_counts(investigations: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .changelog import page
 from .parse import parse_payloads
 
 # Version of the common schema the event block follows.
@@ -143,8 +144,6 @@ def ingest_summary(ingested: DataFrame) -> DataFrame:
     )
 
 
-def query_dead_letters(letters: DataFrame, limit: int = 50, error_type: str | None = None) -> DataFrame:
-    """Newest first; at most 500 rows, as the report allows."""
-    if error_type:
-        letters = letters.filter(F.col("error_type") == error_type)
-    return letters.orderBy(F.col("timestamp").desc(), "dead_letter_id").limit(min(limit, 500))
+def query_dead_letters(letters: DataFrame, limit: int | None = None, error_type: str | None = None, offset: int = 0) -> DataFrame:
+    """Newest first."""
+    return page(letters, [F.col("timestamp").desc(), F.col("dead_letter_id")], limit, offset, error_type=error_type)

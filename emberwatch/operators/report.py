@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# How much of each list a report shows.
-TIMELINE_ROWS, FINDING_ROWS, ASSET_ROWS, KEY_FINDINGS, KEY_CHARS, ADVICE_ROWS = 20, 10, 20, 5, 100, 10
-
 # Titles and fixed passages.
 TITLES = {
     "incident": "Security Incident Report", "executive": "Executive Security Summary", "technical": "Technical Security Analysis",
@@ -36,18 +33,20 @@ GENERAL_ADVICE = (
 )
 
 
-def _first_rows(df: DataFrame, key: str, order: list[str], n: int, fields: list[str], name: str) -> DataFrame:
-    """The first n rows per key as an array, with the key's row count. The cut is made before the shuffle too."""
-    w = Window.partitionBy(key).orderBy(*order)
-    top = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
-    rows = top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_rn", *fields))).alias(name))
-    return rows.join(df.groupBy(key).agg(F.count(F.lit(1)).alias(f"{name}_count")), key)
+def _listed(df: DataFrame, key: str, order: list[str], rows: int | None, fields: list[str], name: str) -> DataFrame:
+    """The rows of a key as an array in order, with the key's row count. A text needs its rows together; ``rows`` bounds them before the shuffle."""
+    count = df.groupBy(key).agg(F.count(F.lit(1)).alias(f"{name}_count"))
+    if rows is not None:
+        df = df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("_rn") <= rows)
+    each = F.struct(F.struct(*order).alias("_at"), *[c for c in fields])
+    listed = df.groupBy(key).agg(F.array_sort(F.collect_list(each)).alias(name))
+    return listed.join(count, key)
 
 
-def report_data(incidents: DataFrame, events: DataFrame, findings: DataFrame, key: str = "incident_id") -> DataFrame:
-    """Incidents (id, severity, affected_assets, affected_users, mitre_techniques) with what their report shows."""
-    ev = _first_rows(events, key, ["timestamp", "event_id"], TIMELINE_ROWS, ["timestamp", "event_type", "event_id"], "events")
-    fi = _first_rows(findings, key, ["timestamp", "finding_id"], FINDING_ROWS, ["severity", "finding_type", "explanation"], "findings")
+def report_data(incidents: DataFrame, events: DataFrame, findings: DataFrame, key: str = "incident_id", timeline_rows: int | None = None, finding_rows: int | None = None) -> DataFrame:
+    """Incidents (id, severity, affected_assets, affected_users, mitre_techniques) with what their report shows: all, unless rows are bounded."""
+    ev = _listed(events, key, ["timestamp", "event_id"], timeline_rows, ["timestamp", "event_type", "event_id"], "events")
+    fi = _listed(findings, key, ["timestamp", "finding_id"], finding_rows, ["severity", "finding_type", "explanation"], "findings")
     return incidents.join(ev, key, "left").join(fi, key, "left").fillna(0, ["events_count", "findings_count"])
 
 
@@ -63,8 +62,7 @@ def recommendations() -> Column:
     none = F.array().cast("array<string>")
     maybe = lambda test, text: F.when(test, F.array(F.lit(text))).otherwise(none)
     start = F.when(F.lower("severity").isin("critical", "high"), _texts(URGENT_ADVICE)).otherwise(_texts(CALM_ADVICE))
-    every = F.concat(start, maybe(_has("affected_assets"), ASSET_ADVICE), maybe(_has("affected_users"), USER_ADVICE), maybe(_has("mitre_techniques"), MITRE_ADVICE), _texts(GENERAL_ADVICE))
-    return F.slice(every, 1, ADVICE_ROWS)
+    return F.concat(start, maybe(_has("affected_assets"), ASSET_ADVICE), maybe(_has("affected_users"), USER_ADVICE), maybe(_has("mitre_techniques"), MITRE_ADVICE), _texts(GENERAL_ADVICE))
 
 
 def summary() -> Column:
@@ -75,14 +73,14 @@ def summary() -> Column:
         F.when(F.col("findings_count") > 0, F.concat(F.lit("Analysis identified "), n("findings_count"), F.lit(" security findings."))),
         F.when(assets > 0, F.concat(assets.cast("string"), F.lit(" assets were affected by this incident."))),
         F.when(F.col("events_count") > 0, F.concat(F.lit("The incident involved "), n("events_count"), F.lit(" security events."))),
-        F.when(_has("mitre_techniques"), F.concat(F.lit("MITRE ATT&CK techniques observed: "), F.array_join(F.slice("mitre_techniques", 1, 3), ", "), F.lit("."))),
+        F.when(_has("mitre_techniques"), F.concat(F.lit("MITRE ATT&CK techniques observed: "), F.array_join("mitre_techniques", ", "), F.lit("."))),
         F.lit("Immediate remediation actions are recommended based on the findings."))
 
 
 def key_findings() -> Column:
     none = F.array().cast("array<string>")
-    noted = F.filter(F.transform(F.slice(F.coalesce("findings", F.array().cast("array<struct<_rn:int,severity:string,finding_type:string,explanation:string>>")), 1, KEY_FINDINGS),
-                                 lambda f: F.substring(f["explanation"], 1, KEY_CHARS)), lambda t: F.coalesce(t, F.lit("")) != "")
+    said = F.coalesce(F.transform("findings", lambda f: f["explanation"]), F.array().cast("array<string>"))
+    noted = F.filter(said, lambda t: F.coalesce(t, F.lit("")) != "")
     return F.concat(
         F.array(F.concat(F.lit("Incident severity: "), F.upper("severity"))),
         F.when(_has("affected_assets"), F.array(F.concat(F.size("affected_assets").cast("string"), F.lit(" assets identified as affected")))).otherwise(none),
@@ -105,7 +103,7 @@ def _passages() -> dict[str, Column]:
                              F.lit("\nTotal Events: "), F.col("events_count").cast("string")),
         "timeline": F.coalesce(F.nullif(lines, F.lit("")), F.lit("No timeline data available.")),
         "findings": F.coalesce(F.nullif(found, F.lit("")), F.lit("No findings to report.")),
-        "assets": F.array_join(F.transform(F.slice("affected_assets", 1, ASSET_ROWS), lambda a: F.concat(F.lit("- "), a)), "\n"),
+        "assets": F.array_join(F.transform("affected_assets", lambda a: F.concat(F.lit("- "), a)), "\n"),
         "mitre": F.array_join(F.transform("mitre_techniques", lambda t: F.concat(F.lit("- "), t)), "\n"),
         "advice": _numbered(recommendations()),
         "key_points": F.array_join(F.transform(key_findings(), lambda k: F.concat(F.lit("• "), k)), "\n"),
@@ -181,5 +179,5 @@ def report_texts(data: DataFrame, kind: str = "incident", form: str = "markdown"
 def severity_distribution(df: DataFrame, column: str = "severity") -> DataFrame:
     """Count and share in percent per level. The share is over the few grouped rows."""
     grouped = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    total = grouped.agg(F.sum("n").alias("t")).scalar()
+    total = F.sum("n").over(Window.partitionBy())
     return grouped.select(column, "n", F.format_string("%.1f%%", F.bround(F.col("n") / F.greatest(total, F.lit(1)) * 100, 1)).alias("percentage"))

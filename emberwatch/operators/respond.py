@@ -20,8 +20,6 @@ ACTIONS = {
     "reimage_host": ("recovery", "Reimage Affected Host", "standard", "manual", "host", 180),
     "restore_service": ("recovery", "Restore Network Access", "deferred", "approval_required", "network", 15),
 }
-# Most targets per action, as the plan allows them.
-MAX_HOSTS, MAX_DISABLED, MAX_RESETS, MAX_ADDRESSES, MAX_DOMAINS = 5, 5, 10, 10, 10
 
 
 def action_table(spark: SparkSession) -> DataFrame:
@@ -47,24 +45,26 @@ def _action(name: str, target: Column) -> Column:
 _TYPE = "array<struct<action:string,phase:string,title:string,urgency:string,automation_level:string,target_type:string,minutes:int,target:string>>"
 
 
-def plan_actions(incidents: DataFrame) -> DataFrame:
+def plan_actions(incidents: DataFrame, max_targets: int | None = None) -> DataFrame:
     """Adds ``actions``: containment, then eradication, then recovery, in order of execution.
 
     Needs threat_type, classification, severity and the arrays affected_hosts, affected_users,
-    malicious_ips, malicious_domains. One projection, no shuffle.
+    malicious_ips, malicious_domains. Every target gets its action, unless ``max_targets`` bounds
+    the targets of one action. One projection, no shuffle.
     """
     df = context_flags(incidents)
     none = F.array().cast(_TYPE)
-    each = lambda col, n, name: F.transform(F.slice(F.coalesce(col, F.array().cast("array<string>")), 1, n), lambda t: _action(name, t)).cast(_TYPE)
+    targets = lambda col: F.coalesce(col, F.array().cast("array<string>"))
+    each = lambda col, name: F.transform(targets(col) if max_targets is None else F.slice(targets(col), 1, max_targets), lambda t: _action(name, t)).cast(_TYPE)
     one = lambda name: F.array(_action(name, F.lit(""))).cast(_TYPE)
     when = lambda test, arr: F.when(test, arr).otherwise(none)
     c = F.col
     cls, threat, severity = F.lower(F.coalesce("classification", F.lit(""))), F.lower(F.coalesce("threat_type", F.lit(""))), F.lower("severity")
     return df.withColumn("actions", F.concat(
-        each("affected_hosts", MAX_HOSTS, "isolate_host"), when(c("has_credential_theft"), each("affected_users", MAX_DISABLED, "disable_user")),
-        when(c("has_c2"), each("malicious_ips", MAX_ADDRESSES, "block_ip")), each("malicious_domains", MAX_DOMAINS, "block_domain"),
+        each("affected_hosts", "isolate_host"), when(c("has_credential_theft"), each("affected_users", "disable_user")),
+        when(c("has_c2"), each("malicious_ips", "block_ip")), each("malicious_domains", "block_domain"),
         when(cls.contains("phishing"), one("quarantine_email")),
-        when(c("has_malware"), each("affected_hosts", MAX_HOSTS, "remove_malware")), each("affected_users", MAX_RESETS, "reset_credentials"),
+        when(c("has_malware"), each("affected_hosts", "remove_malware")), each("affected_users", "reset_credentials"),
         when(c("has_malware") | c("has_c2"), one("remove_persistence")), when(threat.contains("exploit"), one("patch_vulnerability")),
         when(severity.isin("critical", "high") | c("has_malware"), one("restore_backup")), when(cls.contains("ransomware"), one("reimage_host")), one("restore_service")))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.severity import lookup
-from .changelog import current_state
+from .changelog import current_state, page
 
 
 @dataclass
@@ -156,8 +156,8 @@ def tasks_to_retry(state: DataFrame) -> DataFrame:
     return state.filter(F.col("status") == "retrying")
 
 
-def tasks_by_status(state: DataFrame, agent_type: str, status: str, limit: int = 100) -> DataFrame:
-    return state.filter((F.col("agent_type") == agent_type) & (F.col("status") == status)).orderBy("created_at", "task_id").limit(limit)
+def tasks_by_status(state: DataFrame, agent_type: str, status: str, limit: int | None = None) -> DataFrame:
+    return page(state, [F.col("created_at"), F.col("task_id")], limit, agent_type=agent_type, status=status)
 
 
 def task_metrics(state: DataFrame) -> DataFrame:

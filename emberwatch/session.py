@@ -26,17 +26,18 @@ def build_session(app_name: str = "emberwatch", master: str | None = None, **ext
     return builder.getOrCreate()
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """Shared checkpoint folder named by the cluster, if any."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share, as ``spark.checkpoint.dir`` names it; iterative jobs need one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint where the cluster names a folder; otherwise the plan is left whole."""
+    """Reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     folder = checkpoint_dir(spark)
-    if not folder:
-        return df
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

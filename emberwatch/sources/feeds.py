@@ -44,14 +44,14 @@ def parse_feed(lines: DataFrame) -> DataFrame:
     return rows.filter(F.coalesce(valid, F.lit(False))).select(value.alias("value"), "kind", "category", "source")
 
 
-def read_ioc_feed(spark: SparkSession, path: str) -> DataFrame:
+def read_ioc_feed(spark: SparkSession, path: str, fallback: DataFrame | None = None) -> DataFrame:
     """Indicator files of a folder (or one file), the kind taken from the file name.
 
-    An empty result is replaced by the built-in sample; the test reads one row.
+    An empty feed stays empty, unless a ``fallback`` is given for it; that test reads one row.
     """
     lines = spark.read.text(path).select("value", F.input_file_name().alias("file"))
     feed = parse_feed(lines)
-    return sample_feed(spark) if feed.isEmpty() else feed
+    return fallback if fallback is not None and feed.isEmpty() else feed
 
 
 def add_indicators(feed: DataFrame, values: list[tuple]) -> DataFrame:
