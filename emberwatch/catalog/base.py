@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.bounds import before
 from ..plans.fence import once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,12 +79,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def canon(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Canonical security events of the whole events table, each column computed once."""
-    e = table(spark, sf_dir, "events").selectExpr("event_id", "cast(ts as timestamp) as timestamp", "user_id", "event_type as kind", "value", f"{K} as k")
+def canon(spark: SparkSession, sf_dir: str, *columns: str, since: Column | None = None) -> DataFrame:
+    """Canonical security events of the whole events table, or those from an instant on.
+
+    Named columns are computed once, for rules that look at them many times; without names the view
+    stays open to pruning and filters.
+    """
+    e = table(spark, sf_dir, "events")
+    if since is not None:
+        e = e.filter(F.col("ts") >= before(e, "ts", since))
+    e = e.selectExpr("event_id", "cast(ts as timestamp) as timestamp", "user_id", "event_type as kind", "value", f"{K} as k")
     e = e.selectExpr("*", *[f"{x} as {n}" for n, x in FIRST.items() if n != "event_type"], f"{FIRST['event_type']} as event_type")
     e = e.selectExpr("*", *[f"{x} as {n}" for n, x in SECOND.items()], "map('category', category) as metadata")
-    return once(e.select(*columns) if columns else e)
+    return once(e.select(*columns)) if columns else e
 
 
 #: columns the analyses read

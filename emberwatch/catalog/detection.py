@@ -21,7 +21,7 @@ FEED_SQL = """fd0(value, kind, category) AS (
 
 
 def feed_of(events: DataFrame) -> DataFrame:
-    """Indicators drawn from the events themselves in one pass, kept for the several look-ups (a handful of distinct values)."""
+    """Indicators drawn from the events themselves in one pass (a handful of distinct values)."""
     dst, dom, h = F.col("destination_ip"), F.col("domain"), F.lower("hash")
     row = lambda test, value, kind, cat: F.when(test, F.struct(value.alias("value"), F.lit(kind).alias("kind"), F.lit(cat).alias("category"), F.lit("t").alias("source")))
     rows = F.array(
@@ -29,7 +29,7 @@ def feed_of(events: DataFrame) -> DataFrame:
         row(dst.startswith("198.51.100."), F.lit("198.51.100.32/28"), "ip", "range"), row(dom == "c2-beacon.example.net", dom, "domain", "name"),
         row(dom.endswith(".fake-bank-login.xyz"), F.lit("fake-bank-login.xyz"), "domain", "parent"),
         row(h.isin("44d88612fea8a8f36de82e1278abb02f", "d41d8cd98f00b204e9800998ecf8427e"), h, "hash", "file"))
-    return events.select("destination_ip", "domain", "hash").select(F.explode(rows).alias("r")).filter(F.col("r").isNotNull()).select("r.*").distinct().persist()
+    return events.select("destination_ip", "domain", "hash").select(F.explode(rows).alias("r")).filter(F.col("r").isNotNull()).select("r.*").distinct()
 
 
 def quoted(p: str) -> str:

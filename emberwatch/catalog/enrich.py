@@ -179,6 +179,11 @@ def _now():
     return F.lit("2024-01-31 00:00:00").cast("timestamp")
 
 
+def _since():
+    """Start of the correlation window, for the scan."""
+    return _now() - F.make_dt_interval(secs=F.lit(WIN).cast("decimal(18,6)"))
+
+
 def _entity_sql(kind: str, key: str, partner: str) -> str:
     return f"""SELECT 'same_{kind}' AS correlation_type, {key} AS entity, CASE WHEN max({rank()}) >= 4 THEN 'critical' WHEN max({rank()}) = 3 THEN 'high' WHEN count(*) > 10 THEN 'high' WHEN count(*) > 5 THEN 'medium' ELSE 'low' END AS severity,
  count(*) AS event_count, {f'count(DISTINCT {partner})' if partner else '0'} AS unique_partners, round((epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 1e6, 6) AS time_span_sec FROM ev
@@ -189,7 +194,7 @@ for _kind, _key, _partner in (("source", "source_ip", "destination_ip"), ("targe
 
     @query(f"correlate_same_{_kind}", f"WITH {EV} {_entity_sql(_kind, _key, _partner)}")
     def _(spark, sf, kind=_kind):
-        return C.entity_correlation(canon(spark, sf, *CHAIN_COLUMNS), kind, _now(), 5, WIN).select("correlation_type", "entity", "severity", "event_count", "unique_partners", "time_span_sec")
+        return C.entity_correlation(canon(spark, sf, *CHAIN_COLUMNS, since=_since()), kind, _now(), 5, WIN).select("correlation_type", "entity", "severity", "event_count", "unique_partners", "time_span_sec")
 
 
 @query("primary_correlation", f"""WITH {EV}, {CHAIN}, u AS (SELECT 0 AS p, 0 AS r, 0 AS n, concat('corr_chain_', username) AS finding_id, 'attack_chain' AS correlation_type FROM ch

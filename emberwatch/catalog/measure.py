@@ -23,7 +23,7 @@ def _(spark, sf):
 
 @query("events_per_second", "SELECT round_even(count(*) / 5.0::double, 2) AS events_per_second FROM events WHERE ts BETWEEN timestamp '2024-01-20 12:00:00' - INTERVAL '1 hour' AND timestamp '2024-01-20 12:00:00'".replace("5.0", "3600.0"))
 def _(spark, sf):
-    return M.events_per_second(table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("timestamp")), _now(), window_sec=3600)
+    return M.events_per_second(table(spark, sf, "events"), _now(), "ts", window_sec=3600)
 
 
 NTH = "max(CASE WHEN rn = least(cast(floor(n * {p}) AS bigint), n - 1) + 1 THEN v END)"
@@ -57,8 +57,7 @@ def _(spark, sf):
 
 @query("recent_error_rate", "SELECT count(*) AS samples, round(count(*) FILTER (WHERE event_type = 'error') / count(*)::double, 6) AS error_rate FROM events WHERE ts > timestamp '2024-01-20 12:00:00' - INTERVAL '86400 seconds'")
 def _(spark, sf):
-    e = table(spark, sf, "events").withColumn("timestamp", F.col("ts").cast("timestamp"))
-    return M.recent_error_rate(e, _now(), F.col("event_type") == "error", window_sec=86400)
+    return M.recent_error_rate(table(spark, sf, "events"), _now(), F.col("event_type") == "error", "ts", window_sec=86400)
 
 
 @query("mean_throughput", "SELECT round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 6) AS ops_per_second FROM events")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.severity import LEVELS, as_col, severity_rank
+from ..plans.bounds import before
 
 # Attack stages in order.
 STAGES = (
@@ -59,7 +60,7 @@ def findings_as_events(findings: DataFrame) -> DataFrame:
 
 
 def _recent(events: DataFrame, as_of: Column, window_sec: int) -> DataFrame:
-    return events.filter((F.unix_micros("timestamp") >= F.unix_micros(as_of) - window_sec * 1_000_000))
+    return events.filter(F.col("timestamp") >= before(events, "timestamp", as_of, window_sec))
 
 
 def entity_correlation(events: DataFrame, kind: str, as_of: Column, threshold: int = ENTITY_EVENTS, window_sec: int = ENTITY_WINDOW_SEC) -> DataFrame:

@@ -1,9 +1,9 @@
 """Indicator lookups against a feed (DET-10 … DET-16).
 
 Every event yields a few lookup keys: the address itself and its masked forms, a domain with its
-parent names, a hash, a link's host. One equi-join against the feed finds all hits. A feed
-whose key count is checked to be small is broadcast; a larger one is shuffled, with skewed keys
-split by the adaptive join.
+parent names, a hash, a link's host. One equi-join against the feed finds all hits. The adaptive
+join knows the bytes of both sides: it sends a small feed to all tasks, and splits skewed keys of a
+large one.
 """
 
 from __future__ import annotations
@@ -86,11 +86,7 @@ def lookup_keys(value: Column, ioc_type: str, widths: Column | None = None) -> C
 _KEYS = "array<struct<key_kind:string,key:string>>"
 
 
-#: most feed keys sent to every task (about 100 bytes each); a larger feed is joined by shuffling
-BROADCAST_ROWS = 200_000
-
-
-def match_indicators(events: DataFrame, feed: DataFrame, rules: list[Rule], carry: tuple = (), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def match_indicators(events: DataFrame, feed: DataFrame, rules: list[Rule], carry: tuple = ()) -> DataFrame:
     """(event_id, rule_id, matched_field, matched_value, ioc_type, ioc_category, ioc_source), one row per event and rule.
 
     Only the event id, the looked-up texts and the ``carry`` columns travel; most rows find nothing and end at the join.
@@ -117,9 +113,6 @@ def match_indicators(events: DataFrame, feed: DataFrame, rules: list[Rule], carr
     looked = events.select("event_id", F.struct(*carry).alias("_c") if carry else F.lit(None).alias("_c"), F.explode(F.array(*tries)).alias("t")).select("event_id", "_c", "t.*")
     looked = looked.select("event_id", "_c", "rule_id", "ioc_type", "position", "matched_field", "matched_value", F.explode("keys").alias("k"))
     keys = feed_keys(feed)
-    # a small feed goes to the tasks whole; the check reads at most one row more than the limit
-    if keys.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        keys = F.broadcast(keys)
     hits = looked.join(keys, (F.col("k.key_kind") == F.col("key_kind")) & (F.col("k.key") == F.col("key")))
     first = hits.groupBy("event_id", "rule_id").agg(
         F.min_by(F.struct("matched_field", "matched_value", "ioc_type", "_c"), F.col("position")).alias("m"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.severity import as_col, lookup
+from ..plans.bounds import before
 
 # Sample provider rows: indicator, kind, reputation, tags, malware families.
 SAMPLE_PROVIDER = (
@@ -160,7 +161,7 @@ def enrich_events(events: DataFrame, provider_rows: DataFrame, providers: list[s
 def stale_indicators(wanted: DataFrame, known: DataFrame, ttl_seconds: int = 3600, as_of: Column | None = None) -> DataFrame:
     """Indicators whose last result is missing or older than the time to live."""
     now = F.current_timestamp() if as_of is None else as_of
-    fresh = known.filter(F.unix_micros(now) - F.unix_micros("retrieval_time") <= ttl_seconds * 1_000_000)
+    fresh = known.filter(F.col("retrieval_time") >= before(known, "retrieval_time", now, ttl_seconds))
     fresh = fresh.select(F.col("indicator_type").alias("_t"), F.lower("indicator").alias("_v")).distinct()
     return wanted.join(fresh, (F.col("indicator_type") == F.col("_t")) & (F.lower("indicator") == F.col("_v")), "left_anti")
 

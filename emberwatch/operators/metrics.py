@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.blocked import sliding_sums
+from ..plans.bounds import before
 from .changelog import counts_by
 
 # Upper bounds of the latency histogram, seconds.
 LATENCY_BOUNDS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0)
+#: bins of one pass of the order statistics
+BINS = 4096
 EPS_WINDOW_SEC, ERROR_WINDOW_SEC, LATENCY_SAMPLES = 5, 60, 1000
 
 
@@ -25,9 +30,9 @@ def ingest_snapshot(ingested: DataFrame) -> DataFrame:
 
 
 def events_per_second(events: DataFrame, as_of: Column, ts: str = "timestamp", window_sec: int = EPS_WINDOW_SEC) -> DataFrame:
-    """Rate over the window that ends at ``as_of``; the filter reaches the scan."""
-    age = F.unix_micros(as_of) - F.unix_micros(ts)
-    return events.filter(age.between(0, window_sec * 1_000_000)).agg(F.bround(F.count(F.lit(1)) / float(window_sec), 2).alias("events_per_second"))
+    """Rate over the window that ends at ``as_of``; the bounds reach the scan."""
+    recent = events.filter(F.col(ts).between(before(events, ts, as_of, window_sec), before(events, ts, as_of)))
+    return recent.agg(F.bround(F.count(F.lit(1)) / float(window_sec), 2).alias("events_per_second"))
 
 
 def throughput_windows(events: DataFrame, ts: str = "timestamp", window_sec: int = EPS_WINDOW_SEC) -> DataFrame:
@@ -39,32 +44,45 @@ def throughput_windows(events: DataFrame, ts: str = "timestamp", window_sec: int
 def order_statistics(df: DataFrame, value: str, shares: dict[str, float], accuracy: int = 10_000) -> DataFrame:
     """Exact nearest-rank statistics ``sorted[min(int(n * p), n - 1)]``, one row.
 
-    A sketch gives a bracket that surely holds each rank; only the values inside the brackets are
-    counted and ranked, a few ten-thousandths of the data. No global sort.
+    A sketch brackets each rank. A bracket is then counted in ``BINS`` equal bins, combined before the
+    shuffle, and narrowed to the least and greatest value of the bin that holds the rank, until these
+    are one value. Nothing is sorted, and a pass brings back one row per bin that has rows.
     """
-    names = list(shares)
-    v = F.col(value).cast("double")
+    base = df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
     eps = 3.0 / accuracy
-    ends = [max(p - eps, 0.0) for p in shares.values()] + [min(p + eps, 1.0) for p in shares.values()]
-    base = df.filter(v.isNotNull()).select(v.alias("_v"))
-    frame = base.agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"),
-                     F.percentile_approx("_v", F.array(*[F.lit(e) for e in ends]), F.lit(accuracy)).alias("b"))
-    k = len(names)
-    marks = frame.select("n", F.array(*[
-        F.struct(F.lit(i).alias("i"), F.when(F.lit(ends[i] == 0.0), F.col("lo")).otherwise(F.get("b", F.lit(i))).alias("from"),
-                 F.when(F.lit(ends[k + i] == 1.0), F.col("hi")).otherwise(F.get("b", F.lit(k + i))).alias("to"),
-                 F.least(F.floor(F.col("n") * F.lit(p)), F.col("n") - 1).alias("rank")) for i, p in enumerate(shares.values())]).alias("m"))
-    tagged = base.withColumn("_m", marks.select("m").scalar())
-    # below the bracket: only a count; inside: the values with their counts
-    spread = tagged.select("_v", F.explode(F.filter("_m", lambda m: F.col("_v") <= m["to"])).alias("m"))
-    inside = F.when(F.col("_v") >= F.col("m.from"), F.col("_v"))
-    counted = spread.groupBy(F.col("m.i").alias("i"), F.col("m.rank").alias("rank"), inside.alias("x")).agg(F.count(F.lit(1)).alias("c"))
-    from pyspark.sql import Window
-
-    upto = Window.partitionBy("i").orderBy(F.col("x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counted.withColumn("_upto", F.sum("c").over(upto))
-    hit = placed.filter(F.col("x").isNotNull() & (F.col("_upto") > F.col("rank")) & (F.col("_upto") - F.col("c") <= F.col("rank")))
-    return hit.agg(*[F.max(F.when(F.col("i") == i, F.col("x"))).alias(name) for i, name in enumerate(names)])
+    ends = [F.percentile_approx("v", F.array(*[F.lit(min(max(p + s * eps, 0.0), 1.0)) for p in shares.values()]), F.lit(accuracy)) for s in (-1, 1)]
+    frame = base.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), ends[0].alias("from"), ends[1].alias("to")).first()
+    n = frame["n"]
+    # per share: rank, bracket, rows known to lie below it (None: not counted yet)
+    open_, done = {}, dict.fromkeys(shares)
+    for i, (name, p) in enumerate(shares.items()):
+        if n:
+            lo = frame["lo"] if p - eps <= 0 else frame["from"][i]
+            hi = frame["hi"] if p + eps >= 1 else frame["to"][i]
+            open_[name] = (min(math.floor(n * p), n - 1), lo, hi, None)
+    while open_:
+        marks = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for name, (_, lo, hi, _) in open_.items()])
+        spread = base.select("v", F.explode(F.filter(marks, lambda m: F.col("v") <= m["hi"])).alias("m"))
+        place = F.floor((F.col("v") - F.col("m.lo")) / (F.col("m.hi") - F.col("m.lo")) * BINS)
+        place = F.when(F.col("v") < F.col("m.lo"), -1).when(F.col("m.hi") > F.col("m.lo"), F.least(F.greatest(place, F.lit(0)), F.lit(BINS))).otherwise(0)
+        counted = spread.groupBy(F.col("m.name").alias("name"), place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        bins = sorted(counted.collect(), key=lambda r: (r["name"], r["bin"]))  # BINS + 2 rows a share at most
+        for name, (rank, lo, hi, _) in list(open_.items()):
+            seen = 0
+            for r in (r for r in bins if r["name"] == name):
+                if seen + r["c"] > rank:
+                    if r["bin"] < 0:  # the sketch was off: the rank lies below the bracket
+                        open_[name] = (rank, frame["lo"], r["hi"], None)
+                    elif r["lo"] == r["hi"] or (r["lo"], r["hi"]) == (lo, hi) and not r["hi"] - r["lo"] < float("inf"):
+                        done[name] = r["lo"]
+                        del open_[name]
+                    else:
+                        open_[name] = (rank, r["lo"], r["hi"], seen)
+                    break
+                seen += r["c"]
+            else:  # or above it
+                open_[name] = (rank, lo, frame["hi"], None)
+    return df.sparkSession.range(1).select(*[F.lit(v).cast("double").alias(name) for name, v in done.items()])
 
 
 def _joined(one: DataFrame, other: DataFrame, names: list[str]) -> DataFrame:
@@ -102,7 +120,7 @@ def performance_profile(df: DataFrame, value: str, duration_seconds: float, is_e
 
 
 def recent_error_rate(df: DataFrame, as_of: Column, is_error: Column, ts: str = "timestamp", window_sec: int = ERROR_WINDOW_SEC) -> DataFrame:
-    recent = df.filter(F.unix_micros(ts) > F.unix_micros(as_of) - window_sec * 1_000_000)
+    recent = df.filter(F.col(ts) > before(df, ts, as_of, window_sec))
     n = F.count(F.lit(1))
     return recent.agg(n.alias("samples"), F.coalesce(F.count_if(is_error) / F.nullif(n, F.lit(0)), F.lit(0.0)).alias("error_rate"))
 

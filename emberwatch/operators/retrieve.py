@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +39,8 @@ PLAYBOOKS = (
                               "Prepare breach notification if required", "Remediate vulnerabilities", "Implement additional monitoring")),
 )
 
-#: queries handled per pass over the chunks; more queries mean more passes
-QUERIES_PER_PASS = 2048
+#: vectors in a packed block of queries, and of chunks
+QUERY_BLOCK, CHUNK_BLOCK = 2048, 4096
 
 
 def chunk_texts(text: Column | str, size: int = CHUNK_CHARS) -> Column:
@@ -127,53 +128,62 @@ def load_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _pass(vectors: list, ids: list, chunks: DataFrame, key: str, column: str, k: int, query_type: str) -> DataFrame:
-    matrix = np.asarray(vectors, dtype=np.float64)
-    names = np.asarray(ids, dtype=object)
-    key_type = chunks.schema[key].dataType.simpleString()
+def _blocks(df: DataFrame, key: str, column: str, rows: int | None) -> DataFrame:
+    """Keys and vectors of each partition in packed blocks of ``rows`` (one block a partition if None): block, keys, vectors."""
+
+    def pack(frames):
+        at, keys, vectors = TaskContext.get().partitionId(), [], []
+
+        def block():
+            return pd.DataFrame({"block": [at], "keys": [list(keys)], "vectors": [np.asarray(vectors, dtype=np.float64).tobytes()]})
 
-    def nearest(frames):
-        """Best k of this partition per query: the only rows that leave it."""
-        best_s = np.full((len(names), 0), 0.0)
-        best_k = np.empty((len(names), 0), dtype=object)
         for frame in frames:
-            if not len(frame):
-                continue
-            scores = matrix @ np.asarray(frame[column].tolist(), dtype=np.float64).T
-            keys = np.broadcast_to(frame[key].to_numpy(dtype=object), scores.shape)
-            best_s, best_k = np.hstack([best_s, scores]), np.hstack([best_k, keys])
-            if best_s.shape[1] > k:
-                # equal scores: the smaller key first
-                order = np.stack([np.lexsort((best_k[i], -np.round(best_s[i], 9)))[:k] for i in range(len(names))])
-                best_s, best_k = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_k, order, 1)
-        n = best_s.shape[1]
-        if n:
-            yield pd.DataFrame({"query_id": np.repeat(names, n), key: best_k.reshape(-1), "score": best_s.reshape(-1)})
-
-    return chunks.select(key, column).mapInPandas(nearest, schema=f"query_id {query_type}, {key} {key_type}, score double")
+            for k, v in zip(frame[key], frame[column]):
+                keys.append(k)
+                vectors.append(v)
+                if rows and len(keys) == rows:
+                    yield block()
+                    keys, vectors = [], []
+        if keys:
+            yield block()
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, column).mapInPandas(pack, f"block int, keys array<{kind}>, vectors binary")
 
 
 def top_k(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "query_id", key: str = "chunk_id", column: str = "embedding") -> DataFrame:
     """k best chunks per query by inner product, exact.
 
-    Queries come to the driver in slices of fixed length and travel with the tasks; each task keeps
-    k rows per query, so the shuffle carries k rows per query and task, never the pairs.
+    Query blocks and chunk blocks meet in an equi-join on the query block's number (and a second
+    number that deals the chunk blocks of one query block to many tasks). A pair of blocks is one
+    matrix product, of which k rows per query go on. Vectors never pass through the driver.
     """
-    query_type = queries.schema[query_id].dataType.simpleString()
-    parts, ids, vectors = [], [], []
-    for row in queries.select(query_id, column).toLocalIterator():
-        ids.append(row[0])
-        vectors.append(row[1])
-        if len(ids) == QUERIES_PER_PASS:
-            parts.append(_pass(vectors, ids, chunks, key, column, k, query_type))
-            ids, vectors = [], []
-    if ids or not parts:
-        parts.append(_pass(vectors or [[0.0] * DIM], ids or [None], chunks, key, column, k, query_type).filter(F.col("query_id").isNotNull()))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), key)
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    query_type, key_type = queries.schema[query_id].dataType.simpleString(), chunks.schema[key].dataType.simpleString()
+    n = max(1, -(-queries.count() // QUERY_BLOCK))
+    ways = max(1, queries.sparkSession.sparkContext.defaultParallelism)
+    asked = _blocks(queries.select(F.col(query_id).alias("query_id"), column).repartition(n), "query_id", column, None).select(
+        F.col("block").alias("q"), F.col("keys").alias("ids"), F.col("vectors").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(ways - 1))).alias("part"))
+    held = _blocks(chunks, key, column, CHUNK_BLOCK).select(
+        "keys", "vectors", F.pmod(F.xxhash64("block", "keys"), F.lit(ways)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("q"))
+
+    def nearest(frames):
+        for frame in frames:
+            for keys, vectors, ids, wanted in zip(frame["keys"], frame["vectors"], frame["ids"], frame["asked"]):
+                matrix = np.frombuffer(wanted).reshape(len(ids), -1)
+                scores = np.round(matrix @ np.frombuffer(vectors).reshape(len(keys), -1).T, 9)
+                names = np.asarray(keys)
+                # equal scores: the smaller key first; the cut keeps all that share the k-th score
+                by_key = np.argsort(names, kind="stable")
+                names, scores = names[by_key], scores[:, by_key]
+                least = np.partition(scores, -k, axis=1)[:, -k] if len(names) > k else np.full(len(ids), -np.inf)
+                for i, query in enumerate(ids):
+                    at = np.flatnonzero(scores[i] >= least[i])
+                    at = at[np.argsort(-scores[i, at], kind="stable")[:k]]
+                    yield pd.DataFrame({"query_id": query, key: names[at], "score": scores[i, at]})
+
+    best = held.join(asked, ["q", "part"]).mapInPandas(nearest, f"query_id {query_type}, {key} {key_type}, score double")
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), key)
+    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, min_similarity: float = MIN_SIMILARITY, source_type: str | None = None, text: str = "query_text") -> DataFrame:
@@ -184,7 +194,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, min_similari
     rows = found.drop("rank").join(distinct.drop("embedding"), "chunk_id")
     if source_type is not None:
         rows = rows.filter(F.col("source_type") == source_type)
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id")
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 

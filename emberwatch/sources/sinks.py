@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.bounds import before
+
 
 def stored_form(events: DataFrame) -> DataFrame:
     """Event rows as stored: plain text payloads wrapped as JSON, metadata as JSON text."""
@@ -59,5 +61,5 @@ def fan_out(tasks: DataFrame, path: str) -> None:
 def recent_events(events: DataFrame, as_of: Column | None = None, ttl_seconds: int = 3600) -> DataFrame:
     """Six columns of the events ingested within the time to live."""
     now = F.current_timestamp() if as_of is None else as_of
-    age = F.unix_micros(now) - F.unix_micros("ingestion_timestamp")
-    return events.filter(age.between(0, ttl_seconds * 1_000_000)).select("event_id", "timestamp", "source", "source_type", "event_type", "severity")
+    at = "ingestion_timestamp"
+    return events.filter(F.col(at).between(before(events, at, now, ttl_seconds), before(events, at, now))).select("event_id", "timestamp", "source", "source_type", "event_type", "severity")

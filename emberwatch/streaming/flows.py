@@ -25,11 +25,11 @@ def _start(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint
 
 
 def _high_water(spark: SparkSession, path: str, batch_id: int):
-    """Largest event time of the batches before this one; none at the start."""
-    try:
-        seen = spark.read.parquet(path)
-    except Exception:
+    """Largest event time of the batches before this one; none at the start. Marks that cannot be read are an error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return None
+    seen = spark.read.schema("high timestamp, ingest_batch long").parquet(path)
     return seen.filter(F.col("ingest_batch") < batch_id).agg(F.max("high").alias("h")).first()[0]
 
 
