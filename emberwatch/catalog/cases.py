@@ -112,6 +112,47 @@ def _(spark, sf):
     return C.list_incidents(incidents(spark, sf), incident_type="phishing").select("incident_id", "severity")
 
 
+ENTRY = "concat('{p}', substr(sha256(concat_ws('|', {cols})), 1, 8))"
+INC_AT = "strftime(timestamp, '%Y-%m-%d %H:%M:%S')"
+
+
+def entries(spark, sf) -> DataFrame:
+    """Entries by event: two of three of known incidents, the rest of unknown ones; times in whole seconds."""
+    rows = canon(spark, sf).select("event_id", "k", "username", "event_type", F.date_trunc("second", "timestamp").alias("at"), F.concat(F.lit("INC-"), F.upper(F.substring(F.sha2(F.col("event_id").cast("string"), 256), 1, 8))).alias("known"))
+    return rows.withColumn("incident_id", F.when(F.col("k") % 3 < 2, F.col("known")).otherwise("INC-NONE"))
+
+
+EN = f"{{EV}}, en AS (SELECT *, concat('INC-', upper(substr(sha256(cast(event_id AS string)), 1, 8))) AS incident_id, {INC_AT} AS at_s FROM ev WHERE k % 3 < 2)"
+
+
+@query("incident_comments", f"WITH {EN.format(EV=EV)} SELECT {ENTRY.format(p='cmt_', cols='incident_id, username, event_type, at_s')} AS comment_id, incident_id, username AS author, event_type AS content, k % 2 = 0 AS is_internal FROM en")
+def _(spark, sf):
+    rows = entries(spark, sf).select("incident_id", F.col("username").alias("author"), F.col("event_type").alias("content"), F.col("at").alias("created_at"), (F.col("k") % 2 == 0).alias("is_internal"))
+    return C.incident_comments(rows, incidents(spark, sf)).select("comment_id", "incident_id", "author", "content", "is_internal")
+
+
+@query("incident_tasks", f"WITH {EN.format(EV=EV)} SELECT {ENTRY.format(p='itask_', cols='incident_id, event_type, at_s')} AS task_id, incident_id, event_type AS title, username AS assigned_to, CASE WHEN k % 4 = 0 THEN 'completed' ELSE 'pending' END AS status, CASE WHEN k % 4 = 0 THEN epoch_us(date_trunc('second', timestamp)) + 60000000 END AS completed_at FROM en")
+def _(spark, sf):
+    rows = entries(spark, sf)
+    made = rows.select("incident_id", F.col("event_type").alias("title"), F.col("username").alias("assigned_to"), F.col("at").alias("created_at"))
+    ids = C.incident_tasks(made, incidents(spark, sf)).join(rows.select("incident_id", "k", "at"), "incident_id")
+    done = ids.filter("k % 4 = 0").select("task_id", (F.col("at") + F.expr("interval 60 seconds")).alias("completed_at"))
+    return C.incident_tasks(made, incidents(spark, sf), done).select("task_id", "incident_id", "title", "assigned_to", "status", "completed_at")
+
+
+@query("incident_artifacts", f"WITH {EN.format(EV=EV)} SELECT {ENTRY.format(p='art_', cols='incident_id, event_type, at_s')} AS artifact_id, incident_id, event_type AS name, 'log' AS artifact_type, username AS uploaded_by, lower(hash) AS hash_sha256, bytes_out AS size_bytes FROM en")
+def _(spark, sf):
+    more = canon(spark, sf).select("event_id", "hash", "bytes_out")
+    rows = entries(spark, sf).join(more, "event_id").select("incident_id", F.col("event_type").alias("name"), F.lit("log").alias("artifact_type"), F.col("username").alias("uploaded_by"), F.col("at").alias("uploaded_at"), F.lower("hash").alias("hash_sha256"), F.col("bytes_out").alias("size_bytes"))
+    return C.incident_artifacts(rows, incidents(spark, sf)).select("artifact_id", "incident_id", "name", "artifact_type", "uploaded_by", "hash_sha256", "size_bytes")
+
+
+@query("incident_touched", f"WITH {EV}, {IN} SELECT incident_id, CASE WHEN k % 3 < 2 THEN epoch_us(date_trunc('second', timestamp)) + 3600000000 ELSE epoch_us(timestamp) END AS updated_at FROM ic")
+def _(spark, sf):
+    late = entries(spark, sf).select("incident_id", (F.col("at") + F.expr("interval 1 hour")).alias("created_at"))
+    return C.touched(incidents(spark, sf), (late, "created_at")).select("incident_id", "updated_at")
+
+
 @query("incident_metrics", f"""WITH {EV}, {IN} SELECT count(*) AS total_incidents, count(*) FILTER (WHERE status <> 'closed') AS open_incidents, count(*) FILTER (WHERE status = 'closed') AS closed_incidents, round(avg(nullif(ttd, 0)), 6) AS avg_time_to_detect_min,
  round(avg(nullif(ttc, 0)), 6) AS avg_time_to_contain_min, round(avg(nullif(ttr, 0)), 6) AS avg_time_to_resolve_min, round(avg(nullif(ttr, 0)), 6) AS mttr_minutes FROM st""")
 def _(spark, sf):

@@ -98,6 +98,26 @@ def _(spark, sf):
     return D.detect(canon(spark, sf, *RULES), None, [rule]).select("event_id", "rule_id", "severity")
 
 
+# all six modifiers, and negated conditions
+MODIFIERS = {
+    "contains": ("url", "contains", ("ADMIN",), "contains(lower(url), 'admin')"), "startswith": ("username", "startswith", ("USER_2",), "starts_with(lower(username), 'user_2')"),
+    "endswith": ("hostname", "endswith", ("-7",), "suffix(lower(hostname), '-7')"), "regex": ("url", "regex", ("q=[0-9]",), "regexp_matches(url, '(?i)q=[0-9]')"),
+    "equals": ("status", "equals", ("DENIED",), "lower(status) = 'denied'"), "equals_exact": ("status", "equals_exact", ("denied", "DENIED"), "(status = 'denied' OR status = 'DENIED')"),
+}
+
+
+@query("detect_modifiers", f"WITH {EV} " + " UNION ALL ".join(f"SELECT event_id, '{name}' AS rule_id FROM ev WHERE {sql}" for name, (_, _, _, sql) in MODIFIERS.items()))
+def _(spark, sf):
+    rules = [R.Rule(name, name, "sigma", "low", conditions=(R.Condition(field, patterns, modifier),)) for name, (field, modifier, patterns, _) in MODIFIERS.items()]
+    return D.detect(canon(spark, sf, *RULES), None, rules).select("event_id", "rule_id")
+
+
+@query("detect_negated", f"WITH {EV} SELECT event_id, CASE WHEN contains(lower(url), 'login') THEN 'login' ELSE 'or' END AS matched_value FROM ev WHERE (contains(lower(url), 'login') OR contains(lower(url), 'or')) AND NOT (contains(lower(url), 'login') AND contains(lower(url), 'or'))")
+def _(spark, sf):
+    rule = R.Rule("negated", "negated", "sigma", "low", conditions=(R.Condition("url", ("login", "or"), "contains", True, True),))
+    return D.detect(canon(spark, sf, *RULES), None, [rule]).select("event_id", "matched_value")
+
+
 @query("detect_indicators", f"WITH {EV}, {IOC_SQL} SELECT event_id, rule_id, severity, matched_field, matched_value, ioc_type, (SELECT max(category) FROM fd0 WHERE fd0.value = CASE WHEN ioc_type = 'ip' THEN matched_value ELSE lower(matched_value) END) AS ioc_category FROM ic")
 def _(spark, sf):
     ev = canon(spark, sf, *RULES)

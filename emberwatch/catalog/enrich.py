@@ -234,6 +234,15 @@ def _(spark, sf):
     return K.time_groups(_findings(spark, sf), 60).groupBy("group_start").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("shared_list_values", f"""WITH RECURSIVE {GROUP_SQL}, sz AS (SELECT username, anchor, count(*) AS size FROM gr GROUP BY ALL),
+ vals AS (SELECT DISTINCT username, anchor, event_id, 'ip' AS kind, unnest([source_ip, destination_ip, '']) AS value FROM gr UNION SELECT username, anchor, event_id, 'domain', unnest([domain, 'all.example']) FROM gr),
+ held AS (SELECT username, anchor, kind, value, count(*) AS h FROM vals WHERE value <> '' GROUP BY ALL) SELECT username, epoch_us(anchor) AS group_start, kind, value FROM held JOIN sz USING (username, anchor) WHERE h = size""")
+def _(spark, sf):
+    grouped = K.time_groups(_findings(spark, sf), 360, ["username"])
+    lists = grouped.select(F.col("username").alias("owner"), "group_start", "finding_id", F.array("source_ip", "dest_ip", F.lit("")).alias("ip"), F.create_map(F.lit("domain"), F.array("domain", F.lit("all.example"))).alias("indicators"))
+    return K.shared_values(lists, ["owner", "group_start"]).withColumnRenamed("owner", "username")
+
+
 def _has(*words: str) -> str:
     return "bool_or(" + " OR ".join(f"contains(event_type, '{w}')" for w in words) + ")"
 

@@ -139,6 +139,15 @@ def _(spark, sf):
     return N.port_scans(canon(spark, sf, *PAIRS), 4, 86400).select("event_id", "unique_ports")
 
 
+@query("net_exfiltration_sent", f"WITH {EV}, xs AS (SELECT event_id, sum(bytes_out) {PAIRW} AS total FROM ev WHERE bytes_out <> 0 AND NOT {PRIVATE.format(c='destination_ip')}) SELECT event_id, cast(total AS bigint) AS bytes_transferred FROM xs WHERE total >= 300000")
+def _(spark, sf):
+    """Every third flow names its bytes ``bytes_sent``."""
+    flows = canon(spark, sf, *PAIRS)
+    other = F.col("event_id") % 3 == 0
+    flows = flows.withColumn("bytes_sent", F.when(other, F.col("bytes_out"))).withColumn("bytes_out", F.when(~other, F.col("bytes_out")))
+    return N.exfiltration(flows, 300_000, 86400).select("event_id", "bytes_transferred")
+
+
 @query("net_exfiltration", f"WITH {EV}, {EXF} SELECT event_id, cast(total AS bigint) AS bytes_transferred FROM xf WHERE total >= 200000")
 def _(spark, sf):
     return N.exfiltration(canon(spark, sf, *PAIRS), 200_000, 86400).select("event_id", "bytes_transferred")

@@ -149,6 +149,13 @@ def _(spark, sf):
     return A.finding_counts(A.secret_findings(table(spark, sf, "documents"), "text", "doc_id"))
 
 
+@query("audit_resolved", "WITH f AS (" + " UNION ALL ".join(f"SELECT doc_id, '{d}' AS title FROM documents WHERE regexp_matches(text, {_sq(p)})" for p, d in A.SECRET_PATTERNS) + ") SELECT concat(doc_id, '|', title) AS finding_id, CASE WHEN doc_id % 3 = 0 THEN 'resolved' WHEN doc_id % 3 = 1 THEN 'accepted' ELSE 'open' END AS status, CASE WHEN doc_id % 3 < 2 THEN concat('note ', doc_id) END AS resolution_notes FROM f")
+def _(spark, sf):
+    found = A.secret_findings(table(spark, sf, "documents"), "text", "doc_id").withColumn("finding_id", F.concat_ws("|", "doc_id", "title"))
+    log = found.filter("doc_id % 3 < 2").select("finding_id", F.when(F.col("doc_id") % 3 == 0, "resolved").otherwise("accepted").alias("status"), F.concat(F.lit("note "), F.col("doc_id")).alias("resolution_notes"), _now().alias("changed_at"))
+    return A.finding_state(found, log).select("finding_id", "status", "resolution_notes")
+
+
 # ---- retrieval -----------------------------------------------------------------------------------------------
 # fold over paragraphs: the list keeps finished chunks, its last entry is the open one
 def _chunks_sql(tab: str, key: str) -> str:

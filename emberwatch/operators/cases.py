@@ -139,6 +139,53 @@ def incident_state(incidents: DataFrame, changes: DataFrame) -> DataFrame:
         "time_to_contain_minutes": minutes("contained_at"), "time_to_resolve_minutes": minutes("closed_at")})
 
 
+def _entry_id(prefix: str, *columns: str) -> Column:
+    """Id from an entry's own content, so a replay gives the same one."""
+    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]), 256), 1, 8))
+
+
+def _of_known(entries: DataFrame, incidents: DataFrame) -> DataFrame:
+    """Entries of incidents that exist; the others change nothing."""
+    return entries.join(incidents.select("incident_id").distinct(), "incident_id", "left_semi")
+
+
+def incident_comments(entries: DataFrame, incidents: DataFrame) -> DataFrame:
+    """Comments (incident_id, author, content, created_at, and optional is_internal, true by default)."""
+    return _of_known(entries, incidents).select(
+        _entry_id("cmt_", "incident_id", "author", "content", "created_at").alias("comment_id"), "incident_id", "author", "content", "created_at",
+        _optional(entries, "is_internal", F.lit(True)).alias("is_internal"))
+
+
+def incident_tasks(entries: DataFrame, incidents: DataFrame, completed: DataFrame | None = None) -> DataFrame:
+    """Tasks (incident_id, title, created_at, and optional description, assigned_to, due_date) after the log ``completed`` (task_id, completed_at)."""
+    none = lambda n, kind: F.col(n) if n in entries.columns else F.lit(None).cast(kind)
+    tasks = _of_known(entries, incidents).select(
+        _entry_id("itask_", "incident_id", "title", "created_at").alias("task_id"), "incident_id", "title", _optional(entries, "description", F.lit("")).alias("description"),
+        none("assigned_to", "string").alias("assigned_to"), none("due_date", "timestamp").alias("due_date"), "created_at")
+    if completed is None:
+        return tasks.withColumns({"status": F.lit("pending"), "completed_at": F.lit(None).cast("timestamp")})
+    done = completed.groupBy("task_id").agg(F.max("completed_at").alias("completed_at"))
+    return tasks.join(done, "task_id", "left").withColumn("status", F.when(F.col("completed_at").isNotNull(), "completed").otherwise("pending"))
+
+
+def incident_artifacts(entries: DataFrame, incidents: DataFrame) -> DataFrame:
+    """Evidence files (incident_id, name, artifact_type, uploaded_by, uploaded_at, and optional description, file_path, hash_sha256, size_bytes)."""
+    none = lambda n: F.col(n) if n in entries.columns else F.lit(None).cast("string")
+    return _of_known(entries, incidents).select(
+        _entry_id("art_", "incident_id", "name", "uploaded_at").alias("artifact_id"), "incident_id", "name", "artifact_type", _optional(entries, "description", F.lit("")).alias("description"),
+        none("file_path").alias("file_path"), none("hash_sha256").alias("hash_sha256"), _optional(entries, "size_bytes", F.lit(0)).cast("bigint").alias("size_bytes"), "uploaded_by", "uploaded_at")
+
+
+def touched(incidents: DataFrame, *entries: tuple[DataFrame, str]) -> DataFrame:
+    """Incidents with ``updated_at`` moved on to their newest entry; each entry table comes with its time column."""
+    times = [df.select("incident_id", F.col(at).alias("_at")) for df, at in entries]
+    every = times[0]
+    for t in times[1:]:
+        every = every.unionByName(t)
+    last = every.groupBy("incident_id").agg(F.max("_at").alias("_at"))
+    return incidents.join(last, "incident_id", "left").withColumn("updated_at", F.greatest("updated_at", "_at")).drop("_at")
+
+
 def list_incidents(incidents: DataFrame, status=None, severity=None, incident_type=None, owner=None, limit: int | None = None, offset: int = 0) -> DataFrame:
     order = [lookup("severity", INCIDENT_ORDER, 4), F.col("created_at").desc(), F.col("incident_id")]
     return page(incidents, order, limit, offset, status=status, severity=severity, incident_type=incident_type, owner=owner)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.severity import severity_rank
 from ..plans.blocked import running
@@ -139,21 +140,27 @@ def time_groups(findings: DataFrame, window_minutes: int = 60, key_cols: Sequenc
     return out.filter(F.col("_mark") == 0).drop("_mark", "_a", "_late", *whole)
 
 
+def _valued(kind: str):
+    return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+
+
 def shared_values(grouped: DataFrame, by: list[str]) -> DataFrame:
-    """Values held by every finding of a group: (group, kind, value). Counts, no set is gathered."""
+    """Values held by every finding of a group: (group, kind, value); lists are spread. Counts, no set is gathered."""
     sizes = grouped.groupBy(*by).agg(F.count_distinct("finding_id").alias("_size"))
     cols = set(grouped.columns)
     items = []
     for kind, fields in SHARED_FIELDS.items():
         for name in fields:
             if name in cols:
-                value = F.col(name).cast("string")
-            elif "indicators" in cols:
-                value = F.try_element_at("indicators", F.lit(name))
+                value = F.col(name)
+                values = value.cast("array<string>") if isinstance(grouped.schema[name].dataType, T.ArrayType) else F.array(value.cast("string"))
+            elif "indicators" in cols:  # a map of texts, or of lists
+                values = F.try_element_at("indicators", F.lit(name))
+                values = values if isinstance(grouped.schema["indicators"].dataType.valueType, T.ArrayType) else F.array(values)
             else:
                 continue
-            items.append(F.when(F.coalesce(value, F.lit("")) != "", F.struct(F.lit(kind).alias("kind"), value.alias("value"))))
-    rows = grouped.select(*by, "finding_id", F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("i")).select(*by, "finding_id", "i.*").distinct()
+            items.append(F.transform(F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.coalesce(v, F.lit("")) != ""), _valued(kind)))
+    rows = grouped.select(*by, "finding_id", F.explode(F.concat(*items)).alias("i")).select(*by, "finding_id", "i.*").distinct()
     held = rows.groupBy(*by, "kind", "value").agg(F.count(F.lit(1)).alias("_held"))
     return held.join(sizes, by).filter(F.col("_held") == F.col("_size")).drop("_held", "_size")
 

@@ -83,10 +83,17 @@ def port_scans(flows: DataFrame, threshold: int = PORT_SCAN_PORTS, block_seconds
     return running_distinct(rows, PAIR, "destination_port", ORDER, "timestamp", "unique_ports", block_seconds).filter(F.col("unique_ports") >= threshold)
 
 
+def sent_bytes(flows: DataFrame) -> Column:
+    """Bytes sent by a flow: ``bytes_out``, or ``bytes_sent`` where that is empty."""
+    names = [F.nullif(F.col(n), F.lit(0)) for n in ("bytes_out", "bytes_sent") if n in flows.columns]
+    return F.coalesce(*names, F.lit(0))
+
+
 def exfiltration(flows: DataFrame, threshold: int = EXFIL_BYTES, block_seconds: int = 3600) -> DataFrame:
     """Events at which the bytes sent by a pair to an outside address reach ``threshold``."""
-    rows = flows.filter((_text("source_ip") != "") & (F.coalesce("bytes_out", F.lit(0)) != 0) & is_external("destination_ip")).select(*ORDER, *PAIR, "bytes_out")
-    return running(rows, PAIR, ORDER, "timestamp", sums={"bytes_transferred": F.col("bytes_out")}, block_seconds=block_seconds).filter(
+    sent = sent_bytes(flows)
+    rows = flows.filter((_text("source_ip") != "") & (sent != 0) & is_external("destination_ip")).select(*ORDER, *PAIR, sent.alias("_sent"))
+    return running(rows, PAIR, ORDER, "timestamp", sums={"bytes_transferred": F.col("_sent")}, block_seconds=block_seconds).filter(
         F.col("bytes_transferred") >= threshold
     )
 
