@@ -24,10 +24,21 @@ def _start(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def _stored(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """Ids and dates that earlier batches have stored."""
+    if not _exists(spark, path):
+        return None
+    return spark.read.schema("event_id string, ingest_batch long, event_date date").parquet(path).filter(F.col("ingest_batch") < batch_id)
+
+
 def _high_water(spark: SparkSession, path: str, batch_id: int):
     """Largest event time of the batches before this one; none at the start. Marks that cannot be read are an error."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    if not _exists(spark, path):
         return None
     seen = spark.read.schema("high timestamp, ingest_batch long").parquet(path)
     return seen.filter(F.col("ingest_batch") < batch_id).agg(F.max("high").alias("h")).first()[0]
@@ -44,6 +55,9 @@ def split_late(events: DataFrame, high_water, delay_sec: int) -> tuple[DataFrame
 def start_ingest(raw: DataFrame, events_path: str, dead_path: str, checkpoint: str, as_of: Column | None = None, delay_sec: int | None = None, marks_path: str | None = None, available_now: bool = False):
     """Payload stream → events and dead letters. Each batch is parsed once and written twice.
 
+    An id is stored once: ids of earlier batches are left out by an anti join that reads the dates at
+    hand only, and of these the id column alone.
+
     With ``delay_sec`` and ``marks_path``, rows older than the largest event time of earlier
     batches by more than the delay go to the dead letters as ``late_event``. Batches overwrite their
     own partitions, so a batch run again after a failure leaves one copy.
@@ -62,7 +76,7 @@ def start_ingest(raw: DataFrame, events_path: str, dead_path: str, checkpoint: s
                     F.lit("late_event").alias("error_type"), F.lit("Event is older than the watermark").alias("error_message"), F.col("raw_data").alias("raw_payload")))
                 N.accepted(done).agg(F.max("timestamp").alias("high")).withColumn("ingest_batch", F.lit(batch_id)).write.mode("overwrite").option(
                     "partitionOverwriteMode", "dynamic").partitionBy("ingest_batch").parquet(marks_path)
-            write_events(ok, events_path, batch_id=batch_id)
+            write_events(ok, events_path, _stored(spark, events_path, batch_id), batch_id)
             write_dead_letters(letters, dead_path, batch_id)
         finally:
             done.unpersist()
