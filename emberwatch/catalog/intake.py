@@ -125,12 +125,18 @@ def _(spark, sf):
     return N.dead_letters(N.ingest(_raw(spark, sf, MIX), as_of())).groupBy("error_type", "source_type", "raw_payload").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ingest_snapshot", f"""WITH {EV}, g AS (SELECT {MIX_ERR} AS e, CASE k % 8 WHEN 0 THEN 'network_ids' WHEN 1 THEN 'syslog' WHEN 2 THEN 'application_log' WHEN 3 THEN 'authentication' WHEN 4 THEN 'email_security' ELSE 'generic_json' END AS st FROM ev),
+MIX_SEV = """CASE k % 8 WHEN 0 THEN CASE WHEN k % 5 <= 1 THEN 'critical' WHEN k % 5 = 2 THEN 'high' WHEN k % 5 = 3 THEN 'medium' ELSE 'low' END
+ WHEN 1 THEN CASE k % 4 WHEN 0 THEN 'medium' WHEN 1 THEN CASE WHEN k % 3 = 0 THEN 'medium' ELSE 'low' END WHEN 2 THEN CASE WHEN k % 8 <= 1 THEN 'critical' WHEN k % 8 = 2 THEN 'high' WHEN k % 8 = 3 THEN 'medium' ELSE 'low' END ELSE 'low' END
+ WHEN 2 THEN CASE WHEN k % 5 IN (0, 1) THEN 'high' ELSE CASE k % 6 WHEN 0 THEN 'medium' WHEN 1 THEN 'medium' WHEN 3 THEN 'high' ELSE 'low' END END WHEN 3 THEN CASE WHEN k % 4 IN (0, 2) OR k % 8 = 3 THEN 'high' ELSE 'low' END
+ WHEN 4 THEN CASE WHEN k % 10 >= 7 THEN 'high' WHEN k % 3 = 0 THEN 'medium' ELSE 'low' END WHEN 5 THEN CASE k % 3 WHEN 0 THEN 'medium' WHEN 1 THEN 'high' ELSE 'low' END ELSE 'low' END"""
+
+
+@query("ingest_snapshot", f"""WITH {EV}, g AS (SELECT {MIX_ERR} AS e, CASE k % 8 WHEN 0 THEN 'network_ids' WHEN 1 THEN 'syslog' WHEN 2 THEN 'application_log' WHEN 3 THEN 'authentication' WHEN 4 THEN 'email_security' ELSE 'generic_json' END AS st, {MIX_SEV} AS sev FROM ev),
  t AS (SELECT count(*) AS r, count(*) FILTER (WHERE e IS NULL) AS a, count(*) FILTER (WHERE e IS NOT NULL) AS x FROM g)
  SELECT 'total' AS dimension, 'events_received' AS value, r AS n, cast(NULL AS double) AS rate FROM t UNION ALL SELECT 'total', 'events_accepted', a, round_even(a / greatest(r, 1) * 100, 2) FROM t UNION ALL SELECT 'total', 'events_rejected', x, NULL FROM t
- UNION ALL SELECT 'source_type', st, count(*), NULL FROM g WHERE e IS NULL GROUP BY st""")
+ UNION ALL SELECT 'source_type', st, count(*), NULL FROM g WHERE e IS NULL GROUP BY st UNION ALL SELECT 'severity', sev, count(*), NULL FROM g WHERE e IS NULL GROUP BY sev""")
 def _(spark, sf):
-    return M.ingest_snapshot(N.ingest(_raw(spark, sf, MIX), as_of())).filter(F.col("dimension") != "severity")
+    return M.ingest_snapshot(N.ingest(_raw(spark, sf, MIX), as_of()))
 
 
 @query("ecs_block", f"""WITH {EV} SELECT event_id AS source_position, source_ip AS ip, destination_port AS port, lower(protocol) AS transport, username AS user_name, 'json' AS category FROM (SELECT * REPLACE (cast(destination_port AS string) AS destination_port) FROM ev)""")
