@@ -24,14 +24,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: computed once, and safe when executors are lost."""
+def written(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: computed once, and safe when executors are lost.
+
+    A ``small`` table goes into no more files than two for each core of the cluster.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(2 * spark.sparkContext.defaultParallelism) if small else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: size up to which a side of a join is sent to all tasks; beyond, both sides are shuffled
+SENT_BYTES = 64 << 20
+
+
+def sent(df: DataFrame, size: int) -> DataFrame:
+    """A side of a join, sent whole if its size in bytes is within the bound."""
+    return F.broadcast(df) if size <= SENT_BYTES else df
+
+
 def columns(df: DataFrame, **named: str) -> DataFrame:
     """Only the columns an operator reads, under its own names: other columns can then never clash."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in named.items()])

@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import columns, written
+from .shared import columns, sent, written
 
 LEXICON = 5000
 SAMPLE = 20_000
 FOLDS = 5
 PREFIXES = (4, 5, 6)
+#: longer words are terms by their beginnings only
+LONGEST = 40
 BUCKETS = 8
 #: a term must stand in so many, and such a share, of the toxic training texts
 MIN_TEXTS, MIN_SHARE = 4, 0.002
@@ -64,7 +66,8 @@ def terms(text: Column) -> Column:
     def beginnings(k: int) -> Column:
         return F.transform(F.filter(words, lambda w: F.length(w) >= k), lambda w: F.concat(F.lit(f"p{k}:"), F.substring(w, 1, k)))
 
-    return F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit("word:"), w)), *map(beginnings, PREFIXES)))
+    whole = F.transform(F.filter(words, lambda w: F.length(w) <= LONGEST), lambda w: F.concat(F.lit("word:"), w))
+    return F.array_distinct(F.concat(whole, *map(beginnings, PREFIXES)))
 
 
 def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], int, int]:
@@ -79,14 +82,14 @@ def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], int, int]:
     each = train.select("toxic", F.explode(terms(F.coalesce("text", F.lit("")))).alias("term"))
     least = max(MIN_TEXTS, math.ceil(MIN_SHARE * n_pos))
     frequent = written(each.filter("toxic = 1").groupBy("term").agg(F.count("*").alias("pos")).filter(F.col("pos") >= least), "toxic-terms")
-    others = each.filter("toxic = 0").join(frequent.select("term"), "term").groupBy("term").agg(F.count("*").alias("neg"))
+    tried = max(1, frequent.count())
+    others = each.filter("toxic = 0").join(sent(frequent.select("term"), 64 * tried), "term").groupBy("term").agg(F.count("*").alias("neg"))
     both = frequent.join(others, "term", "left").select("term", F.col("pos").cast("double").alias("pos"), F.coalesce("neg", F.lit(0)).cast("double").alias("neg"))
     # likelihood ratio of the term against no dependence on the class
     n, seen = n_pos + n_neg, F.col("pos") + F.col("neg")
     part = lambda a, e: F.when(a > 0, a * F.log(a / e)).otherwise(0.0)
     gain = 2 * (part(F.col("pos"), seen * n_pos / n) + part(F.col("neg"), seen * n_neg / n) + part(n_pos - F.col("pos"), (n - seen) * n_pos / n) + part(n_neg - F.col("neg"), (n - seen) * n_neg / n))
     ratio = (F.col("pos") / n_pos) / ((F.col("neg") + 0.5) / n_neg)
-    tried = max(1, frequent.count())
     kept = both.withColumn("gain", gain).filter((ratio >= min(MIN_RATIO, n_neg / n_pos * MIN_TEXTS)) & (F.col("gain") > 2 * math.log(tried / ERROR)))
     return {r["term"]: r["gain"] for r in kept.orderBy(F.col("gain").desc(), "term").limit(LEXICON).collect()}, n_pos, n_neg
 
@@ -208,9 +211,9 @@ class Model:
 def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learns from the labelled rows outside the held-out fold."""
     known = columns(labels, id="doc_id", toxic=label_col).filter(F.col("toxic").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    known = known.groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = written(known.groupBy("id").agg(F.max("toxic").cast("int").alias("toxic")), "known-labels", small=True)
     rows = columns(docs, id=id_col, text=text_col)
-    train = rows.join(known, "id")
+    train = rows.join(sent(known, 32 * known.count()), "id")
     lexicon, n_pos, n_neg = learn_lexicon(train)
     share = n_pos / (n_pos + n_neg) if n_pos + n_neg else 0.0
     if not lexicon:
@@ -224,7 +227,7 @@ def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             got = [voters.value(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.list_(pa.int32())) for i in (0, 1)], names=["votes", "counts"])
 
-    got = rows.join(chosen, "id").select("text").mapInArrow(vote, "votes array<int>, counts array<int>").limit(2 * SAMPLE).collect()
+    got = rows.join(F.broadcast(chosen), "id").select("text").mapInArrow(vote, "votes array<int>, counts array<int>").limit(2 * SAMPLE).collect()
     votes, counts = np.array([r["votes"] for r in got]), np.array([r["counts"] for r in got])
     post = LabelModel(share, false_alarms=FALSE_ALARMS).fit(votes)
     return Model(lexicon, fit_linear(features(votes, counts), post), share)
