@@ -133,7 +133,7 @@ def brute_lines(spark, rows, distance, least):
     for n, x in enumerate(texts):
         groups.root(x)
         for y in texts[:n]:
-            if min(len(x.split()), len(y.split())) >= lines.FUZZY_WORDS and (sims[x] ^ sims[y]).bit_count() <= distance and edits(x, y) <= (1 - least) * max(len(x), len(y)) + 1e-9:
+            if min(len(x.split()), len(y.split())) >= lines.FUZZY_WORDS and (sims[x] ^ sims[y]).bit_count() <= distance and edits(x.split(), y.split()) <= (1 - least) * max(len(x.split()), len(y.split())) + 1e-9:
                 groups.join(x, y)
     first, gone = {}, set()
     for i, n, x in sorted(seen):
@@ -145,16 +145,18 @@ def brute_lines(spark, rows, distance, least):
 
 def line_rows():
     rng = random.Random(9)
-    base = [" ".join(words(rng, n)) for n in (12, 30, 60, 90, 200)]
+    base = [" ".join(words(rng, n)) for n in (12, 30, 60, 90)]
     rows = []
-    for i in range(60):
+    for i in range(24):
         own = [" ".join(words(rng, rng.randrange(1, 40)))]
         near = [" ".join(changed(rng, x.split(), 0.004)) for x in rng.sample(base, 2)]
         rows.append((i, "\n".join(own + near + ["All rights reserved.", "", "***", rng.choice(base).upper() + "!"])))
     return rows + [(70, None), (71, ""), (72, "\n\n"), (None, base[0]), (73, base[1]), (73, base[1]), (74, "ÀÉ ñandú Straße " * 4)]
 
 
-def test_lines_equal_brute_force(spark):
+@pytest.mark.parametrize("small", [lines.SMALL, 2])
+def test_lines_equal_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(lines, "SMALL", small)
     rows = line_rows()
     df = spark.createDataFrame([(i, t, 4, "k") for i, t in rows], "doc_id bigint, text string, n bigint, line string").repartition(5)
     want, sims = brute_lines(spark, rows, lines.DISTANCE, lines.SIMILARITY)
@@ -171,6 +173,8 @@ def test_lines_equal_brute_force(spark):
 
 def test_fuzzy_lines_join_through_later_centres(spark, monkeypatch):
     """Buckets whose first member is like none of the others go on."""
+    monkeypatch.setattr(lines, "SMALL", 1)
+    monkeypatch.setattr(lines, "coded", lambda words: F.array_join(words, " "))
     monkeypatch.setattr(lines, "alike", lambda x, y, least: ~(x.startswith("first") | y.startswith("first")))
     rng = random.Random(4)
     base = " ".join(words(rng, 80))
