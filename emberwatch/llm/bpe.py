@@ -42,6 +42,28 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+#: fixed values: characters (first to last) that the regex module takes for letters or digits and the tokenizers library, of an earlier Unicode version, does not
+LATER = (
+    "0558-0558 058B-058C 088F-088F 0C5C-0C5C 0CDC-0CDC 208F-208F 209D-209F A7CE-A7CF A7DD-A7DD A7E2-A7E2 A7F1-A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A-11B0A "
+    "11DB0-11DDB 11DE0-11DE9 11DF1-11DF1 1246F-1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 "
+    "1B123-1B128 1B168-1B168 1D6A6-1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E-2B81E "
+    "2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+
+
+class WordPattern:
+    """The tokenizer's own pattern of words; later letters count as what they were before, neither letter nor digit."""
+
+    def __init__(self, split: str):
+        new = "".join("-".join(f"\\U{int(end, 16):08x}" for end in span.split("-")) for span in LATER.split())
+        self.plain, self.first = regex.compile(split, regex.V0), chr(int(LATER[:4], 16))
+        split = split.replace(r"[\p{L}]+", rf"[\p{{L}}--[{new}]]+").replace(r"[\p{N}]", rf"[\p{{N}}--[{new}]]").replace(r"[^\s\p{L}\p{N}]+", rf"[[^\s\p{{L}}\p{{N}}][{new}]]+")
+        self.late = regex.compile(split, regex.V1)
+
+    def findall(self, text: str) -> list[str]:
+        return (self.plain if text.isascii() or max(text) < self.first else self.late).findall(text)
+
+
 class Vocabulary:
     """What a tokenizer file says: symbols, merges by rank, special tokens, the pattern of words."""
 
@@ -59,7 +81,7 @@ class Vocabulary:
         for rank, (a, b) in enumerate(pairs):
             self.merge.setdefault(self.id_of[a] << 32 | self.id_of[b], (rank << 32, self.id_of[a + b]))
         split = next(p["pattern"]["Regex"] for p in said["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split, regex.V0)
+        self.words = WordPattern(split)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.byte_id = [self.id_of.get(s) for s in byte_symbols()]
         self.last_id = [self.id_of.get(s + self.end) for s in byte_symbols()]
@@ -119,9 +141,16 @@ class Vocabulary:
         return [i for i in ids if i >= 0]
 
 
+#: fixed values: capitals whose small letter the tokenizers library knows and Python does not, and sigma, which has one small letter there
+SMALL = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B, ord("Σ"): ord("σ"),
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
+
+
 def normalised(text: str) -> str:
-    """Composed characters, each in lower case by itself (the final sigma is no exception)."""
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    """Composed characters, each in lower case by itself."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).translate(SMALL).lower()
 
 
 class Pieces(dict):

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import REMEMBERED, cut, normalised
+from .bpe import REMEMBERED, WordPattern, cut, normalised
 from .shared import columns, written
 
 LENGTH = 4096
@@ -42,7 +42,6 @@ class Ids(dict):
         super().__init__()
         import json
 
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -50,7 +49,7 @@ class Ids(dict):
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
-        self.words = regex.compile(next(p["pattern"]["Regex"] for p in said["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
+        self.words = WordPattern(next(p["pattern"]["Regex"] for p in said["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         suffix = said["model"]["end_of_word_suffix"]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in said["model"]["vocab"].items() if t.endswith(suffix)]] = True
