@@ -3,7 +3,7 @@
 Labelled training rows give a lexicon: words and word beginnings that stand far more often in toxic
 texts, counted over all of them. The lexicon is dealt to many voters, beside a few voters with fixed
 patterns; each voter says toxic, clean, or nothing about a text. A generative label model then learns,
-without labels, how often each voter says what for either class, and how voters depend on each other
+with the training label as one more voter, how often each says what for either class, and how voters depend on each other
 (two that look at one stem speak together), and gives every text of a bounded sample a posterior. A
 linear classifier learns these posteriors from the votes and hit counts, and scores every text.
 
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import columns, sent, written
@@ -41,8 +41,12 @@ BUCKETS = 8
 MIN_TEXTS, MIN_SHARE = 4, 0.002
 #: and so many times as often there as in the others
 MIN_RATIO = 20
+#: share of the weight of a text's most telling term that another of its terms must have
+NEAR_TOP = 0.9
 #: chance of taking in any term that means nothing
 ERROR = 0.01
+#: how often the label of a training row is right
+MARKED = 0.98
 #: how often a voter calls a clean text toxic, before anything is seen
 FALSE_ALARMS = 0.002
 
@@ -50,8 +54,8 @@ FALSE_ALARMS = 0.002
 INSULTS = frozenset("idiot idiots moron morons stupid scum loser losers pathetic worthless disgusting trash clown clowns imbecile dumb jerk bastard bitch asshole crap shit fuck fucking".split())
 WORDS = re.compile(r"[^\W\d_]+")
 KINDS = ("word", *[f"p{k}" for k in PREFIXES])
-#: one voter for each kind and bucket (toxic), one for each kind (clean, if it has no term), then the fixed ones
-VOTERS = len(KINDS) * BUCKETS + len(KINDS) + 3
+#: one voter for each kind and bucket (toxic), one for texts without any term (clean), then the fixed ones
+VOTERS = len(KINDS) * BUCKETS + 1 + 3
 
 
 def held_out(doc_id: Column) -> Column:
@@ -71,9 +75,10 @@ def terms(text: Column) -> Column:
 
 
 def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], int, int]:
-    """Terms with their weight of evidence, and the sizes of both classes. ``train``: text, toxic.
+    """Terms with their weight of evidence, and the sizes of both classes. ``train``: id, text, toxic.
 
-    Two passes: terms of the toxic texts that are frequent enough, then how often the others have them.
+    Terms of the toxic texts that are frequent enough; how often the others have them; and which of
+    those left are the most telling term, or nearly so, of some toxic texts.
     """
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
@@ -91,7 +96,12 @@ def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], int, int]:
     gain = 2 * (part(F.col("pos"), seen * n_pos / n) + part(F.col("neg"), seen * n_neg / n) + part(n_pos - F.col("pos"), (n - seen) * n_pos / n) + part(n_neg - F.col("neg"), (n - seen) * n_neg / n))
     ratio = (F.col("pos") / n_pos) / ((F.col("neg") + 0.5) / n_neg)
     kept = both.withColumn("gain", gain).filter((ratio >= min(MIN_RATIO, n_neg / n_pos * MIN_TEXTS)) & (F.col("gain") > 2 * math.log(tried / ERROR)))
-    return {r["term"]: r["gain"] for r in kept.orderBy(F.col("gain").desc(), "term").limit(LEXICON).collect()}, n_pos, n_neg
+    kept = written(kept.select("term", "gain").orderBy(F.col("gain").desc(), "term").limit(LEXICON), "telling-terms")
+    # words that only go along with a more telling term, as in copies of one toxic text, tell nothing of their own
+    hits = train.filter("toxic = 1").select("id", F.explode(terms(F.coalesce("text", F.lit("")))).alias("term")).join(F.broadcast(kept), "term")
+    top = F.max("gain").over(Window.partitionBy("id"))
+    own = hits.withColumn("top", top).filter(F.col("gain") >= NEAR_TOP * F.col("top")).groupBy("term", "gain").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_TEXTS)
+    return {r["term"]: r["gain"] for r in own.orderBy(F.col("gain").desc(), "term").collect()}, n_pos, n_neg
 
 
 class Voters:
@@ -113,12 +123,11 @@ class Voters:
                 votes[kind * BUCKETS + table[s]] = 1
                 counts[kind] += 1
         base = len(KINDS) * BUCKETS
-        for kind, c in enumerate(counts):
-            votes[base + kind] = -1 if not c else 0
-        insults = len(words & INSULTS)
-        votes[base + len(KINDS)] = 1 if insults else 0
-        votes[base + len(KINDS) + 1] = 1 if insults > 1 or sum(counts) > 3 else 0
-        votes[base + len(KINDS) + 2] = -1 if not insults and len(found) > 30 else 0
+        insults, any_term = len(words & INSULTS), sum(counts)
+        votes[base] = 0 if any_term else -1
+        votes[base + 1] = 1 if insults else 0
+        votes[base + 2] = 1 if insults > 1 or any_term > 3 else 0
+        votes[base + 3] = -1 if not insults and not any_term and len(found) > 30 else 0
         return votes, counts
 
 
@@ -128,8 +137,9 @@ class LabelModel:
     def __init__(self, prior: float, rounds: int = 25, false_alarms: float | None = None):
         self.prior, self.rounds, self.false_alarms = min(max(prior, 1e-3), 1 - 1e-3), rounds, false_alarms
 
-    def fit(self, votes: np.ndarray) -> np.ndarray:
-        """Posterior of class 1 for each row."""
+    def fit(self, votes: np.ndarray, marked: np.ndarray | None = None) -> np.ndarray:
+        """Posterior of class 1 for each row. ``marked``, the rows' own labels, counts as a voter that is right with ``MARKED``."""
+        marks = 0.0 if marked is None else np.where(marked == 1, 1, -1) * np.log(MARKED / (1 - MARKED))
         said = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)  # rows x voters x 3
         # before anything is learned: voters are right three times in four
         rate = np.stack([np.full((votes.shape[1], 3), 1 / 3)] * 2)
@@ -141,7 +151,7 @@ class LabelModel:
             odds = np.einsum("ijk,jk->ij", said, np.log(rate[1]) - np.log(rate[0]))
             if step == 0:
                 odds *= spoken
-            logit = np.log(self.prior / (1 - self.prior)) + odds @ weight
+            logit = np.log(self.prior / (1 - self.prior)) + odds @ weight + marks
             post = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
             if step >= self.rounds // 4:  # voters that are dependent given the class share their weight
                 weight = self._weights(votes - (np.outer(post, self._mean(votes, post)) + np.outer(1 - post, self._mean(votes, 1 - post))), 0.25)
@@ -220,16 +230,16 @@ def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         return Model({}, None, share)
     voters = docs.sparkSession.sparkContext.broadcast(Voters(lexicon))
     # a bounded sample of training rows, the same for the same ids
-    chosen = known.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+    chosen = known.select("id", "toxic").orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [voters.value(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.list_(pa.int32())) for i in (0, 1)], names=["votes", "counts"])
+            yield pa.RecordBatch.from_arrays([*[pa.array([g[i] for g in got], pa.list_(pa.int32())) for i in (0, 1)], batch.column("toxic")], names=["votes", "counts", "toxic"])
 
-    got = rows.join(F.broadcast(chosen), "id").select("text").mapInArrow(vote, "votes array<int>, counts array<int>").limit(2 * SAMPLE).collect()
+    got = rows.join(F.broadcast(chosen), "id").select("text", "toxic").mapInArrow(vote, "votes array<int>, counts array<int>, toxic int").limit(2 * SAMPLE).collect()
     votes, counts = np.array([r["votes"] for r in got]), np.array([r["counts"] for r in got])
-    post = LabelModel(share, false_alarms=FALSE_ALARMS).fit(votes)
+    post = LabelModel(share, false_alarms=FALSE_ALARMS).fit(votes, np.array([r["toxic"] for r in got]))
     return Model(lexicon, fit_linear(features(votes, counts), post), share)
 
 
