@@ -171,6 +171,29 @@ def test_lines_equal_brute_force(spark, monkeypatch, small):
     assert any(n for *_, n in got)
 
 
+def test_near_lines_of_any_simhash_are_found(spark):
+    """Brute force without a Hamming filter: one word changed, and as many edits as are allowed, spread evenly."""
+    rng = random.Random(12)
+    rows = []
+    for n in (8, 9, 12, 14, 20, 27, 34, 50, 80, 120, 300):
+        base = words(rng, n)
+        one, many, k = list(base), list(base), int(0.15 * n)
+        one[n // 2] = "changed"
+        for j in range(k):
+            many[(j + 1) * n // (k + 1)] = f"other{j}"
+        rows += [(len(rows) + i, " ".join(x)) for i, x in enumerate((base, one, many, base[: n // 2] + ["put", "in"] + base[n // 2 :], words(rng, n // 2) + base[n // 2 :]))]
+    want, sims = brute_lines(spark, rows, 64, lines.SIMILARITY)
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    assert {(r["id"], r["line"]) for r in lines.removed_lines(df).collect()} == want
+    assert len(want) > 25 and sum(((sims[i, 0] ^ sims[i - i % 5, 0]) & (2**64 - 1)).bit_count() > 2 for i, _ in want) > 15
+    assert {(r["id"], r["line"]) for r in lines.removed_lines(df, 2, 4).collect()} < want
+
+
+@pytest.mark.parametrize("least, words", [(0.85, 4), (0.7, 2), (1.0, 8)])
+def test_words_of_a_shared_run(least, words):
+    assert lines.run_words(least) == words
+
+
 def test_fuzzy_lines_join_through_later_centres(spark, monkeypatch):
     """Buckets whose first member is like none of the others go on."""
     monkeypatch.setattr(lines, "SMALL", 1)
