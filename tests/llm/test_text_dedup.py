@@ -189,6 +189,13 @@ def test_near_lines_of_any_simhash_are_found(spark):
     assert {(r["id"], r["line"]) for r in lines.removed_lines(df, 2, 4).collect()} < want
 
 
+def test_rows_of_one_id_lose_their_own_lines_only(spark):
+    """The second row's first line stands nowhere else, though the first row's first line is a copy."""
+    rows = [(1, "a line that is here twice"), (2, "a line that is here twice\nonly in one"), (2, "stands nowhere else\nand this neither"), (2, "stands nowhere else\nand this neither")]
+    got = sorted(r["text"] for r in lines.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == sorted([rows[0][1], "only in one", rows[2][1], rows[2][1]])
+
+
 @pytest.mark.parametrize("least, words", [(0.85, 4), (0.7, 2), (1.0, 8)])
 def test_words_of_a_shared_run(least, words):
     assert lines.run_words(least) == words
