@@ -7,8 +7,8 @@ with the training label as one more voter, how often each says what for either c
 (two that look at one stem speak together), and gives every text of a bounded sample a posterior. A
 linear classifier learns these posteriors from the votes and hit counts, and scores every text.
 
-Parameters that bound: ``LEXICON`` terms, ``SAMPLE`` rows for the label model and the classifier. Counts
-of terms cover all training rows.
+Parameter that bounds: ``SAMPLE`` rows for the label model and the classifier. Counts of terms cover all
+training rows, and all terms that pass are taken; a lexicon over ``LEXICON_BYTES`` is an error.
 
 Defined results: a null or empty text is scored like one without any term; without training labels of
 both classes every score is the share of toxic ones among them (0 without any); of several labels of one
@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .shared import columns, sent, written
 
-LEXICON = 5000
+#: size beyond which a lexicon is refused, not cut
+LEXICON_BYTES = 64 << 20
 SAMPLE = 20_000
 FOLDS = 5
 PREFIXES = (4, 5, 6)
@@ -96,16 +97,20 @@ def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], int, int]:
     gain = 2 * (part(F.col("pos"), seen * n_pos / n) + part(F.col("neg"), seen * n_neg / n) + part(n_pos - F.col("pos"), (n - seen) * n_pos / n) + part(n_neg - F.col("neg"), (n - seen) * n_neg / n))
     ratio = (F.col("pos") / n_pos) / ((F.col("neg") + 0.5) / n_neg)
     kept = both.withColumn("gain", gain).filter((ratio >= min(MIN_RATIO, n_neg / n_pos * MIN_TEXTS)) & (F.col("gain") > 2 * math.log(tried / ERROR)))
-    kept = written(kept.select("term", "gain").orderBy(F.col("gain").desc(), "term").limit(LEXICON), "telling-terms")
+    kept = written(kept.select("term", "gain"), "telling-terms")
     # words that only go along with a more telling term, as in copies of one toxic text, tell nothing of their own
-    hits = train.filter("toxic = 1").select("id", F.explode(terms(F.coalesce("text", F.lit("")))).alias("term")).join(F.broadcast(kept), "term")
+    hits = train.filter("toxic = 1").select("id", F.explode(terms(F.coalesce("text", F.lit("")))).alias("term")).join(sent(kept, 80 * kept.count()), "term")
     top = F.max("gain").over(Window.partitionBy("id"))
     own = hits.withColumn("top", top).filter(F.col("gain") >= NEAR_TOP * F.col("top")).groupBy("term", "gain").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_TEXTS)
+    own = written(own.select("term", "gain"), "lexicon", small=True)
+    size = own.agg(F.coalesce(F.sum(F.octet_length("term") + 100), F.lit(0)).alias("n")).first()["n"]
+    if size > LEXICON_BYTES:
+        raise ValueError(f"the lexicon takes {size} bytes, more than the {LEXICON_BYTES} that go with every task")
     return {r["term"]: r["gain"] for r in own.orderBy(F.col("gain").desc(), "term").collect()}, n_pos, n_neg
 
 
 class Voters:
-    """Votes and hit counts of a text. The lexicon is at most ``LEXICON`` terms."""
+    """Votes and hit counts of a text. The lexicon is at most ``LEXICON_BYTES``."""
 
     def __init__(self, lexicon: dict[str, float]):
         self.tables = [{t.split(":", 1)[1]: zlib.crc32(t.encode()) % BUCKETS for t in lexicon if t.startswith(kind + ":")} for kind in KINDS]
