@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
 Labelled training rows give a lexicon: words and word beginnings that stand far more often in toxic
-texts, counted over all of them. The lexicon is dealt to many voters, beside a few voters with fixed
+texts, counted over all of them, near copies once. The lexicon is dealt to many voters, beside a few voters with fixed
 patterns; each voter says toxic, clean, or nothing about a text. A generative label model then learns,
 with the training label as one more voter, how often each says what for either class, and how voters depend on each other
 (two that look at one stem speak together), and gives every text of a bounded sample a posterior. A
@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .minhash import near_duplicates
 from .shared import columns, sent, written
 
 #: size beyond which a lexicon is refused, not cut
@@ -75,16 +76,30 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.concat(whole, *map(beginnings, PREFIXES)))
 
 
+def distinct_texts(train: DataFrame) -> DataFrame:
+    """id, toxic, text: one text of each class and group of exact or near copies, with an id of its own. ``train``: id, text, toxic."""
+    texts = written(train.select(F.xxhash64("text").alias("id"), "toxic", "text").dropDuplicates(["id", "toxic"]), "training-texts")
+    groups = near_duplicates(texts, id_col="id").select("id", "component").distinct()
+    group = F.coalesce("component", "id")
+    first = texts.select("id", "toxic").join(groups, "id", "left").groupBy("toxic", group.alias("component")).agg(F.min("id").alias("id")).select("id", "toxic")
+    first = written(first, "training-firsts", small=True)
+    return texts.join(sent(first, 32 * first.count()), ["id", "toxic"])
+
+
 def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], int, int]:
-    """Terms with their weight of evidence, and the sizes of both classes. ``train``: id, text, toxic.
+    """Terms with their weight of evidence, and the rows of both classes. ``train``: id, text, toxic.
 
+    Copies of a text, near ones included, are one piece of evidence: everything is counted in distinct texts.
     Terms of the toxic texts that are frequent enough; how often the others have them; and which of
     those left are the most telling term, or nearly so, of some toxic texts.
     """
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
-    n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
-    if not n_pos or not n_neg:
-        return {}, n_pos, n_neg
+    rows = sizes.get(1, 0), sizes.get(0, 0)
+    if not all(rows):
+        return {}, *rows
+    train = distinct_texts(train)
+    sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
+    n_pos, n_neg = sizes[1], sizes[0]
     each = train.select("toxic", F.explode(terms(F.coalesce("text", F.lit("")))).alias("term"))
     least = max(MIN_TEXTS, math.ceil(MIN_SHARE * n_pos))
     frequent = written(each.filter("toxic = 1").groupBy("term").agg(F.count("*").alias("pos")).filter(F.col("pos") >= least), "toxic-terms")
@@ -106,7 +121,7 @@ def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], int, int]:
     size = own.agg(F.coalesce(F.sum(F.octet_length("term") + 100), F.lit(0)).alias("n")).first()["n"]
     if size > LEXICON_BYTES:
         raise ValueError(f"the lexicon takes {size} bytes, more than the {LEXICON_BYTES} that go with every task")
-    return {r["term"]: r["gain"] for r in own.orderBy(F.col("gain").desc(), "term").collect()}, n_pos, n_neg
+    return {r["term"]: r["gain"] for r in own.orderBy(F.col("gain").desc(), "term").collect()}, *rows
 
 
 class Voters:

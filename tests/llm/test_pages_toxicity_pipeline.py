@@ -89,6 +89,21 @@ def test_lexicon_keeps_every_telling_term(spark):
     assert len(lexicon) > 6000
 
 
+@pytest.mark.parametrize("near", [False, True])
+def test_copies_of_one_toxic_text_are_one_piece_of_evidence(spark, near):
+    """One toxic text makes up a third of the rows: the insults of the other toxic texts stay in the lexicon."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(5))
+    rows = [(" ".join(word() for _ in range(9)), 0) for _ in range(240)]
+    rows += [(" ".join([*(word() for _ in range(8)), "zurvog"]), 1) for _ in range(12)]
+    lexicon = lambda rows: toxicity.learn_lexicon(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id bigint, text string, toxic int"))[0]
+    long = [word() for _ in range(400)]
+    copies = [(" ".join(long[:-1] + [word()] if near else long), 1) for _ in range(126)]
+    alone = lexicon(rows + copies[:1])
+    assert "word:zurvog" in alone
+    assert lexicon(rows + copies).keys() == alone.keys()
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "moron"), (2, "of")], "doc_id bigint, text string")
     for labels, want in (([], 0.0), ([(1, 1), (2, 1)], 1.0), ([(1, 0)], 0.0)):
