@@ -136,7 +136,7 @@ EXF = f"""xf AS (SELECT event_id, sum(bytes_out) {PAIRW} AS total FROM ev WHERE
 
 @query("net_port_scan", f"WITH {EV}, {SCAN} SELECT event_id, cast(ports AS bigint) AS unique_ports FROM ps WHERE ports >= 4")
 def _(spark, sf):
-    return N.port_scans(canon(spark, sf, *PAIRS), 4, 86400).select("event_id", "unique_ports")
+    return N.port_scans(canon(spark, sf, *PAIRS), 4).select("event_id", "unique_ports")
 
 
 @query("net_exfiltration_sent", f"WITH {EV}, xs AS (SELECT event_id, sum(bytes_out) {PAIRW} AS total FROM ev WHERE bytes_out <> 0 AND NOT {PRIVATE.format(c='destination_ip')}) SELECT event_id, cast(total AS bigint) AS bytes_transferred FROM xs WHERE total >= 300000")
@@ -145,12 +145,12 @@ def _(spark, sf):
     flows = canon(spark, sf, *PAIRS)
     other = F.col("event_id") % 3 == 0
     flows = flows.withColumn("bytes_sent", F.when(other, F.col("bytes_out"))).withColumn("bytes_out", F.when(~other, F.col("bytes_out")))
-    return N.exfiltration(flows, 300_000, 86400).select("event_id", "bytes_transferred")
+    return N.exfiltration(flows, 300_000).select("event_id", "bytes_transferred")
 
 
 @query("net_exfiltration", f"WITH {EV}, {EXF} SELECT event_id, cast(total AS bigint) AS bytes_transferred FROM xf WHERE total >= 200000")
 def _(spark, sf):
-    return N.exfiltration(canon(spark, sf, *PAIRS), 200_000, 86400).select("event_id", "bytes_transferred")
+    return N.exfiltration(canon(spark, sf, *PAIRS), 200_000).select("event_id", "bytes_transferred")
 
 
 GAPS = """ga AS (SELECT event_id, timestamp, source_ip, destination_ip, (epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER (PARTITION BY source_ip, destination_ip ORDER BY timestamp, event_id)) / 1e6 AS gap0 FROM ev),
@@ -160,13 +160,13 @@ GAPS = """ga AS (SELECT event_id, timestamp, source_ip, destination_ip, (epoch_u
 @query("net_beacon_pairs", f"""WITH {EV}, {GAPS} SELECT source_ip, destination_ip, count(*) AS connection_count, count(gap) AS gap_count, round(avg(gap), 3) AS avg_interval_sec,
  round(stddev_pop(gap) / avg(gap), 6) AS variation FROM gp GROUP BY ALL HAVING count(*) >= 5 AND count(gap) >= 3 AND stddev_pop(gap) / avg(gap) < 0.7""")
 def _(spark, sf):
-    return N.beacon_pairs(canon(spark, sf, *PAIRS), 0.7, block_seconds=86400).withColumn("avg_interval_sec", F.round("avg_interval_sec", 3))
+    return N.beacon_pairs(canon(spark, sf, *PAIRS), 0.7).withColumn("avg_interval_sec", F.round("avg_interval_sec", 3))
 
 
 @query("net_beacons_running", f"""WITH {EV}, {GAPS}, r AS (SELECT event_id, count(*) {PAIRW} AS n, count(gap) {PAIRW} AS g, avg(gap) {PAIRW} AS m, stddev_pop(gap) {PAIRW} AS s FROM gp)
  SELECT event_id, n AS connection_count, g AS gap_count, round(s / m, 5) AS variation FROM r WHERE n >= 5 AND g >= 3 AND s / m < 0.6""")
 def _(spark, sf):
-    return N.beacons(canon(spark, sf, *PAIRS), 0.6, block_seconds=86400).select("event_id", "connection_count", "gap_count", F.round("variation", 5).alias("variation"))
+    return N.beacons(canon(spark, sf, *PAIRS), 0.6).select("event_id", "connection_count", "gap_count", F.round("variation", 5).alias("variation"))
 
 
 @query("net_findings", f"""WITH {EV}, {ENT}, {SCAN}, {EXF}, {GAPS}, r AS (SELECT event_id, count(*) {PAIRW} AS n, count(gap) {PAIRW} AS g, avg(gap) {PAIRW} AS m, stddev_pop(gap) {PAIRW} AS s FROM gp),
@@ -186,7 +186,7 @@ def _(spark, sf):
 @query("net_bytes_running_max", f"WITH {EV} SELECT event_id, max(bytes_out) OVER (PARTITION BY source_ip ORDER BY timestamp, event_id ROWS UNBOUNDED PRECEDING) AS top_bytes FROM ev")
 def _(spark, sf):
     rows = canon(spark, sf, "event_id", "timestamp", "source_ip", "bytes_out")
-    return running(rows, ["source_ip"], ["timestamp", "event_id"], "timestamp", maxes={"top_bytes": F.col("bytes_out")}, block_seconds=86400).select("event_id", "top_bytes")
+    return running(rows, ["source_ip"], ["timestamp", "event_id"], maxes={"top_bytes": F.col("bytes_out")}).select("event_id", "top_bytes")
 
 
 @query("url_hosts_and_suffixes", """WITH h AS (SELECT page_id, split_part(split_part(CASE WHEN contains(lower(url), '://') THEN split_part(lower(url), '://', 2) ELSE lower(url) END, '/', 1), ':', 1) AS host FROM pages),

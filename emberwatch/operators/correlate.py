@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.severity import severity_rank
-from ..plans.blocked import running
+from ..plans.blocked import next_instant, ranged, running, same, spanning, tie
 from ..session import cut_lineage
 from .changelog import page
 
@@ -36,108 +36,139 @@ CHAIN_WORDS = {
     "potential_impact": ("ransomware", "impact", "data_breach", "destruction"),
 }
 
-#: chains with more distinct instants than this are grouped by pointer jumping instead of in one task
-LONG_CHAIN = 200_000
+def _by_block(keys: list[str], each):
+    """Reads rows sorted by ``keys`` and ``_us`` as a stream and gives ``each`` whole blocks: rows and the bounds of the blocks.
 
-
-def _walker(keys: list[str], window_us: int):
-    """Reads instants sorted by key and time as a stream and yields the anchors.
-
-    Each group reaches ``window_us`` past its first member. Only the last key and anchor are kept
-    between batches, so memory does not grow with a chain.
+    Only the last block of a batch is held until it is known to be whole, and it is never longer than
+    the range of rows it was cut from.
     """
 
-    def walk(frames):
+    def read(frames):
         import numpy as np
         import pandas as pd
 
-        last, anchor = None, 0
+        held, last = [], None
         for frame in frames:
             if not len(frame):
                 continue
-            at = frame["_us"].to_numpy()
-            # a key begins where any key column differs from the row before (two nulls are equal)
             cols = [pd.factorize(frame[k], use_na_sentinel=False)[0] for k in keys]
             starts = np.flatnonzero(np.any([np.r_[True, c[1:] != c[:-1]] for c in cols], axis=0))
-            ends = np.r_[starts[1:], len(at)]
-            picked = []
-            for lo, hi in zip(starts, ends):
-                key = tuple(None if pd.isna(frame[k].iat[lo]) else frame[k].iat[lo] for k in keys)
-                i = lo
-                if key == last:
-                    i = lo + int(np.searchsorted(at[lo:hi], anchor + window_us, side="right"))
-                while i < hi:
-                    anchor = int(at[i])
-                    picked.append(i)
-                    i = lo + int(np.searchsorted(at[lo:hi], anchor + window_us, side="right"))
-                last = key
-            yield frame.iloc[picked].rename(columns={"_us": "_anchor"})
+            key_at = lambda i: tuple(None if pd.isna(frame[k].iat[i]) else frame[k].iat[i] for k in keys)  # two nulls are equal
+            if held and key_at(0) != last:
+                done = pd.concat(held, ignore_index=True)
+                yield each(done, np.array([0, len(done)]))
+                held = []
+            tail, before = starts[-1], sum(map(len, held))
+            if tail:
+                whole = pd.concat([*held, frame.iloc[:tail]], ignore_index=True)
+                yield each(whole, np.r_[0, starts[1:] + before])
+                held = []
+            held.append(frame.iloc[tail:])
+            last = key_at(tail)
+        if held:
+            done = pd.concat(held, ignore_index=True)
+            yield each(done, np.array([0, len(done)]))
+
+    return read
+
+
+def _anchors(window_us: int):
+    """Anchors of blocks whose first instant is one: the next is the first instant beyond the reach of the last."""
+
+    def walk(rows, bounds):
+        import numpy as np
+
+        at, picked = rows["_us"].to_numpy(), []
+        for i, hi in zip(bounds[:-1], bounds[1:]):
+            while i < hi:
+                picked.append(i)
+                i += int(np.searchsorted(at[i:hi], at[i] + window_us, side="right"))
+        return rows.iloc[picked].rename(columns={"_us": "_anchor"})
 
     return walk
 
 
-def _jump(instants: DataFrame, keys: list[str], window_us: int) -> DataFrame:
-    """Anchors of long chains by doubling: every round joins the successor table with itself.
+def _leaving(window_us: int):
+    """For every instant of a block, taken as the block's first anchor, the anchor with which the block is left."""
+
+    def leave(rows, bounds):
+        import numpy as np
+
+        at, reach = rows["_us"].to_numpy(), np.arange(len(rows))
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            step = lo + np.searchsorted(at[lo:hi], at[lo:hi] + window_us, side="right")
+            reach[lo:hi] = np.where(step < hi, step, reach[lo:hi])
+        while True:  # successors doubled until each points at a last one
+            further = reach[reach]
+            if np.array_equal(further, reach):
+                return rows.assign(_leave=at[reach])
+            reach = further
+
+    return leave
+
+
+def _stream(blocks: DataFrame, by: list[str], each, added: str) -> DataFrame:
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema if added != "_anchor" or f.name != "_us")
+    return blocks.repartition(*by).sortWithinPartitions(*by, "_us").mapInPandas(_by_block(by, each), schema=f"{kept}, {added} bigint")
+
+
+def _entries(blocks: DataFrame, crossing: DataFrame, keys: list[str], window_us: int, partitions: int | None) -> DataFrame:
+    """First anchor in each block of the keys that lie in several blocks: keys, _part, _start.
 
-    Each instant points at the first one beyond its reach. The table is spread by (key, instant),
-    so a chain is never held by one task; the rounds grow with the logarithm of the group count.
+    A block is a map from the instant at which it is entered to the anchor with which it is left, and so to the
+    instant at which a later block is entered. These maps are composed by doubling: after n rounds a
+    map leads over 2^n blocks, and the entries reached from a key's first instant are known that far.
     """
-    # successor: the next instant after t + W, found by running over the instants merged with the targets
-    points = instants.select(*keys, "_us")
-    targets = points.select(*keys, (F.col("_us") + window_us).alias("_us"), F.col("_us").alias("_from"))
-    merged = points.withColumn("_from", F.lit(None).cast("bigint")).unionByName(targets)
-    # mirrored time turns "next instant" into "last seen so far"; at equal time the target comes last in mirror order
-    mirrored = merged.withColumns({"_neg": F.timestamp_micros(-F.col("_us")), "_kind": F.col("_from").isNull().cast("int")})
-    block = max(60, (window_us // 1_000_000) * 4)
-    seen = running(mirrored, keys, ["_neg", "_kind", "_from"], "_neg", maxes={"_last": F.when(F.col("_from").isNull(), -F.col("_us"))}, block_seconds=block)
-    succ = cut_lineage(seen.filter(F.col("_from").isNotNull()).select(*keys, F.col("_from").alias("_us"), (-F.col("_last")).alias("_next")))
-    reached = cut_lineage(points.groupBy(*keys).agg(F.min("_us").alias("_us")))
-    jump = succ
-    while True:
-        step = reached.join(jump, [*keys, "_us"]).filter(F.col("_next").isNotNull()).select(*keys, F.col("_next").alias("_us"))
-        grown = cut_lineage(reached.unionByName(step).distinct())
-        doubled = jump.select(*keys, "_us", F.col("_next").alias("_mid")).join(
-            jump.select(*keys, F.col("_us").alias("_mid"), F.col("_next").alias("_far")), [*keys, "_mid"], "left")
-        jump = cut_lineage(doubled.select(*keys, "_us", F.col("_far").alias("_next")))
-        reached = grown
-        if jump.filter(F.col("_next").isNotNull()).isEmpty():
-            return reached.withColumnRenamed("_us", "_anchor")
-
-
-def time_groups(findings: DataFrame, window_minutes: int = 60, key_cols: Sequence[str] = (), long_chain: int = LONG_CHAIN) -> DataFrame:
+    within = cut_lineage(blocks.join(F.broadcast(crossing), same(blocks, crossing, {k: k for k in keys}), "left_semi"))
+    left = cut_lineage(_stream(within, [*keys, "_part"], _leaving(window_us), "_leave"))
+    goals = left.select(*keys, "_leave", (F.col("_leave") + window_us).alias("_goal")).distinct()
+    onward = next_instant(within, goals, keys, "_us", "_goal", "_next", after=True, partitions=partitions).filter(F.col("_next").isNotNull()).drop("_goal")
+    leads = left.join(onward, same(left, onward, {**{k: k for k in keys}, "_leave": "_leave"})).select(*[left[k] for k in keys], left["_us"], "_next")
+    leads = cut_lineage(leads)
+    # only instants at which a block can be entered from outside
+    firsts = within.groupBy(*keys).agg(F.min("_us").alias("_us"))
+    doors = leads.select(*keys, F.col("_next").alias("_us")).unionByName(firsts).distinct()
+    leads = cut_lineage(leads.join(doors, same(leads, doors, {c: c for c in [*keys, "_us"]}), "left_semi"))
+    reached = cut_lineage(firsts)
+    while not leads.isEmpty():
+        here = same(reached, leads, {c: c for c in [*keys, "_us"]})
+        step = reached.join(leads, here).select(*[reached[k] for k in keys], F.col("_next").alias("_us"))
+        reached = cut_lineage(reached.unionByName(step).distinct())
+        far = leads.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_us").alias("_mid"), F.col("_next").alias("_far"))
+        twice = leads.join(far, same(leads, far, {**{k: f"_k{i}" for i, k in enumerate(keys)}, "_next": "_mid"}))
+        leads = cut_lineage(twice.select(*keys, "_us", F.col("_far").alias("_next")))
+    entered = within.join(reached, same(within, reached, {c: c for c in [*keys, "_us"]}), "left_semi")
+    return entered.groupBy(*keys, "_part").agg(F.min("_us").alias("_start"))
+
+
+def time_groups(findings: DataFrame, window_minutes: int = 60, key_cols: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
     """Findings with ``group_start``: a group takes all findings within the window of its first one.
 
-    Only the distinct instants matter. Gaps longer than the window always start a group, so the
-    instants are cut into chains at those gaps (without gathering a key) and chains are walked
-    apart. A chain too long for one task is walked by :func:`_jump`. Groups of one finding are kept
-    here and dropped by :func:`correlate`.
+    Only the distinct instants matter. They are cut into blocks by ranges of (key, instant), whatever
+    the key; a block is walked from its first anchor, which is the key's first instant or comes from the
+    blocks before (:func:`_entries`). Groups of one finding are kept here and dropped by
+    :func:`correlate`. Findings without a time have no group.
     """
     window_us = window_minutes * 60_000_000
     keys = list(key_cols)
     whole = [] if keys else ["_all"]
     df = findings if keys else findings.withColumn("_all", F.lit(0))
     keys = keys + whole
-    instants = df.select(*keys, "timestamp").distinct()
-    block = max(3600, window_minutes * 240)
-    gaps = running(instants, keys, ["timestamp"], "timestamp", previous={"_prev": F.unix_micros("timestamp")}, block_seconds=block)
-    gaps = gaps.withColumn("_us", F.unix_micros("timestamp"))
-    starts = F.when(F.col("_prev").isNull() | (F.col("_us") - F.col("_prev") > window_us), F.col("_us"))
-    chains = cut_lineage(running(gaps.withColumn("_start", starts).drop("_prev"), keys, ["timestamp"], "timestamp", maxes={"_chain": F.col("_start")}, block_seconds=block)
-                         .select(*keys, "_us", "_chain"))
-    sizes = chains.groupBy(*keys, "_chain").agg(F.count(F.lit(1)).alias("_n"))
-    sized = chains.join(sizes, [*keys, "_chain"])
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chains.schema if f.name != "_us")
-    by = [*keys, "_chain"]
-    ordered = sized.filter(F.col("_n") <= long_chain).select(*by, "_us").repartition(*by).sortWithinPartitions(*by, "_us")
-    short = ordered.mapInPandas(_walker(by, window_us), schema=f"{types}, _anchor bigint")
-    anchors = short
-    if not sizes.filter(F.col("_n") > long_chain).isEmpty():
-        anchors = short.unionByName(_jump(sized.filter(F.col("_n") > long_chain).drop("_n"), [*keys, "_chain"], window_us))
-    marks = anchors.select(*keys, F.timestamp_micros("_anchor").alias("timestamp"), F.lit(1).alias("_mark"), F.timestamp_micros("_anchor").alias("_a"))
-    merged = df.withColumns({"_mark": F.lit(0), "_a": F.lit(None).cast("timestamp")}).unionByName(marks, allowMissingColumns=True)
-    merged = merged.withColumn("_late", 1 - F.col("_mark"))
-    out = running(merged, keys, ["timestamp", "_late"], "timestamp", maxes={"group_start": F.col("_a")}, block_seconds=block)
-    return out.filter(F.col("_mark") == 0).drop("_mark", "_a", "_late", *whole)
+    instants = df.select(*keys, F.unix_micros("timestamp").alias("_us")).filter(F.col("_us").isNotNull()).distinct()
+    blocks = ranged(instants, keys, ["_us"], partitions)
+    crossing = cut_lineage(spanning(blocks, keys).drop("_lo").withColumn("_crosses", F.lit(True)))
+    walked = blocks
+    if not crossing.isEmpty():
+        # both sides hold fewer than two rows for each block border
+        entries = cut_lineage(_entries(blocks, crossing, keys, window_us, partitions))
+        crosses = blocks.join(F.broadcast(crossing), same(blocks, crossing, {k: k for k in keys}), "left").select(*[blocks[c] for c in blocks.columns], "_crosses")
+        started = crosses.join(F.broadcast(entries), same(crosses, entries, {c: c for c in [*keys, "_part"]}), "left")
+        walked = started.filter(F.col("_crosses").isNull() | (F.col("_us") >= F.col("_start"))).select(*[crosses[c] for c in blocks.columns])
+    anchors = _stream(walked, [*keys, "_part"], _anchors(window_us), "_anchor")
+    marks = anchors.select(*keys, F.timestamp_micros("_anchor").alias("timestamp"), F.lit(0).alias("_late"), F.timestamp_micros("_anchor").alias("_a"))
+    rows = df.withColumns({"_late": F.lit(1), "_a": F.lit(None).cast("timestamp"), "_tie": tie(df)})
+    out = running(rows.unionByName(marks, allowMissingColumns=True), keys, ["timestamp", "_late", "_tie"], maxes={"group_start": F.col("_a")}, partitions=partitions)
+    return out.filter(F.col("_late") == 1).drop("_late", "_a", "_tie", *whole)
 
 
 def _valued(kind: str):
@@ -233,8 +264,8 @@ def score_groups(grouped: DataFrame, by: list[str], min_score: float = 0.3) -> D
                      "classification", "sources", reason.alias("reasoning"))
 
 
-def correlate(findings: DataFrame, window_minutes: int = 60, min_score: float = 0.3, key_cols: Sequence[str] = (), long_chain: int = LONG_CHAIN) -> DataFrame:
-    grouped = cut_lineage(time_groups(findings, window_minutes, key_cols, long_chain))
+def correlate(findings: DataFrame, window_minutes: int = 60, min_score: float = 0.3, key_cols: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+    grouped = cut_lineage(time_groups(findings, window_minutes, key_cols, partitions))
     return score_groups(grouped, [*key_cols, "group_start"], min_score)
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.severity import severity_rank
-from ..plans.blocked import first_in_window, sliding_sums
+from ..plans.blocked import sliding_sums
+from ..session import cut_lineage
 
 # What marks a failed sign-in.
 AUTH_FAILURE_TYPES = ("auth_failed", "login_failed", "authentication_failure")
@@ -105,8 +106,8 @@ def _finding(df: DataFrame, kind: str, detection: str, severity: str, confidence
 def brute_force(events: DataFrame, threshold: int = 5, window_sec: int = 60) -> DataFrame:
     """One finding per failed sign-in at which its key has ``threshold`` or more in the window."""
     failures = log_view(events).filter(is_auth_failure()).select("event_id", "timestamp", "source_ip", "username").withColumn("tracking_key", tracking_key())
-    hits = sliding_sums(failures, ["tracking_key"], "timestamp", window_sec, {"failures": F.lit(1)}).filter(F.col("failures") >= threshold)
-    hits = first_in_window(failures, hits, ["tracking_key"], "timestamp", window_sec, "first_at")
+    hits = sliding_sums(cut_lineage(failures), ["tracking_key"], "timestamp", window_sec, {"failures": F.lit(1)},
+                        where=F.col("failures") >= threshold, first="first_at")
     text = F.format_string(f"Detected %d auth failures from %s in {window_sec}s", F.col("failures"), F.col("tracking_key"))
     return _finding(hits, "bf", "brute_force", "high", "high", "brute_force_detector", F.coalesce("source_ip", F.lit("")), text,
                     ("T1110", "T1110.001"), ("credential-access",), F.col("first_at"), F.col("timestamp"), F.col("failures"), F.lit(threshold))
@@ -122,8 +123,7 @@ def privilege_escalation(events: DataFrame) -> DataFrame:
 
 def request_rate(events: DataFrame, threshold: int = 100, window_sec: int = 60) -> DataFrame:
     rows = events.filter(F.col("source_ip") != "").select("event_id", "timestamp", "source_ip")
-    hits = sliding_sums(rows, ["source_ip"], "timestamp", window_sec, {"requests": F.lit(1)}).filter(F.col("requests") >= threshold)
-    hits = first_in_window(rows, hits, ["source_ip"], "timestamp", window_sec, "first_at")
+    hits = sliding_sums(rows, ["source_ip"], "timestamp", window_sec, {"requests": F.lit(1)}, where=F.col("requests") >= threshold, first="first_at")
     text = F.format_string(f"Source %s exceeded rate limit: %d requests in {window_sec}s", F.col("source_ip"), F.col("requests"))
     return _finding(hits, "rate", "suspicious_rate", "medium", "high", "rate_limit_detector", F.col("source_ip"), text,
                     ("T1498",), ("impact",), F.col("first_at"), F.col("timestamp"), F.col("requests"), F.lit(threshold))
@@ -148,7 +148,7 @@ def anomaly_scores(events: DataFrame, window_sec: int = 60) -> DataFrame:
     """
     rows = log_view(events).select("event_id", "timestamp", "source_ip", "username", is_auth_failure().alias("_failed"))
     rows = rows.withColumn("tracking_key", F.coalesce(_absent(F.col("source_ip")), _absent(F.col("username"))))
-    rows = sliding_sums(rows.filter(F.col("tracking_key").isNotNull()), ["tracking_key"], "timestamp", window_sec,
+    rows = sliding_sums(cut_lineage(rows.filter(F.col("tracking_key").isNotNull())), ["tracking_key"], "timestamp", window_sec,
                         {"requests": F.lit(1), "failures": F.col("_failed").cast("int")})
     part = lambda value, base: F.least(F.abs(value - base) / base / ANOMALY_DEVIATION, F.lit(1.0))
     by_rate = F.when(_absent(F.col("source_ip")).isNotNull(), part(F.col("requests"), BASELINE_REQUESTS))

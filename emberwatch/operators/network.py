@@ -10,6 +10,7 @@ from ..functions.severity import lookup, severity_name, severity_rank
 from ..functions.text import entropy
 from ..plans.blocked import running, running_distinct
 from ..plans.fence import once
+from ..session import cut_lineage
 
 # Ports, agents and endings tied to command-and-control traffic.
 C2_PORTS = (443, 8443, 4443, 8080, 8888, 1337, 31337, 6667, 6697)
@@ -77,10 +78,10 @@ def lateral() -> Column:
     return F.coalesce(is_private("source_ip") & is_private("destination_ip") & F.col("destination_port").isin(*ADMIN_PORTS), F.lit(False))
 
 
-def port_scans(flows: DataFrame, threshold: int = PORT_SCAN_PORTS, block_seconds: int = 3600) -> DataFrame:
+def port_scans(flows: DataFrame, threshold: int = PORT_SCAN_PORTS) -> DataFrame:
     """Events at which their pair has touched ``threshold`` or more distinct ports so far."""
     rows = flows.filter((_text("source_ip") != "") & (F.coalesce("destination_port", F.lit(0)) != 0)).select(*ORDER, *PAIR, "destination_port")
-    return running_distinct(rows, PAIR, "destination_port", ORDER, "timestamp", "unique_ports", block_seconds).filter(F.col("unique_ports") >= threshold)
+    return running_distinct(rows, PAIR, "destination_port", ORDER, "unique_ports").filter(F.col("unique_ports") >= threshold)
 
 
 def sent_bytes(flows: DataFrame) -> Column:
@@ -89,25 +90,25 @@ def sent_bytes(flows: DataFrame) -> Column:
     return F.coalesce(*names, F.lit(0))
 
 
-def exfiltration(flows: DataFrame, threshold: int = EXFIL_BYTES, block_seconds: int = 3600) -> DataFrame:
+def exfiltration(flows: DataFrame, threshold: int = EXFIL_BYTES) -> DataFrame:
     """Events at which the bytes sent by a pair to an outside address reach ``threshold``."""
     sent = sent_bytes(flows)
     rows = flows.filter((_text("source_ip") != "") & (sent != 0) & is_external("destination_ip")).select(*ORDER, *PAIR, sent.alias("_sent"))
-    return running(rows, PAIR, ORDER, "timestamp", sums={"bytes_transferred": F.col("_sent")}, block_seconds=block_seconds).filter(
+    return running(rows, PAIR, ORDER, sums={"bytes_transferred": F.col("_sent")}).filter(
         F.col("bytes_transferred") >= threshold
     )
 
 
-def _gaps(flows: DataFrame, block_seconds: int) -> DataFrame:
+def _gaps(flows: DataFrame) -> DataFrame:
     rows = flows.filter((_text("source_ip") != "") & (_text("destination_ip") != "") & F.col("timestamp").isNotNull()).select(*ORDER, *PAIR)
-    rows = running(rows, PAIR, ORDER, "timestamp", previous={"_prev": F.col("timestamp")}, block_seconds=block_seconds)
+    rows = running(rows, PAIR, ORDER, previous={"_prev": F.col("timestamp")})
     gap = (F.unix_micros("timestamp") - F.unix_micros("_prev")) / 1e6
     return rows.withColumn("gap", F.when(gap > 0, gap)).drop("_prev")
 
 
-def beacon_pairs(flows: DataFrame, tolerance: float = BEACON_VARIATION, min_events: int = BEACON_EVENTS, block_seconds: int = 3600) -> DataFrame:
+def beacon_pairs(flows: DataFrame, tolerance: float = BEACON_VARIATION, min_events: int = BEACON_EVENTS) -> DataFrame:
     """Pairs that talk at regular intervals, one row per pair over the whole table."""
-    stats = _gaps(flows, block_seconds).groupBy(*PAIR).agg(
+    stats = _gaps(flows).groupBy(*PAIR).agg(
         F.count(F.lit(1)).alias("connection_count"), F.count("gap").alias("gap_count"),
         F.avg("gap").alias("avg_interval_sec"), F.stddev_pop("gap").alias("_sd"),
     )
@@ -115,13 +116,12 @@ def beacon_pairs(flows: DataFrame, tolerance: float = BEACON_VARIATION, min_even
     return stats.filter((F.col("connection_count") >= min_events) & (F.col("gap_count") >= BEACON_GAPS) & (F.col("variation") < tolerance))
 
 
-def beacons(flows: DataFrame, tolerance: float = BEACON_VARIATION, min_events: int = BEACON_EVENTS, block_seconds: int = 3600) -> DataFrame:
+def beacons(flows: DataFrame, tolerance: float = BEACON_VARIATION, min_events: int = BEACON_EVENTS) -> DataFrame:
     """Running form: events at which the intervals of their pair so far are regular."""
     gap = F.col("gap")
     rows = running(
-        _gaps(flows, block_seconds), PAIR, ORDER, "timestamp",
+        _gaps(flows), PAIR, ORDER,
         sums={"connection_count": F.lit(1), "gap_count": gap.isNotNull().cast("int"), "_sum": gap, "_square": gap * gap},
-        block_seconds=block_seconds,
     )
     mean = F.col("_sum") / F.when(F.col("gap_count") > 0, F.col("gap_count"))
     variance = F.greatest(F.col("_square") / F.when(F.col("gap_count") > 0, F.col("gap_count")) - mean * mean, F.lit(0.0))
@@ -169,10 +169,12 @@ def network_indicators(flows: DataFrame, port_threshold: int = PORT_SCAN_PORTS,
     The history checks yield few rows; they are keyed by event id, brought together and joined once.
     """
     mark = lambda df, kind, text, sev, conf, c: df.select("event_id", _history(kind, text, sev, conf, c).alias("i"))
+    # the few columns that the history checks read, stored once for all of them
+    seen = cut_lineage(flows.select(*ORDER, *PAIR, "destination_port", *[c for c in ("bytes_out", "bytes_sent") if c in flows.columns]))
     history = (
-        mark(port_scans(flows, port_threshold), "port_scan", F.format_string("Port scan detected: %d unique ports", F.col("unique_ports")), "medium", "high", 0.25)
-        .unionByName(mark(exfiltration(flows, byte_threshold), "data_exfiltration", F.lit("Large data transfer to external destination"), "high", "medium", 0.35))
-        .unionByName(mark(beacons(flows), "beaconing", F.lit("Regular interval connections detected (beaconing)"), "high", "high", 0.4))
+        mark(port_scans(seen, port_threshold), "port_scan", F.format_string("Port scan detected: %d unique ports", F.col("unique_ports")), "medium", "high", 0.25)
+        .unionByName(mark(exfiltration(seen, byte_threshold), "data_exfiltration", F.lit("Large data transfer to external destination"), "high", "medium", 0.35))
+        .unionByName(mark(beacons(seen), "beaconing", F.lit("Regular interval connections detected (beaconing)"), "high", "high", 0.4))
     )
     # at most three rows per event
     history = history.groupBy("event_id").agg(F.collect_list("i").alias("_history"))

@@ -1,144 +1,157 @@
-"""Windows over time that stay parallel when one key owns a large share of the rows.
+"""Windows over time that stay parallel when one key, or one instant, owns a large share of the rows.
 
-A plain window sends a whole key to one task. Here a key's rows are cut into time blocks, every
-block is its own window partition, and what a block needs from its past is brought in as extra
-rows: the rows of one window width for sliding frames, one carry row for running totals. The
-results equal those of the plain window.
+A plain window sends a whole key to one task. Here rows are dealt by ranges of (key, order), so a task
+holds a fixed share of the rows whatever their key or instant. A running value is then a prefix scan on
+two levels: every range sums up its rows, the few ranges of a key are scanned, and each range starts from
+what the ranges before it hand over. A sliding value is the difference of two running values, taken per
+instant. The results equal those of the plain window.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import cut_lineage
+
+#: rows of one instant that one task joins with the instant's result; more are split
+SPLIT_ROWS = 1 << 20
 
 
 def micros(ts: Column | str) -> Column:
     return F.unix_micros(ts)
 
 
-def block_number(ts: str, block: int) -> Column:
-    """Exact floor of the instant over the block length, in whole numbers."""
-    return F.expr(f"(unix_micros({ts}) - pmod(unix_micros({ts}), {block}L)) div {block}L")
+def tie(df: DataFrame) -> Column:
+    """Hash of a row, to order rows of one instant. Maps and variants, which cannot be hashed, are left out."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))])
 
 
-def sliding(
-    df: DataFrame,
-    keys: Sequence[str],
-    ts: str,
-    seconds: int,
-    aggs: dict[str, Column],
-    block_seconds: int | None = None,
-    open_start: bool = False,
-) -> DataFrame:
-    """Aggregates over ``[ts - seconds, ts]`` per key, both ends included (the start not, if ``open_start``).
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """The rows dealt by ranges of (keys, order), with the number of their range in ``_part``.
 
-    Each row is also sent to the next block when it lies within one window width of that block's
-    start, so a block holds everything its frames reach. With the default block of ten widths one
-    row in ten is sent twice. One shuffle.
+    Stored, so that a range keeps its rows however often it is read or computed again.
     """
-    spread = _spread(df, ts, seconds, block_seconds)
-    frame = (
-        Window.partitionBy(*keys, "_block").orderBy("_us")
-        .rangeBetween(-seconds * 1_000_000 + (1 if open_start else 0), Window.currentRow)
-    )
-    out = spread.select("*", *[agg.over(frame).alias(name) for name, agg in aggs.items()])
-    return out.filter(F.col("_block") == F.col("_home")).drop("_block", "_home", "_us")
-
-
-def _spread(df: DataFrame, ts: str, seconds: int, block_seconds: int | None) -> DataFrame:
-    block = (block_seconds or 10 * seconds) * 1_000_000
-    if block < seconds * 1_000_000:
-        raise ValueError("a block must be at least as long as the window")
-    home = df.select("*", block_number(ts, block).alias("_home"), micros(ts).alias("_us"))
-    reaches_next = F.col("_us") + seconds * 1_000_000 >= (F.col("_home") + 1) * block
-    return home.withColumn(
-        "_block",
-        F.explode(F.when(reaches_next, F.array(F.col("_home"), F.col("_home") + 1)).otherwise(F.array("_home"))),
-    )
+    count = [] if partitions is None else [partitions]
+    return cut_lineage(df.repartitionByRange(*count, *keys, *order).withColumn("_part", F.spark_partition_id()))
 
 
-def sliding_sums(
-    df: DataFrame, keys: Sequence[str], ts: str, seconds: int, sums: dict[str, Column], block_seconds: int | None = None, open_start: bool = False
-) -> DataFrame:
-    """Whole-number sums over ``[ts - seconds, ts]`` per key, in time linear in the rows.
+def same(left: DataFrame, right: DataFrame, pairs: dict[str, str]) -> Column:
+    """Equality of columns of two sides, nulls being equal."""
+    out = F.lit(True)
+    for a, b in pairs.items():
+        out = out & left[a].eqNullSafe(right[b])
+    return out
 
-    A frame that moves at both ends is summed anew for every row, which is quadratic where a key is
-    dense. Two frames that start at the block's first row grow step by step; their difference is the
-    window.
-    """
-    spread = _spread(df, ts, seconds, block_seconds)
-    w = Window.partitionBy(*keys, "_block").orderBy("_us")
-    now = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    gone = w.rangeBetween(Window.unboundedPreceding, -seconds * 1_000_000 - (0 if open_start else 1))
-    part = lambda c, frame: F.coalesce(F.sum(c).over(frame), F.lit(0))
-    out = spread.select("*", *[(part(c, now) - part(c, gone)).cast("bigint").alias(name) for name, c in sums.items()])
-    return out.filter(F.col("_block") == F.col("_home")).drop("_block", "_home", "_us")
 
+def spanning(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that lie in several ranges, with their first range. At most one key goes on over each border."""
+    per = blocks.groupBy(*keys).agg(F.min("_part").alias("_lo"), F.max("_part").alias("_hi"))
+    return per.filter(F.col("_lo") < F.col("_hi")).drop("_hi")
 
-def first_in_window(rows: DataFrame, hits: DataFrame, keys: Sequence[str], ts: str, seconds: int, name: str) -> DataFrame:
-    """``hits`` with the earliest instant of their key's ``rows`` within ``[ts - seconds, ts]``.
 
-    Each hit is a probe at the start of its window. In mirrored time the wanted instant is the last
-    one seen before the probe, a running maximum; the hit's own columns ride on the probe.
-    """
-    at = F.unix_micros(ts)
-    points = rows.select(*keys, F.timestamp_micros(-at).alias("_neg"), F.lit(0).alias("_probe"), (-at).alias("_v"))
-    probes = hits.select(*keys, F.timestamp_micros(-(at - seconds * 1_000_000)).alias("_neg"), F.lit(1).alias("_probe"), F.struct(*hits.columns).alias("_h"))
-    merged = points.unionByName(probes, allowMissingColumns=True)
-    seen = running(merged, keys, ["_neg", "_probe"], "_neg", maxes={"_last": F.col("_v")}, block_seconds=10 * seconds)
-    return seen.filter(F.col("_probe") == 1).select("_h.*", F.timestamp_micros(-F.col("_last")).alias(name))
+_COMBINE = {
+    "s": (F.sum, lambda a, b: F.coalesce(a + b, a, b)),
+    "m": (F.max, F.greatest),
+    "x": (F.bit_xor, lambda a, b: F.coalesce(a.bitwiseXOR(b), a, b)),
+}
 
 
 def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    ts: str,
     sums: dict[str, Column] | None = None,
     maxes: dict[str, Column] | None = None,
     previous: dict[str, Column] | None = None,
-    block_seconds: int = 3600,
+    xors: dict[str, Column] | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Running sums and maxima up to each row (itself included) and values of the row before.
+    """Running sums, maxima and exclusive-ors up to each row (itself included) and values of the row before.
 
-    ``order`` must be a total order that starts with ``ts``. Block totals are built with map-side
-    combining, summed over the few blocks of a key, and enter each block as one carry row placed
-    before its first row.
+    ``order`` should be a total order: rows it does not tell apart stay in one range. What the ranges
+    hand over is a row for each border that a key crosses, so it is fewer rows than there are ranges.
     """
-    sums, maxes, previous = sums or {}, maxes or {}, previous or {}
-    block = block_number(ts, block_seconds * 1_000_000)
-    rows = df.select(
-        "*", block.alias("_block"),
-        *[c.alias(f"_s_{n}") for n, c in sums.items()], *[c.alias(f"_m_{n}") for n, c in maxes.items()],
-        *[F.struct(c.alias("v")).alias(f"_p_{n}") for n, c in previous.items()],
-    )
-    last = F.struct(*order)
-    totals = rows.groupBy(*keys, "_block").agg(
-        F.lit(1).alias("_carry"),
-        *[F.sum(f"_s_{n}").alias(f"_s_{n}") for n in sums], *[F.max(f"_m_{n}").alias(f"_m_{n}") for n in maxes],
-        *[F.max_by(f"_p_{n}", last).alias(f"_p_{n}") for n in previous],
-    )
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    running_kinds = {"s": sums or {}, "m": maxes or {}, "x": xors or {}}
+    named = [(kind, n, c) for kind, items in running_kinds.items() for n, c in items.items()]
+    previous = previous or {}
+    rows = ranged(
+        df.select("*", *[c.alias(f"_{kind}_{n}") for kind, n, c in named], *[F.struct(c.alias("v")).alias(f"_p_{n}") for n, c in previous.items()]),
+        keys, order, partitions)
+    totals = rows.groupBy(*keys, "_part").agg(
+        F.lit(1).alias("_one"), *[_COMBINE[kind][0](f"_{kind}_{n}").alias(f"_{kind}_{n}") for kind, n, _ in named],
+        *[F.max_by(f"_p_{n}", F.struct(*order)).alias(f"_p_{n}") for n in previous])
+    by_part = Window.partitionBy(*keys).orderBy("_part")
+    before = by_part.rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
-        *keys, "_block", "_carry",
-        *[F.sum(f"_s_{n}").over(before).alias(f"_s_{n}") for n in sums],
-        *[F.max(f"_m_{n}").over(before).alias(f"_m_{n}") for n in maxes],
-        *[F.last(f"_p_{n}", ignorenulls=True).over(before).alias(f"_p_{n}") for n in previous],
-    )
-    both = rows.withColumn("_carry", F.lit(0)).unionByName(carry, allowMissingColumns=True)
-    # the carry row comes first: its order columns are null
-    first = [F.col("_carry").desc(), *[F.col(c).asc() for c in order]]
-    upto = Window.partitionBy(*keys, "_block").orderBy(*first).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    prior = Window.partitionBy(*keys, "_block").orderBy(*first)
-    out = both.select(
-        *df.columns, "_carry",
-        *[F.sum(f"_s_{n}").over(upto).alias(n) for n in sums],
-        *[F.max(f"_m_{n}").over(upto).alias(n) for n in maxes],
-        *[F.lag(f"_p_{n}").over(prior)["v"].alias(n) for n in previous],
-    )
-    return out.filter(F.col("_carry") == 0).drop("_carry")
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_kpart"), F.row_number().over(by_part).alias("_nth"),
+        *[_COMBINE[kind][0](f"_{kind}_{n}").over(before).alias(f"_c{kind}_{n}") for kind, n, _ in named],
+        *[F.lag(f"_p_{n}").over(by_part).alias(f"_cp_{n}") for n in previous],
+    ).filter(F.col("_nth") > 1)
+    link = {**{k: f"_k{i}" for i, k in enumerate(keys)}, "_part": "_kpart"}
+    both = rows.join(F.broadcast(carry), same(rows, carry, link), "left")
+    here = Window.partitionBy(*keys, "_part").orderBy(*[F.col(c).asc() for c in order])
+    upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        *[_COMBINE[kind][1](_COMBINE[kind][0](f"_{kind}_{n}").over(upto), F.col(f"_c{kind}_{n}")).alias(n) for kind, n, _ in named],
+        *[F.coalesce(F.lag(f"_p_{n}").over(here), F.col(f"_cp_{n}"))["v"].alias(n) for n in previous])
+
+
+def sliding_sums(
+    df: DataFrame, keys: Sequence[str], ts: str, seconds: int, sums: dict[str, Column], open_start: bool = False,
+    where: Column | None = None, first: str | None = None, partitions: int | None = None,
+) -> DataFrame:
+    """Whole-number sums over ``[ts - seconds, ts]`` per key, both ends included (the start not, if ``open_start``).
+
+    Rows of one instant have one result, so they are summed first. Instants and the starts of their
+    windows then share one scan; the window is the difference of the two running sums. Time is linear
+    in the rows however dense a key is. ``where``, over the sums, keeps only the rows whose window passes,
+    and ``first`` adds the earliest instant in the window.
+    """
+    width = seconds * 1_000_000
+    rows = df.withColumn("_us", micros(ts))
+    instants = cut_lineage(rows.groupBy(*keys, "_us").agg(*[F.sum(c).alias(f"_v_{n}") for n, c in sums.items()], F.count(F.lit(1)).alias("_n")))
+    values = [f"_v_{n}" for n in sums]
+    points = instants.select(*keys, F.col("_us").alias("_at"), F.lit(1).alias("_kind"), F.col("_us").alias("_for"), *values)
+    # sums before a window: a closed start stands before the instants at the same time, an open one after them
+    starts = instants.filter(F.col("_us").isNotNull()).select(
+        *keys, (F.col("_us") - width).alias("_at"), F.lit(2 if open_start else 0).alias("_kind"), F.col("_us").alias("_for"))
+    seen = running(points.unionByName(starts, allowMissingColumns=True), keys, ["_at", "_kind"], sums={n: F.col(f"_v_{n}") for n in sums}, partitions=partitions)
+    signed = lambda n: F.coalesce(F.when(F.col("_kind") == 1, F.col(n)).otherwise(-F.col(n)), F.lit(0))
+    window = seen.groupBy(*keys, F.col("_for").alias("_us")).agg(*[F.sum(signed(n)).cast("bigint").alias(n) for n in sums])
+    if where is not None:
+        window = window.filter(where)
+    if first:
+        window = window.withColumn("_start", F.col("_us") - width)
+        window = next_instant(instants, window, keys, "_us", "_start", "_first", after=open_start, partitions=partitions).withColumn(first, F.timestamp_micros("_first"))
+    added = [*sums, *([first] if first else [])]
+    window = window.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_us").alias("_kus"), *added)
+    link = {**{k: f"_k{i}" for i, k in enumerate(keys)}, "_us": "_kus"}
+    pieces = math.ceil((instants.agg(F.max("_n")).first()[0] or 0) / SPLIT_ROWS)  # one number
+    if pieces > 1:
+        rows = rows.withColumn("_piece", F.pmod(tie(df), F.lit(pieces)))
+        held = rows.select(*keys, "_us", "_piece").distinct()
+        window = held.join(window, same(held, window, link)).select(*window.columns, F.col("_piece").alias("_kpiece"))
+        link["_piece"] = "_kpiece"
+    return rows.join(window, same(rows, window, link)).select(*[rows[f"`{c}`"] for c in df.columns], *added)
+
+
+def next_instant(points: DataFrame, probes: DataFrame, keys: Sequence[str], us: str, at: str, name: str, after: bool, partitions: int | None = None) -> DataFrame:
+    """``probes`` with the earliest ``us`` of their key's ``points`` from ``at`` on (``after``: beyond it), in whole microseconds.
+
+    In mirrored time the wanted instant is the last one seen before the probe, a running maximum; the
+    probe's own columns ride along.
+    """
+    seen = points.select(*keys, (-F.col(us)).alias("_neg"), F.lit(1).alias("_kind")).distinct()
+    asked = probes.select(*keys, (-F.col(at)).alias("_neg"), F.lit(0 if after else 2).alias("_kind"), tie(probes).alias("_tie"), F.struct(*[F.col(f"`{c}`") for c in probes.columns]).alias("_h"))
+    merged = seen.unionByName(asked, allowMissingColumns=True)
+    done = running(merged, keys, ["_neg", "_kind", "_tie"], maxes={"_last": F.when(F.col("_kind") == 1, F.col("_neg"))}, partitions=partitions)
+    return done.filter(F.col("_kind") != 1).select("_h.*", (-F.col("_last")).alias(name))
 
 
 def first_seen(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
@@ -150,11 +163,11 @@ def first_seen(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[s
 
 
 def running_distinct(
-    df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], ts: str, name: str, block_seconds: int = 3600
+    df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], name: str, partitions: int | None = None
 ) -> DataFrame:
     """Number of distinct values seen so far per key, as a running sum of first sightings."""
     marks = first_seen(df, keys, value, order).select(*keys, *order, F.lit(1).alias("_first"))
     # a first sighting is one of the rows itself; it goes in as a row of its own just before it
     rows = df.withColumn("_first", F.lit(0)).unionByName(marks, allowMissingColumns=True).withColumn("_mark", 1 - F.col("_first"))
-    out = running(rows, keys, [*order, "_mark"], ts, sums={name: F.col("_first")}, block_seconds=block_seconds)
+    out = running(rows, keys, [*order, "_mark"], sums={name: F.col("_first")}, partitions=partitions)
     return out.filter(F.col("_first") == 0).drop("_first", "_mark")

@@ -19,22 +19,47 @@ def greedy(times, window):
     return out
 
 
-@pytest.mark.parametrize("long_chain", [10**6, 3])
+@pytest.mark.parametrize("partitions", [None, 7])
 @pytest.mark.parametrize("keys", [(), ("k",)])
-def test_time_groups_equal_greedy(spark, long_chain, keys):
+def test_time_groups_equal_greedy(spark, partitions, keys):
     rng = random.Random(3)
     rows = []
     for i in range(200):
         at = rng.choice([rng.randrange(20_000), 60_000 + rng.randrange(4000), 3600 * rng.randrange(9)])
         rows.append((f"f{i}", rng.choice("ab"), T0 + timedelta(seconds=at)))
+    check_groups(spark, rows, keys, partitions)
+
+
+def check_groups(spark, rows, keys, partitions, minutes=60):
     df = spark.createDataFrame(rows, "finding_id string, k string, timestamp timestamp")
-    got = {r.finding_id: r.group_start for r in K.time_groups(df, 60, keys, long_chain).collect()}
+    got = {r.finding_id: r.group_start for r in K.time_groups(df, minutes, keys, partitions).collect()}
     assert len(got) == len(rows)
-    for key in ("a", "b") if keys else (None,):
-        mine = [r for r in rows if key is None or r[1] == key]
-        want = greedy([r[2] for r in mine], timedelta(minutes=60))
+    for key in {r[1] for r in rows} if keys else (None,):
+        mine = [r for r in rows if not keys or r[1] == key]
+        want = greedy([r[2] for r in mine if r[2] is not None], timedelta(minutes=minutes))
         for r in mine:
-            assert got[r[0]] == want[r[2]]
+            assert got[r[0]] == want.get(r[2])
+
+
+@pytest.mark.parametrize("joins", ["-1", "10MB"])
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_time_groups_hot_key_and_settings(spark, joins, adaptive):
+    """One key over many blocks, dense and sparse stretches, a null key and a null time, under forced plans, twice each."""
+    rng = random.Random(11)
+    rows, at = [], 0
+    for i in range(900):
+        at += rng.choice([1, 1, 1, 40, 700]) if i % 300 else 9000
+        rows.append((f"f{i}", "hot", T0 + timedelta(seconds=at)))
+    rows += [(f"g{i}", None if i % 2 else f"k{i % 5}", T0 + timedelta(seconds=rng.randrange(9000))) for i in range(60)] + [("none", "hot", None)]
+    held = {n: spark.conf.get(n) for n in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joins)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        for _ in range(2):
+            check_groups(spark, rows, ("k",), 9, minutes=10)
+    finally:
+        for n, v in held.items():
+            spark.conf.set(n, v)
 
 
 def test_pair_scores(spark):
