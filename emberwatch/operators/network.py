@@ -94,7 +94,8 @@ def exfiltration(flows: DataFrame, threshold: int = EXFIL_BYTES) -> DataFrame:
     """Events at which the bytes sent by a pair to an outside address reach ``threshold``."""
     sent = sent_bytes(flows)
     rows = flows.filter((_text("source_ip") != "") & (sent != 0) & is_external("destination_ip")).select(*ORDER, *PAIR, sent.alias("_sent"))
-    return running(rows, PAIR, ORDER, sums={"bytes_transferred": F.col("_sent")}).filter(
+    # the address test is not light, and dealing by ranges looks at its input twice
+    return running(cut_lineage(rows), PAIR, ORDER, sums={"bytes_transferred": F.col("_sent")}).filter(
         F.col("bytes_transferred") >= threshold
     )
 
