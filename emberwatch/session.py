@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # no call-site capture per Column: plans here are built from many small expressions
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # keyed streams keep maps and timers, which only this state store holds
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

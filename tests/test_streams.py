@@ -55,12 +55,99 @@ def test_brute_force_stream_equals_batch(spark, folder):
 
 
 def test_pairs_stream_equals_batch(spark, folder):
-    data = rows()
-    stream = as_stream(spark, folder, [data[:60], data[60:], [LAST]])
-    got = {(r.event_id, r.threat_type, r.value) for r in run(ST.running_pairs(stream, 10, 500_000, delay="30 minutes"), folder)}
+    data = rows() + [(f"b{i:02d}", T0 + timedelta(seconds=60 * i + i % 2), "2.2.2.2", "8.8.4.4", 0, 0, "u", "view", "ok", "allowed", "", "") for i in range(12)]
+    data += [("n1", T0, "", "8.8.8.8", 5, 10**9, "u", "view", "ok", "allowed", "", ""), ("n2", T0, "3.3.3.3", None, 5, 10**9, "u", "view", "ok", "allowed", "", "")]
+    stream = as_stream(spark, folder, [data[::2], data[1::2], [LAST]])
+    got = sorted((r.event_id, r.threat_type, r.value) for r in run(ST.running_pairs(stream, 10, 500_000, delay="30 minutes"), folder))
     df = spark.createDataFrame(data, SCHEMA)
-    want = {(r.event_id, "port_scan", r.unique_ports) for r in N.port_scans(df, 10).collect()} | {(r.event_id, "data_exfiltration", r.bytes_transferred) for r in N.exfiltration(df, 500_000).collect()}
-    assert got == want and want
+    want = [(r.event_id, "port_scan", r.unique_ports) for r in N.port_scans(df, 10).collect()] + [(r.event_id, "data_exfiltration", r.bytes_transferred) for r in N.exfiltration(df, 500_000).collect()]
+    want += [(r.event_id, "beaconing", r.connection_count) for r in N.beacons(df).collect()]
+    assert got == sorted(want) and {t for _, t, _ in want} == {"port_scan", "data_exfiltration", "beaconing"}
+
+
+class Store:
+    """State of one key in memory, with the calls the processors use."""
+
+    def __init__(self):
+        self.maps, self.values, self.timers = {}, {}, set()
+
+    def getMapState(self, name, *schemas):
+        held = self.maps.setdefault(name, {})
+
+        class Map:
+            updateValue = staticmethod(held.__setitem__)
+            getValue = staticmethod(held.__getitem__)
+            removeKey = staticmethod(held.__delitem__)
+            keys = staticmethod(lambda: list(held))
+            clear = staticmethod(held.clear)
+
+        return Map
+
+    def getValueState(self, name, schema):
+        held = self.values
+
+        class Value:
+            exists = staticmethod(lambda: name in held)
+            get = staticmethod(lambda: held[name])
+            update = staticmethod(lambda v: held.__setitem__(name, v))
+            clear = staticmethod(lambda: held.pop(name, None))
+
+        return Value
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+
+class At:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def fed(processor, batches):
+    """Output of a processor over batches of rows, and the largest entry it ever wrote; its state must be gone at the end."""
+    store, out, largest = Store(), [], 0
+    processor.init(store)
+    for pdf in batches:
+        list(processor.handleInputRows(("k",), iter([pdf]), At(0)))
+        largest = max([largest, *(len(v[0]) for m in ("pending", "past") for v in store.maps.get(m, {}).values())])
+    for ms in sorted(store.timers):
+        out += list(processor.handleExpiredTimer(("k",), At(ms), None))
+    while left := [t for t in store.timers if t > ms]:
+        ms = min(left)
+        out += list(processor.handleExpiredTimer(("k",), At(ms), None))
+        largest = max([largest, *(len(v[0]) for v in store.maps.get("past", {}).values())])
+    assert not any(store.maps.values()) and set(store.values) <= {"chunks"}
+    return out, largest
+
+
+def test_hot_key_keeps_small_entries():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    us = rng.integers(0, 40_000_000, 100_000)
+    us[:50_000] = 5_000_000  # half of them at one instant
+    rng.shuffle(us)
+    pdf = pd.DataFrame({"us": us, "event_id": [f"e{i}" for i in range(len(us))]})
+    out, largest = fed(ST.Sliding(20_000, 3_000_000), [pdf.iloc[i::7] for i in range(7)])
+    got = pd.concat(out)
+    ordered = np.sort(us)
+    hits = np.searchsorted(ordered, us, side="right") - np.searchsorted(ordered, us - 3_000_000, side="left")
+    assert largest <= ST.CHUNK and dict(zip(got.event_id, got.hits)) == {e: h for e, h in zip(pdf.event_id, hits) if h >= 20_000}
+
+    flows = pdf.assign(port=us % 50 + 1, sent=1, talks=1)  # port 0 is no port
+    out, largest = fed(ST.Pairs(50, 99_990, 10**9, 0.1, 5, 3), [flows.iloc[i::3] for i in range(3)])
+    got = pd.concat(out)
+    assert largest <= ST.CHUNK and (got.threat_type == "data_exfiltration").sum() == 11 and (got.threat_type == "port_scan").sum() > 90_000
+
+
+def test_silent_pair_starts_anew():
+    import pandas as pd
+
+    us = [0, 1_000_000, 2_000_000, 500_000_000, 501_000_000]
+    pdf = pd.DataFrame({"us": us, "event_id": list("abcde"), "port": [1, 2, 3, 1, 2], "sent": 1, "talks": 1})
+    out, _ = fed(ST.Pairs(3, 100, 60_000_000, 0.1, 50, 3), [pdf])
+    assert [(r.event_id, r.threat_type, r.value) for r in pd.concat(out).itertuples()] == [("c", "port_scan", 3)]
 
 
 def test_groups_stream_equals_batch(spark, folder):
