@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import detect as D
 from ..operators import rules as R
 from ..sources import feeds
@@ -118,6 +119,25 @@ def _(spark, sf):
     return D.detect(canon(spark, sf, *RULES), None, [rule]).select("event_id", "matched_value")
 
 
+# nested fields, a list of texts, a list of numbers, a null and an empty object
+NESTED = "concat('{\"a\": {\"b\": ', k, ', \"l\": [\"x\", \"y', k % 3, '\"]}, \"c\": null, \"n\": [1, ', k, '], \"e\": {}}')"
+
+
+@query("flatten_keys", f"""WITH {EV} SELECT event_id, 'normalized_data.a.b' AS field, cast(k AS varchar) AS value FROM ev UNION ALL SELECT event_id, 'normalized_data.a.l', concat('x y', k % 3) FROM ev
+ UNION ALL SELECT event_id, 'normalized_data.a.l_str', concat('x y', k % 3) FROM ev UNION ALL SELECT event_id, 'normalized_data.c', NULL FROM ev UNION ALL SELECT event_id, 'normalized_data.n', concat('1 ', k) FROM ev""")
+def _(spark, sf):
+    return X.flatten_keys(canon(spark, sf).selectExpr("event_id", f"{NESTED} as normalized_data"), "normalized_data", "normalized_data", ["event_id"])
+
+
+@query("detect_flattened_fields", f"""WITH {EV} SELECT event_id, 'list' AS rule_id, 'normalized_data.a.l_str' AS matched_field, concat('x y', k % 3) AS matched_value FROM ev WHERE k % 3 < 2
+ UNION ALL SELECT event_id, 'numbers', 'normalized_data.n', concat('1 ', k) FROM ev WHERE k < 10 UNION ALL SELECT event_id, 'nested', 'Normalized_Data.a.b', cast(k AS varchar) FROM ev WHERE k BETWEEN 10 AND 99""")
+def _(spark, sf):
+    rules = [R.regex_rule("^x y[01]$", "list", fields=("normalized_data.a.l_str",), rule_id="list"), R.regex_rule(r"^1 \d$", "numbers", fields=("normalized_data.a.l_none", "normalized_data.n"), rule_id="numbers"),
+             R.regex_rule(r"^\d\d$", "nested", fields=("Normalized_Data.a.b",), rule_id="nested")]
+    events = canon(spark, sf, *RULES, "k").withColumn("normalized_data", F.expr(NESTED))
+    return D.detect(events, None, rules).select("event_id", "rule_id", "matched_field", "matched_value")
+
+
 @query("detect_indicators", f"WITH {EV}, {IOC_SQL} SELECT event_id, rule_id, severity, matched_field, matched_value, ioc_type, (SELECT max(category) FROM fd0 WHERE fd0.value = CASE WHEN ioc_type = 'ip' THEN matched_value ELSE lower(matched_value) END) AS ioc_category FROM ic")
 def _(spark, sf):
     ev = canon(spark, sf, *RULES)

@@ -135,8 +135,9 @@ def host_of(url: Column | str) -> Column:
 
 def domain_suffixes(domain: Column | str) -> Column:
     """``a.b.c`` → [a.b.c, b.c, c]: every name a listed domain may match."""
-    labels = F.split(F.lower(F.trim(as_col(domain))), r"\.")
-    n = F.size(labels)
-    return F.transform(
-        F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), ".")
-    )
+
+    def named(name: Column) -> Column:
+        n = F.length(name) - F.length(F.replace(name, F.lit("."), F.lit(""))) + 1
+        return F.transform(F.sequence(-n, F.lit(-1)), lambda i: F.call_function("substring_index", name, F.lit("."), i))
+
+    return let(F.lower(F.trim(as_col(domain))), named)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .severity import as_col
 
 # Date layouts tried after ISO-8601.
@@ -123,3 +124,40 @@ def text_of(v: Column) -> Column:
     """Text of any variant: lists joined by a blank, everything else cast."""
     items = F.try_variant_get(v, "$", "array<string>")
     return F.coalesce(F.array_join(items, " "), F.try_variant_get(v, "$", "string"))
+
+
+def flat_field(v: Column, dotted: str) -> Column:
+    """Text of a flattened field: ``a.b`` walks objects, lists are joined by a blank, and ``a.b_str`` is a list of texts so joined."""
+    value = text_of(path(v, dotted, "variant"))
+    if not dotted.endswith("_str"):
+        return value
+    items = path(v, dotted.removesuffix("_str"), "variant")
+    texts = F.try_variant_get(items, "$", "array<string>")
+    kind = F.schema_of_variant(items)
+    return F.coalesce(value, F.when((kind == "ARRAY<STRING>") | ((kind == "ARRAY<VOID>") & (F.size(texts) == 0)), F.array_join(texts, " ")))
+
+
+def flatten_keys(df: DataFrame, column: str, prefix: str, keep: list[str]) -> DataFrame:
+    """Every field of a JSON object at any depth as a row: ``keep`` columns, ``field`` (dotted) and ``value`` as text.
+
+    Objects are opened level by level, so the rounds grow with the depth of the data. Lists are joined by a
+    blank; lists of texts are also given as ``<field>_str``. JSON nulls are fields with a null value; empty objects have none.
+    """
+    spark = df.sparkSession
+    level = df.select(*keep, F.lit(prefix).alias("field"), json_object(column).alias("_v")).filter("_v IS NOT NULL")
+    done = []
+    while True:
+        opened = level.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()).select("key", "value")).select(
+            *keep, F.concat("field", F.lit("."), "key").alias("field"), F.col("value").alias("_v"), F.schema_of_variant("value").startswith("OBJECT").alias("_open"))
+        opened = cut_lineage(opened)
+        done.append(opened.filter(~F.col("_open")).drop("_open"))
+        level = opened.filter("_open").drop("_open")
+        if level.isEmpty():
+            break
+    leaves = done[0]
+    for more in done[1:]:
+        leaves = leaves.unionByName(more)
+    texts = F.try_variant_get("_v", "$", "array<string>")
+    listed = (F.schema_of_variant("_v") == "ARRAY<STRING>") | ((F.schema_of_variant("_v") == "ARRAY<VOID>") & (F.size(texts) == 0))
+    joined = leaves.filter(listed).select(*keep, F.concat("field", F.lit("_str")).alias("field"), F.array_join(texts, " ").alias("value"))
+    return leaves.select(*keep, "field", text_of(F.col("_v")).alias("value")).unionByName(joined)

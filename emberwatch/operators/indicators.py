@@ -17,18 +17,40 @@ from ..plans.fence import once
 from .rules import Rule, field_column
 
 
-def _bits(ip: Column) -> Column:
-    """Address as a 128-character bit text (IPv6) or 32 (IPv4), so one prefix test serves both."""
-    v4 = F.lpad(F.bin(ipv4_number(ip)), 32, "0")
-    v6 = F.array_join(F.transform(ipv6_hextets(ip), lambda h: F.lpad(F.conv(h, 16, 2), 16, "0")), "")
-    return F.when(ip.contains(":"), v6).otherwise(v4)
+def _cut(value: Column, gone: Column) -> Column:
+    """A number without its last bits."""
+    return F.call_function("shiftleft", F.call_function("shiftright", value, gone), gone)
+
+
+def _halves(ip: Column) -> Column:
+    """An IPv6 address as two whole numbers."""
+
+    def half(groups: Column, first: int) -> Column:
+        part = lambda i: F.conv(F.get(groups, F.lit(first + i)), 16, 10).cast("bigint")
+        return F.shiftleft(part(0), 48).bitwiseOR(F.shiftleft(part(1), 32)).bitwiseOR(F.shiftleft(part(2), 16)).bitwiseOR(part(3))
+
+    return let(ipv6_hextets(ip), lambda g: F.when(g.isNotNull(), F.struct(half(g, 0).alias("hi"), half(g, 4).alias("lo"))))
+
+
+def _prefix4(number: Column, length: Column) -> Column:
+    return _cut(number, F.lit(32) - length).cast("string")
+
+
+def _prefix6(halves: Column, length: Column) -> Column:
+    # a shift by 64 would be none at all, so the empty and the full prefix of a half are told apart
+    def kept(value: Column, bits: Column) -> Column:
+        return F.when(bits <= 0, F.lit(0).cast("bigint")).when(bits >= 64, value).otherwise(_cut(value, F.lit(64) - bits))
+
+    return F.concat(kept(halves["hi"], length).cast("string"), F.lit(","), kept(halves["lo"], length - 64).cast("string"))
 
 
 def network_key(value: Column) -> Column:
-    """``a.b.c.d/n`` → key ``n:bits``; null when it is no network."""
+    """``a.b.c.d/n`` → key ``32/n:number``, for IPv6 ``128/n:number,number``; null when it is no network."""
     ip, length = F.split_part(value, F.lit("/"), F.lit(1)), F.split_part(value, F.lit("/"), F.lit(2)).try_cast("int")
-    bits = _bits(ip)
-    return F.when(length.between(0, F.length(bits)), F.concat(F.length(bits).cast("string"), F.lit("/"), length.cast("string"), F.lit(":"), F.substring(bits, F.lit(1), length)))
+    six = ip.contains(":")
+    number = F.when(six, let(_halves(ip), lambda h: _prefix6(h, length))).otherwise(_prefix4(ipv4_number(ip), length))
+    width = F.when(six, 128).otherwise(32)
+    return F.when(length.between(0, width), F.concat(width.cast("string"), F.lit("/"), length.cast("string"), F.lit(":"), number))
 
 
 def feed_keys(feed: DataFrame) -> DataFrame:
@@ -55,7 +77,8 @@ def feed_context(feed: DataFrame) -> DataFrame:
 def network_lengths(feed: DataFrame) -> DataFrame:
     """Distinct (address width, prefix length) pairs of the feed: at most 162 rows."""
     keys = feed_keys(feed).filter(F.col("key_kind") == "network")
-    return keys.select(F.split_part("key", F.lit(":"), F.lit(1)).alias("w")).distinct()
+    return keys.select(F.split_part("key", F.lit(":"), F.lit(1)).alias("w")).distinct().select(
+        F.struct(F.col("w").alias("name"), F.col("w").startswith("128/").alias("six"), F.split_part("w", F.lit("/"), F.lit(2)).cast("int").alias("length")).alias("w"))
 
 
 def lookup_keys(value: Column, ioc_type: str, widths: Column | None = None) -> Column:
@@ -64,17 +87,17 @@ def lookup_keys(value: Column, ioc_type: str, widths: Column | None = None) -> C
     if ioc_type == "ip":
         ip = norm_ip(value)
 
-        def keys(x: Column) -> Column:
-            exact = F.array(one("ip", x))
-            if widths is None:
-                return exact
-            bits = _bits(x)
-            nets = let(bits, lambda b: F.transform(
-                F.filter(F.coalesce(widths, F.array().cast("array<string>")), lambda w: F.split_part(w, F.lit("/"), F.lit(1)) == F.length(b).cast("string")),
-                lambda w: one("network", F.concat(w, F.lit(":"), F.substring(b, F.lit(1), F.split_part(w, F.lit("/"), F.lit(2)).cast("int"))))))
-            return F.concat(exact, F.coalesce(nets, F.array().cast(_KEYS)))
-
-        return F.when(ip.isNotNull(), let(ip, keys))
+        def nets(six: bool, number: Column) -> Column:
+            prefix = _prefix6 if six else _prefix4
+            wanted = F.filter(F.coalesce(widths, F.array().cast(_WIDTHS)), lambda w: w["six"] == six)
+            found = let(number, lambda x: F.transform(wanted, lambda w: one("network", F.concat(w["name"], F.lit(":"), prefix(x, w["length"])))))
+            return F.coalesce(found, F.array().cast(_KEYS))
+
+        exact = F.array(one("ip", ip))
+        if widths is not None:
+            # the address becomes a number once, whatever the count of prefix lengths
+            exact = F.concat(exact, F.when(ip.contains(":"), nets(True, _halves(ip))).otherwise(nets(False, ipv4_number(ip))))
+        return F.when(ip.isNotNull(), exact)
     if ioc_type == "domain":
         return F.transform(domain_suffixes(value), lambda d: one("domain", d))
     if ioc_type == "url":
@@ -84,6 +107,7 @@ def lookup_keys(value: Column, ioc_type: str, widths: Column | None = None) -> C
 
 
 _KEYS = "array<struct<key_kind:string,key:string>>"
+_WIDTHS = "array<struct<name:string,six:boolean,length:int>>"
 
 
 def match_indicators(events: DataFrame, feed: DataFrame, rules: list[Rule], carry: tuple = ()) -> DataFrame:

@@ -255,11 +255,15 @@ def field_column(name: str, columns: list[str]) -> Column:
         return F.col("raw_data") if "raw_data" in columns else F.lit(None).cast("string")
     head, _, rest = name.partition(".")
     if head.lower() == "raw_data" and rest:
-        return X.literal_key(F.col("_raw"), rest) if "raw_data" in columns else F.lit(None).cast("string")
+        if "raw_data" not in columns:
+            return F.lit(None).cast("string")
+        # the name as one key first, then as a way into nested objects
+        flat = X.literal_key(F.col("_raw"), rest)
+        return F.coalesce(flat, X.path(F.col("_raw"), rest)) if "." in rest else flat
     if head.lower() == "metadata" and rest:
         return F.try_element_at("metadata", F.lit(rest)) if "metadata" in columns else F.lit(None).cast("string")
     if head.lower() == "normalized_data" and rest:
-        return F.get_json_object("normalized_data", "$." + rest) if "normalized_data" in columns else F.lit(None).cast("string")
+        return X.flat_field(F.try_parse_json("normalized_data"), rest) if "normalized_data" in columns else F.lit(None).cast("string")
     if low.startswith("raw_"):
         return X.literal_key(F.col("_raw"), name[4:]) if "raw_data" in columns else F.lit(None).cast("string")
     return F.lit(None).cast("string")

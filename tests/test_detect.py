@@ -120,3 +120,38 @@ def test_sigma_files(spark, tmp_path):
 
 def test_catalogue(spark):
     assert {r.rule_type: r.rules for r in R.rule_counts(spark).collect()} == {"sigma": 4, "regex": 19, "ioc": 4}
+
+
+def test_flattened_fields(spark):
+    from emberwatch.functions import text as X
+    from emberwatch.operators import rules as R
+    from pyspark.sql import functions as F
+
+    texts = ['{"a": {"b": {"c": 1}}, "l": ["p", "q"], "m": ["p", 1], "o": []}', '{"a.b": "whole", "a": {"b": "way"}}', "[1]", "no json", "", None, "{}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "event_id int, j string")
+    got = {(r.event_id, r.field): r.value for r in X.flatten_keys(df, "j", "n", ["event_id"]).collect()}
+    assert got == {(0, "n.a.b.c"): "1", (0, "n.l"): "p q", (0, "n.l_str"): "p q", (0, "n.m"): "p 1", (0, "n.o"): "", (0, "n.o_str"): "", (1, "n.a.b"): got[(1, "n.a.b")]}
+    rows = df.withColumnsRenamed({"j": "raw_data"}).withColumn("normalized_data", F.col("raw_data")).withColumn("_raw", X.json_object("raw_data"))
+    field = lambda name: [r[0] for r in rows.orderBy("event_id").select(R.field_column(name, ["raw_data", "normalized_data"])).collect()]
+    assert field("raw_data.a.b")[:2] == ['{"c":1}', "whole"] and field("raw_data.a.b.c")[0] == "1"
+    assert field("normalized_data.l_str")[0] == "p q" and field("normalized_data.m_str")[0] is None and field("normalized_data.o_str")[0] == "" and field("NORMALIZED_DATA.m")[0] == "p 1"
+
+
+def test_network_prefixes(spark):
+    import ipaddress
+
+    from emberwatch.operators import indicators as I
+    from pyspark.sql import functions as F
+
+    nets = ["10.0.0.0/8", "0.0.0.0/0", "10.1.2.3/32", "255.255.255.255/1", "2001:db8::/32", "::/0", "2001:db8:0:1::/64", "2001:db8::8000:0:0:1/65", "ffff::1/128", "bad/3", "10.0.0.0/33"]
+    ips = ["10.1.2.3", "200.0.0.1", "2001:db8::1", "2001:db8:0:1::9", "2001:db8::8000:0:0:2", "ffff::1", "ffff::2"]
+    keys = {r.v: r.k for r in spark.createDataFrame([(n,) for n in nets], "v string").select("v", I.network_key(F.col("v")).alias("k")).collect()}
+    assert keys["bad/3"] is None and keys["10.0.0.0/33"] is None
+    widths = spark.createDataFrame([(n, "ip", None, None) for n in nets], "value string, kind string, category string, source string")
+    lengths = I.network_lengths(widths).agg(F.collect_set("w").alias("w"))
+    rows = spark.createDataFrame([(i,) for i in ips], "ip string").crossJoin(lengths).select("ip", F.explode(I.lookup_keys(F.col("ip"), "ip", F.col("w"))).alias("k")).select("ip", "k.*").collect()
+    for ip in ips:
+        found = {r.key for r in rows if r.ip == ip and r.key_kind == "network"}
+        for n in nets[:-2]:
+            inside = ipaddress.ip_address(ip) in ipaddress.ip_network(n, strict=False)
+            assert (keys[n] in found) == inside, (ip, n)
