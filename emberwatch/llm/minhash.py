@@ -218,7 +218,8 @@ def open_links(members: DataFrame, percent: int) -> DataFrame:
                         joined[root(comp)] = root(comp_y[k])
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return left.unionByName(right).groupBy(*bucket, "i", "j").applyInPandas(tile, "a bigint, b bigint")
+    # dealt by tile in so many words: a union of two sides dealt alike by bucket would be taken as dealt already
+    return left.unionByName(right).repartition(*bucket, "i", "j").groupBy(*bucket, "i", "j").applyInPandas(tile, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
