@@ -35,6 +35,15 @@ def written(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Removes ``written`` tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: size up to which a side of a join is sent to all tasks; beyond, both sides are shuffled
 SENT_BYTES = 64 << 20
 

@@ -116,31 +116,26 @@ def edits(a, b):
     return row[-1]
 
 
-def brute_lines(spark, rows, distance, least):
-    """(id, line) of the occurrences that go, and the SimHash of each line."""
-    norm = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
-    seen = [(i, n, norm(x)) for i, t in rows if t is not None and i is not None for n, x in enumerate(t.split("\n"))]
-    seen = [s for s in seen if s[2]]
-    vocabulary = sorted({w for *_, x in seen for w in x.split()})
-    hashes = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in vocabulary], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
-
-    def simhash(x):
-        h = [hashes[w] & (2**64 - 1) for w in x.split()]
-        return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h))
-
-    sims, groups = {x: simhash(x) for *_, x in seen}, Groups()
-    texts = sorted(sims)
+def normal(text):
+    return " ".join(re.findall(r"[^\W_]+", text.lower()))
+
+
+def brute_lines(rows, least):
+    """(id, line) of the occurrences that go."""
+    seen = [(i, n, normal(x)) for i, t in rows if t is not None and i is not None for n, x in enumerate(t.split("\n"))]
+    seen, groups = [s for s in seen if s[2]], Groups()
+    texts = sorted({x for *_, x in seen})
     for n, x in enumerate(texts):
         groups.root(x)
         for y in texts[:n]:
-            if min(len(x.split()), len(y.split())) >= lines.FUZZY_WORDS and (sims[x] ^ sims[y]).bit_count() <= distance and edits(x.split(), y.split()) <= (1 - least) * max(len(x.split()), len(y.split())) + 1e-9:
+            if min(len(x.split()), len(y.split())) >= lines.FUZZY_WORDS and edits(x.split(), y.split()) <= (1 - least) * max(len(x.split()), len(y.split())) + 1e-9:
                 groups.join(x, y)
     first, gone = {}, set()
     for i, n, x in sorted(seen):
         if groups.root(x) in first:
             gone.add((i, n))
         first.setdefault(groups.root(x), (i, n))
-    return gone, {(i, n): sims[x] - (1 << 64) * (sims[x] >> 63) for i, n, x in seen}
+    return gone
 
 
 def line_rows():
@@ -154,14 +149,13 @@ def line_rows():
     return rows + [(70, None), (71, ""), (72, "\n\n"), (None, base[0]), (73, base[1]), (73, base[1]), (74, "ÀÉ ñandú Straße " * 4)]
 
 
-@pytest.mark.parametrize("small", [lines.SMALL, 2])
-def test_lines_equal_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(lines, "SMALL", small)
+@pytest.mark.parametrize("tile", [lines.TILE, 2])
+def test_lines_equal_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(lines, "TILE", tile)
     rows = line_rows()
     df = spark.createDataFrame([(i, t, 4, "k") for i, t in rows], "doc_id bigint, text string, n bigint, line string").repartition(5)
-    want, sims = brute_lines(spark, rows, lines.DISTANCE, lines.SIMILARITY)
+    want = brute_lines(rows, lines.SIMILARITY)
     plain = df.select(F.col("doc_id").alias("id"), "text")
-    assert {(r["id"], r["line"]): r["simhash"] for r in lines.hashed(plain).filter("id <> 73").collect()} == {k: v for k, v in sims.items() if k[0] != 73}
     assert {(r["id"], r["line"]) for r in lines.removed_lines(plain).collect()} == want
     done = lines.deduplicated(df)
     assert done.columns == [*df.columns, "n_lines", "n_removed"]
@@ -171,8 +165,8 @@ def test_lines_equal_brute_force(spark, monkeypatch, small):
     assert any(n for *_, n in got)
 
 
-def test_near_lines_of_any_simhash_are_found(spark):
-    """Brute force without a Hamming filter: one word changed, and as many edits as are allowed, spread evenly."""
+def test_near_lines_are_found(spark):
+    """Brute force over all pairs: one word changed, and as many edits as are allowed, spread evenly."""
     rng = random.Random(12)
     rows = []
     for n in (8, 9, 12, 14, 20, 27, 34, 50, 80, 120, 300):
@@ -182,11 +176,11 @@ def test_near_lines_of_any_simhash_are_found(spark):
         for j in range(k):
             many[(j + 1) * n // (k + 1)] = f"other{j}"
         rows += [(len(rows) + i, " ".join(x)) for i, x in enumerate((base, one, many, base[: n // 2] + ["put", "in"] + base[n // 2 :], words(rng, n // 2) + base[n // 2 :]))]
-    want, sims = brute_lines(spark, rows, 64, lines.SIMILARITY)
+    want = brute_lines(rows, lines.SIMILARITY)
     df = spark.createDataFrame(rows, "id bigint, text string")
     assert {(r["id"], r["line"]) for r in lines.removed_lines(df).collect()} == want
-    assert len(want) > 25 and sum(((sims[i, 0] ^ sims[i - i % 5, 0]) & (2**64 - 1)).bit_count() > 2 for i, _ in want) > 15
-    assert {(r["id"], r["line"]) for r in lines.removed_lines(df, 2, 4).collect()} < want
+    assert len(want) > 25
+    assert {(r["id"], r["line"]) for r in lines.removed_lines(df, blocks=None).collect()} == want
 
 
 def test_rows_of_one_id_lose_their_own_lines_only(spark):
@@ -201,41 +195,43 @@ def test_words_of_a_shared_run(least, words):
     assert lines.run_words(least) == words
 
 
-def test_fuzzy_lines_join_through_later_centres(spark, monkeypatch):
-    """Buckets whose first member is like none of the others go on."""
-    monkeypatch.setattr(lines, "SMALL", 1)
-    monkeypatch.setattr(lines, "coded", lambda words: F.array_join(words, " "))
-    monkeypatch.setattr(lines, "alike", lambda x, y, least: ~(x.startswith("first") | y.startswith("first")))
+@pytest.mark.parametrize("tile", [lines.TILE, 1])
+def test_lines_of_a_bucket_meet_when_the_first_is_like_none(spark, monkeypatch, tile):
+    """One block for all: members of different groups meet in the second step."""
+    monkeypatch.setattr(lines, "TILE", tile)
+    monkeypatch.setattr(lines, "simhash_blocks", lambda pairs, length: F.array(F.lit(5).cast("bigint")))
     rng = random.Random(4)
-    base = " ".join(words(rng, 80))
-    rows = [(0, "first " + base)] + [(i, f"other{i % 2} {base}") for i in range(1, 5)]
-    sims = lines.hashed(spark.createDataFrame(rows, "id bigint, text string"))
-    classes = sims.groupBy("k1", "k2").agg(F.min(F.struct("id", "line")).alias("v"), F.first("n").alias("n")).withColumn("simhash", F.lit(5).cast("bigint"))
-    got = lines.fuzzy_links(spark.createDataFrame(rows, "id bigint, text string"), classes, 2, 4, 0.85).collect()
-    assert {(r["v"]["id"], r["component"]["id"]) for r in got} == {(1, 1), (2, 1)}
+    base = [words(rng, 40) for _ in range(4)]
+    rows = [(i, " ".join(changed(rng, x, 0.03) if i % 3 else x)) for i, x in enumerate(x for x in base for _ in range(3))]
+    got = {(r["id"], r["line"]) for r in lines.removed_lines(spark.createDataFrame(rows, "id bigint, text string")).collect()}
+    assert got == brute_lines(rows, lines.SIMILARITY) and len(got) == 8
 
 
-def test_vast_lines_are_counted_in_parts(spark, monkeypatch):
-    rows = [(1, "Alpha beta gamma " * 40), (2, "one two three")]
-    df = spark.createDataFrame(rows, "id bigint, text string")
-    usual = {r["id"]: (r["n"], r["simhash"]) for r in lines.hashed(df).collect()}
-    monkeypatch.setattr(lines, "LANE", 50)
-    assert {r["id"]: (r["n"], r["simhash"]) for r in lines.hashed(df).collect()} == usual
+def test_the_sieve_loses_no_line_alike(spark):
+    rng = random.Random(8)
+    rows = []
+    for n in [8, 13, 14, 40, 90, 200] * 6:
+        x, y = words(rng, n), None
+        y = list(x)
+        for _ in range(int(0.15 * n)):
+            at = rng.randrange(len(y))
+            y[at:at + 1] = rng.choice([["put"], [], [y[at], "in"]])
+        if edits(x, y) <= 0.15 * max(len(x), len(y)) + 1e-9:
+            rows.append((len(rows), " ".join(x) + "\n" + " ".join(y)))
+    got = lines.described(spark.createDataFrame(rows, "id bigint, text string"), 4, None).select("id", "line", F.struct("n", "fold").alias("mark"))
+    one, two = got.filter("line = 0").withColumnRenamed("mark", "ma"), got.filter("line = 1").select("id", F.col("mark").alias("mb"))
+    assert one.join(two, "id").filter(lines.near("ma", "mb", 0.85)).count() == len(rows) > 20
+
+
+def test_blocks_are_majorities_and_edits_spoil_their_own_windows_only(spark):
+    rng = random.Random(6)
+    x = [f"w{rng.randrange(10**9)}" for _ in range(30)]
+    y = x[:15] + ["other"] + x[16:]
+    got = lines.described(spark.createDataFrame([(0, " ".join(x)), (1, " ".join(y))], "id bigint, text string"), 4, None).orderBy("id").collect()
+    assert [len(r["blocks"]) for r in got] == [27, 27] and len(set(got[0]["blocks"]) & set(got[1]["blocks"])) == 23
+    three = spark.range(1).select(*[lines.majority([F.lit(v).cast("bigint") for v in vs]).alias(f"m{n}") for n, vs in enumerate([(12, 10, 6), (9,), (1, 3, 7, 15, 31)])]).first()
+    assert list(three) == [14, 9, 7]
 
 
 def test_no_lines(spark):
     assert lines.deduplicated(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
-
-
-def test_block_keys_meet_within_the_distance(spark):
-    rng = random.Random(2)
-    rows = []
-    for _ in range(200):
-        x = rng.getrandbits(64)
-        y = x
-        for b in rng.sample(range(64), 2):
-            y ^= 1 << b
-        rows.append(tuple(v - (1 << 64) * (v >> 63) for v in (x, y)))
-    df = spark.createDataFrame(rows, "x bigint, y bigint")
-    meet = df.select(F.arrays_overlap(lines.block_keys(F.col("x"), 2, 4), lines.block_keys(F.col("y"), 2, 4)).alias("m"))
-    assert meet.filter("m").count() == 200
