@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.severity import as_col
+from ..plans.fence import once
 
 # Chunk length, vector width, defaults of a query.
 CHUNK_CHARS, DIM, TOP_K, MIN_SIMILARITY = 500, 384, 5, 0.5
@@ -41,24 +42,44 @@ PLAYBOOKS = (
 
 #: vectors in a packed block of queries, and of chunks
 QUERY_BLOCK, CHUNK_BLOCK = 2048, 4096
+#: paragraphs whose chunk starts are listed at a time
+FOLD = 256
 
 
-def chunk_texts(text: Column | str, size: int = CHUNK_CHARS) -> Column:
-    """Chunks of a text: paragraphs are added while the chunk stays below ``size``; a long paragraph stays whole."""
-    paragraphs = F.split(as_col(text), "\n\n")
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+def chunk_starts(lengths: Column, size: int = CHUNK_CHARS) -> Column:
+    """Places (from 0) of the paragraphs that begin a chunk, from the paragraphs' lengths alone.
 
-    def step(acc: Column, para: Column) -> Column:
-        fits = F.length(acc["cur"]) + F.length(para) < size
-        emitted = F.when(fits | (acc["cur"] == ""), acc["done"]).otherwise(F.array_append(acc["done"], _strip(acc["cur"])))
-        cur = F.when(fits, F.concat(acc["cur"], para, F.lit("\n\n"))).otherwise(F.concat(para, F.lit("\n\n")))
-        return F.struct(emitted.alias("done"), cur.alias("cur"))
+    The fold keeps what is open (its length) and lists the starts of ``FOLD`` paragraphs at a time, so
+    no list is copied at each paragraph.
+    """
+    many = F.ceil(F.size(lengths) / FOLD).cast("int")
+    folds = F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.slice(lengths, i * FOLD + 1, FOLD))
+    state = lambda open_, at, starts, kind: F.struct(open_.alias("open"), at.alias("at"), starts.cast(kind).alias("starts"))
+
+    def step(acc: Column, n: Column) -> Column:
+        fits = (acc["at"] > 0) & (acc["open"] + n < size)
+        return state(F.when(fits, acc["open"]).otherwise(0) + n + 2, acc["at"] + 1, F.when(fits, acc["starts"]).otherwise(F.array_append(acc["starts"], acc["at"])), "array<int>")
+
+    def block(acc: Column, some: Column) -> Column:
+        inner = F.aggregate(some, state(acc["open"], acc["at"], F.array(), "array<int>"), step)
+        return state(inner["open"], inner["at"], F.array_append(acc["starts"], inner["starts"]), "array<array<int>>")
 
-    def finish(acc: Column) -> Column:
-        last = _strip(acc["cur"])
-        return F.when(last != "", F.array_append(acc["done"], last)).otherwise(acc["done"])
+    return F.aggregate(folds, state(F.lit(0), F.lit(0), F.array(), "array<array<int>>"), block, lambda acc: F.flatten(acc["starts"]))
 
-    return F.aggregate(paragraphs, state, step, finish)
+
+def chunk_rows(docs: DataFrame, text: Column | str, size: int = CHUNK_CHARS) -> DataFrame:
+    """``docs`` with position and content of each chunk; each text is split once and each chunk cut once.
+
+    Paragraphs are added while the chunk stays below ``size``; a long paragraph stays whole. A null or
+    empty text has no chunks; a last chunk of white space alone is left out.
+    """
+    at = F.sequence(F.lit(0), F.size("_starts") - 1)
+    split = once(docs.withColumn("_paragraphs", F.split(as_col(text), "\n\n")).filter(F.size("_paragraphs") > 0))
+    begun = once(split.withColumn("_starts", chunk_starts(F.transform("_paragraphs", lambda p: F.length(p)), size)))
+    start = lambda i: F.get("_starts", i)
+    part = lambda i: F.slice("_paragraphs", start(i) + 1, F.coalesce(start(i + 1), F.size("_paragraphs")) - start(i))
+    each = begun.select(*docs.columns, F.size("_starts").alias("_n"), F.posexplode(F.transform(at, lambda i: _strip(F.array_join(part(i), "\n\n")))).alias("position", "content"))
+    return each.filter((F.col("position") < F.col("_n") - 1) | (F.col("content") != "")).drop("_n")
 
 
 def _strip(c: Column) -> Column:
@@ -87,28 +108,28 @@ def token_slots(text: Column | str) -> Column:
 def embed(text: Column | str) -> Column:
     """Bag-of-words vector of unit length (all zero for a text without tokens).
 
-    Tokens are hashed by built-in functions; counting slots into a dense vector is done per Arrow
-    batch, where it is one call per row.
+    Tokens are hashed by built-in functions; an Arrow batch of slots becomes one count matrix.
     """
-    return _unit_counts()(token_slots(text))
+    return _unit_counts()(F.coalesce(token_slots(text), F.array().cast("array<bigint>")))
 
 
 def _unit_counts():
-    @F.pandas_udf("array<double>")
-    def unit_counts(slots: pd.Series) -> pd.Series:
-        def one(row):
-            counts = np.bincount(np.asarray(row, dtype=np.int64), minlength=DIM).astype(np.float64)
-            norm = np.sqrt((counts * counts).sum())
-            return counts / norm if norm > 0 else counts
-
-        return slots.map(one)
+    @F.arrow_udf("array<double>")
+    def unit_counts(slots: pa.Array) -> pa.Array:
+        n = len(slots)
+        rows = np.repeat(np.arange(n), slots.value_lengths().to_numpy(zero_copy_only=False))
+        counts = np.bincount(rows * DIM + slots.flatten().to_numpy(zero_copy_only=False), minlength=n * DIM).astype(np.float64).reshape(n, DIM)
+        norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        counts /= np.where(norm > 0, norm, 1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * DIM, DIM, dtype=np.int32)), pa.array(counts.ravel()))
 
     return unit_counts
 
 
 def make_chunks(docs: DataFrame, text: str, source: Column, source_type: Column, keep: tuple = (), size: int = CHUNK_CHARS, vectors: bool = True) -> DataFrame:
     """Documents → chunk rows with ids and vectors; one narrow pass over the whole texts."""
-    rows = docs.select(*keep, source.alias("source"), source_type.alias("source_type"), F.posexplode(chunk_texts(text, size)).alias("position", "content"))
+    named = docs.select(*keep, source.alias("source"), source_type.alias("source_type"), as_col(text).alias("_text"))
+    rows = chunk_rows(named, "_text", size).drop("_text")
     out = rows.select(*keep, short_id("content").alias("chunk_id"), short_id("source").alias("document_id"), "position", "content", "source", "source_type")
     return out.withColumn("embedding", embed("content")) if vectors else out
 
@@ -129,26 +150,32 @@ def load_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _blocks(df: DataFrame, key: str, column: str, rows: int | None) -> DataFrame:
-    """Keys and vectors of each partition in packed blocks of ``rows`` (one block a partition if None): block, keys, vectors."""
+    """Keys and vectors of each partition in packed blocks of ``rows`` (one block a partition if None): block, keys, vectors.
 
-    def pack(frames):
-        at, keys, vectors = TaskContext.get().partitionId(), [], []
+    Arrow batches are joined whole; a batch never becomes Python lists.
+    """
+    kind = df.schema[key].dataType.simpleString()
 
-        def block():
-            return pd.DataFrame({"block": [at], "keys": [list(keys)], "vectors": [np.asarray(vectors, dtype=np.float64).tobytes()]})
+    def pack(batches):
+        at, held, n = TaskContext.get().partitionId(), [], 0
 
-        for frame in frames:
-            for k, v in zip(frame[key], frame[column]):
-                keys.append(k)
-                vectors.append(v)
-                if rows and len(keys) == rows:
-                    yield block()
-                    keys, vectors = [], []
-        if keys:
-            yield block()
+        def block(table):
+            keys = table.column("key").combine_chunks()
+            vectors = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+            ends = pa.array([0, len(keys)], pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.ListArray.from_arrays(ends, keys), pa.array([vectors.tobytes()], pa.binary())], names=["block", "keys", "vectors"])
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, column).mapInPandas(pack, f"block int, keys array<{kind}>, vectors binary")
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            while rows and n >= rows:
+                table = pa.Table.from_batches(held)
+                yield block(table.slice(0, rows))
+                held, n = table.slice(rows).to_batches(), n - rows
+        if n:
+            yield block(pa.Table.from_batches(held))
+
+    return df.select(F.col(key).alias("key"), F.col(column).alias("vector")).mapInArrow(pack, f"block int, keys array<{kind}>, vectors binary")
 
 
 def top_k(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "query_id", key: str = "chunk_id", column: str = "embedding") -> DataFrame:
@@ -166,22 +193,26 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "query_
     held = _blocks(chunks, key, column, CHUNK_BLOCK).select(
         "keys", "vectors", F.pmod(F.xxhash64("block", "keys"), F.lit(ways)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("q"))
 
-    def nearest(frames):
-        for frame in frames:
-            for keys, vectors, ids, wanted in zip(frame["keys"], frame["vectors"], frame["ids"], frame["asked"]):
-                matrix = np.frombuffer(wanted).reshape(len(ids), -1)
-                scores = np.round(matrix @ np.frombuffer(vectors).reshape(len(keys), -1).T, 9)
-                names = np.asarray(keys)
+    def nearest(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                keys, ids = batch.column("keys")[r].values, batch.column("ids")[r].values
+                vectors, asked = (np.frombuffer(batch.column(c)[r].as_buffer()).reshape(n, -1) for c, n in (("vectors", len(keys)), ("asked", len(ids))))
+                names = keys.to_numpy(zero_copy_only=False)
                 # equal scores: the smaller key first; the cut keeps all that share the k-th score
                 by_key = np.argsort(names, kind="stable")
-                names, scores = names[by_key], scores[:, by_key]
-                least = np.partition(scores, -k, axis=1)[:, -k] if len(names) > k else np.full(len(ids), -np.inf)
-                for i, query in enumerate(ids):
-                    at = np.flatnonzero(scores[i] >= least[i])
-                    at = at[np.argsort(-scores[i, at], kind="stable")[:k]]
-                    yield pd.DataFrame({"query_id": query, key: names[at], "score": scores[i, at]})
-
-    best = held.join(asked, ["q", "part"]).mapInPandas(nearest, f"query_id {query_type}, {key} {key_type}, score double")
+                scores = np.round(asked @ vectors.T, 9)[:, by_key]
+                if len(keys) > k:
+                    scores[scores < np.partition(scores, -k, axis=1)[:, -k:][:, :1]] = -np.inf
+                query, at = np.nonzero(scores > -np.inf)
+                found = scores[query, at]
+                order = np.lexsort((at, -found, query))
+                query, at, found = query[order], at[order], found[order]
+                first = np.flatnonzero(np.diff(query, prepend=-1))
+                within = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query)))) < k
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(query[within])), keys.take(pa.array(by_key[at[within]])), pa.array(found[within])], names=["query_id", key, "score"])
+
+    best = held.join(asked, ["q", "part"]).select("keys", "vectors", "ids", "asked").mapInArrow(nearest, f"query_id {query_type}, {key} {key_type}, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), key)
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
