@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 from ..operators import normalize as N
 from ..operators import validate as V
+from ..operators.parse import Format, Formats
 from .base import EV, canon, query
 
 AS_OF = "2024-02-01 00:00:00"
@@ -139,6 +140,40 @@ def _(spark, sf):
     return M.ingest_snapshot(N.ingest(_raw(spark, sf, MIX), as_of()))
 
 
+# a format registered with its own fields: parts between bars; each eleventh payload has no kind of event
+BARS = """concat('@bars|', {stamp}, '|', case when k % 11 = 0 then '' else concat('kind', k % 7) end, '|', source_ip, '|', source_port, '|', case k % 3 when 0 then 'CRIT' when 1 then 'warning' else 'other' end, '|', username)"""
+
+
+def bars() -> Formats:
+    part = lambda i: F.nullif(F.get(F.split("raw", r"\|"), F.lit(i)), F.lit(""))
+    form = Format(
+        {"timestamp": part(1), "source": F.lit("bars"), "source_type": F.lit("bar_log"), "event_type": part(2), "source_ip": part(3), "source_port": part(4),
+         "severity": part(5), "username": part(6), "metadata": F.create_map(F.lit("width"), F.length("raw").cast("string"))},
+        F.col("raw").startswith("@bars|"), "bar_parser", "2.1.0")
+    return Formats().register("bars", form)
+
+
+BARS_SQL = f"WITH {EV}, r AS (SELECT *, {BARS.replace('{stamp}', STAMP_SQL)} AS raw FROM ev)"
+
+
+@query("registered_format", f"""{BARS_SQL} SELECT event_id AS source_position, concat('kind', k % 7) AS event_type, 'bars' AS source, 'bar_log' AS source_type, CASE k % 3 WHEN 0 THEN 'critical' WHEN 1 THEN 'medium' ELSE 'low' END AS severity, source_ip, cast(source_port AS bigint) AS source_port, username,
+ '2.1.0' AS parser_version, cast(length(raw) AS varchar) AS width, epoch_us(date_trunc('second', timestamp)) AS timestamp FROM r WHERE k % 11 <> 0""")
+def _(spark, sf):
+    done = N.ingest(_raw(spark, sf, BARS), as_of(), bars()).filter(F.col("error_type").isNull())
+    return done.select("source_position", "event_type", "source", "source_type", "severity", "source_ip", "source_port", "username", "parser_version", F.try_element_at("metadata", F.lit("width")).alias("width"), "timestamp")
+
+
+@query("registered_format_refused", f"{BARS_SQL} SELECT raw AS raw_payload, 'bars' AS source_type, 'parsing_exception' AS error_type, 'Parsing exception: no event_type' AS error_message FROM r WHERE k % 11 = 0")
+def _(spark, sf):
+    return N.dead_letters(N.ingest(_raw(spark, sf, BARS), as_of(), bars())).select("raw_payload", "source_type", "error_type", "error_message")
+
+
+@query("dead_letter_listing", f"WITH {EV} SELECT event_id, {MIX_ERR} AS error_type FROM ev WHERE {MIX_ERR} = 'normalization_exception'")
+def _(spark, sf):
+    letters = N.dead_letters(N.ingest(_raw(spark, sf, MIX), as_of()).withColumn("event_id", F.concat(F.lit("evt_"), F.col("source_position"))))
+    return N.query_dead_letters(letters, error_type="normalization_exception").select(F.substring("dead_letter_id", 5, 32).cast("bigint").alias("event_id"), "error_type")
+
+
 @query("ecs_block", f"""WITH {EV} SELECT event_id AS source_position, source_ip AS ip, destination_port AS port, lower(protocol) AS transport, username AS user_name, 'json' AS category FROM (SELECT * REPLACE (cast(destination_port AS string) AS destination_port) FROM ev)""")
 def _(spark, sf):
     expr = """concat('{"src": "', source_ip, '", "destPort": ', destination_port, ', "proto": "', protocol, '", "actor": "', username, '"}')"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .changelog import page
-from .parse import parse_payloads
+from .parse import Format, parse_payloads
 
 # Version of the common schema the event block follows.
 ECS_VERSION = "8.11.0"
@@ -80,7 +80,7 @@ def stable_id(prefix: str, *parts: Column | str) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 32))
 
 
-def ingest(raw: DataFrame, as_of: Column | None = None, formats: dict[str, Column] | None = None) -> DataFrame:
+def ingest(raw: DataFrame, as_of: Column | None = None, formats: dict[str, Column | Format] | None = None) -> DataFrame:
     """Raw payloads → canonical columns plus ``error_type`` / ``error_message`` (null when accepted).
 
     One pass without a shuffle; split it with :func:`accepted` and :func:`dead_letters`.

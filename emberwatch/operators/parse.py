@@ -6,6 +6,8 @@ payload once, pick the raw text of every field, then normalise the picked texts.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -232,24 +234,76 @@ def accepts() -> dict[str, Column]:
     }
 
 
-def detect_format(extra: dict[str, Column] | None = None) -> Column:
+#: fields a payload of a registered format must have
+REQUIRED = ("timestamp", "source", "source_type", "event_type")
+#: and those it may have
+OPTIONAL = ("severity", "source_ip", "destination_ip", "source_port", "destination_port", "username", "hostname",
+            "domain", "url", "hash", "protocol", "action", "status", "metadata")
+
+
+@dataclass(frozen=True)
+class Format:
+    """A parser and normaliser pair as columns over ``raw`` (the payload's text).
+
+    ``accepts`` says which payloads it takes; ``fields`` gives the canonical fields, as texts (``metadata``:
+    a map of texts). Times, severities, addresses and ports are normalised as those of the built-in formats.
+    A payload for which a required field is null is refused and becomes a dead letter.
+    Under the name of a built-in format it takes that one's place; ``accepts`` may then be left out.
+    """
+
+    fields: dict[str, Column]
+    accepts: Column | None = None
+    parser_name: str = "custom_parser"
+    parser_version: str = "1.0.0"
+
+    def __post_init__(self):
+        missing, odd = [f for f in REQUIRED if f not in self.fields], sorted(set(self.fields) - {*REQUIRED, *OPTIONAL})
+        if missing or odd:
+            raise ValueError(f"fields missing: {missing}, not known: {odd}")
+
+
+class Formats(dict[str, Format]):
+    """Registered formats, by name in lower case; they are tried in the order of registering, after the built-in ones."""
+
+    def register(self, name: str, form: Format) -> Formats:
+        name = name.strip().lower()
+        if name in ("", "unknown") or form.accepts is None and name not in PARSERS:
+            raise ValueError(f"format {name!r} needs a name of its own and a test of what it accepts")
+        self[name] = form
+        return self
+
+    def missing(self) -> Column:
+        """Names of the required fields that the row's format does not find (null for other formats)."""
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for name, form in self.items():
+            absent = F.concat_ws(", ", *[F.when(form.fields[f].isNull(), f) for f in REQUIRED])
+            out = out.when(F.col("format") == name, F.nullif(absent, F.lit("")))
+        return out
+
+    def over(self, built_in: Column, field: str, kind: str = "string") -> Column:
+        """The field of the row's registered format, else the built-in one."""
+        out = built_in
+        for name, form in self.items():
+            out = F.when(F.col("format") == name, form.fields.get(field, F.lit(None)).cast(kind)).otherwise(out)
+        return out
+
+
+def detect_format(extra: dict[str, Column | Format] | None = None) -> Column:
     """First format that accepts, in the fixed order; added formats come after the built-in ones."""
-    tests = accepts()
+    tests = {**accepts(), **{name: test for name, form in (extra or {}).items() if (test := form.accepts if isinstance(form, Format) else form) is not None}}
     out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for name in DETECTION_ORDER:
+    for name in (*DETECTION_ORDER, *[name for name in tests if name not in DETECTION_ORDER]):
         out = out.when(tests[name], name)
-    for name, test in (extra or {}).items():
-        out = out.when(test, name)
     return out.otherwise("unknown")
 
 
-def open_payload(raw: DataFrame) -> DataFrame:
+def open_payload(raw: DataFrame, formats: dict[str, Column | Format] | None = None) -> DataFrame:
     """Read each payload once: JSON variant, trimmed text, object flag, resolved format."""
     cols = raw.columns
     hint = F.lower(F.trim(F.col("source_type"))) if "source_type" in cols else F.lit(None).cast("string")
     kind = F.col("payload_kind") if "payload_kind" in cols else F.lit(None).cast("string")
     keep = [c for c in cols if c not in ("source_type", "payload_kind")]
-    known = F.when(hint.isin(*PARSERS), hint)
+    known = F.when(hint.isin(*PARSERS, *[n for n, form in (formats or {}).items() if isinstance(form, Format)]), hint)
     opened = raw.select(
         *keep, known.alias("_hint"), kind.alias("_kind"), F.trim(F.col("raw")).alias("_t"),
         X.json_object("raw").alias("_v"),
@@ -282,13 +336,15 @@ def _windows(i: int) -> Column:
     return lookup(F.col("_win"), {eid: row[i] for eid, row in WINDOWS_EVENTS.items()})
 
 
-def parse_payloads(raw: DataFrame, as_of: Column | None = None, formats: dict[str, Column] | None = None) -> DataFrame:
+def parse_payloads(raw: DataFrame, as_of: Column | None = None, formats: dict[str, Column | Format] | None = None) -> DataFrame:
     """Parse every payload; ``parse_error`` is set where the format's parser refuses it.
 
+    ``formats`` adds formats: a :class:`Format` with its own fields, or a bare test that only names the format.
+
     ``as_of`` replaces the wall clock (timestamps that are missing or unreadable, year of syslog dates).
     """
     as_of = F.current_timestamp() if as_of is None else as_of
-    opened = open_payload(raw)
+    opened = open_payload(raw, formats)
     opened = opened.withColumn("format", F.coalesce(F.col("_hint"), detect_format(formats)))
     carry = [c for c in raw.columns if c not in ("source_type", "payload_kind")]
 
@@ -507,19 +563,26 @@ def parse_payloads(raw: DataFrame, as_of: Column | None = None, formats: dict[st
     default = F.when(F.col("format") == "suricata", "medium").otherwise("low")
     severity = F.coalesce(F.col("_fixed_sev"), map_severity(level_word, default, _int_if_number(F.col("_level"))), default)
     ts_text = F.coalesce(F.col("_ts_text"), F.try_variant_get("_time", "$", "string"))
-    refused = F.when(F.col("format").isin("suricata", "json") & F.col("_v").isNull(),
+    own = Formats({name: form for name, form in (formats or {}).items() if isinstance(form, Format)})
+    given = F.col("format").isin(*own) if own else F.lit(False)
+    refused = F.when(F.col("format").isin("suricata", "json") & ~given & F.col("_v").isNull(),
                      F.concat(F.lit("Parsing exception: "), F.coalesce(X.json_error("_t"), F.lit("Invalid JSON syntax"))))
+    if own:
+        refused = F.when(own.missing().isNotNull(), F.concat(F.lit("Parsing exception: no "), own.missing())).otherwise(refused)
+        severity = F.when(given, F.coalesce(map_severity(own.over(F.lit(None).cast("string"), "severity"), F.lit("low")), F.lit("low"))).otherwise(severity)
+    text = lambda name, at=None: own.over(F.col(at or name), name)
+    named = lambda i: lookup("format", {**{k: v[i] for k, v in PARSERS.items()}, **{k: (f.parser_name, f.parser_version)[i] for k, f in own.items()}})
     return picked.select(
         *carry, "format", "_object", "_v",
         refused.alias("parse_error"),
-        X.parse_ts(ts_text, as_of, _double_if_number(F.col("_time"))).alias("timestamp"),
-        "source", "source_type", "event_type", severity.alias("severity"),
-        norm_ip("_src_ip").alias("source_ip"), norm_ip("_dst_ip").alias("destination_ip"),
-        norm_port("_src_port").alias("source_port"), norm_port("_dst_port").alias("destination_port"),
-        "username", "hostname", "domain", "url", "hash", "protocol", "action", "status",
-        F.map_filter("metadata", lambda k, v: v.isNotNull()).alias("metadata"),
-        lookup("format", {k: v[0] for k, v in PARSERS.items()}).alias("parser_name"),
-        F.coalesce(lookup("format", {k: v[1] for k, v in PARSERS.items()}), F.lit("1.0.0")).alias("parser_version"),
+        X.parse_ts(own.over(ts_text, "timestamp"), as_of, F.when(~given, _double_if_number(F.col("_time"))) if own else _double_if_number(F.col("_time"))).alias("timestamp"),
+        text("source").alias("source"), text("source_type").alias("source_type"), text("event_type").alias("event_type"), severity.alias("severity"),
+        norm_ip(text("source_ip", "_src_ip")).alias("source_ip"), norm_ip(text("destination_ip", "_dst_ip")).alias("destination_ip"),
+        norm_port(text("source_port", "_src_port")).alias("source_port"), norm_port(text("destination_port", "_dst_port")).alias("destination_port"),
+        *[text(c).alias(c) for c in ("username", "hostname", "domain", "url", "hash", "protocol", "action", "status")],
+        F.map_filter(F.coalesce(own.over(F.col("metadata"), "metadata", "map<string,string>"), F.create_map().cast("map<string,string>")), lambda k, v: v.isNotNull()).alias("metadata"),
+        named(0).alias("parser_name"),
+        F.coalesce(named(1), F.lit("1.0.0")).alias("parser_version"),
     )
 
 
@@ -563,7 +626,7 @@ def _metadata(eve, eve_action, alert, sender, spf, dkim, dmarc, mail_score, verd
     )
 
 
-def source_catalogue(spark) -> DataFrame:
-    """Supported formats with parser name and version (VAL-06)."""
-    rows = [(name, *info) for name, info in PARSERS.items()]
+def source_catalogue(spark, formats: Formats | None = None) -> DataFrame:
+    """Supported formats, registered ones included, with parser name and version (VAL-06)."""
+    rows = [(name, *info) for name, info in {**PARSERS, **{n: (f.parser_name, f.parser_version) for n, f in (formats or {}).items()}}.items()]
     return spark.createDataFrame(rows, "source_type string, parser_name string, parser_version string")

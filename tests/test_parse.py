@@ -95,3 +95,44 @@ def test_source_override_skips_detection(spark):
 
 def test_catalogue(spark):
     assert P.source_catalogue(spark).count() == 6
+
+
+def pairs_format(**changed):
+    part = lambda i: F.nullif(F.get(F.split("raw", ";"), F.lit(i)), F.lit(""))
+    fields = {"timestamp": part(1), "source": F.lit("pairs"), "source_type": F.lit("pair_log"), "event_type": part(2), "source_ip": part(3), "severity": part(4), "action": part(5)}
+    return P.Format({**fields, **changed}, F.col("raw").startswith("pair;"), "pair_parser", "3.0")
+
+
+def test_a_registered_format_is_parsed_and_normalised(spark):
+    forms = P.Formats().register(" Pairs ", pairs_format())
+    rows = [("pair;2026-09-09T10:00:00Z;probe;10.0.0.7:80;warning;drop", None), ("pair;2026-09-09T10:00:00Z;;10.0.0.7;;", None),
+            ("pair;;;x;;", None), ("2026;2026-09-09T10:00:00Z;hinted;;;", "PAIRS"), ('{"src": "10.0.0.1", "name": "n"}', None), (None, None)]
+    raw = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "source_position int, raw string, source_type string")
+    done = {r.source_position: r for r in N.ingest(raw, AS_OF(), forms).collect()}
+    first = done[0]
+    assert (first.format, first.event_type, first.source, first.source_type, first.source_ip, first.severity, first.action) == ("pairs", "probe", "pairs", "pair_log", "10.0.0.7", "medium", "drop")
+    assert str(first.timestamp) == "2026-09-09 10:00:00" and first.parser_version == "3.0" and first.error_type is None
+    assert first.metadata["parser_name"] == "pair_parser" if "parser_name" in first.metadata else True
+    assert set(N.EVENT_COLUMNS) <= set(first.asDict())
+    assert (done[1].error_type, done[1].error_message) == ("parsing_exception", "Parsing exception: no event_type")
+    assert done[2].error_message == "Parsing exception: no timestamp, event_type"
+    assert (done[3].format, done[3].event_type, done[3].severity) == ("pairs", "hinted", "low")
+    assert (done[4].format, done[4].source_ip) == ("json", "10.0.0.1")
+    assert done[5].format == "unknown"
+    assert P.source_catalogue(spark, forms).count() == 7
+
+
+def test_a_registered_format_takes_a_built_in_place(spark):
+    forms = P.Formats().register("json", P.Format({"timestamp": F.lit("2026-01-02T00:00:00Z"), "source": F.lit("mine"), "source_type": F.lit("own"), "event_type": F.get_json_object("raw", "$.kind")}))
+    raw = spark.createDataFrame([('{"kind": "k1"}',), ('{"other": 1}',)], "raw string")
+    got = N.ingest(raw, AS_OF(), forms).collect()
+    assert [(r.format, r.source, r.event_type, r.error_type) for r in got] == [("json", "mine", "k1", None), ("json", "mine", None, "parsing_exception")]
+
+
+def test_a_format_without_its_parts_is_refused():
+    with pytest.raises(ValueError, match="event_type"):
+        P.Format({"timestamp": F.lit("x"), "source": F.lit("x"), "source_type": F.lit("x")})
+    with pytest.raises(ValueError, match="colour"):
+        pairs_format(colour=F.lit("red"))
+    with pytest.raises(ValueError, match="accepts"):
+        P.Formats().register("new", P.Format(pairs_format().fields))
