@@ -77,13 +77,11 @@ def terms(text: Column) -> Column:
 
 
 def distinct_texts(train: DataFrame) -> DataFrame:
-    """id, toxic, text: one text of each class and group of exact or near copies, with an id of its own. ``train``: id, text, toxic."""
-    texts = written(train.select(F.xxhash64("text").alias("id"), "toxic", "text").dropDuplicates(["id", "toxic"]), "training-texts")
+    """id, toxic of one text of each class and group of exact or near copies. ``train``: id, text, toxic. Texts are read where they are, never stored again."""
+    firsts = written(train.groupBy(F.xxhash64("text").alias("hash"), "toxic").agg(F.min("id").alias("id")).select("id", "toxic"), "training-firsts", small=True)
+    texts = train.join(sent(firsts, 32 * firsts.count()), ["id", "toxic"])
     groups = near_duplicates(texts, id_col="id").select("id", "component").distinct()
-    group = F.coalesce("component", "id")
-    first = texts.select("id", "toxic").join(groups, "id", "left").groupBy("toxic", group.alias("component")).agg(F.min("id").alias("id")).select("id", "toxic")
-    first = written(first, "training-firsts", small=True)
-    return texts.join(sent(first, 32 * first.count()), ["id", "toxic"])
+    return written(firsts.join(groups, "id").groupBy("toxic", "component").agg(F.min("id").alias("id")).select("id", "toxic"), "training-texts", small=True)
 
 
 def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], int, int]:
@@ -97,8 +95,9 @@ def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], int, int]:
     rows = sizes.get(1, 0), sizes.get(0, 0)
     if not all(rows):
         return {}, *rows
-    train = distinct_texts(train)
-    sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
+    firsts = distinct_texts(train)
+    sizes = {r["toxic"]: r["n"] for r in firsts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
+    train = train.join(sent(firsts, 32 * sum(sizes.values())), ["id", "toxic"])
     n_pos, n_neg = sizes[1], sizes[0]
     each = train.select("toxic", F.explode(terms(F.coalesce("text", F.lit("")))).alias("term"))
     least = max(MIN_TEXTS, math.ceil(MIN_SHARE * n_pos))

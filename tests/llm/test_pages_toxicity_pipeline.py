@@ -144,5 +144,5 @@ def test_pipeline_stages(spark):
 def test_every_query_is_registered():
     import __spark_entry__ as entry
 
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
