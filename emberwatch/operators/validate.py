@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.network import norm_ip
 from ..functions.severity import LEVELS
+from ..plans.fence import once
 
 # Limits of the canonical event.
 MAX_BYTES = 1_048_576
@@ -73,7 +74,7 @@ def _field_error(name: str) -> Column:
 
 def validate_events(raw: DataFrame, column: str = "raw", max_bytes: int = MAX_BYTES) -> DataFrame:
     """Adds is_valid, error_message and validation_errors (loc, msg, type) to JSON events. No shuffle."""
-    opened = raw.withColumns({"_t": F.trim(column), "_v": X.json_object(column)})
+    opened = once(raw.withColumns({"_t": F.trim(column), "_v": X.json_object(column)}))
     v = F.col("_v")
     unknown = F.transform(
         F.array_except(F.coalesce(F.json_object_keys("_t"), F.array().cast("array<string>")), F.array(*[F.lit(f) for f in FIELD_ORDER])),
@@ -85,16 +86,16 @@ def validate_events(raw: DataFrame, column: str = "raw", max_bytes: int = MAX_BY
     errors = (
         F.when(F.col(column).isNull(), one("Payload is None", "value_error")).when(size > max_bytes, one(too_big, "oversized_payload"))
         .when(v.isNull(), one(F.coalesce(X.json_error("_t"), F.lit("Malformed JSON payload")), "type_error")).otherwise(F.concat(fields, unknown)))
-    done = opened.withColumn("validation_errors", errors)
+    done = once(opened.withColumn("validation_errors", errors).drop("_t", "_v"))
     first = F.get("validation_errors", F.lit(0))
     message = F.when(F.size("validation_errors") == 0, None).when(first["loc"] == "payload", first["msg"]).otherwise(
         F.format_string("Validation failed: %d error(s) found", F.size("validation_errors")))
-    return done.withColumns({"is_valid": F.size("validation_errors") == 0, "error_message": message}).drop("_t", "_v")
+    return done.withColumns({"is_valid": F.size("validation_errors") == 0, "error_message": message})
 
 
 def validated_events(raw: DataFrame, column: str = "raw") -> DataFrame:
     """Valid events as typed columns, addresses in canonical form, severity in lower case."""
-    ok = validate_events(raw, column).filter("is_valid").withColumn("_v", X.json_object(column))
+    ok = once(validate_events(raw, column).filter("is_valid").withColumn("_v", X.json_object(column)))
     v = F.col("_v")
     text = lambda n: F.trim(X.literal_key(v, n))
     ts = lambda n: F.when(X.is_number(v, n), X.epoch_timestamp(X.literal_key(v, n, "double"))).otherwise(X.parse_iso(text(n)))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 
 def once(df: DataFrame) -> DataFrame:
-    """Columns computed here are computed once.
+    """Columns computed here are computed once, and only those that are read above.
 
     Catalyst rewrites a filter on a computed column into the column's definition and evaluates that
-    again; with rules built from many patterns this doubles at every step. A generator over one
-    row stops the rewriting without a shuffle or a copy to disk.
+    again; with rules built from many patterns this doubles at every step. No filter or projection is moved
+    through a generator with a random argument; it gives one row for a row, without a shuffle or a copy
+    to disk. Columns that nobody reads are still pruned below it.
     """
-    return df.select(F.inline(F.array(F.struct(*df.columns))))
+    return df.select("*", F.explode(F.array(F.rand(0))).alias("_fence")).drop("_fence")
