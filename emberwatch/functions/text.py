@@ -23,6 +23,15 @@ def group(c: Column | str, pattern: str, index: int) -> Column:
     return F.nullif(F.regexp_extract(as_col(c), pattern, index), F.lit(""))
 
 
+def groups(c: Column | str, pattern: str, count: int) -> Column:
+    """All groups of a pattern that starts with ``^``, found in one go: item i is group i, '' when it took no part. Without a match there is no item 1."""
+    text, mark = as_col(c), "\x01"
+    found = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(mark + mark.join(f"${i}" for i in range(1, count + 1)) + mark)), mark, -1)
+    # a text that holds the mark itself is read group by group
+    each = F.array(F.lit(""), *[F.regexp_extract(text, pattern, i) for i in range(1, count + 1)])
+    return F.when(text.contains(mark), F.when(text.rlike(pattern), each)).otherwise(found)
+
+
 def not_blank(c: Column) -> Column:
     """Null for the values that count as absent in an ``a or b`` chain."""
     return F.when(~c.isin("", "[]", "{}"), c)

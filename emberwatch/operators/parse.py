@@ -312,6 +312,11 @@ def open_payload(raw: DataFrame, formats: dict[str, Column | Format] | None = No
     return opened.withColumn("_object", is_object)
 
 
+def _filled_group(c: Column) -> Column:
+    """Group text; null when the group took no part."""
+    return F.when(c != "", c)
+
+
 def _syslog_line() -> dict[str, Column]:
     """Header parts of a syslog line; RFC 5424 is tried first."""
     line = F.when(F.col("_object"), F.coalesce(_j("message"), _t())).otherwise(_t())
@@ -350,7 +355,11 @@ def parse_payloads(raw: DataFrame, as_of: Column | None = None, formats: dict[st
 
     sys_line = _syslog_line()
     when_sys = lambda c: F.when(F.col("format") == "syslog", c)
-    opened = opened.withColumns({k: when_sys(v) for k, v in sys_line.items()})
+    opened = opened.withColumns({
+        **{k: when_sys(v) for k, v in sys_line.items()},
+        "_cl": F.when((F.col("format") == "application") & _v().isNull(), X.groups(_t(), COMBINED_LOG, 11)),  # an access line is taken apart once
+    })
+    opened = once(opened)
 
     msg, app = F.col("_msg"), F.lower(F.col("_app"))
     branch = (
@@ -363,7 +372,7 @@ def parse_payloads(raw: DataFrame, as_of: Column | None = None, formats: dict[st
         .when(msg.rlike(PAM_AUTH_FAIL), "pam")
     )
     app_shape = (
-        F.when(_v().isNotNull(), "json").when(_t().rlike(COMBINED_LOG), "combined").when(_t().rlike(APP_LOG), "line").otherwise("plain")
+        F.when(_v().isNotNull(), "json").when(F.size("_cl") > 11, "combined").when(_t().rlike(APP_LOG), "line").otherwise("plain")
     )
     auth_shape = (
         F.when(_v().isNotNull(), "json").when(_t().rlike(TEXT_AUTH_FAILED), "failed").when(_t().rlike(TEXT_AUTH_OK), "ok").otherwise("plain")
@@ -373,15 +382,15 @@ def parse_payloads(raw: DataFrame, as_of: Column | None = None, formats: dict[st
         "_shape": F.when(F.col("format") == "application", app_shape).when(F.col("format") == "authentication", auth_shape)
         .when(F.col("format") == "email", F.when(_v().isNotNull(), "json").otherwise("plain")),
         "_win": F.when(F.col("format") == "authentication", F.trim(_any("EventID", "event_id", "EventId")).try_cast("int")),
-        "_uri": F.when((F.col("format") == "application") & _v().isNull(), X.group(_t(), COMBINED_LOG, 6)),
-        "_code": F.when((F.col("format") == "application") & _v().isNull(), X.group(_t(), COMBINED_LOG, 8).try_cast("int")),
+        "_uri": _filled_group(F.get("_cl", F.lit(6))),
+        "_code": _filled_group(F.get("_cl", F.lit(8))).try_cast("int"),
     })
 
     br, shape = F.col("_br"), F.col("_shape")
     ssh = lambda i: (
         F.when(br == "ssh_failed", X.group(msg, SSHD_FAILED, i)).when(br == "ssh_ok", X.group(msg, SSHD_ACCEPTED, i))
     )
-    web = lambda i: F.when(shape == "combined", X.group(_t(), COMBINED_LOG, i))
+    web = lambda i: F.when(shape == "combined", _filled_group(F.get("_cl", F.lit(i))))
     line = lambda i: F.when(shape == "line", X.group(_t(), APP_LOG, i))
 
     # --- suricata -------------------------------------------------------------

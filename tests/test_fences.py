@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from emberwatch.functions import text as X
 from emberwatch.operators import normalize as N
+from emberwatch.operators import parse as P
 from emberwatch.operators import validate as V
 from emberwatch.plans.fence import once
 
@@ -32,3 +34,19 @@ def test_only_the_format_is_found_where_only_it_is_read(spark):
     found = N.ingest(raw, F.lit("2024-02-01").cast("timestamp")).select("format")
     assert "URI" not in optimized(found) and "javascript" not in optimized(found)
     assert [r["format"] for r in found.collect()] == ["syslog"]
+
+
+def test_an_access_line_is_taken_apart_once(spark):
+    """All groups at once equal group by group, also where a text holds the mark that parts them."""
+    line = '1.2.3.4 - bob [09/Jan/2024:10:15:30 +0000] "GET /a?x=1 HTTP/1.1" 404 512'
+    texts = [line, line + ' "-" "curl/8.0"', line + ' "http://r" "" tail "x"', "no access line", "", None, line.replace("bob", "b\x01b"), "\x01", "x\n" + line, line + "\n" + line]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    parts = X.groups("t", P.COMBINED_LOG, 11)
+    got = rows.select("i", F.col("t").rlike(P.COMBINED_LOG).alias("hit"), (F.size(parts) > 11).alias("found"), *[F.nullif(F.get(parts, F.lit(g)), F.lit("")).alias(f"a{g}") for g in range(1, 12)],
+                      *[X.group("t", P.COMBINED_LOG, g).alias(f"b{g}") for g in range(1, 12)]).collect()
+    assert sum(bool(r["hit"]) for r in got) == 5
+    for r in got:
+        assert bool(r["hit"]) == bool(r["found"])
+        assert [r[f"a{g}"] for g in range(1, 12)] == [r[f"b{g}"] for g in range(1, 12)], texts[r["i"]]
+    raw = rows.select(F.col("i").alias("source_position"), F.col("t").alias("raw"))
+    assert optimized(N.ingest(raw, F.lit("2024-02-01").cast("timestamp")).select("url", "username", "status")).count("HTTP") < 10
