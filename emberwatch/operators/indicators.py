@@ -1,9 +1,9 @@
 """Indicator lookups against a feed (DET-10 … DET-16).
 
 Every event yields a few lookup keys: the address itself and its masked forms, a domain with its
-parent names, a hash, a link's host. One equi-join against the feed finds all hits. The adaptive
-join knows the bytes of both sides: it sends a small feed to all tasks, and splits skewed keys of a
-large one.
+parent names, a hash, a link's host. One equi-join against the feed finds all hits. The feed is
+stored first, so its bytes are known before the events are read: a small one is sent to all tasks and no
+lookup is shuffled; with a large one the adaptive join splits skewed keys.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.network import domain_suffixes, host_of, ipv4_number, ipv6_hextets, let, norm_ip
 from ..plans.fence import once
+from ..session import cut_lineage, has_checkpoint_dir
 from .rules import Rule, field_column
 
 
@@ -110,6 +111,19 @@ _KEYS = "array<struct<key_kind:string,key:string>>"
 _WIDTHS = "array<struct<name:string,six:boolean,length:int>>"
 
 
+#: bytes of a feed up to which it is sent to all tasks
+SENT_BYTES = 32 << 20
+
+
+def stored_feed(feed: DataFrame) -> tuple[DataFrame, bool]:
+    """The feed computed once, and whether it is small enough to be sent whole. Without a checkpoint folder it is used as it is."""
+    if not has_checkpoint_dir(feed.sparkSession):
+        return feed, False
+    feed = cut_lineage(feed)
+    size = feed.agg(F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in feed.columns), F.lit(64)).cast("bigint"))).first()[0]
+    return feed, (size or 0) <= SENT_BYTES
+
+
 def match_indicators(events: DataFrame, feed: DataFrame, rules: list[Rule], carry: tuple = ()) -> DataFrame:
     """(event_id, rule_id, matched_field, matched_value, ioc_type, ioc_category, ioc_source), one row per event and rule.
 
@@ -120,6 +134,8 @@ def match_indicators(events: DataFrame, feed: DataFrame, rules: list[Rule], carr
     cols = events.columns
     if "raw_data" in cols:
         events = events.withColumn("_raw", X.json_object("raw_data"))
+    feed, small = stored_feed(feed)
+    sent = F.broadcast if small else (lambda df: df)
     needed = {f.split(".")[0] for r in rules for f in r.fields} | {"_raw", "_w"}
     # scalar subquery of at most 162 short texts
     widths = network_lengths(feed).agg(F.collect_set("w").alias("w")).scalar() if any(r.ioc_type == "ip" for r in rules) else None
@@ -136,11 +152,10 @@ def match_indicators(events: DataFrame, feed: DataFrame, rules: list[Rule], carr
                 F.lit(name).alias("matched_field"), text.alias("matched_value"), F.when(text != "", keys).cast(_KEYS).alias("keys")))
     looked = events.select("event_id", F.struct(*carry).alias("_c") if carry else F.lit(None).alias("_c"), F.explode(F.array(*tries)).alias("t")).select("event_id", "_c", "t.*")
     looked = looked.select("event_id", "_c", "rule_id", "ioc_type", "position", "matched_field", "matched_value", F.explode("keys").alias("k"))
-    keys = feed_keys(feed)
-    hits = looked.join(keys, (F.col("k.key_kind") == F.col("key_kind")) & (F.col("k.key") == F.col("key")))
+    hits = looked.join(sent(feed_keys(feed)), (F.col("k.key_kind") == F.col("key_kind")) & (F.col("k.key") == F.col("key")))
     first = hits.groupBy("event_id", "rule_id").agg(
         F.min_by(F.struct("matched_field", "matched_value", "ioc_type", "_c"), F.col("position")).alias("m"))
     out = first.select(
         "event_id", "rule_id", "m.matched_field", "m.matched_value", "m.ioc_type", *[F.col(f"m._c.{c}").alias(c) for c in carry],
         F.when(F.col("m.ioc_type") == "ip", F.col("m.matched_value")).otherwise(F.lower("m.matched_value")).alias("_ctx"))
-    return out.join(feed_context(feed), "_ctx", "left").drop("_ctx")
+    return out.join(sent(feed_context(feed)), "_ctx", "left").drop("_ctx")

@@ -28,6 +28,10 @@ def build_session(app_name: str = "emberwatch", master: str | None = None, **ext
     return builder.getOrCreate()
 
 
+def has_checkpoint_dir(spark: SparkSession) -> bool:
+    return bool(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir())
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint folder that all executors share, as ``spark.checkpoint.dir`` names it; iterative jobs need one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

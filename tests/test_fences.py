@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberwatch.functions import text as X
+from emberwatch.operators import detect as D
+from emberwatch.operators import indicators as I
 from emberwatch.operators import normalize as N
 from emberwatch.operators import parse as P
 from emberwatch.operators import validate as V
@@ -50,3 +52,20 @@ def test_an_access_line_is_taken_apart_once(spark):
         assert [r[f"a{g}"] for g in range(1, 12)] == [r[f"b{g}"] for g in range(1, 12)], texts[r["i"]]
     raw = rows.select(F.col("i").alias("source_position"), F.col("t").alias("raw"))
     assert optimized(N.ingest(raw, F.lit("2024-02-01").cast("timestamp")).select("url", "username", "status")).count("HTTP") < 10
+
+
+def test_lookups_of_a_small_feed_are_not_shuffled(spark, monkeypatch):
+    """The feed's bytes are known before the events are read; a large feed gives the same rows through a shuffle."""
+    events = spark.createDataFrame([(i, f"10.0.0.{i % 9}", f"h{i % 5}.bad.example") for i in range(200)], "event_id long, source_ip string, domain string")
+    rows = [("10.0.0.3", "ip", "c", "t"), ("bad.example", "domain", None, "t"), ("10.0.0.4/31", "ip", "n", "t")]
+    feed = spark.createDataFrame(rows * 3, "value string, kind string, category string, source string").distinct()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the plan alone does not know the feed's size
+    found = D.detect(events, feed, engines=("ioc",)).select("event_id", "rule_id", "matched_value", "ioc_category")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    got = sorted(map(tuple, found.collect()), key=str)
+    monkeypatch.setattr(I, "SENT_BYTES", 0)
+    other = D.detect(events, feed, engines=("ioc",)).select("event_id", "rule_id", "matched_value", "ioc_category")
+    assert sorted(map(tuple, other.collect()), key=str) == got and len(got) > 200
