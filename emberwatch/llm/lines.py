@@ -6,11 +6,15 @@ class, known by 128 bits of hash. A line's SimHash is made in blocks: one of 64
 the blocks of the windows it lies in and no other. That gives the pigeonhole: k edits leave at most k + 1
 unedited pieces, so with at most 15 edits in 100 words one piece has 4 words or more, and a block stays
 as it is. (A SimHash of the whole line does not serve: one word of twenty changed flips about ten of its 64
-bits, and pigeonhole blocks that survive this are a few bits wide.) A line is dealt to its blocks, or in a
-longer line to the ``BLOCKS`` ones with the least hashes, the same for whoever holds them; ``blocks=None``
-deals it to all. Lines that share a block are candidates.
+bits, and pigeonhole blocks that survive this are a few bits wide.) A line is dealt to its blocks with the
+least hashes, as many as make sure that no partner is missed (``needed_blocks``). Lines that share a block
+are candidates.
 
-Candidates are sifted by their length and their fold, 64 bits in which each word flips one: an edit moves
+Why these are enough: a line that is alike differs by k edits at most, each of which spoils ``run_words``
+blocks at most. The least block that both have comes, in each of the two, after spoilt ones only, so it is
+among the first ``run_words * k + 1`` of both.
+
+Candidates are sifted by their length and their fold, 256 bits in which each word flips one: an edit moves
 the length by one at most and flips two bits at most, so no line that is alike is lost. What is left is
 verified by edit similarity (edits of words), and one occurrence of each connected group of lines stays:
 the first, by document and place.
@@ -39,12 +43,12 @@ from .graph import components
 from .shared import columns, dropped, written
 
 FUZZY_WORDS = 8
-#: blocks a line is dealt to; one with no more than these is dealt to all of its blocks
-BLOCKS = 8
 #: least edit similarity: 1 - edits of words / words of the longer line
 SIMILARITY = 0.85
 #: members of a bucket on each side of a tile
 TILE = 4096
+#: parts of 64 bits in a line's fold
+FOLDS = 4
 
 
 def words_of(line: Column) -> Column:
@@ -80,17 +84,35 @@ def simhash_blocks(pairs: Column, length: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(pairs) - many), block))
 
 
-def described(docs: DataFrame, length: int, blocks: int | None) -> DataFrame:
-    """id, line, k1, k2, n (words), fold, blocks of every line with words; blocks are null where a line has no fuzzy matches."""
+def needed_blocks(n: Column, length: int, least: float) -> Column:
+    """Least blocks of a line of ``n`` words among which each line alike shares one: all that the edits allowed may spoil, and one more.
+
+    A partner is at most as many words longer as it has edits, so there are at most n * (1 - least) / least of these.
+    """
+    return (F.floor(n * F.lit((1 - least) / least) + 1e-6) * length + 1).cast("int")
+
+
+def folds(hashes: Column) -> Column:
+    """``FOLDS`` * 64 bits in which each word flips one. ``hashes``: of the words."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int"))
+    part = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(FOLDS - 1))
+    flips = lambda j: lambda fold, h: F.when(part(h) == j, fold.bitwiseXOR(bit(h))).otherwise(fold)
+    return F.array(*[F.aggregate(hashes, F.lit(0).cast("bigint"), flips(j)) for j in range(FOLDS)])
+
+
+def described(docs: DataFrame, length: int, least: float | None) -> DataFrame:
+    """id, line, k1, k2, n (words), fold, blocks of every line with words; blocks are null where a line has no fuzzy matches.
+
+    The blocks are those needed to find all lines of edit similarity ``least``, or all of them.
+    """
     words = F.col("words")
-    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.xxhash64(w).bitwiseAND(F.lit(63)).cast("int"))
     each = keyed(lines_of(docs).filter(F.size("words") > 0))
     each = once(each.select(
-        "id", "line", "k1", "k2", F.size("words").alias("n"),
-        F.aggregate("words", F.lit(0).cast("bigint"), lambda fold, w: fold.bitwiseXOR(bit(w))).alias("fold"),
+        "id", "line", "k1", "k2", F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
         F.when(F.size("words") >= FUZZY_WORDS, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.xxhash64(a, b))).alias("pairs")))
     found = simhash_blocks(F.col("pairs"), length)
-    return each.select("id", "line", "k1", "k2", "n", "fold", F.when(F.col("pairs").isNotNull(), found if blocks is None else F.slice(F.sort_array(found), 1, blocks)).alias("blocks"))
+    dealt = found if least is None else F.slice(F.sort_array(found), F.lit(1), needed_blocks(F.col("n"), length, least))
+    return each.select("id", "line", "k1", "k2", "n", folds(F.col("hashes")).alias("fold"), F.when(F.col("pairs").isNotNull(), dealt).alias("blocks"))
 
 
 def run_words(least: float) -> int:
@@ -109,7 +131,8 @@ def alike(x: Column, y: Column, least: float) -> Column:
 def near(a: str, b: str, least: float) -> Column:
     """Whether two members of a bucket, by their marks (n, fold), may be alike."""
     bound = F.floor((1 - F.lit(least)) * F.greatest(f"{a}.n", f"{b}.n") + 1e-9)
-    return (F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) <= bound) & (F.bit_count(F.col(f"{a}.fold").bitwiseXOR(F.col(f"{b}.fold"))) <= 2 * bound)
+    flipped = sum((F.bit_count(F.get(f"{a}.fold", F.lit(j)).bitwiseXOR(F.get(f"{b}.fold", F.lit(j)))) for j in range(FOLDS)), F.lit(0))
+    return (F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) <= bound) & (flipped <= 2 * bound)
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -133,9 +156,9 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, least: float
 
 def bucket_members(lines: DataFrame) -> DataFrame:
     """bucket, k1, mark (n, fold) of the distinct lines in blocks that more than one line has."""
-    dealt = lines.filter(F.col("blocks").isNotNull()).select(F.explode("blocks").alias("bucket"), "k1", "n", "fold")
+    dealt = lines.filter(F.col("blocks").isNotNull()).dropDuplicates(["k1", "k2"]).select(F.explode("blocks").alias("bucket"), "k1", "n", "fold")
     shared = dealt.groupBy("bucket").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo <> hi").select("bucket")
-    return dealt.join(shared, "bucket").distinct().select("bucket", "k1", F.struct("n", "fold").alias("mark"))
+    return dealt.join(shared, "bucket").select("bucket", "k1", F.struct("n", "fold").alias("mark"))
 
 
 def tiled_pairs(members: DataFrame, least: float) -> DataFrame:
@@ -168,10 +191,10 @@ def fuzzy_links(docs: DataFrame, lines: DataFrame, classes: DataFrame, least: fl
     return components(links.unionByName(verified(docs, more, classes, least))).select(F.col("id").alias("v"), "component")
 
 
-def removed_lines(docs: DataFrame, least: float = SIMILARITY, blocks: int | None = BLOCKS) -> DataFrame:
-    """id, text_hash, line of every occurrence that goes. ``docs``: id, text."""
+def removed_lines(docs: DataFrame, least: float = SIMILARITY, blocks: str | None = "needed") -> DataFrame:
+    """id, text_hash, line of every occurrence that goes. ``docs``: id, text. ``blocks``: those "needed", or None for all; both find the same."""
     docs = docs.filter(F.col("id").isNotNull()).select(F.struct("id", F.xxhash64("text").alias("text_hash")).alias("id"), "text")
-    lines = written(described(docs, run_words(least), blocks), "hashed-lines")
+    lines = written(described(docs, run_words(least), least if blocks == "needed" else None), "hashed-lines")
     classes = written(lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "line")).alias("v"), F.count("*").alias("copies")), "line-classes")
     groups = written(fuzzy_links(docs, lines, classes, least), "line-groups", small=True)
     # classes of one line in no group lose nothing
@@ -182,7 +205,7 @@ def removed_lines(docs: DataFrame, least: float = SIMILARITY, blocks: int | None
     return gone
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, blocks: int | None = BLOCKS) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, blocks: str | None = "needed") -> DataFrame:
     """The rows with all their columns, the text without its removed lines, and n_lines, n_removed (columns of these names give way)."""
     rows = columns(docs, id=id_col, text=text_col)
     gone = removed_lines(rows, least, blocks).groupBy(F.col("id").alias("_id"), F.col("text_hash").alias("_text")).agg(F.collect_set("line").alias("_lines"))  # at most the lines of one text

@@ -183,6 +183,28 @@ def test_near_lines_are_found(spark):
     assert {(r["id"], r["line"]) for r in lines.removed_lines(df, blocks=None).collect()} == want
 
 
+def test_edits_at_the_least_blocks_lose_no_link(spark):
+    """Lines whose least blocks are all spoilt by the allowed edits: they once met nowhere, as only 8 blocks were dealt."""
+    rng = random.Random(3)
+    bases = [[f"v{rng.randrange(10**6)}" for _ in range(60)] for _ in range(12)]
+    df = spark.createDataFrame([(i, " ".join(b)) for i, b in enumerate(bases)], "id bigint, text string")
+    windows = F.transform(F.sequence(F.lit(0), F.size("p") - 3), lambda i: F.struct(F.xxhash64(lines.majority([F.get(F.col("p"), i + j) for j in range(3)])).alias("h"), i.alias("at")))
+    pairs = lines.lines_of(df).select("id", F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.xxhash64(a, b)).alias("p"))
+    order = {r["id"]: [x["at"] for x in r["w"]] for r in pairs.select("id", F.sort_array(windows).alias("w")).collect()}
+    rows, spoilt = [], []
+    for i, base in enumerate(bases):
+        other, hit = list(base), set()
+        for at in order[i][:8]:  # at most 8 of the 9 edits allowed
+            if not hit & set(range(at, at + 4)):
+                hit.add(at + 1)
+                other[at + 1] = f"new{i}x{at}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+        spoilt.append(len(hit))
+    want = brute_lines(rows, lines.SIMILARITY)
+    assert len(want) == 12 and max(spoilt) <= 9
+    assert {(r["id"], r["line"]) for r in lines.removed_lines(spark.createDataFrame(rows, "id bigint, text string")).collect()} == want
+
+
 def test_rows_of_one_id_lose_their_own_lines_only(spark):
     """The second row's first line stands nowhere else, though the first row's first line is a copy."""
     rows = [(1, "a line that is here twice"), (2, "a line that is here twice\nonly in one"), (2, "stands nowhere else\nand this neither"), (2, "stands nowhere else\nand this neither")]
