@@ -33,6 +33,10 @@ LENGTH = 4096
 OPEN_BINS = 1024
 #: sequences a packer fills on the average
 SEQUENCES_A_PACKER = 2048
+#: letters below this have one form only: composed, and in lower case once lowered
+PLAIN = "\u0300"
+#: marks that are a word of their own after letters
+MARKS = frozenset(".,;:!?)")
 
 
 class Ids(dict):
@@ -55,6 +59,7 @@ class Ids(dict):
         self.ends[[i for t, i in said["model"]["vocab"].items() if t.endswith(suffix)]] = True
         self.special = [t["content"] for t in said["added_tokens"]]
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -63,13 +68,20 @@ class Ids(dict):
         """Ids of new pieces. Words joined by blanks come back with word ends between them."""
         plan = {}
         for p in pieces:
+            if (was := self.before.get(p)) is not None:
+                self[p] = was
+                continue
             text = normalised(p)
-            words = self.words.findall(text)
+            # letters, and one mark after them at most: the pattern takes them apart just so
+            if text.isalpha() and (text.isascii() or max(text) < PLAIN):
+                plan[p] = (text,)
+            elif text[-1:] in MARKS and text[:-1].isalpha() and (text.isascii() or max(text) < PLAIN):
+                plan[p] = (text[:-1], text[-1])
             # a piece with a special token, or that changes when normalised again, is left whole
-            if any(s in p for s in self.special) or not text.isascii() and normalised(text) != text:
+            elif any(s in p for s in self.special) or not text.isascii() and normalised(text) != text:
                 self[p] = self.plain(p).tobytes()
             else:
-                plan[p] = words
+                plan[p] = self.words.findall(text)
         new = list({w for words in plan.values() for w in words if w not in self.known})
         for a in range(0, len(new), 256):
             some = new[a:a + 256]
@@ -81,8 +93,9 @@ class Ids(dict):
             else:  # a word without an end of its own
                 made = [self.plain(w).tobytes() for w in some]
             self.known.update(zip(some, made))
+        known = self.known
         for p, words in plan.items():
-            self[p] = b"".join([self.known[w] for w in words])
+            self[p] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
 
     def of(self, text: str | None) -> bytes:
         pieces = cut(text)
@@ -90,6 +103,7 @@ class Ids(dict):
             self.learn(new)
         out = b"".join(map(self.__getitem__, pieces))
         if len(self) > REMEMBERED or len(self.known) > REMEMBERED:
+            self.before = dict(self)  # one generation back: pieces that come again are not worked out anew
             self.clear()
             self.known.clear()
         return out

@@ -111,3 +111,23 @@ def test_best_fit_takes_the_tightest_and_closes_the_fullest():
     assert p.place(3) == (1, 7)  # the tightest that takes it; sequence 1 is full
     assert p.place(5) == (2, 0) and p.place(6) == (3, 0)  # sequence 0, the fullest, closes
     assert p.place(4) == (3, 6) and p.place(4) == (2, 5)
+
+
+def test_pieces_are_not_worked_out_anew_when_the_memory_is_full(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 3)
+    ids = packing.Ids(PATH)
+    text = "Words, that come again: É, ÉTÉ. (İx) it's"
+    want = _LIBRARY.encode(text, add_special_tokens=False).ids
+    asked, plain = [], ids.plain
+    monkeypatch.setattr(ids, "plain", lambda t: asked.append(t) or plain(t))
+    for _ in range(3):
+        assert np.frombuffer(ids.of(text), "<u4").tolist() == want
+        asked, before = [], asked
+    assert before == []
+
+
+def test_letters_with_one_mark_equal_the_library():
+    ids = packing.Ids(PATH)
+    for c in map(chr, range(0x21, 0x370)):
+        for piece in (c, f"A{c}", f"{c}x", f"b{c}.", f"B{c},"):
+            assert ids.of(piece) == ids.plain(piece).tobytes()
