@@ -1,27 +1,29 @@
 """Line de-duplication with fuzzy matches, DataFrame functions only.
 
 Lines are normalised (lower case, everything but letters and digits one blank). Equal lines form a
-class, known by 128 bits of hash. A line's SimHash is made in blocks: one of 64 bits for each window of
-``run_words`` (4) words, in which a bit is set if most of the window's word pairs have it. An edit changes
+class, known by 128 bits of hash. A line's SimHash is made in blocks: one of 64 bits for each window of a
+few words, in which a bit is set if most of the window's word pairs have it. An edit changes
 the blocks of the windows it lies in and no other. That gives the pigeonhole: k edits leave at most k + 1
-unedited pieces, so with at most 15 edits in 100 words one piece has 4 words or more, and a block stays
-as it is. (A SimHash of the whole line does not serve: one word of twenty changed flips about ten of its 64
-bits, and pigeonhole blocks that survive this are a few bits wide.) A line is dealt to its blocks with the
-least hashes, as many as make sure that no partner is missed (``needed_blocks``). Lines that share a block
-are candidates.
+unedited pieces, so with at most 15 edits in 100 words one piece has 4 words or more, and a block of its
+words stays as it is. (A SimHash of the whole line does not serve: one word of twenty changed flips about ten
+of its 64 bits, and pigeonhole blocks that survive this are a few bits wide.) A run of 4 words holds two blocks of 3
+words, and its key is the lesser of the two; neighbouring runs often share theirs. A line is dealt to the keys of
+its least runs, as many as make sure that no partner is missed (``needed_blocks``). Lines that share a key are
+candidates.
 
 Why these are enough: a line that is alike differs by k edits at most, each of which spoils ``run_words``
-blocks at most. The least block that both have comes, in each of the two, after spoilt ones only, so it is
-among the first ``run_words * k + 1`` of both.
+runs at most. The least key that both have comes, in each of the two, after those of spoilt runs only, so it
+is the key of one of the first ``run_words * k + 1`` runs of both. This holds for any fixed order of keys: blocks that are
+met often, as a count over some lines says, come last, so lines that share only a common phrase seldom meet.
 
 Candidates are sifted by their length and their fold, 256 bits in which each word flips one: an edit moves
 the length by one at most and flips two bits at most, so no line that is alike is lost. What is left is
 verified by edit similarity (edits of words), and one occurrence of each connected group of lines stays:
 the first, by document and place.
 
-In a bucket all members first meet the least one. Where they are then still in different groups, members of
-different groups meet in tiles of at most about ``TILE`` by ``TILE``; what leaves a tile are the pairs that pass
-the sieve. So no link is lost, and a bucket of near copies costs one pass.
+In a bucket each member first meets the one before it by length. Where members are then still in different
+groups, those of different groups and near lengths meet in tiles of at most about ``TILE`` by ``TILE``; what leaves a
+tile are the pairs that pass the sieve. So no link is lost, and a bucket of near copies costs one pass.
 
 Defined results: lines without letters and digits are left where they are; lines of fewer than
 ``FUZZY_WORDS`` words are matched exactly after normalising; a null text stays null, an empty one empty; a
@@ -32,10 +34,11 @@ keep all their lines; a line may have any number of words; other columns are car
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.fence import once
@@ -49,6 +52,10 @@ SIMILARITY = 0.85
 TILE = 4096
 #: parts of 64 bits in a line's fold
 FOLDS = 4
+#: blocks met often that are dealt last, and the bits in which they are known: they decide the order only
+OFTEN, OFTEN_BITS = 50_000, 1 << 20
+#: one line of so many, by hash, is counted for these
+COUNTED = 64
 
 
 def words_of(line: Column) -> Column:
@@ -57,8 +64,8 @@ def words_of(line: Column) -> Column:
 
 
 def coded(words: Column) -> Column:
-    """A text with one character for each word (a hash below the surrogates), so that edits of it are edits of words."""
-    return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0xD800))), 4, "0")), "UTF-16BE")), "")
+    """Two bytes for each word: a hash below the surrogates, so that they are one character in UTF-16 and edits of these are edits of words."""
+    return F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0xD800))), 4, "0")), ""))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -77,11 +84,29 @@ def majority(features: list[Column]) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), [reduce(both, some) for some in combinations(features, len(features) // 2 + 1)])
 
 
+def pairs_of(code: Column, n: Column) -> Column:
+    """Hashes of the adjacent words of a coded line of ``n`` words."""
+    return F.transform(F.sequence(F.lit(1), 2 * n - 3, F.lit(2)), lambda i: F.xxhash64(F.substring(code, i, F.lit(4))))
+
+
 def simhash_blocks(pairs: Column, length: int) -> Column:
-    """Hashes of the 64-bit SimHash blocks of all windows of ``length`` words. ``pairs``: hashes of adjacent words."""
+    """Hashes of the 64-bit SimHash blocks of all windows of ``length`` words, in order. ``pairs``: hashes of adjacent words."""
     many = max(1, length - 1)
     block = lambda i: F.xxhash64(majority([F.get(pairs, i + j) for j in range(many)]))
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(pairs) - many), block))
+    return F.transform(F.sequence(F.lit(0), F.size(pairs) - many), block)
+
+
+def ranked(blocks: Column, often: Column | None) -> Column:
+    """The blocks as ranks: those met often come last. ``often``: bits, or None."""
+    last = lambda h: F.call_function("shiftright", F.get(often, F.shiftright(h, 6).bitwiseAND(F.lit(OFTEN_BITS // 64 - 1)).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    low = lambda h: h.bitwiseAND(F.lit((1 << 63) - 1))
+    return blocks if often is None else F.transform(blocks, lambda h: F.when(last(h), low(h)).otherwise(h.bitwiseOR(F.lit(-(1 << 63)))))
+
+
+def lesser(blocks: Column) -> Column:
+    """The lesser of each two neighbours."""
+    many = F.size(blocks) - 1
+    return F.when(many > 0, F.zip_with(F.slice(blocks, F.lit(1), many), F.slice(blocks, F.lit(2), many), lambda a, b: F.least(a, b))).otherwise(blocks)
 
 
 def needed_blocks(n: Column, length: int, least: float) -> Column:
@@ -100,19 +125,52 @@ def folds(hashes: Column) -> Column:
     return F.array(*[F.aggregate(hashes, F.lit(0).cast("bigint"), flips(j)) for j in range(FOLDS)])
 
 
-def described(docs: DataFrame, length: int, least: float | None) -> DataFrame:
-    """id, line, k1, k2, n (words), fold, blocks of every line with words; blocks are null where a line has no fuzzy matches.
+def short(length: int) -> int:
+    """Words of the blocks that are dealt: one less than all that two alike lines share in one run, which thus holds two."""
+    return length - 1 if length > 2 else length
 
-    The blocks are those needed to find all lines of edit similarity ``least``, or all of them.
-    """
+
+def with_pairs(lines: DataFrame) -> DataFrame:
+    """pairs in place of code; null where a line (n, code) has no fuzzy matches. Made once."""
+    return once(lines.withColumn("pairs", F.when(F.col("n") >= FUZZY_WORDS, pairs_of(F.col("code"), F.col("n")))).drop("code"))
+
+
+def often_met(classes: DataFrame, length: int) -> Column:
+    """Bits of the blocks that are met most often, counted on one line of ``COUNTED``, at most ``OFTEN``. They decide the order of blocks, no result."""
+    some = with_pairs(classes.filter((F.col("n") >= FUZZY_WORDS) & (F.pmod("k1", F.lit(COUNTED)) == 0)).select("n", "code"))
+    counts = some.select(F.explode(F.array_distinct(simhash_blocks(F.col("pairs"), short(length)))).alias("h")).groupBy("h").count()
+    bits = [0] * (OFTEN_BITS // 64)
+    for row in counts.filter("count > 1").orderBy(F.desc("count"), "h").limit(OFTEN).collect():
+        bits[(row["h"] >> 6) % len(bits)] |= 1 << row["h"] % 64
+    return F.split(F.lit(",".join(str(x - (x >> 63 << 64)) for x in bits)), ",").cast("array<bigint>")
+
+
+def dealt_blocks(lines: DataFrame, length: int, least: float | None, often: Column | None = None) -> DataFrame:
+    """The lines (n, code) with their blocks: all, or those needed to find all lines of edit similarity ``least``; null where there are no fuzzy matches."""
+    each, fuzzy = with_pairs(lines), F.col("n") >= FUZZY_WORDS
+    if least is None:
+        return each.withColumn("blocks", F.when(fuzzy, F.array_distinct(simhash_blocks(F.col("pairs"), length)))).drop("pairs")
+    each = once(each.withColumn("found", F.when(fuzzy, simhash_blocks(F.col("pairs"), short(length)))).drop("pairs"))
+    each = once(each.withColumn("found", ranked(F.col("found"), often)))
+    keys = lesser(F.col("found")) if short(length) < length else F.col("found")
+    return each.withColumn("blocks", F.when(fuzzy, F.array_distinct(F.slice(F.sort_array(keys), F.lit(1), needed_blocks(F.col("n"), length, least))))).drop("found")
+
+
+def folded(lines: DataFrame) -> DataFrame:
+    """The lines (n, code) with their fold."""
+    each = once(lines.withColumn("hashes", F.transform(F.sequence(F.lit(1), 2 * F.col("n") - 1, F.lit(2)), lambda i: F.xxhash64(F.substring("code", i, F.lit(2))))))
+    return each.withColumn("fold", folds(F.col("hashes"))).drop("hashes")
+
+
+def coded_lines(docs: DataFrame) -> DataFrame:
+    """id, line, k1, k2, n (words), code of every line with words."""
     words = F.col("words")
-    each = keyed(lines_of(docs).filter(F.size("words") > 0))
-    each = once(each.select(
-        "id", "line", "k1", "k2", F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
-        F.when(F.size("words") >= FUZZY_WORDS, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.xxhash64(a, b))).alias("pairs")))
-    found = simhash_blocks(F.col("pairs"), length)
-    dealt = found if least is None else F.slice(F.sort_array(found), F.lit(1), needed_blocks(F.col("n"), length, least))
-    return each.select("id", "line", "k1", "k2", "n", folds(F.col("hashes")).alias("fold"), F.when(F.col("pairs").isNotNull(), dealt).alias("blocks"))
+    return once(keyed(lines_of(docs).filter(F.size("words") > 0)).select("id", "line", "k1", "k2", F.size(words).alias("n"), coded(words).alias("code")))
+
+
+def described(docs: DataFrame, length: int, least: float | None) -> DataFrame:
+    """id, line, k1, k2, n, fold, blocks of every line with words. The blocks: see ``dealt_blocks``."""
+    return dealt_blocks(folded(coded_lines(docs)), length, least)
 
 
 def run_words(least: float) -> int:
@@ -135,73 +193,89 @@ def near(a: str, b: str, least: float) -> Column:
     return (F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) <= bound) & (flipped <= 2 * bound)
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """k1, v, norm (coded) of the classes ``wanted`` (k1, v, the struct(id, line) of an occurrence). A text is split once for all its lines."""
-    places = wanted.groupBy(F.col("v.id").alias("at")).agg(F.collect_list(F.struct("k1", F.col("v.line").alias("line"))).alias("wanted"))  # at most the lines of one text
-    found = docs.join(places, docs["id"] == places["at"])
-    parts = once(found.select("at", "wanted", F.split("text", "\n", -1).alias("parts")))
-    each = parts.select("at", F.inline(F.transform("wanted", lambda w: F.struct(w["k1"].alias("k1"), w["line"].alias("line"), F.get("parts", w["line"]).alias("raw")))))
-    return each.select("k1", F.struct(F.col("at").alias("id"), "line").alias("v"), coded(words_of(F.col("raw"))).alias("norm")).dropDuplicates(["k1", "v"])
-
-
-def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """Links a, b, both struct(id, line) of a class's first occurrence, of the ``pairs`` of line hashes (a, b) that are alike."""
     near_ones = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
-    texts = written(texts_of(docs, classes.join(near_ones, "k1").select("k1", "v")), "near-line-texts")
-    x, y = texts.select(F.col("k1").alias("a"), F.col("v").alias("va"), F.col("norm").alias("x")), texts.select(F.col("k1").alias("b"), F.col("v").alias("vb"), F.col("norm").alias("y"))
-    links = written(pairs.join(x, "a").join(y, "b").filter(alike(F.col("x"), F.col("y"), least)).select(F.col("va").alias("a"), F.col("vb").alias("b")), "line-links", small=True)
+    texts = written(classes.join(near_ones, "k1", "left_semi").select("k1", "v", "code"), "near-line-texts", small=True)
+    x, y = (texts.select(F.col("k1").alias(k), F.col("v").alias(f"v{k}"), F.col("code").alias(f"code{k}")) for k in "ab")
+    both = alike(F.decode("codea", "UTF-16BE"), F.decode("codeb", "UTF-16BE"), least)
+    links = written(pairs.join(x, "a").join(y, "b").filter(both).select(F.col("va").alias("a"), F.col("vb").alias("b")), "line-links", small=True)
     dropped(texts)
     return links
 
 
-def bucket_members(lines: DataFrame) -> DataFrame:
-    """bucket, k1, mark (n, fold) of the distinct lines in blocks that more than one line has."""
-    dealt = lines.filter(F.col("blocks").isNotNull()).dropDuplicates(["k1", "k2"]).select(F.explode("blocks").alias("bucket"), "k1", "n", "fold")
-    shared = dealt.groupBy("bucket").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo <> hi").select("bucket")
-    return dealt.join(shared, "bucket").select("bucket", "k1", F.struct("n", "fold").alias("mark"))
+def bucket_members(dealt: DataFrame, least: float) -> DataFrame:
+    """bucket, k1, a of the lines in blocks that more than one line has; a: the line before in its length, if that is near. ``dealt``: k1, n, blocks.
+
+    Lines alike are near in length, and so are those of a length between theirs: a line whose neighbours by
+    length are not near has no partner in the bucket and goes. The rows are shuffled once; most go here.
+    """
+    order = Window.partitionBy("bucket").orderBy("n", "k1")
+    each = dealt.select(F.explode("blocks").alias("bucket"), "k1", "n")
+    each = each.select("bucket", "k1", "n", F.lag("k1").over(order).alias("before"), F.lag("n").over(order).alias("less"), F.lead("n").over(order).alias("more"))
+    fits = lambda x, y: F.coalesce(F.col(y) - F.col(x) <= F.floor(F.lit(1 - least) * F.col(y) + 1e-9), F.lit(False))
+    return each.filter(fits("less", "n") | fits("n", "more")).select("bucket", "k1", F.when(fits("less", "n"), F.col("before")).alias("a"))
+
 
+def sifted(pairs: DataFrame, marks: DataFrame, least: float) -> DataFrame:
+    """The pairs a, b of line hashes that pass the sieve. ``marks``: k1, mark."""
+    one, two = (marks.select(F.col("k1").alias(k), F.col("mark").alias(f"m{k}")) for k in "ab")
+    return pairs.join(one, "a").join(two, "b").filter(near("ma", "mb", least)).select("a", "b")
 
-def tiled_pairs(members: DataFrame, least: float) -> DataFrame:
-    """Pairs a, b of different components within buckets that pass the sieve. ``members``: bucket, k1, mark, component."""
+
+def tiled_pairs(members: DataFrame, marks: DataFrame, least: float) -> DataFrame:
+    """Pairs a, b of different components within buckets that pass the sieve. ``members``: bucket, k1, component; ``marks``: k1, mark.
+
+    Lines alike differ in length by the share 1 - ``least`` at most, so they are in one band of lengths or in two adjacent ones.
+    """
     sizes = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / TILE).cast("int").alias("ways"))
-    still = members.join(sizes.filter("lo <> hi").select("bucket", "ways"), "bucket")
+    still = members.join(sizes.filter("lo <> hi").select("bucket", "ways"), "bucket").join(marks, "k1")
+    still = written(still.withColumn("band", F.floor(F.log("mark.n") / F.lit(1.001 * max(-math.log(least), 1e-9)))), "line-tiles", small=True)
     place = F.pmod(F.xxhash64("k1"), F.col("ways")).cast("int")
-    one = still.select("bucket", place.alias("i"), F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("j"), F.col("k1").alias("a"), F.col("mark").alias("ma"), F.col("component").alias("ca"))
-    two = still.select("bucket", place.alias("j"), F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("i"), F.col("k1").alias("b"), F.col("mark").alias("mb"), F.col("component").alias("cb"))
-    return one.join(two, ["bucket", "i", "j"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near("ma", "mb", least)).select("a", "b").distinct()
+    one = still.select("bucket", "band", place.alias("i"), F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("j"), F.col("k1").alias("a"), F.col("mark").alias("ma"), F.col("component").alias("ca"))
+    two = still.select("bucket", "ways", "k1", "mark", "component", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
+    two = two.select("bucket", "band", place.alias("j"), F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("i"), F.col("k1").alias("b"), F.col("mark").alias("mb"), F.col("component").alias("cb"))
+    # the longer line is on the second side
+    order = (F.col("ma.n") < F.col("mb.n")) | (F.col("ma.n") == F.col("mb.n")) & (F.col("a") < F.col("b"))
+    return one.join(two, ["bucket", "band", "i", "j"]).filter(order & (F.col("ca") != F.col("cb")) & near("ma", "mb", least)).select("a", "b").distinct()
 
 
-def fuzzy_links(docs: DataFrame, lines: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+def fuzzy_links(classes: DataFrame, least: float, blocks: str | None) -> DataFrame:
     """Components over the classes that have near lines: v, component, both struct(id, line) of a class's first occurrence.
 
-    ``lines``: k1, n, fold, blocks; ``classes``: k1, v. Two classes of one k1, should they occur, are told apart when verified.
+    ``classes``: k1, v, n, code. Two classes of one k1, should they occur, are told apart when verified.
     """
-    members = written(bucket_members(lines), "line-bucket-members", small=True)
-    first = members.groupBy("bucket").agg(F.min_by(F.struct(F.col("k1").alias("a"), F.col("mark").alias("ma")), "k1").alias("f")).select("bucket", "f.a", "f.ma")
-    stars = members.join(first, "bucket").filter((F.col("k1") != F.col("a")) & near("mark", "ma", least)).select("a", F.col("k1").alias("b")).distinct()
-    links = verified(docs, written(stars, "line-pairs", small=True), classes, least)
+    length = run_words(least)
+    needed = blocks == "needed"
+    dealt = dealt_blocks(classes.filter(F.col("n") >= FUZZY_WORDS).select("k1", "n", "code"), length, least if needed else None, often_met(classes, length) if needed else None)
+    members = written(bucket_members(dealt, least), "line-bucket-members")
+    marks = folded(classes.join(members.select("k1").distinct(), "k1", "left_semi").select("k1", "n", "code"))
+    marks = written(marks.select("k1", F.struct("n", "fold").alias("mark")).dropDuplicates(["k1"]), "line-marks", small=True)
+    first = members.filter("a <> k1").select("a", F.col("k1").alias("b")).distinct()
+    links = verified(written(sifted(first, marks, least), "line-pairs", small=True), classes, least)
     part = written(components(links).select(F.col("id").alias("v"), "component"), "line-groups", small=True)
-    groups = classes.join(part, "v").groupBy("k1").agg(F.min("component").alias("component"))
+    groups = classes.select("k1", "v").join(part, "v").groupBy("k1").agg(F.min("component").alias("component"))
     # a class in no group yet is one of its own, by its hash
     of_group = F.when(F.col("component").isNull(), F.col("k1")).otherwise(F.xxhash64("component")).alias("component")
-    more = written(tiled_pairs(members.join(groups, "k1", "left").select("bucket", "k1", "mark", of_group), least), "line-pairs", small=True)
+    more = written(tiled_pairs(members.join(groups, "k1", "left").select("bucket", "k1", of_group), marks, least), "line-pairs", small=True)
     if more.isEmpty():
         return part
-    dropped(members)
-    return components(links.unionByName(verified(docs, more, classes, least))).select(F.col("id").alias("v"), "component")
+    dropped(members, marks)
+    return components(links.unionByName(verified(more, classes, least))).select(F.col("id").alias("v"), "component")
 
 
 def removed_lines(docs: DataFrame, least: float = SIMILARITY, blocks: str | None = "needed") -> DataFrame:
     """id, text_hash, line of every occurrence that goes. ``docs``: id, text. ``blocks``: those "needed", or None for all; both find the same."""
     docs = docs.filter(F.col("id").isNotNull()).select(F.struct("id", F.xxhash64("text").alias("text_hash")).alias("id"), "text")
-    lines = written(described(docs, run_words(least), least if blocks == "needed" else None), "hashed-lines")
-    classes = written(lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "line")).alias("v"), F.count("*").alias("copies")), "line-classes")
-    groups = written(fuzzy_links(docs, lines, classes, least), "line-groups", small=True)
+    first = coded_lines(docs).groupBy("k1", "k2").agg(F.min(F.struct("id", "line")).alias("v"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("code").alias("code"))
+    classes = written(first, "line-classes")
+    groups = written(fuzzy_links(classes, least, blocks), "line-groups", small=True)
     # classes of one line in no group lose nothing
-    head = classes.join(groups, "v", "left").filter("copies > 1 or component is not null").select("k1", "k2", F.coalesce("component", "v").alias("head"))
-    gone = lines.select("id", "line", "k1", "k2").join(head, ["k1", "k2"]).filter(F.struct("id", "line") != F.col("head")).select("id.id", "id.text_hash", "line")
+    head = classes.select("k1", "k2", "v", "copies").join(groups, "v", "left").filter("copies > 1 or component is not null").select("k1", "k2", F.coalesce("component", "v").alias("head"))
+    lines = keyed(lines_of(docs).filter(F.size("words") > 0)).select("id", "line", "k1", "k2")
+    gone = lines.join(head, ["k1", "k2"]).filter(F.struct("id", "line") != F.col("head")).select("id.id", "id.text_hash", "line")
     gone = written(gone, "removed-lines", small=True)
-    dropped(lines, classes, groups)
+    dropped(classes, groups)
     return gone
 
 

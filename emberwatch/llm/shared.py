@@ -24,14 +24,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: whether the shuffle files of a query go when it has ended
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """The rows as a Parquet table in the shared folder: computed once, and safe when executors are lost.
 
+    What was shuffled for it is removed at once, not when the driver's memory is next cleaned.
     A ``small`` table goes into no more files than two for each core of the cluster.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.coalesce(2 * spark.sparkContext.defaultParallelism) if small else df).write.parquet(path)
+    was = spark.conf.get(CLEANED)
+    spark.conf.set(CLEANED, "true")
+    try:
+        (df.coalesce(2 * spark.sparkContext.defaultParallelism) if small else df).write.parquet(path)
+    finally:
+        spark.conf.set(CLEANED, was)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -257,3 +257,22 @@ def test_blocks_are_majorities_and_edits_spoil_their_own_windows_only(spark):
 
 def test_no_lines(spark):
     assert lines.deduplicated(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_a_line_is_dealt_to_fewer_keys_than_runs(spark):
+    """Once 69 keys for a line of 100 words, which took more disk than there was; neighbouring runs now share theirs."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"u{rng.randrange(10**6)}" for _ in range(100))) for i in range(40)]
+    got = [len(r["blocks"]) for r in lines.described(spark.createDataFrame(rows, "id bigint, text string"), 4, lines.SIMILARITY).collect()]
+    assert len(got) == 40 and max(got) <= 62 and sum(got) / 40 < 55
+
+
+def test_the_order_of_keys_changes_no_result(spark, monkeypatch):
+    """Blocks counted on all lines, so that many are met often."""
+    monkeypatch.setattr(lines, "COUNTED", 1)
+    rng = random.Random(14)
+    phrase = words(rng, 9)
+    rows = [(i, "\n".join(" ".join(changed(rng, x, 0.03)) for x in (phrase + words(rng, 11), phrase + words(rng, 30), phrase * 3))) for i in range(12)]
+    rows += [(20 + i, t + " and") for i, t in rows[:6]]
+    got = {(r["id"], r["line"]) for r in lines.removed_lines(spark.createDataFrame(rows, "id bigint, text string")).collect()}
+    assert got == brute_lines(rows, lines.SIMILARITY) and len(got) > 15
