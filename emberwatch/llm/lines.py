@@ -6,24 +6,23 @@ few words, in which a bit is set if most of the window's word pairs have it. An
 the blocks of the windows it lies in and no other. That gives the pigeonhole: k edits leave at most k + 1
 unedited pieces, so with at most 15 edits in 100 words one piece has 4 words or more, and a block of its
 words stays as it is. (A SimHash of the whole line does not serve: one word of twenty changed flips about ten
-of its 64 bits, and pigeonhole blocks that survive this are a few bits wide.) A run of 4 words holds two blocks of 3
-words, and its key is the lesser of the two; neighbouring runs often share theirs. A line is dealt to the keys of
-its least runs, as many as make sure that no partner is missed (``needed_blocks``). Lines that share a key are
-candidates.
+of its 64 bits, and pigeonhole blocks that survive this are a few bits wide.) A line is dealt to its least blocks of 3
+words, as many as make sure that no partner is missed (``needed_blocks``). Lines that share a block are candidates.
 
-Why these are enough: a line that is alike differs by k edits at most, each of which spoils ``run_words``
-runs at most. The least key that both have comes, in each of the two, after those of spoilt runs only, so it
-is the key of one of the first ``run_words * k + 1`` runs of both. This holds for any fixed order of keys: blocks that are
-met often, as a count over some lines says, come last, so lines that share only a common phrase seldom meet.
+Why these are enough: a line that is alike differs by k edits at most. The least block that both have comes, in each of
+the two, after spoilt ones only. An edit spoils 3 blocks at most, and of blocks without a common word one at most; so it
+is among the first 3 * k + 1, and no later than the first by which k + 1 lie apart. This holds for any fixed order of
+blocks: those that are met often, as a count over some lines says, come last, so lines that share only a common phrase
+seldom meet.
 
 Candidates are sifted by their length and their fold, 256 bits in which each word flips one: an edit moves
 the length by one at most and flips two bits at most, so no line that is alike is lost. What is left is
 verified by edit similarity (edits of words), and one occurrence of each connected group of lines stays:
 the first, by document and place.
 
-In a bucket each member first meets the one before it by length. Where members are then still in different
-groups, those of different groups and near lengths meet in tiles of at most about ``TILE`` by ``TILE``; what leaves a
-tile are the pairs that pass the sieve. So no link is lost, and a bucket of near copies costs one pass.
+In a bucket each member first meets the bucket's first line or the one before it by length. Groups then still apart
+meet in tiles of at most about ``TILE`` by ``TILE``, first by the two lines that differ least, then, if still apart, by all
+pairs that pass the sieves. So no link is lost.
 
 Defined results: lines without letters and digits are left where they are; lines of fewer than
 ``FUZZY_WORDS`` words are matched exactly after normalising; a null text stays null, an empty one empty; a
@@ -48,6 +47,14 @@ from .shared import columns, dropped, written
 FUZZY_WORDS = 8
 #: least edit similarity: 1 - edits of words / words of the longer line
 SIMILARITY = 0.85
+#: codes of words: as many as there are characters of UTF-16 below the surrogates
+CODES = 0xD800
+#: lowest bits of a block that give way to its place in the line
+PLACE_BITS = 16
+#: bits of the fold that is dealt with a line
+MARK_BITS = 48
+#: blocks tried, as multiples of those expected to be enough
+TRIED = (1.0, 1.2)
 #: members of a bucket on each side of a tile
 TILE = 4096
 #: parts of 64 bits in a line's fold
@@ -58,24 +65,35 @@ OFTEN, OFTEN_BITS = 50_000, 1 << 20
 COUNTED = 64
 
 
-def words_of(line: Column) -> Column:
-    """The words of a normalised line: runs of letters and digits in lower case."""
-    return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), "")
+def normal(text: Column) -> Column:
+    """A text in lower case, everything but letters and digits one blank in each line; blanks may stay at the ends of lines."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
 
 
 def coded(words: Column) -> Column:
-    """Two bytes for each word: a hash below the surrogates, so that they are one character in UTF-16 and edits of these are edits of words."""
-    return F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0xD800))), 4, "0")), ""))
+    """A small number for each word, from its hash: ``CODES`` of them, around 0."""
+    return F.transform(words, lambda w: (F.pmod(F.xxhash64(w), F.lit(CODES)) - CODES // 2).cast("smallint"))
+
+
+def spelled(code: Column) -> Column:
+    """The code with one character for each word, so that edits of these are edits of words."""
+    return F.decode(F.unhex(F.array_join(F.transform(code, lambda c: F.lpad(F.hex(c + F.lit(CODES // 2)), 4, "0")), "")), "UTF-16BE")
+
+
+def normal_lines(docs: DataFrame) -> DataFrame:
+    """id, line, text of every line, normalised. ``docs``: id, text. The text is made once: no filter is moved into its making."""
+    each = docs.filter(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", F.posexplode(F.split(normal(F.col("text")), "\n", -1)).alias("line", "text"))
+    return once(each.select("id", "line", F.trim("text").alias("text")))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """id, line, words of every line. ``docs``: id, text. The words are made once: no filter is moved into their making."""
-    each = docs.filter(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
-    return once(each.select("id", "line", words_of(F.col("raw")).alias("words")))
+    """id, line, words of every line."""
+    return normal_lines(docs).select("id", "line", F.array_remove(F.split("text", " "), "").alias("words"))
 
 
-def keyed(lines: DataFrame) -> DataFrame:
-    return lines.select("id", "line", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), "words")
+def keyed(docs: DataFrame) -> DataFrame:
+    """id, line, k1, k2, text of every line with words."""
+    return normal_lines(docs).filter("text <> ''").select("id", "line", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), "text")
 
 
 def majority(features: list[Column]) -> Column:
@@ -84,37 +102,55 @@ def majority(features: list[Column]) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), [reduce(both, some) for some in combinations(features, len(features) // 2 + 1)])
 
 
-def pairs_of(code: Column, n: Column) -> Column:
-    """Hashes of the adjacent words of a coded line of ``n`` words."""
-    return F.transform(F.sequence(F.lit(1), 2 * n - 3, F.lit(2)), lambda i: F.xxhash64(F.substring(code, i, F.lit(4))))
+def pairs_of(code: Column) -> Column:
+    """Hashes of the adjacent words of a coded line."""
+    many = F.size(code) - 1
+    return F.zip_with(F.slice(code, F.lit(1), many), F.slice(code, F.lit(2), many), lambda a, b: F.xxhash64(a, b))
 
 
 def simhash_blocks(pairs: Column, length: int) -> Column:
     """Hashes of the 64-bit SimHash blocks of all windows of ``length`` words, in order. ``pairs``: hashes of adjacent words."""
     many = max(1, length - 1)
+    if many == 2:
+        size = F.size(pairs) - 1
+        return F.zip_with(F.slice(pairs, F.lit(1), size), F.slice(pairs, F.lit(2), size), lambda x, y: F.xxhash64(majority([x, y])))
     block = lambda i: F.xxhash64(majority([F.get(pairs, i + j) for j in range(many)]))
     return F.transform(F.sequence(F.lit(0), F.size(pairs) - many), block)
 
 
 def ranked(blocks: Column, often: Column | None) -> Column:
-    """The blocks as ranks: those met often come last. ``often``: bits, or None."""
-    last = lambda h: F.call_function("shiftright", F.get(often, F.shiftright(h, 6).bitwiseAND(F.lit(OFTEN_BITS // 64 - 1)).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    low = lambda h: h.bitwiseAND(F.lit((1 << 63) - 1))
-    return blocks if often is None else F.transform(blocks, lambda h: F.when(last(h), low(h)).otherwise(h.bitwiseOR(F.lit(-(1 << 63)))))
+    """The blocks as ranks, their highest bit set: those met often come last, without it. ``often``: bits, or None."""
+    number = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(OFTEN_BITS // 64 - 1)).cast("int")
+    bit = lambda h: F.call_function("shiftright", F.get(often, number(h)), h.bitwiseAND(F.lit(63)).cast("int"))
+    rank = lambda h: h.bitwiseOR(F.lit(-(1 << 63))).bitwiseXOR(F.shiftleft(bit(h), 63))
+    return blocks if often is None else F.transform(blocks, rank)
+
+
+def placed(blocks: Column) -> Column:
+    """Blocks in their order, the lowest ``PLACE_BITS`` bits of each being its place in the line."""
+    last = (1 << PLACE_BITS) - 1
+    return F.sort_array(F.transform(blocks, lambda h, i: h.bitwiseAND(F.lit(~last)).bitwiseOR(F.least(i, F.lit(last)).cast("bigint"))))
 
 
-def lesser(blocks: Column) -> Column:
-    """The lesser of each two neighbours."""
-    many = F.size(blocks) - 1
-    return F.when(many > 0, F.zip_with(F.slice(blocks, F.lit(1), many), F.slice(blocks, F.lit(2), many), lambda a, b: F.least(a, b))).otherwise(blocks)
+def apart(blocks: Column, length: int) -> Column:
+    """How many of the placed blocks of ``length`` words can lie apart from each other: as many edits at least spoil them all."""
+    places = F.sort_array(F.transform(blocks, lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1))))
+    free = lambda acc: acc.bitwiseAND(F.lit((1 << 20) - 1))
+    taken = lambda acc, x: acc - free(acc) + F.lit(1 << 20) + x + F.lit(length)
+    return F.shiftright(F.aggregate(places, F.lit(0).cast("bigint"), lambda acc, x: F.when(x >= free(acc), taken(acc, x)).otherwise(acc)), 20)
 
 
-def needed_blocks(n: Column, length: int, least: float) -> Column:
-    """Least blocks of a line of ``n`` words among which each line alike shares one: all that the edits allowed may spoil, and one more.
+def needed_blocks(blocks: Column, n: Column, length: int, least: float) -> Column:
+    """How many of the placed blocks of a line of ``n`` words make sure that each line alike shares one: so many that the edits allowed cannot spoil all.
 
-    A partner is at most as many words longer as it has edits, so there are at most n * (1 - least) / least of these.
+    A partner is at most as many words longer as it has edits, so there are at most n * (1 - least) / least of these;
+    each spoils ``length`` blocks at most. Fewer blocks will do where that many lie apart, which is tried twice.
     """
-    return (F.floor(n * F.lit((1 - least) / least) + 1e-6) * length + 1).cast("int")
+    edits = F.floor(n * F.lit((1 - least) / least) + 1e-6)
+    most, room = edits * length + 1, 1 - (length - 1) * (edits + 1) / F.size(blocks)
+    tries = [F.least(most, F.ceil((edits + 1) * more / F.greatest(room, F.lit(0.01)))).cast("int") for more in TRIED]
+    enough = [F.when(apart(F.slice(blocks, F.lit(1), some), length) > edits, some) for some in tries]
+    return F.coalesce(*enough, most.cast("int"))
 
 
 def folds(hashes: Column) -> Column:
@@ -132,12 +168,12 @@ def short(length: int) -> int:
 
 def with_pairs(lines: DataFrame) -> DataFrame:
     """pairs in place of code; null where a line (n, code) has no fuzzy matches. Made once."""
-    return once(lines.withColumn("pairs", F.when(F.col("n") >= FUZZY_WORDS, pairs_of(F.col("code"), F.col("n")))).drop("code"))
+    return once(lines.withColumn("pairs", F.when(F.col("n") >= FUZZY_WORDS, pairs_of(F.col("code")))).drop("code"))
 
 
 def often_met(classes: DataFrame, length: int) -> Column:
     """Bits of the blocks that are met most often, counted on one line of ``COUNTED``, at most ``OFTEN``. They decide the order of blocks, no result."""
-    some = with_pairs(classes.filter((F.col("n") >= FUZZY_WORDS) & (F.pmod("k1", F.lit(COUNTED)) == 0)).select("n", "code"))
+    some = with_pairs(classes.filter((F.col("n") >= FUZZY_WORDS) & (F.pmod(F.xxhash64("code"), F.lit(COUNTED)) == 0)).select("n", "code"))
     counts = some.select(F.explode(F.array_distinct(simhash_blocks(F.col("pairs"), short(length)))).alias("h")).groupBy("h").count()
     bits = [0] * (OFTEN_BITS // 64)
     for row in counts.filter("count > 1").orderBy(F.desc("count"), "h").limit(OFTEN).collect():
@@ -150,22 +186,30 @@ def dealt_blocks(lines: DataFrame, length: int, least: float | None, often: Colu
     each, fuzzy = with_pairs(lines), F.col("n") >= FUZZY_WORDS
     if least is None:
         return each.withColumn("blocks", F.when(fuzzy, F.array_distinct(simhash_blocks(F.col("pairs"), length)))).drop("pairs")
-    each = once(each.withColumn("found", F.when(fuzzy, simhash_blocks(F.col("pairs"), short(length)))).drop("pairs"))
-    each = once(each.withColumn("found", ranked(F.col("found"), often)))
-    keys = lesser(F.col("found")) if short(length) < length else F.col("found")
-    return each.withColumn("blocks", F.when(fuzzy, F.array_distinct(F.slice(F.sort_array(keys), F.lit(1), needed_blocks(F.col("n"), length, least))))).drop("found")
+    size, found = short(length), F.col("found")
+    each = once(each.withColumn("found", F.when(fuzzy, simhash_blocks(F.col("pairs"), size))).drop("pairs"))
+    each = once(each.withColumn("found", placed(ranked(found, often))))
+    some = F.slice(found, F.lit(1), needed_blocks(found, F.col("n"), size, least))
+    return each.withColumn("blocks", F.when(fuzzy, F.array_distinct(F.transform(some, lambda x: F.shiftright(x, PLACE_BITS))))).drop("found")
 
 
 def folded(lines: DataFrame) -> DataFrame:
     """The lines (n, code) with their fold."""
-    each = once(lines.withColumn("hashes", F.transform(F.sequence(F.lit(1), 2 * F.col("n") - 1, F.lit(2)), lambda i: F.xxhash64(F.substring("code", i, F.lit(2))))))
+    each = once(lines.withColumn("hashes", F.transform("code", lambda c: F.xxhash64(c))))
     return each.withColumn("fold", folds(F.col("hashes"))).drop("hashes")
 
 
+def marked(n: Column, code: Column) -> Column:
+    """Length and a fold of ``MARK_BITS`` bits in one number, the length above (longer ones than there is room for as the longest)."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(c, F.lit(MARK_BITS)).cast("int"))
+    fold = F.aggregate(code, F.lit(0).cast("bigint"), lambda fold, c: fold.bitwiseXOR(bit(c)))
+    return F.least(n, F.lit((1 << 63 - MARK_BITS) - 1)).cast("bigint") * F.lit(1 << MARK_BITS) + fold
+
+
 def coded_lines(docs: DataFrame) -> DataFrame:
     """id, line, k1, k2, n (words), code of every line with words."""
-    words = F.col("words")
-    return once(keyed(lines_of(docs).filter(F.size("words") > 0)).select("id", "line", "k1", "k2", F.size(words).alias("n"), coded(words).alias("code")))
+    each = once(keyed(docs).select("id", "line", "k1", "k2", coded(F.split("text", " ")).alias("code")))
+    return each.select("id", "line", "k1", "k2", F.size("code").alias("n"), "code")
 
 
 def described(docs: DataFrame, length: int, least: float | None) -> DataFrame:
@@ -186,96 +230,142 @@ def alike(x: Column, y: Column, least: float) -> Column:
     return (F.abs(F.length(x) - F.length(y)) <= bound) & (F.call_function("levenshtein", x, y, bound) >= 0)
 
 
+def flipped_bits(a: str, b: str, fold: str = "fold") -> Column:
+    """Bits in which the folds of two marks differ."""
+    return sum((F.bit_count(F.get(f"{a}.{fold}", F.lit(j)).bitwiseXOR(F.get(f"{b}.{fold}", F.lit(j)))) for j in range(FOLDS)), F.lit(0))
+
+
+def bounds(a: str, b: str, least: float) -> tuple[Column, Column]:
+    """The edits allowed between two lines, by their marks, and by how many words one is longer: so many edits at least are no exchanges."""
+    return F.floor((1 - F.lit(least)) * F.greatest(f"{a}.n", f"{b}.n") + 1e-9), F.abs(F.col(f"{a}.n") - F.col(f"{b}.n"))
+
+
 def near(a: str, b: str, least: float) -> Column:
-    """Whether two members of a bucket, by their marks (n, fold), may be alike."""
-    bound = F.floor((1 - F.lit(least)) * F.greatest(f"{a}.n", f"{b}.n") + 1e-9)
-    flipped = sum((F.bit_count(F.get(f"{a}.fold", F.lit(j)).bitwiseXOR(F.get(f"{b}.fold", F.lit(j)))) for j in range(FOLDS)), F.lit(0))
-    return (F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) <= bound) & (flipped <= 2 * bound)
+    """Whether two members of a bucket, by their marks (n, fold), may be alike: an exchanged word flips two bits at most, one put in or left out flips one."""
+    bound, longer = bounds(a, b, least)
+    return (longer <= bound) & (flipped_bits(a, b) <= 2 * bound - longer)
+
+
+def near_by_pairs(a: str, b: str, least: float) -> Column:
+    """The same by the fold of the adjacent words: an exchanged word flips four bits at most, one put in or left out three."""
+    bound, longer = bounds(a, b, least)
+    return flipped_bits(a, b, "pair_fold") <= 4 * bound - longer
+
+
+def near_marks(x: Column, y: Column, least: float) -> Column:
+    """Whether two lines may be alike, by their ``marked`` numbers; false for null."""
+    length = lambda m: F.shiftright(m, MARK_BITS)
+    bound = F.floor((1 - F.lit(least)) * length(F.greatest(x, y)) + 1e-9)
+    flipped, further = F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit((1 << MARK_BITS) - 1))), F.abs(length(x) - length(y))
+    return F.coalesce((further <= bound) & (flipped <= 2 * bound - further), F.lit(False))
 
 
 def verified(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Links a, b, both struct(id, line) of a class's first occurrence, of the ``pairs`` of line hashes (a, b) that are alike."""
-    near_ones = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
-    texts = written(classes.join(near_ones, "k1", "left_semi").select("k1", "v", "code"), "near-line-texts", small=True)
-    x, y = (texts.select(F.col("k1").alias(k), F.col("v").alias(f"v{k}"), F.col("code").alias(f"code{k}")) for k in "ab")
-    both = alike(F.decode("codea", "UTF-16BE"), F.decode("codeb", "UTF-16BE"), least)
-    links = written(pairs.join(x, "a").join(y, "b").filter(both).select(F.col("va").alias("a"), F.col("vb").alias("b")), "line-links", small=True)
+    """Those of the ``pairs`` (a, b) of classes that are alike."""
+    near_ones = pairs.select(F.explode(F.array("a", "b")).alias("num")).distinct()
+    texts = written(classes.join(near_ones, "num", "left_semi").select("num", spelled(F.col("code")).alias("spelled")), "near-line-texts", small=True)
+    x, y = (texts.select(F.col("num").alias(k), F.col("spelled").alias(f"text_{k}")) for k in "ab")
+    links = written(pairs.join(x, "a").join(y, "b").filter(alike(F.col("text_a"), F.col("text_b"), least)).select("a", "b"), "line-links", small=True)
     dropped(texts)
     return links
 
 
 def bucket_members(dealt: DataFrame, least: float) -> DataFrame:
-    """bucket, k1, a of the lines in blocks that more than one line has; a: the line before in its length, if that is near. ``dealt``: k1, n, blocks.
+    """bucket, num, a, several of the lines in blocks that more than one line has. ``dealt``: num, mark, blocks.
 
-    Lines alike are near in length, and so are those of a length between theirs: a line whose neighbours by
-    length are not near has no partner in the bucket and goes. The rows are shuffled once; most go here.
+    ``a``: a line to compare with, by the marks the bucket's first, else the one before in length, else null. Lines
+    alike are near in length, and so are those of a length between theirs: a line whose neighbours by
+    length are not near has no partner in the bucket and goes. Where only two are near, their one pair is all there is to
+    compare; ``several`` tells the others, that have more to meet. The rows are shuffled once; most go here.
     """
-    order = Window.partitionBy("bucket").orderBy("n", "k1")
-    each = dealt.select(F.explode("blocks").alias("bucket"), "k1", "n")
-    each = each.select("bucket", "k1", "n", F.lag("k1").over(order).alias("before"), F.lag("n").over(order).alias("less"), F.lead("n").over(order).alias("more"))
-    fits = lambda x, y: F.coalesce(F.col(y) - F.col(x) <= F.floor(F.lit(1 - least) * F.col(y) + 1e-9), F.lit(False))
-    return each.filter(fits("less", "n") | fits("n", "more")).select("bucket", "k1", F.when(fits("less", "n"), F.col("before")).alias("a"))
-
-
-def sifted(pairs: DataFrame, marks: DataFrame, least: float) -> DataFrame:
-    """The pairs a, b of line hashes that pass the sieve. ``marks``: k1, mark."""
-    one, two = (marks.select(F.col("k1").alias(k), F.col("mark").alias(f"m{k}")) for k in "ab")
-    return pairs.join(one, "a").join(two, "b").filter(near("ma", "mb", least)).select("a", "b")
-
-
-def tiled_pairs(members: DataFrame, marks: DataFrame, least: float) -> DataFrame:
-    """Pairs a, b of different components within buckets that pass the sieve. ``members``: bucket, k1, component; ``marks``: k1, mark.
+    order = Window.partitionBy("bucket").orderBy("mark", "num")
+    each = dealt.select(F.explode("blocks").alias("bucket"), "num", "mark")
+    shifted = [F.lag("mark", 2).over(order).alias("m_2"), F.lag("mark").over(order).alias("m_1"), F.lead("mark").over(order).alias("m1"), F.lead("mark", 2).over(order).alias("m2")]
+    start = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.select("bucket", "num", "mark", *shifted, F.lag("num").over(order).alias("before"), F.first("num").over(start).alias("head"), F.first("mark").over(start).alias("m_head"))
+    length = lambda m: F.shiftright(m, MARK_BITS)
+    fits = lambda x, y: F.coalesce(length(y) - length(x) <= F.floor(F.lit(1 - least) * length(y) + 1e-9), F.lit(False))
+    back, on = fits(F.col("m_1"), F.col("mark")), fits(F.col("mark"), F.col("m1"))
+    each = each.filter(back | on)
+    several = back & on | back & fits(F.col("m_2"), F.col("m_1")) | on & fits(F.col("m1"), F.col("m2"))
+    meets = lambda num, mark: F.when((F.col(num) != F.col("num")) & near_marks(F.col(mark), F.col("mark"), least), F.col(num))
+    each = each.select("bucket", "num", F.coalesce(meets("head", "m_head"), meets("before", "m_1")).alias("a"), several.alias("several"))
+    return each.filter("several or a is not null")
+
+
+def tiled_pairs(members: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Pairs a, b of different components ca, cb (the lesser first) within buckets that pass the sieve, with the bits that differ. ``members``: bucket, num, component.
 
     Lines alike differ in length by the share 1 - ``least`` at most, so they are in one band of lengths or in two adjacent ones.
     """
     sizes = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / TILE).cast("int").alias("ways"))
-    still = members.join(sizes.filter("lo <> hi").select("bucket", "ways"), "bucket").join(marks, "k1")
-    still = written(still.withColumn("band", F.floor(F.log("mark.n") / F.lit(1.001 * max(-math.log(least), 1e-9)))), "line-tiles", small=True)
-    place = F.pmod(F.xxhash64("k1"), F.col("ways")).cast("int")
-    one = still.select("bucket", "band", place.alias("i"), F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("j"), F.col("k1").alias("a"), F.col("mark").alias("ma"), F.col("component").alias("ca"))
-    two = still.select("bucket", "ways", "k1", "mark", "component", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
-    two = two.select("bucket", "band", place.alias("j"), F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("i"), F.col("k1").alias("b"), F.col("mark").alias("mb"), F.col("component").alias("cb"))
+    still = written(members.join(sizes.filter("lo <> hi").select("bucket", "ways"), "bucket"), "line-still", small=True)
+    marks = classes.join(still.select("num").distinct(), "num", "left_semi").select("num", "n", "code")
+    marks = once(folded(marks.withColumn("pairs", pairs_of(F.col("code"))))).select("num", F.struct("n", "fold", folds(F.col("pairs")).alias("pair_fold")).alias("mark"))
+    both = written(still.join(marks, "num").withColumn("band", F.floor(F.log("mark.n") / F.lit(1.001 * max(-math.log(least), 1e-9)))), "line-tiles", small=True)
+    dropped(still)
+    place = F.pmod(F.xxhash64("num"), F.col("ways")).cast("int")
+    one = both.select("bucket", "band", place.alias("i"), F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("j"), F.col("num").alias("a"), F.col("mark").alias("ma"), F.col("component").alias("ca"))
+    two = both.select("bucket", "ways", "num", "mark", "component", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
+    two = two.select("bucket", "band", place.alias("j"), F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("i"), F.col("num").alias("b"), F.col("mark").alias("mb"), F.col("component").alias("cb"))
     # the longer line is on the second side
     order = (F.col("ma.n") < F.col("mb.n")) | (F.col("ma.n") == F.col("mb.n")) & (F.col("a") < F.col("b"))
-    return one.join(two, ["bucket", "band", "i", "j"]).filter(order & (F.col("ca") != F.col("cb")) & near("ma", "mb", least)).select("a", "b").distinct()
+    pairs = one.join(two, ["bucket", "band", "i", "j"]).filter(order & (F.col("ca") != F.col("cb")) & near("ma", "mb", least) & near_by_pairs("ma", "mb", least))
+    return pairs.select("a", "b", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"), flipped_bits("ma", "mb").alias("flipped"))
+
+
+def in_groups(rows: DataFrame, groups: DataFrame, column: str) -> DataFrame:
+    """The rows with the component of the classes in ``column`` in its place; a class in no group is one of its own."""
+    named = groups.select(F.col("id").alias(column), F.col("component").alias("_component"))
+    return rows.join(named, column, "left").withColumn(column, F.coalesce("_component", column)).drop("_component")
 
 
-def fuzzy_links(classes: DataFrame, least: float, blocks: str | None) -> DataFrame:
-    """Components over the classes that have near lines: v, component, both struct(id, line) of a class's first occurrence.
+def fuzzy_groups(classes: DataFrame, least: float, blocks: str | None) -> DataFrame:
+    """id, component of the classes that have near lines: both numbers of classes. ``classes``: num, n, code.
 
-    ``classes``: k1, v, n, code. Two classes of one k1, should they occur, are told apart when verified.
+    What the first meeting leaves apart meets in tiles. Of each two components that do so, the two lines that differ least
+    are compared first: groups that are one are then one, and only for those still apart are all their pairs taken.
     """
     length = run_words(least)
     needed = blocks == "needed"
-    dealt = dealt_blocks(classes.filter(F.col("n") >= FUZZY_WORDS).select("k1", "n", "code"), length, least if needed else None, often_met(classes, length) if needed else None)
+    fuzzy = classes.filter(F.col("n") >= FUZZY_WORDS).select("num", "n", marked(F.col("n"), F.col("code")).alias("mark"), "code")
+    dealt = dealt_blocks(fuzzy, length, least if needed else None, often_met(classes, length) if needed else None)
     members = written(bucket_members(dealt, least), "line-bucket-members")
-    marks = folded(classes.join(members.select("k1").distinct(), "k1", "left_semi").select("k1", "n", "code"))
-    marks = written(marks.select("k1", F.struct("n", "fold").alias("mark")).dropDuplicates(["k1"]), "line-marks", small=True)
-    first = members.filter("a <> k1").select("a", F.col("k1").alias("b")).distinct()
-    links = verified(written(sifted(first, marks, least), "line-pairs", small=True), classes, least)
-    part = written(components(links).select(F.col("id").alias("v"), "component"), "line-groups", small=True)
-    groups = classes.select("k1", "v").join(part, "v").groupBy("k1").agg(F.min("component").alias("component"))
-    # a class in no group yet is one of its own, by its hash
-    of_group = F.when(F.col("component").isNull(), F.col("k1")).otherwise(F.xxhash64("component")).alias("component")
-    more = written(tiled_pairs(members.join(groups, "k1", "left").select("bucket", "k1", of_group), marks, least), "line-pairs", small=True)
-    if more.isEmpty():
-        return part
-    dropped(members, marks)
-    return components(links.unionByName(verified(more, classes, least))).select(F.col("id").alias("v"), "component")
+    links = verified(written(members.filter("a is not null").select("a", F.col("num").alias("b")).distinct(), "line-pairs", small=True), classes, least)
+    groups = written(components(links), "line-groups", small=True)
+    several = members.filter("several").select("bucket", "num", F.col("num").alias("component"))
+    pairs = tiled_pairs(in_groups(several, groups, "component"), classes, least).groupBy("ca", "cb").agg(F.min_by("a", "flipped").alias("a"), F.min_by("b", "flipped").alias("b"), F.count("*").alias("pairs"))
+    pairs = written(pairs, "line-pairs", small=True)
+    if pairs.isEmpty():
+        return groups
+    links = links.unionByName(verified(pairs.select("a", "b"), classes, least))
+    groups = written(components(links), "line-groups", small=True)
+    apart_yet = in_groups(in_groups(pairs.filter("pairs > 1").select("ca", "cb"), groups, "ca"), groups, "cb").filter("ca <> cb")
+    apart_yet = written(apart_yet.select(F.explode(F.array("ca", "cb")).alias("component")).distinct(), "line-groups", small=True)
+    if not apart_yet.isEmpty():
+        rest = tiled_pairs(in_groups(several, groups, "component").join(apart_yet, "component", "left_semi"), classes, least)
+        rest = written(rest.select("a", "b").distinct(), "line-pairs", small=True)
+        groups = written(components(links.unionByName(verified(rest, classes, least))), "line-groups", small=True)
+    dropped(members)
+    return groups
 
 
 def removed_lines(docs: DataFrame, least: float = SIMILARITY, blocks: str | None = "needed") -> DataFrame:
     """id, text_hash, line of every occurrence that goes. ``docs``: id, text. ``blocks``: those "needed", or None for all; both find the same."""
     docs = docs.filter(F.col("id").isNotNull()).select(F.struct("id", F.xxhash64("text").alias("text_hash")).alias("id"), "text")
     first = coded_lines(docs).groupBy("k1", "k2").agg(F.min(F.struct("id", "line")).alias("v"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("code").alias("code"))
-    classes = written(first, "line-classes")
-    groups = written(fuzzy_links(classes, least, blocks), "line-groups", small=True)
+    # numbered as they are written, so the numbers stay
+    classes = written(first.withColumn("num", F.monotonically_increasing_id()), "line-classes")
+    groups = fuzzy_groups(classes.select("num", "n", "code"), least, blocks)
+    both = written(classes.select(F.col("num").alias("id"), "k1", "k2", "v").join(groups, "id"), "line-groups", small=True)
+    heads = both.groupBy("component").agg(F.min("v").alias("head"))
     # classes of one line in no group lose nothing
-    head = classes.select("k1", "k2", "v", "copies").join(groups, "v", "left").filter("copies > 1 or component is not null").select("k1", "k2", F.coalesce("component", "v").alias("head"))
-    lines = keyed(lines_of(docs).filter(F.size("words") > 0)).select("id", "line", "k1", "k2")
+    alone = classes.filter("copies > 1").join(groups, F.col("num") == F.col("id"), "left_anti").select("k1", "k2", F.col("v").alias("head"))
+    head = alone.unionByName(both.join(heads, "component").select("k1", "k2", "head"))
+    lines = keyed(docs).select("id", "line", "k1", "k2")
     gone = lines.join(head, ["k1", "k2"]).filter(F.struct("id", "line") != F.col("head")).select("id.id", "id.text_hash", "line")
     gone = written(gone, "removed-lines", small=True)
-    dropped(classes, groups)
+    dropped(classes, groups, both)
     return gone
 
 

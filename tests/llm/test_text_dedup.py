@@ -276,3 +276,53 @@ def test_the_order_of_keys_changes_no_result(spark, monkeypatch):
     rows += [(20 + i, t + " and") for i, t in rows[:6]]
     got = {(r["id"], r["line"]) for r in lines.removed_lines(spark.createDataFrame(rows, "id bigint, text string")).collect()}
     assert got == brute_lines(rows, lines.SIMILARITY) and len(got) > 15
+
+
+def test_blocks_that_lie_apart_make_fewer_enough(spark):
+    """Once about 53 keys for a line of 100 words; 18 blocks that lie apart are enough for its 17 edits."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"u{rng.randrange(10**6)}" for _ in range(100))) for i in range(40)]
+    got = [len(r["blocks"]) for r in lines.described(spark.createDataFrame(rows, "id bigint, text string"), 4, lines.SIMILARITY).collect()]
+    assert min(got) >= 18 and max(got) <= 52 and sum(got) / 40 < 40
+
+
+def test_a_group_of_near_copies_is_compared_with_few(spark, monkeypatch):
+    """Once each line met another one in each of its buckets, and of groups still apart all pairs were written."""
+    met, verify = [], lines.verified
+
+    def counting(pairs, classes, least):
+        met.append(pairs.count())
+        return verify(pairs, classes, least)
+
+    monkeypatch.setattr(lines, "verified", counting)
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    rows = [(i, " ".join(changed(rng, base, 0.04))) for i in range(120)]
+    got = {(r["id"], r["line"]) for r in lines.removed_lines(spark.createDataFrame(rows, "id bigint, text string")).collect()}
+    assert got == {(i, 0) for i in range(1, 120)}
+    assert sum(met) < 6 * 120
+
+
+def test_words_left_out_on_either_side_are_told_by_the_sieves(spark):
+    """Seven words left out of each of two copies: 14 edits where 7 are allowed, which the fold of the words alone lets pass."""
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    without = lambda at: " ".join(w for i, w in enumerate(base) if i not in at)
+    rows = [(0, " ".join(base)), (1, without(range(3, 59, 8))), (2, without(range(7, 60, 8)))]
+    got = lines.coded_lines(spark.createDataFrame(rows, "id bigint, text string")).withColumn("pairs", lines.pairs_of(F.col("code")))
+    got = lines.folded(got).select("id", F.struct("n", "fold", lines.folds(F.col("pairs")).alias("pair_fold")).alias("mark"))
+    one, two = got.select(F.col("id").alias("a"), F.col("mark").alias("ma")), got.select(F.col("id").alias("b"), F.col("mark").alias("mb"))
+    passed = one.join(two, F.col("a") < F.col("b")).select("a", "b", lines.near("ma", "mb", 0.85).alias("words"), lines.near_by_pairs("ma", "mb", 0.85).alias("pairs"))
+    assert {(r["a"], r["b"]): (r["words"], r["pairs"]) for r in passed.collect()} == {(0, 1): (True, True), (0, 2): (True, True), (1, 2): (True, False)}
+
+
+def test_lines_after_a_capital_sigma_and_odd_blanks(spark):
+    """Lines are normalised with the text they stand in: what follows a line changes none."""
+    rows = [(1, "ΛΟΓΟΣ\nΛΟΓΟΣ α"), (2, "x\r\n\t*** ΛΟΓΟΣ\nλογος Α !\n"), (3, "\n x "), (4, "a b\nA b")]
+    got = {(r["id"], r["line"]) for r in lines.removed_lines(spark.createDataFrame(rows, "id bigint, text string")).collect()}
+    plain = [(i, n, tuple(w for w in re.split(r"[^\w]+|_+", x.lower()) if w)) for i, t in rows for n, x in enumerate(t.split("\n"))]
+    first, want = {}, set()
+    for i, n, x in plain:
+        if x and first.setdefault(x, (i, n)) != (i, n):
+            want.add((i, n))
+    assert got == want
