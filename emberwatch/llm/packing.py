@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import REMEMBERED, WordPattern, cut, normalised
+from .bpe import SHORT, WordPattern, cut, normalised
 from .shared import columns, written
 
 LENGTH = 4096
@@ -37,10 +37,17 @@ SEQUENCES_A_PACKER = 2048
 PLAIN = "\u0300"
 #: marks that are a word of their own after letters
 MARKS = frozenset(".,;:!?)")
+#: pieces of text that a worker remembers as they came in two texts or more, and those that came in one
+REMEMBERED, NEW = 100_000, 50_000
+#: texts handed to a worker at once, and the setting for that
+TEXTS_A_BATCH, BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 class Ids(dict):
-    """Piece of text -> its ids as bytes, from the tokenizers library. Words are encoded many at a time, each once."""
+    """Piece of text -> its ids as bytes, from the tokenizers library. Words are encoded many at a time, each once.
+
+    Most pieces never come again, so a piece of one text only is kept apart, among few, until a second text has it.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -60,6 +67,8 @@ class Ids(dict):
         self.special = [t["content"] for t in said["added_tokens"]]
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {}
+        self.new_before: dict[str, bytes] = {}
 
     def plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -68,9 +77,6 @@ class Ids(dict):
         """Ids of new pieces. Words joined by blanks come back with word ends between them."""
         plan = {}
         for p in pieces:
-            if (was := self.before.get(p)) is not None:
-                self[p] = was
-                continue
             text = normalised(p)
             # letters, and one mark after them at most: the pattern takes them apart just so
             if text.isalpha() and (text.isascii() or max(text) < PLAIN):
@@ -98,13 +104,28 @@ class Ids(dict):
             self[p] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
 
     def of(self, text: str | None) -> bytes:
-        pieces = cut(text)
-        if new := [p for p in set(pieces) if p not in self]:
-            self.learn(new)
+        pieces, first = cut(text), []
+        for p in {p for p in set(pieces) if p not in self}:
+            for known in (self.new, self.new_before, self.before):
+                if (was := known.pop(p, None)) is not None:
+                    self[p] = was
+                    break
+            else:
+                first.append(p)
+        if first:
+            self.learn(first)
         out = b"".join(map(self.__getitem__, pieces))
-        if len(self) > REMEMBERED or len(self.known) > REMEMBERED:
-            self.before = dict(self)  # one generation back: pieces that come again are not worked out anew
+        for p in first:
+            ids = self.pop(p)
+            if len(p) < SHORT:
+                self.new[p] = ids
+        # each has one generation back: pieces that come again are not worked out anew
+        if len(self.new) > NEW:
+            self.new_before, self.new = self.new, {}
+        if len(self) > REMEMBERED:
+            self.before = dict(self)
             self.clear()
+        if len(self.known) > REMEMBERED:
             self.known.clear()
         return out
 
@@ -172,7 +193,13 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = 1, id
 
 def packed(docs: DataFrame, path: str, length: int = LENGTH, open_bins: int = OPEN_BINS, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces with sequence_id and offset."""
-    cut_up = written(pieces(docs, path, length, end_id, id_col, text_col), "pieces")
+    spark = docs.sparkSession
+    was = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(min(TEXTS_A_BATCH, int(was)) if int(was) > 0 else TEXTS_A_BATCH))
+    try:
+        cut_up = written(pieces(docs, path, length, end_id, id_col, text_col), "pieces")
+    finally:
+        spark.conf.set(BATCH, was)
     whole = cut_up.filter(F.col("length") == length).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     rest = cut_up.filter(F.col("length") < length)
     tokens = rest.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]

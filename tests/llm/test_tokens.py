@@ -126,6 +126,20 @@ def test_pieces_are_not_worked_out_anew_when_the_memory_is_full(monkeypatch):
     assert before == []
 
 
+def test_pieces_of_one_text_fill_no_memory(spark, monkeypatch):
+    """Once each new piece was remembered among those that come again."""
+    monkeypatch.setattr(packing, "NEW", 50)
+    ids = packing.Ids(PATH)
+    for i in range(40):
+        ids.of("the same words " + " ".join(f"w{i}x{j}" for j in range(20)))
+    assert set(ids) == {"the", "same", "words"} and len(ids.new) + len(ids.new_before) <= 2 * (50 + 20)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was, seen = spark.conf.get(name), []
+    monkeypatch.setattr(packing, "written", lambda df, _: seen.append(spark.conf.get(name)) or df)
+    packing.packed(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), PATH)
+    assert int(seen[0]) <= packing.TEXTS_A_BATCH and spark.conf.get(name) == was
+
+
 def test_letters_with_one_mark_equal_the_library():
     ids = packing.Ids(PATH)
     for c in map(chr, range(0x21, 0x370)):
