@@ -21,8 +21,9 @@ verified by edit similarity (edits of words), and one occurrence of each connect
 the first, by document and place.
 
 In a bucket each member first meets the bucket's first line or the one before it by length. Groups then still apart
-meet in tiles of at most about ``TILE`` by ``TILE``, first by the two lines that differ least, then, if still apart, by all
-pairs that pass the sieves. So no link is lost.
+meet in tiles of at most about ``TILE`` by ``TILE``, each pair in the first bucket that both lines are in: first by the two
+lines that differ least, then, if still apart, by up to ``SLOTS`` pairs that pass the sieves, and only for groups that have more
+pairs and are apart even then by all. So no link is lost.
 
 Defined results: lines without letters and digits are left where they are; lines of fewer than
 ``FUZZY_WORDS`` words are matched exactly after normalising; a null text stays null, an empty one empty; a
@@ -55,8 +56,10 @@ PLACE_BITS = 16
 MARK_BITS = 48
 #: blocks tried, as multiples of those expected to be enough
 TRIED = (1.0, 1.2)
-#: members of a bucket on each side of a tile
-TILE = 4096
+#: members of a bucket on each side of a tile, and of a bucket that is not taken apart by length
+TILE, FEW = 4096, 64
+#: pairs at most that are kept for each two groups of lines that meet
+SLOTS = 64
 #: parts of 64 bits in a line's fold
 FOLDS = 4
 #: blocks met often that are dealt last, and the bits in which they are known: they decide the order only
@@ -293,25 +296,44 @@ def bucket_members(dealt: DataFrame, least: float) -> DataFrame:
     return each.filter("several or a is not null")
 
 
-def tiled_pairs(members: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Pairs a, b of different components ca, cb (the lesser first) within buckets that pass the sieve, with the bits that differ. ``members``: bucket, num, component.
+def met_pairs(one: DataFrame, two: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """Pairs a, b of different components ca, cb (the lesser first) of two sides of tiles that pass the sieves, with the bits that differ.
 
-    Lines alike differ in length by the share 1 - ``least`` at most, so they are in one band of lengths or in two adjacent ones.
+    A pair is taken in the least bucket that both are in, so once. Where a bucket of both is not here, they were its
+    only two that are near in length: they met there already.
     """
-    sizes = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / TILE).cast("int").alias("ways"))
-    still = written(members.join(sizes.filter("lo <> hi").select("bucket", "ways"), "bucket"), "line-still", small=True)
-    marks = classes.join(still.select("num").distinct(), "num", "left_semi").select("num", "n", "code")
-    marks = once(folded(marks.withColumn("pairs", pairs_of(F.col("code"))))).select("num", F.struct("n", "fold", folds(F.col("pairs")).alias("pair_fold")).alias("mark"))
-    both = written(still.join(marks, "num").withColumn("band", F.floor(F.log("mark.n") / F.lit(1.001 * max(-math.log(least), 1e-9)))), "line-tiles", small=True)
-    dropped(still)
-    place = F.pmod(F.xxhash64("num"), F.col("ways")).cast("int")
-    one = both.select("bucket", "band", place.alias("i"), F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("j"), F.col("num").alias("a"), F.col("mark").alias("ma"), F.col("component").alias("ca"))
-    two = both.select("bucket", "ways", "num", "mark", "component", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
-    two = two.select("bucket", "band", place.alias("j"), F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("i"), F.col("num").alias("b"), F.col("mark").alias("mb"), F.col("component").alias("cb"))
+    x, y = (side.select(*keys, *[F.col(c).alias(f"{c}_{k}") for c in ("num", "component", "mark", "buckets")]) for k, side in (("a", one), ("b", two)))
     # the longer line is on the second side
-    order = (F.col("ma.n") < F.col("mb.n")) | (F.col("ma.n") == F.col("mb.n")) & (F.col("a") < F.col("b"))
-    pairs = one.join(two, ["bucket", "band", "i", "j"]).filter(order & (F.col("ca") != F.col("cb")) & near("ma", "mb", least) & near_by_pairs("ma", "mb", least))
-    return pairs.select("a", "b", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"), flipped_bits("ma", "mb").alias("flipped"))
+    order = (F.col("mark_a.n") < F.col("mark_b.n")) | (F.col("mark_a.n") == F.col("mark_b.n")) & (F.col("num_a") < F.col("num_b"))
+    sieves = near("mark_a", "mark_b", least) & near_by_pairs("mark_a", "mark_b", least)
+    first = F.array_min(F.array_intersect("buckets_a", "buckets_b")) == F.col("bucket")
+    pairs = x.join(y, keys).filter(order & (F.col("component_a") != F.col("component_b")) & sieves & first)
+    ends = F.least("component_a", "component_b").alias("ca"), F.greatest("component_a", "component_b").alias("cb")
+    return pairs.select(F.col("num_a").alias("a"), F.col("num_b").alias("b"), *ends, flipped_bits("mark_a", "mark_b").alias("flipped"))
+
+
+def tiled_pairs(members: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """The ``met_pairs`` within buckets. ``members``: bucket, num, component.
+
+    A bucket of at most ``FEW`` is one tile, both sides of which are one shuffle. In larger ones lines are dealt to tiles by
+    length, too: lines alike differ by the share 1 - ``least`` at most, so they are in one band of lengths or in two adjacent ones.
+    """
+    sizes = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many"))
+    still = members.join(sizes.filter("lo <> hi").select("bucket", F.when(F.col("many") > FEW, F.ceil(F.col("many") / TILE).cast("int")).alias("ways")), "bucket")
+    per = still.groupBy("num").agg(F.first("component").alias("component"), F.collect_list(F.struct("bucket", "ways")).alias("tiles"))  # at most the blocks of a line
+    marks = classes.select("num", "n", "code").join(per, "num")
+    marks = once(folded(marks.withColumn("pairs", pairs_of(F.col("code")))))
+    mark = F.struct("n", "fold", folds(F.col("pairs")).alias("pair_fold")).alias("mark")
+    each = written(marks.select("num", "component", "tiles", mark), "line-tiles", small=True)
+    each = each.select("num", "component", "mark", F.col("tiles.bucket").alias("buckets"), F.inline("tiles"))
+    # shuffled once: both sides read the same rows
+    small = each.filter("ways is null").drop("ways").repartition("bucket")
+    pairs = met_pairs(small, small, ["bucket"], least)
+    large = each.filter("ways is not null").withColumn("band", F.floor(F.log("mark.n") / F.lit(1.001 * max(-math.log(least), 1e-9))))
+    place, all_ways = F.pmod(F.xxhash64("num"), F.col("ways")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("ways") - 1))
+    one = large.withColumn("i", place).withColumn("j", all_ways)
+    two = large.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))).withColumn("j", place).withColumn("i", all_ways)
+    return pairs.unionByName(met_pairs(one, two, ["bucket", "band", "i", "j"], least))
 
 
 def in_groups(rows: DataFrame, groups: DataFrame, column: str) -> DataFrame:
@@ -334,17 +356,24 @@ def fuzzy_groups(classes: DataFrame, least: float, blocks: str | None) -> DataFr
     links = verified(written(members.filter("a is not null").select("a", F.col("num").alias("b")).distinct(), "line-pairs", small=True), classes, least)
     groups = written(components(links), "line-groups", small=True)
     several = members.filter("several").select("bucket", "num", F.col("num").alias("component"))
-    pairs = tiled_pairs(in_groups(several, groups, "component"), classes, least).groupBy("ca", "cb").agg(F.min_by("a", "flipped").alias("a"), F.min_by("b", "flipped").alias("b"), F.count("*").alias("pairs"))
-    pairs = written(pairs, "line-pairs", small=True)
-    if pairs.isEmpty():
-        return groups
-    links = links.unionByName(verified(pairs.select("a", "b"), classes, least))
-    groups = written(components(links), "line-groups", small=True)
-    apart_yet = in_groups(in_groups(pairs.filter("pairs > 1").select("ca", "cb"), groups, "ca"), groups, "cb").filter("ca <> cb")
-    apart_yet = written(apart_yet.select(F.explode(F.array("ca", "cb")).alias("component")).distinct(), "line-groups", small=True)
-    if not apart_yet.isEmpty():
-        rest = tiled_pairs(in_groups(several, groups, "component").join(apart_yet, "component", "left_semi"), classes, least)
-        rest = written(rest.select("a", "b").distinct(), "line-pairs", small=True)
+    slot = F.pmod(F.xxhash64("a", "b"), F.lit(SLOTS)).alias("slot")
+    pairs = tiled_pairs(in_groups(several, groups, "component"), classes, least).groupBy("ca", "cb", slot)
+    pairs = written(pairs.agg(F.min_by("a", "flipped").alias("a"), F.min_by("b", "flipped").alias("b"), F.min("flipped").alias("flipped"), F.count("*").alias("pairs")), "line-pairs", small=True)
+    apart_yet = lambda: in_groups(in_groups(pairs, groups, "ca"), groups, "cb").filter("ca <> cb")
+    if not pairs.isEmpty():
+        best = pairs.groupBy("ca", "cb").agg(F.min_by("a", "flipped").alias("a"), F.min_by("b", "flipped").alias("b"), F.sum("pairs").alias("pairs"))
+        best = written(best, "line-pairs", small=True)
+        links = links.unionByName(verified(best.select("a", "b"), classes, least))
+        groups = written(components(links), "line-groups", small=True)
+        more = written(apart_yet().select("a", "b").join(best.select("a", "b"), ["a", "b"], "left_anti"), "line-pairs", small=True)
+        if not more.isEmpty():
+            links = links.unionByName(verified(more, classes, least))
+            groups = written(components(links), "line-groups", small=True)
+    # what more than one pair of a slot leaves open
+    rest = written(apart_yet().filter("pairs > 1").select(F.explode(F.array("ca", "cb")).alias("component")).distinct(), "line-groups", small=True)
+    if not rest.isEmpty():
+        rest = tiled_pairs(in_groups(several, groups, "component").join(rest, "component", "left_semi"), classes, least)
+        rest = written(rest.select("a", "b"), "line-pairs", small=True)
         groups = written(components(links.unionByName(verified(rest, classes, least))), "line-groups", small=True)
     dropped(members)
     return groups

@@ -303,6 +303,30 @@ def test_a_group_of_near_copies_is_compared_with_few(spark, monkeypatch):
     assert sum(met) < 6 * 120
 
 
+@pytest.mark.parametrize(("few", "slots"), [(0, 64), (64, 64), (64, 1), (2, 2)])
+def test_lines_that_share_many_buckets_meet_in_one(spark, monkeypatch, few, slots):
+    """Once a pair was compared in each bucket that both lines are in."""
+    met, tiled = [], lines.tiled_pairs
+
+    def counting(*args):
+        pairs = tiled(*args)
+        met.append([(r["a"], r["b"]) for r in pairs.select("a", "b").collect()])
+        return pairs
+
+    monkeypatch.setattr(lines, "tiled_pairs", counting)
+    monkeypatch.setattr(lines, "FEW", few)
+    monkeypatch.setattr(lines, "SLOTS", slots)
+    rng = random.Random(31)
+    rows = []
+    for _ in range(4):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        rows += [" ".join(changed(rng, base, 0.1)) for _ in range(14)]
+    rows = list(enumerate(rows))
+    got = {(r["id"], r["line"]) for r in lines.removed_lines(spark.createDataFrame(rows, "id bigint, text string")).collect()}
+    assert got == brute_lines(rows, lines.SIMILARITY) and got
+    assert met[0] and all(len(some) == len(set(some)) for some in met)
+
+
 def test_words_left_out_on_either_side_are_told_by_the_sieves(spark):
     """Seven words left out of each of two copies: 14 edits where 7 are allowed, which the fold of the words alone lets pass."""
     rng = random.Random(2)
