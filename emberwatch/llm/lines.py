@@ -121,10 +121,14 @@ def simhash_blocks(pairs: Column, length: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(pairs) - many), block)
 
 
+def often_part(h: Column) -> Column:
+    """The number of the 64 bits in which a block is known as met often."""
+    return F.shiftright(h, 6).bitwiseAND(F.lit(OFTEN_BITS // 64 - 1)).cast("int")
+
+
 def ranked(blocks: Column, often: Column | None) -> Column:
     """The blocks as ranks, their highest bit set: those met often come last, without it. ``often``: bits, or None."""
-    number = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(OFTEN_BITS // 64 - 1)).cast("int")
-    bit = lambda h: F.call_function("shiftright", F.get(often, number(h)), h.bitwiseAND(F.lit(63)).cast("int"))
+    bit = lambda h: F.call_function("shiftright", F.get(often, often_part(h)), h.bitwiseAND(F.lit(63)).cast("int"))
     rank = lambda h: h.bitwiseOR(F.lit(-(1 << 63))).bitwiseXOR(F.shiftleft(bit(h), 63))
     return blocks if often is None else F.transform(blocks, rank)
 
@@ -175,13 +179,18 @@ def with_pairs(lines: DataFrame) -> DataFrame:
 
 
 def often_met(classes: DataFrame, length: int) -> Column:
-    """Bits of the blocks that are met most often, counted on one line of ``COUNTED``, at most ``OFTEN``. They decide the order of blocks, no result."""
+    """Bits of the blocks that are met most often, counted on one line of ``COUNTED``, at most ``OFTEN``. They decide the order of blocks, no result.
+
+    The first ones are found and turned into bits in the tasks: collected as blocks, each task would send the driver
+    ``OFTEN`` of its own.
+    """
     some = with_pairs(classes.filter((F.col("n") >= FUZZY_WORDS) & (F.pmod(F.xxhash64("code"), F.lit(COUNTED)) == 0)).select("n", "code"))
     counts = some.select(F.explode(F.array_distinct(simhash_blocks(F.col("pairs"), short(length)))).alias("h")).groupBy("h").count()
+    first, bit = counts.filter("count > 1").orderBy(F.desc("count"), "h").limit(OFTEN), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
     bits = [0] * (OFTEN_BITS // 64)
-    for row in counts.filter("count > 1").orderBy(F.desc("count"), "h").limit(OFTEN).collect():
-        bits[(row["h"] >> 6) % len(bits)] |= 1 << row["h"] % 64
-    return F.split(F.lit(",".join(str(x - (x >> 63 << 64)) for x in bits)), ",").cast("array<bigint>")
+    for part, some in first.groupBy(often_part(F.col("h"))).agg(F.bit_or(bit)).collect():
+        bits[part] = some
+    return F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")
 
 
 def dealt_blocks(lines: DataFrame, length: int, least: float | None, often: Column | None = None) -> DataFrame:
@@ -342,6 +351,16 @@ def in_groups(rows: DataFrame, groups: DataFrame, column: str) -> DataFrame:
     return rows.join(named, column, "left").withColumn(column, F.coalesce("_component", column)).drop("_component")
 
 
+def joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The ``groups`` (id, component), those that new ``links`` (a, b) of classes connect made one.
+
+    Only components are linked anew, so the rounds this takes are over the new links, not over all links again.
+    """
+    into = written(components(in_groups(in_groups(links, groups, "a"), groups, "b")), "line-groups", small=True)
+    moved = in_groups(groups, into, "component").select("id", "component")
+    return written(moved.unionByName(into.join(groups, "id", "left_anti").select("id", "component")), "line-groups", small=True)
+
+
 def fuzzy_groups(classes: DataFrame, least: float, blocks: str | None) -> DataFrame:
     """id, component of the classes that have near lines: both numbers of classes. ``classes``: num, n, code.
 
@@ -363,18 +382,16 @@ def fuzzy_groups(classes: DataFrame, least: float, blocks: str | None) -> DataFr
     if not pairs.isEmpty():
         best = pairs.groupBy("ca", "cb").agg(F.min_by("a", "flipped").alias("a"), F.min_by("b", "flipped").alias("b"), F.sum("pairs").alias("pairs"))
         best = written(best, "line-pairs", small=True)
-        links = links.unionByName(verified(best.select("a", "b"), classes, least))
-        groups = written(components(links), "line-groups", small=True)
+        groups = joined(groups, verified(best.select("a", "b"), classes, least))
         more = written(apart_yet().select("a", "b").join(best.select("a", "b"), ["a", "b"], "left_anti"), "line-pairs", small=True)
         if not more.isEmpty():
-            links = links.unionByName(verified(more, classes, least))
-            groups = written(components(links), "line-groups", small=True)
+            groups = joined(groups, verified(more, classes, least))
     # what more than one pair of a slot leaves open
     rest = written(apart_yet().filter("pairs > 1").select(F.explode(F.array("ca", "cb")).alias("component")).distinct(), "line-groups", small=True)
     if not rest.isEmpty():
         rest = tiled_pairs(in_groups(several, groups, "component").join(rest, "component", "left_semi"), classes, least)
         rest = written(rest.select("a", "b"), "line-pairs", small=True)
-        groups = written(components(links.unionByName(verified(rest, classes, least))), "line-groups", small=True)
+        groups = joined(groups, verified(rest, classes, least))
     dropped(members)
     return groups
 

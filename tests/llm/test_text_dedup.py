@@ -350,3 +350,47 @@ def test_lines_after_a_capital_sigma_and_odd_blanks(spark):
         if x and first.setdefault(x, (i, n)) != (i, n):
             want.add((i, n))
     assert got == want
+
+
+def test_the_driver_gets_the_bits_of_blocks_met_often_only(spark, monkeypatch):
+    """Collected as blocks, each task would send it its own first ones; the bits are those of the blocks met most often all the same."""
+    monkeypatch.setattr(lines, "COUNTED", 1)
+    monkeypatch.setattr(lines, "OFTEN", 25)
+    monkeypatch.setattr(lines, "OFTEN_BITS", 128)
+    rng = random.Random(7)
+    phrases = [" ".join(words(rng, 6)) for _ in range(12)]
+    texts = [" ".join(f"{rng.choice(phrases)} own{i}x{j}" for j in range(3)) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    classes = lines.coded_lines(docs).select("n", "code")
+    length, seen = lines.run_words(lines.SIMILARITY), []
+    collect = type(classes).collect
+    monkeypatch.setattr(type(classes), "collect", lambda df: seen.append((df, collect(df))) or seen[-1][1])
+    got = lines.often_met(classes, length)
+    monkeypatch.undo()
+    (df, rows), = seen
+    assert len(rows) <= 2
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and not re.match(r"(AdaptiveSparkPlan.*\n.*\n)?\W*TakeOrderedAndProject", plan)
+    blocks = lines.with_pairs(classes).select(F.explode(F.array_distinct(lines.simhash_blocks(F.col("pairs"), lines.short(length)))).alias("h"))
+    counts = {row["h"]: row["count"] for row in blocks.groupBy("h").count().collect()}
+    most = sorted((h for h in counts if counts[h] > 1), key=lambda h: (-counts[h], h))
+    assert len(most) > 25
+    bits = [0, 0]
+    for h in most[:25]:
+        bits[(h >> 6) % 2] |= 1 << h % 64
+    assert [x % (1 << 64) for x in spark.range(1).select(got.alias("bits")).first()["bits"]] == bits
+
+
+def test_new_links_join_groups(spark):
+    rng = random.Random(9)
+    steps = [[(rng.randrange(400), rng.randrange(400)) for _ in range(90)] for _ in range(3)]
+    steps.insert(2, [])
+    table = lambda links: spark.createDataFrame(links, "a long, b long")
+    brute, groups = Groups(), table([]).selectExpr("a as id", "b as component")
+    for links in steps:
+        for a, b in links:
+            brute.join(a, b)
+        rows = lines.joined(groups, table(links)).collect()
+        groups = spark.createDataFrame(rows, "id long, component long")
+        linked = {x for a, b in brute.items() if a != brute.root(a) for x in (a, brute.root(a))}
+        assert sorted(map(tuple, rows)) == sorted((x, brute.root(x)) for x in linked)
